@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, quality, secret_scan, sharding, toxicity
+from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op1_quality": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {"op1_quality": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_near_dedup": near_dedup.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
