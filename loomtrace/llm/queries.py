@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, secret_scan, sharding, toxicity
+from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, secret_scan, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,10 +10,11 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op1_quality": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_near_dedup": near_dedup.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {"op6_suffix_dedup": suffix_dedup.OP6_SQL, "op1_quality": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_near_dedup": near_dedup.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
