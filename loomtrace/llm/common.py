@@ -28,17 +28,38 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/loomtrace-{name}-{uuid.uuid4().hex}"
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished writes now, not at some later collection of garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and losing executors loses nothing.
 
     The session's clean-up of the shared folder also removes these tables.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/loomtrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As stored, in buckets of key, so that later joins on key don't move these rows again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"loomtrace_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(table)
+    release_shuffles(spark)
+    return spark.table(table)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

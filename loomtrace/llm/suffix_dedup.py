@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread, stored
+from loomtrace.llm.common import documents, spread, stored, stored_by
 
 LENGTH = 50
 GRAM = 20
 #: Most windows of a piece.
 MOST_WINDOWS = 48
 #: An anchor found in more texts than this is hot: its windows are dealt out one by one.
-HOT = 500
+HOT = 20_000
 #: Bytes of text after which a partition hands on the anchors found so far.
 FLUSH = 24_000_000
 #: Pieces that one merge should hold.
@@ -94,7 +94,7 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (bucket, anchors, places, ids, texts): anchors with the number of their document in ids and texts."""
+    """Rows (bucket, anchors, counts, ids, texts): the anchors of one document after the other, with their number, its id (as a difference) and its text's hash."""
 
     def packed(docs: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not docs:
@@ -111,8 +111,8 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for b in range(buckets):
             s, e = edges[b], edges[b + 1]
             if s < e:
-                own, nth = np.unique(place[s:e], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (anchors[s:e], nth.astype("<u4"), ids[own], texts[own]))], ["bucket", "anchors", "places", "ids", "texts"])
+                own, counts = np.unique(place[s:e], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (anchors[s:e], counts.astype("<u4"), np.diff(ids[own], prepend=0), texts[own]))], ["bucket", "anchors", "counts", "ids", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[int, tuple[int, np.ndarray]] = {}
@@ -139,14 +139,12 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     """doc_id, shared, hot: the anchors of the least copy of each text that another text has too; hot ones apart."""
     read = lambda column, kind: [np.frombuffer(x, kind) for x in bucket[column]]
-    ids, texts, places = read("ids", "<i8"), read("texts", "<u8"), read("places", "<u4")
-    anchors = np.concatenate(read("anchors", "<u8"))
-    flat_ids, flat_texts = np.concatenate(ids), np.concatenate(texts)
+    anchors, counts, flat_texts = (np.concatenate(read(c, k)) for c, k in (("anchors", "<u8"), ("counts", "<u4"), ("texts", "<u8")))
+    flat_ids = np.concatenate([np.cumsum(x) for x in read("ids", "<i8")])
     distinct, text = np.unique(flat_texts, return_inverse=True)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, text, flat_ids)
-    shift = np.cumsum([0, *map(len, ids)])[:-1]
-    own = np.concatenate([text[s : s + len(i)][p] for s, i, p in zip(shift, ids, places, strict=True)])
+    own = np.repeat(text, counts)
     order = np.lexsort((own, anchors))
     anchors, own = anchors[order], own[order]
     fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (own[1:] != own[:-1]))  # a copy elsewhere adds nothing
@@ -262,7 +260,7 @@ def _shards(merges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def built(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
         for m, rows in found.items():
-            rows.sort()
+            rows = sorted(set(rows))  # rows of docs that repeat bring the same pieces
             columns = [transform([r[0] for r in rows]), b"".join(r[1] for r in rows), np.array([len(r[0]) for r in rows], "<i4").tobytes(), np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["merge", "bwt", "pieces", "lengths", "least", "most"])
 
@@ -328,14 +326,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates (doc_id, text, ...), and rows (doc_id, s, e): byte ranges of theirs that an earlier text has too.
 
-    docs has doc_id and text; of equal texts only the least doc_id is looked at.
+    docs has doc_id and text; of equal texts only the least doc_id is looked at. Texts are moved
+    once, into buckets of doc_id.
     """
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = spread(docs).mapInArrow(_anchors(buckets), "bucket long, anchors binary, places binary, ids binary, texts binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared, "doc_id long, shared binary, hot binary")
+    packed = spread(docs).mapInArrow(_anchors(buckets), "bucket long, anchors binary, counts binary, ids binary, texts binary")
+    shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "doc_id long, shared binary, hot binary"), "shared")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))  # bounded by the document's length
-    candidates = stored(docs.join(by_doc, "doc_id").select("doc_id", "text", "shared", "hot").dropDuplicates(["doc_id"]), "candidates")
+    candidates = stored_by(docs.join(by_doc, "doc_id").select("doc_id", "text", "shared", "hot"), "doc_id", "candidates")
     places = stored(candidates.mapInArrow(_occurrences, OCCURRENCES), "places")
     pieces = places.groupBy("piece").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("most"), F.first("key").alias("key"), F.first("windows").alias("windows"))
     pieces = stored(pieces.select("piece", "key", "windows", "most", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start")), "pieces")
@@ -358,7 +357,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     narrow = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "narrow")
     candidates, ranges = repeated_ranges(rows)
     by_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))  # bounded by the document's length
-    cut = candidates.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    cut = candidates.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id"])
     least = narrow.groupBy("sha").agg(F.min("doc_id").alias("least"))
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
     joined = narrow.join(least, "sha").join(cut, "doc_id", "left")
