@@ -7,8 +7,8 @@ Bands of coordinates are hashed; documents that share a band hash are candidates
 Documents with equal shingle sets are one node (their least id). Candidates of a bucket are first
 compared with the bucket's least node only (a star, one row per member), which joins nearly all
 copies. Members that stay outside their bucket's main component are compared with a few of its
-members per bucket. What is then still apart within a bucket is compared completely, unless sizes
-rule a link out. So no link that would join two components is lost, and
+members per bucket. What is then still apart within a bucket is compared completely, in bounded
+blocks. So no link that would join two components is lost, and
 large groups of copies don't make all pairs. Every link is confirmed on the whole shingle sets.
 """
 
@@ -33,6 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Members of a main component that a member outside is compared with, per bucket, before the rest.
 TRIES = 3
+#: Members and askers of a family that one task compares.
+BLOCK = 8_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -144,6 +146,48 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _cross_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """a, b: for each asking row its links into other components, one per component, by an inverted index of the block's shingles."""
+    members, asking = rows[~rows["asks"]], rows[rows["asks"]]
+    if members.empty or asking.empty:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sizes = members["set"].map(len).to_numpy()
+    hashes = np.concatenate(members["set"].to_list())
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], np.repeat(np.arange(len(members)), sizes)[order]
+    ids, component = members["id"].to_numpy(), members["component"].to_numpy()
+    found = []
+    for i, c, s in zip(asking["id"], asking["component"], asking["set"], strict=True):
+        lo, hi = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owners[at], minlength=len(members))
+        hit = np.flatnonzero((100 * common >= PERCENT * (len(s) + sizes - common)) & (component != c))
+        found += [(i, ids[hit[k]]) for k in np.unique(component[hit], return_index=True)[1]]
+    return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
+
+
+def family_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between components that meet in a bucket, on whole shingle sets.
+
+    mixed has (bucket, id, component). Buckets that share a member make a family. Every member outside
+    of its family's largest component is compared with all of the family, in blocks of BLOCK members
+    by BLOCK askers, so that no task holds a whole family; sets travel once per block, not per pair.
+    """
+    centre = mixed.groupBy("bucket").agg(F.min("id").alias("a"))
+    family = components(mixed.join(centre, "bucket").select("a", F.col("id").alias("b")).filter("a <> b")).withColumnRenamed("component", "family")
+    members = stored(mixed.select("id", "component").distinct().join(family, "id"), "family")
+    counts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    shape = shape.select("family", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("asking_blocks"))
+    with_sets = members.join(shape, "family").join(sets, "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = with_sets.select("family", "id", "component", "set", F.lit(False).alias("asks"), own("blocks").alias("i"), every("asking_blocks").alias("j"))
+    asks = with_sets.filter("component <> main").select("family", "id", "component", "set", F.lit(True).alias("asks"), every("blocks").alias("i"), own("asking_blocks").alias("j"))
+    return asked.unionByName(asks).groupBy("family", "i", "j").applyInPandas(_cross_links, "a long, b long")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -187,14 +231,10 @@ def link(docs: DataFrame) -> DataFrame:
     links = stored(links.unionByName(second.filter("linked").select("a", "b")), "links")
     found = stored(components(links), "components")
 
-    # third: all that is still apart in a bucket and may be linked
+    # third: all that is still apart in a bucket
     apart = placed(found)
-    left, right = (apart.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
-    rest = left.join(right, "bucket").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _possible(F.col("n_a"), F.col("n_b")))
-    done = first.select("a", "b").unionByName(second.select("a", "b"))
-    rest = rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    third = tested(rest, "third")
-    found = stored(components(links.unionByName(third.filter("linked").select("a", "b"))), "components")
+    third = stored(family_links(apart, sets), "third")
+    found = stored(components(links.unionByName(third)), "components")
 
     placed_nodes = nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "doc_id")

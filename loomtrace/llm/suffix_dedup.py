@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomtrace.llm.common import documents, spread, stored, stored_by
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 #: Most windows of a piece.
 MOST_WINDOWS = 48
 #: An anchor found in more texts than this is hot: its windows are dealt out one by one.
@@ -41,7 +41,7 @@ HOT = 20_000
 #: Bytes of text after which a partition hands on the anchors found so far.
 FLUSH = 24_000_000
 #: Pieces that one merge should hold.
-PER_MERGE = 10_000
+PER_MERGE = 6_000
 #: Never a byte of UTF-8 text; stands for NUL, which ends pieces.
 _NUL = 0xC0
 
@@ -193,21 +193,25 @@ def suffix_array(joined: bytes) -> np.ndarray:
     128 bytes decide, as pieces are shorter; what is equal so far is in the order of the pieces.
     """
     n = len(joined)
-    data = np.frombuffer(joined + b"\xff" * 8, np.uint8)  # the last end mark comes after the others
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | data[i : i + n]
-    order = np.argsort(key, kind="stable")
-    have = 8
-    while True:
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(1, sorted_key[1:] != sorted_key[:-1]))
-        if have >= 128 or rank[order[-1]] == n:
-            return order
-        key = (rank << 32) | np.append(rank[have:], np.full(min(have, n), n + 1))
-        order = np.argsort(key, kind="stable")
+    data = np.frombuffer(joined + b"\xff", np.uint8).astype(np.uint16)  # the last end mark comes after the others
+    kind = np.uint16 if n < 65_000 else np.int64  # numpy sorts 16-bit numbers by radix
+    rank = ((data[:-1] << np.uint16(8)) | data[1:]).astype(kind)
+    have = 2
+    order = np.argsort(rank, kind="stable")
+    while have < 128:
+        ordered = rank[order]
+        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1])).astype(kind)
+        if rank[order[-1]] == n - 1:
+            break
+        after = np.full(n, n, kind)
+        after[: max(0, n - have)] = rank[have:]
+        order = np.argsort(after, kind="stable")
+        order = order[np.argsort(rank[order], kind="stable")]
+        pair = (rank[order].astype(np.int64) << 32) | after[order]
+        fresh = np.cumsum(np.append(0, pair[1:] != pair[:-1])).astype(kind)
+        rank[order] = fresh
         have *= 2
+    return order
 
 
 def transform(pieces: list[bytes]) -> bytes:
@@ -238,19 +242,19 @@ def rows_of_pieces(bwt: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The merged order of all rows (numbered through the transforms) for prefixes of depth bytes, and where blocks of equal prefixes begin."""
     bwt = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block = np.zeros(len(bwt), np.int32)  # no prefix yet: one block, shard after shard
-    symbols = bwt
+    shift = np.cumsum([0, *map(len, transforms)])
+    step = np.concatenate([last_to_first(t) + s for t, s in zip(transforms, shift, strict=False)]).astype(np.int32)
+    rows = np.arange(len(bwt), dtype=np.int32)  # no prefix yet: one block, shard after shard
+    block = np.zeros(len(bwt), np.int32)
     begins = np.zeros(len(bwt), bool)
     for _ in range(depth):
-        order = np.argsort(symbols, kind="stable")
-        shard, ahead, symbol = shard[order], block[order], symbols[order]
-        begins = np.append(True, (symbol[1:] != symbol[:-1]) | (ahead[1:] != ahead[:-1]))  # common prefix below the round's
+        order = np.argsort(bwt[rows], kind="stable")
+        rows, ahead = rows[order], block[order]
+        symbol = bwt[rows]
+        begins[0] = True
+        np.logical_or(symbol[1:] != symbol[:-1], ahead[1:] != ahead[:-1], out=begins[1:])  # common prefix below the round's
         block = np.cumsum(begins, dtype=np.int32)
-        symbols = np.empty_like(bwt)
-        symbols[np.argsort(shard, kind="stable")] = bwt  # rows of a shard keep their own order
-    rows = np.empty(len(bwt), np.int64)
-    rows[np.argsort(shard, kind="stable")] = np.arange(len(bwt))
+        rows = step[rows]  # the suffixes one symbol longer; a shard's rows keep their order
     return rows, begins
 
 
@@ -342,7 +346,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("piece", "key", "start", "windows", F.col("doc_id").alias("least"), "most")).alias("pieces"))  # bounded by the document's length
     strings = candidates.select("doc_id", "text").join(wanted, "doc_id").select("text", "pieces")
     shards = strings.mapInArrow(_shards(merges), "merge long, bwt binary, pieces binary, lengths binary, least binary, most binary")
-    found = shards.groupBy("merge").applyInPandas(_merged, "piece binary, first int, last int, least long")
+    found = stored(shards.groupBy("merge").applyInPandas(_merged, "piece binary, first int, last int, least long"), "intervals")
     ranges = places.join(found, "piece").filter(F.col("least") < F.col("doc_id"))
     return candidates, ranges.select("doc_id", (F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + LENGTH).alias("e"))
 
