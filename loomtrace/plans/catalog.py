@@ -1,4 +1,184 @@
-"""Registered queries and their SQL."""
+"""Registered queries: each applies an operator to a whole table."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomtrace.functions import pii
+from loomtrace.functions import steps as fs
+from loomtrace.operators import corpus, export
+from loomtrace.operators import sessions as ops
+from loomtrace.plans.oracle import ORACLE_SQL
+from loomtrace.sources import adapters, formats
+from loomtrace.streaming import live
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _steps(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(adapters.event_steps(spark, d))
+
+
+def _sessions(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return _steps(lambda s: f(ops.sessions(s)))
+
+
+def _place(mode: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        keys = {"mtime": F.desc_nulls_last("mtime_secs"), "cost": F.coalesce(F.col("cost_usd"), F.lit(0.0)).desc(), "errors": F.desc("error_count"), "tokens": (F.col("tokens_in") + F.col("tokens_out")).desc(), "format": F.asc("format")}
+        rows = corpus.ordered(ops.sessions(adapters.event_steps(spark, d)), mode)
+        return rows.select("session_id", F.row_number().over(W.orderBy(keys[mode], "session_id")).alias("place"))
+
+    return run
+
+
+def _listed(s: DataFrame) -> DataFrame:
+    calls = F.aggregate("tool_stats", F.lit(0).cast("long"), lambda a, t: a + t["use_count"])
+    return s.select("session_id", "format", "step_count", "tokens_in", "tokens_out", "cache_read", "cache_create", "cost_usd", *[f"n_{k}" for k in ops.KINDS], F.array_join("models", ",").alias("models"), "error_count", calls.alias("tool_calls"), "mtime_secs")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def _forks(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    entries = e.select(F.col("event_id").alias("entry"), F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 300).alias("parent"), F.lit(True).alias("first"))
+    return ops.fork_flags(entries).select("entry", "session_id", "is_fork_root")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    stats = ops.tool_stats(adapters.event_steps(spark, d))
+    side = lambda r: stats.filter(F.col("session_id").cast("long") % 2 == r).withColumn("pair_id", F.floor(F.col("session_id").cast("long") / 2))
+    return corpus.compare_tools(side(0), side(1))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Alignment counts of every session with the next one by number."""
+    steps = adapters.event_steps(spark, d)
+    ids = steps.select("session_id").distinct()
+    pairs = ids.select(F.concat_ws(":", "session_id", (F.col("session_id").cast("long") + 1).cast("string")).alias("pair_id"), F.col("session_id").alias("left_id"), (F.col("session_id").cast("long") + 1).cast("string").alias("right_id")).filter(F.col("left_id").cast("long") % 2 == 0)
+    return corpus.align_counts(corpus.align_sessions(steps, pairs))
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    query = e.filter("id = 0").first()["embedding"]  # one vector
+    return corpus.nearest(e, query).withColumn("score", F.round("score", 6))
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    edits = e.select(F.col("user_id").cast("string").alias("session_id"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("int").alias("step_index"), F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("text"), F.col("event_id").alias("at_ms"))
+    return corpus.upsert_notes(edits)
+
+
+def _pii(spark: SparkSession, d: str) -> DataFrame:
+    key = F.md5(F.col("doc_id").cast("string"))
+    text = F.concat("text", F.lit(" AKIA"), F.upper(F.substring(key, 1, 20)), F.lit(" sk-ant-"), key, F.lit("abc"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"))
+    return pii.scan_pii(docs, "text").filter("category <> 'ipv4'").drop("field")
+
+
+def _ipv4(spark: SparkSession, d: str) -> DataFrame:
+    return pii.scan_pii(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").filter("category = 'ipv4'").drop("field")
+
+
+def _pii_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(0).alias("step_index"), F.col("text").alias("detail"))
+    return pii.scan_report(pii.scan_pii(docs, "detail"))
+
+
+def _docs(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _generic_files(spark: SparkSession, d: str) -> DataFrame:
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    return turns.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("content"))
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return formats.parse(_generic_files(spark, d)).select("session_id", "step_index", "kind", "detail")
+
+
+def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
+    def rows(events: DataFrame) -> DataFrame:
+        p = adapters.event_parts(events)
+        full = fs.detail(F.col("kind"), F.col("text"), F.col("tool_name"), F.col("tool_call_id"), F.col("input_text"), F.col("result_text"))
+        return p.select("session_id", F.col("event_id").alias("step_id"), F.timestamp_millis("timestamp_ms").alias("at"), "kind", full.alias("detail"), "tool_name")
+
+    return live.event_stream(spark, d, rows)
+
+
+def _folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+
+
+def _stream_errors(spark: SparkSession, d: str) -> DataFrame:
+    return live.drained(spark, live.new_errors(_stream_rows(spark, d)), "append", _folder(spark)).select("session_id", "step_id")
+
+
+def _stream_idle(spark: SparkSession, d: str) -> DataFrame:
+    return live.drained(spark, live.idle_sessions(_stream_rows(spark, d)), "append", _folder(spark))
+
+
+def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = live.event_stream(spark, d, lambda e: e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), F.lit("tool_use").alias("kind"), F.lit("").alias("detail")))
+    return live.drained(spark, live.live_totals(rows), "complete", _folder(spark)).select("session_id", "tool_name", "steps")
+
+
+QUERIES: dict[str, Query] = {
+    "event_steps": lambda spark, d: adapters.event_steps(spark, d),
+    "conversation_steps": lambda spark, d: adapters.conversation_steps(spark, d).select("session_id", "step_index", "kind", "detail"),
+    "raw_generic_steps": _raw,
+    "tool_buckets": _steps(lambda s: corpus.tool_buckets(ops.tool_stats(s))),
+    "tool_stats": _steps(ops.tool_stats),
+    "sessions": _sessions(_listed),
+    "step_costs": _steps(lambda s: fs.with_cost(s).filter("model is not null").select("session_id", "step_index", "model", "cost_usd")),
+    "corpus_totals": _sessions(lambda s: _rounded(corpus.totals(s, filtered_out=~corpus.matches(errored=True)))),
+    "model_buckets": _sessions(lambda s: _rounded(corpus.model_buckets(s))),
+    "format_buckets": _sessions(corpus.format_buckets),
+    "trajectory_stats": _sessions(corpus.trajectory_stats),
+    "sessions_by_model": _sessions(lambda s: s.filter(corpus.matches(model="gpt-5")).select("session_id")),
+    "sessions_by_tool": _sessions(lambda s: s.filter(corpus.matches(tool="bash")).select("session_id")),
+    "sessions_errored": _sessions(lambda s: s.filter(corpus.matches(errored=True)).select("session_id", "error_count")),
+    **{f"order_by_{m}": _place(m) for m in ("mtime", "cost", "errors", "tokens", "format")},
+    "most_recent_sessions": _sessions(lambda s: corpus.most_recent(s, 25).select("session_id", "mtime_secs")),
+    "top_tools": _steps(lambda s: ops.top_tools(s).select("session_id", "tool_name", "use_count", "rank")),
+    "recent_errors": _steps(ops.recent_errors),
+    "slice_steps": _steps(lambda s: ops.slice_steps(s, 3, 10).select("session_id", "step_index", "label")),
+    "slice_time": _steps(lambda s: ops.slice_time(s, 3_600_000, 90_000_000).select("session_id", "step_index", "label")),
+    "first_at": _steps(lambda s: ops.first_at(s, 7_200_000)),
+    "label_filter": _steps(lambda s: ops.label_filter(s, " Grep").select("session_id", "step_index", "label")),
+    "search": _steps(lambda s: ops.search(s, "item 4")),
+    "conversation_view": _steps(lambda s: ops.conversation(s).select("session_id", "step_index", "detail")),
+    "tool_density": _steps(ops.tool_density),
+    "parallel_batches": _steps(ops.parallel_batches),
+    "text_context": _steps(ops.text_context),
+    "fork_flags": _forks,
+    "compare_tools": _pairs,
+    "align_sessions": _aligned,
+    "nearest_vectors": _nearest,
+    "upsert_notes": _notes,
+    "pii_scan": _pii,
+    "pii_ipv4": _ipv4,
+    "pii_report": _pii_report,
+    "redact": _docs(lambda x: x.select("doc_id", fs.redact(F.col("text"), ["the", "", "que"]).alias("text"))),
+    "previews": _docs(lambda x: x.select("doc_id", fs.truncate(F.col("text"), 60).alias("preview"))),
+    "trajectory_lines": _steps(export.trajectories),
+    "markdown": _steps(export.markdown),
+    "html": _steps(export.html),
+    "session_lines": _sessions(export.session_lines),
+    "shell_commands": _steps(lambda s: s.filter("kind = 'tool_use'").select("session_id", "step_index", fs.shell_command(F.col("tool_name"), F.col("input_text")).alias("command")).filter("command is not null")),
+    "stream_errors": _stream_errors,
+    "stream_idle": _stream_idle,
+    "stream_totals": _stream_totals,
+}
