@@ -115,7 +115,7 @@ def with_cost(steps: DataFrame) -> DataFrame:
 def iso_millis(text: Column) -> Column:
     """Epoch milliseconds of an ISO time; the zone suffix is ignored, the fraction cut to milliseconds."""
     digits = F.regexp_replace(F.substring(text, 1, 19), "[^0-9]", "")
-    whole = F.when(F.length(text) >= 19, F.unix_millis(F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))))
+    whole = F.when(F.length(text) >= 19, F.unix_millis(F.try_to_timestamp(F.concat(digits, F.lit("Z")), F.lit("yyyyMMddHHmmssX"))))
     fraction = F.rpad(F.regexp_extract(text, r"^.{19}\.([0-9]{1,3})", 1), 3, "0").cast("long")
     return whole + F.coalesce(F.when(F.get(F.split(text, ""), F.lit(19)) == ".", fraction), F.lit(0))
 

@@ -73,8 +73,8 @@ def distributions(sessions: DataFrame, measures: dict[str, Column]) -> DataFrame
     for n in measures:
         c = F.col(f"_{n}")
         aggs += [F.coalesce(F.min(c), F.lit(0)).alias(f"{n}_min"), *[F.expr(f"cast(coalesce(percentile_disc({p}) within group (order by _{n}), 0) as bigint)").alias(f"{n}_{q}") for q, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]]
-        aggs += [F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max"), F.coalesce(F.sum(c) / F.count(c), F.lit(0.0)).alias(f"{n}_mean"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_total")]
-    rate = lambda c: F.coalesce(F.count_if(F.col(c) > 0) / F.count(F.lit(1)), F.lit(0.0))
+        aggs += [F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max"), F.coalesce(F.try_divide(F.sum(c), F.count(c)), F.lit(0.0)).alias(f"{n}_mean"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_total")]
+    rate = lambda c: F.coalesce(F.try_divide(F.count_if(F.col(c) > 0), F.count(F.lit(1))), F.lit(0.0))
     return rows.agg(F.count(F.lit(1)).alias("sessions"), *aggs, rate("fork_root_count").alias("branched_rate"), rate("annotation_count").alias("annotated_rate"), rate("error_count").alias("errored_rate"))
 
 
@@ -112,19 +112,20 @@ def align(left: list[str], right: list[str]) -> list[tuple[int | None, int | Non
     for i in range(1, n + 1):
         row = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (b == a[i - 1]))
         table[i, 1:] = np.maximum.accumulate(row)
-    out, i, j = [], n, m
+    matched, i, j = [(n, m)], n, m  # an end mark, then the pairs from the back
     while i and j:
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-            out.append((i, j))
+            matched.append((i, j))
         elif table[i - 1, j] >= table[i, j - 1]:
             i -= 1
-            out.append((i, None))
         else:
             j -= 1
-            out.append((None, j))
-    out += [(k, None) for k in range(i - 1, -1, -1)] if i else [(None, k) for k in range(j - 1, -1, -1)]
-    return out[::-1]
+    out, i, j = [], 0, 0
+    for p, q in reversed(matched):
+        out += [(k, None) for k in range(i, p)] + [(None, k) for k in range(j, q)] + [(p, q)]
+        i, j = p + 1, q + 1
+    return out[:-1]
 
 
 ALIGNED = "pair_id string, row_no int, left_idx int, right_idx int, align_kind string"

@@ -2,7 +2,7 @@
 
 STEPS = r"""
 WITH raw AS (
-  SELECT user_id::VARCHAR AS session_id, event_id, event_type, epoch_ms(ts) AS timestamp_ms, floor(value)::BIGINT AS v, (props->>'$.k')::BIGINT AS k,
+  SELECT user_id::VARCHAR AS session_id, event_id, event_type, epoch_us(ts) // 1000 AS timestamp_ms, floor(value)::BIGINT AS v, (props->>'$.k')::BIGINT AS k,
     (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS step_index,
     CASE event_type WHEN 'view' THEN 'user_text' WHEN 'signup' THEN 'assistant_text' WHEN 'click' THEN 'tool_use' ELSE 'tool_result' END AS kind FROM events
 ), typed AS (

@@ -25,7 +25,7 @@ def event_parts(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "user_text").when(F.col("event_type") == "signup", "assistant_text").when(F.col("event_type") == "click", "tool_use").otherwise("tool_result")
     rows = events.select(
         F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("position"), "event_id", "event_type", kind.alias("kind"), k.alias("k"),
-        F.floor(F.col("value")).cast("long").alias("v"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"),
+        F.floor(F.col("value")).cast("long").alias("v"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("timestamp_ms"),
     )
     said, asst, use, result = (F.col("kind") == x for x in ("user_text", "assistant_text", "tool_use", "tool_result"))
     text = F.when(said, F.concat(F.lit("please view item "), F.col("k"))).when(asst, F.concat(F.lit("signed up with plan "), F.col("k")))
