@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's words.
 MOST_REPEATS = 3
 BUCKETS = 4096
+#: Inclusion odds are finite: rounding must not make a part of 1.
+MOST_PART = 0.999999999
 LEVELS = 2
 #: Bounds of the tilt of inclusion odds by length.
 TILT = (0.25, 4.0)
@@ -69,9 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     targets = stored(source_targets(sized, weights, most), "targets")
     t = targets.withColumnRenamed("source", "_source")
     rows = sized.join(t, sized["source"].eqNullSafe(t["_source"]), "left").drop("_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    f = F.col("part") / F.col("source_size")
+    f = F.least(F.lit(MOST_PART), F.try_divide(F.col("part"), F.col("source_size")))
     tilt = F.least(F.lit(TILT[1]), F.greatest(F.lit(TILT[0]), F.sqrt((F.col("source_size") / F.col("n")) / F.greatest(F.col("size"), F.lit(1)))))
     u = uniform(F.col("doc_id"))
     rank = (u / (1 - u)) / (f / (1 - f) * tilt)
@@ -140,7 +142,7 @@ WITH d AS (
 ), p AS (
   SELECT *, target - whole * source_size AS part FROM r
 ), q AS (
-  SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / ((part / source_size) / (1 - part / source_size) * least(4.0, greatest(0.25, sqrt((source_size / n) / greatest(size, 1))))) END AS k FROM p
+  SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (least(0.999999999, part / source_size) / (1 - least(0.999999999, part / source_size)) * least(4.0, greatest(0.25, sqrt((source_size / n) / greatest(size, 1))))) END AS k FROM p
 ), o AS (
   SELECT *, k / (1 + k) AS rank, sum(size) OVER (PARTITION BY source ORDER BY k / (1 + k), doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead FROM q WHERE k IS NOT NULL
 ), c AS (

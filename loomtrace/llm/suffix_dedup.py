@@ -155,8 +155,8 @@ def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     anchors, own, n = anchors[n > 1], own[n > 1], n[n > 1]
     order = np.argsort(own, kind="stable")
     anchors, own, hot = anchors[order], own[order], n[order] > HOT
-    edges = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
-    rows = [(int(least[own[s]]), anchors[s:e][~hot[s:e]].tobytes(), anchors[s:e][hot[s:e]].tobytes()) for s, e in zip(edges, np.append(edges[1:], len(own)), strict=True)]
+    edges = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
+    rows = [(int(least[own[s]]), anchors[s:e][~hot[s:e]].tobytes(), anchors[s:e][hot[s:e]].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
     return pd.DataFrame(rows, columns=["doc_id", "shared", "hot"])
 
 
