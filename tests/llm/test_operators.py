@@ -159,7 +159,8 @@ def brute_repeats(texts):
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix(docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    assert [tuple(by_id(suffix_dedup.remove_repeats(docs))[i])[1:] for i in range(len(TEXTS))] == brute_repeats(TEXTS)
+    got = by_id(suffix_dedup.remove_repeats(docs))
+    assert [tuple(got[i])[1:] for i in range(len(TEXTS))] == brute_repeats(TEXTS)
 
 
 def test_interleave_equals_sorting():
