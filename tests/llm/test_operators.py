@@ -242,7 +242,7 @@ def test_licenses(spark):
     assert (got[1]["n_base"], got[1]["base_labels"], got[1]["labels"]) == (0, "", "apache") and 0 < got[1]["score"] < 1
     assert (got[2]["labels"], got[2]["first_word"], got[3]["n_words"]) == ("", None, 0)
     assert (got[4]["n_base"], got[4]["base_labels"], got[4]["last_word"]) == (3, "gpl,mit", 5)
-    assert got[5]["labels"] == "cc-by-nc" and got[5]["n_words"] == 5006
+    assert got[5]["labels"] == "cc-by-nc" and got[5]["n_words"] == 5007
 
 
 def test_fuzzy_search_equals_matching_everywhere():
