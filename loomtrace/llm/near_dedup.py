@@ -213,8 +213,11 @@ def link(docs: DataFrame) -> DataFrame:
     star = bucketed.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
     star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("_n")), "a").filter(_possible(F.col("n"), F.col("_n")))
     first = tested(star, "first")
-    links = first.filter("linked").select("a", "b")
-    found = stored(components(links), "components")
+    found = stored(components(first.filter("linked")), "components")
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Edges of components found so far, as stars, and of new links: fewer rounds than from all links."""
+        return found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links.select("a", "b"))
 
     def placed(found: DataFrame) -> DataFrame:
         """Buckets' members with their components, of buckets that hold two components or more."""
@@ -228,13 +231,12 @@ def link(docs: DataFrame) -> DataFrame:
     main = by.groupBy("bucket").agg(F.max_by(F.struct("component", *[f"t{t}" for t in range(TRIES)]), F.struct("m", "component")).alias("main")).filter("main is not null")
     some = mixed.join(main, "bucket").filter("component <> main.component").select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array(*[f"main.t{t}" for t in range(TRIES)]))).alias("b"))
     second = tested(some, "second")
-    links = stored(links.unionByName(second.filter("linked").select("a", "b")), "links")
-    found = stored(components(links), "components")
+    found = stored(components(joined(found, second.filter("linked"))), "components")
 
     # third: all that is still apart in a bucket
     apart = placed(found)
     third = stored(family_links(apart, sets), "third")
-    found = stored(components(links.unionByName(third)), "components")
+    found = stored(components(joined(found, third)), "components")
 
     placed_nodes = nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "doc_id")
