@@ -73,13 +73,22 @@ class _Prefix:
         rows = self.groups.filter(wanted).limit(MOST_LOCAL + 1).collect()
         return sorted((self.start[r["chunk"]] + r["upto"], r["group"]) for r in rows) if len(rows) <= MOST_LOCAL else None
 
+    def names(self, cuts: list[int]) -> list[str]:
+        """The group that ends at each of some running sums."""
+        if not cuts:
+            return []
+        places = [(c := max(0, bisect.bisect_left(self.start, x) - 1), x - self.start[c]) for x in cuts]
+        within = self.groups.filter(F.col("chunk").isin(sorted({c for c, _ in places})))
+        return list(within.agg(*[F.max(F.when((F.col("chunk") == c) & (F.col("upto") == x), F.col("group"))).alias(f"g{i}") for i, (c, x) in enumerate(places)]).first())
+
 
 def minimax_cuts(sized: DataFrame, shards: int = SHARDS) -> tuple[int, list[str]]:
     """The smallest feasible capacity for rows (group, size), and the last group of each shard but the last.
 
     Capacities are tried some at a time. A cut moves up with the capacity, so it lies between the
     cuts under the largest infeasible and the smallest feasible capacity tried; once few groups lie
-    there, they are fetched and the search ends on them.
+    there, they are fetched and the search ends on them. If the capacity is settled before, only the
+    groups at its cuts are looked up, however many lie between them and the cuts under a smaller one.
     """
     prefix = _Prefix(sized)
     if not prefix.total:
@@ -95,7 +104,9 @@ def minimax_cuts(sized: DataFrame, shards: int = SHARDS) -> tuple[int, list[str]
                 low, least = max(low, c + 1), max(least or cut, cut)
             elif c < high:
                 high, most = c, cut
-        near = prefix.between(list(zip(least or most, most, strict=True)) if least or low == high else [(0, prefix.total)])
+        if low == high:
+            return high, prefix.names(most[: shards - 1])
+        near = prefix.between(list(zip(least, most, strict=True)) if least else [(0, prefix.total)])
         if near is not None:
             break
     sums, names = [0, *(x for x, _ in near)], ["", *(g for _, g in near)]
