@@ -11,7 +11,6 @@ insults a word) go through a logistic regression, also learned.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -135,29 +134,30 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("half", (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")) % 3 == 0).cast("int"))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Rows (text, toxic) of which those equal but for case and white space, and of one label, are one."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    return rows.select(text.alias("text"), "toxic").distinct()
+
+
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with each unit, by label; near copies (same smallest word hash) of a partition count once."""
+    """Documents with each unit, by label."""
     counts: dict[tuple[str, int], int] = Counter()
-    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             words = set(WORD.findall((text or "").lower()))
-            key = (min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=0), len(words) // 8)
-            if key in seen:
-                continue
-            seen.add(key)
             counts.update((u, toxic) for u in {u for w in words for u in units(w)})
             counts[("", toxic)] += 1
     yield pd.DataFrame([(u, n if t else 0, 0 if t else n) for (u, t), n in counts.items()], columns=["unit", "toxic", "clean"])
 
 
 def fit_lexicon(rows: DataFrame) -> Lexicon:
-    """Arcs with their log odds from rows (text, toxic).
+    """Arcs with their log odds from rows (text, toxic); copies of one label count once.
 
     An arc is at least 20 times likelier in toxic documents, found in 3 and 1 % of them, and its
     likelihood ratio pays for the number of units tried, so that small samples give few false arcs.
     """
-    counts = rows.select("text", "toxic").mapInPandas(_unit_counts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    counts = _distinct(rows).mapInPandas(_unit_counts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     of_all = lambda c: F.coalesce(F.max(F.when(F.col("unit") == "", F.col(c))), F.lit(0))
     n_units, n_toxic, n_clean = counts.agg(F.count(F.lit(1)), F.greatest(of_all("toxic"), F.lit(1)), F.greatest(of_all("clean"), F.lit(1))).first()
     share = n_toxic / (n_toxic + n_clean)
