@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,6 +167,74 @@ def nearest(vectors: DataFrame, query: list[float], top: int = 30, least: float
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(top)
 
 
+#: Most vectors of a block, and about the most of a partition of blocks, in searches with many queries.
+BLOCK, DEALT = 1024, 4096
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (id, embedding) packed by up to BLOCK into one binary value each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                own = pa.Table.from_batches([batch.slice(at, BLOCK)])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_table(own)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // DEALT))
+    return rows.select("id", "embedding").repartition(n).mapInArrow(pack, f"{name} binary")
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids, and by length the places and values of the vectors; null ones have length -1."""
+    table = pa.ipc.open_stream(block).read_all()
+    vectors = table.column("embedding").to_pylist()
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        places.setdefault(-1 if v is None else len(v), []).append(i)
+    return table.column("id").to_numpy(), {n: (np.array(own), np.array([vectors[i] for i in own], float).reshape(len(own), -1)) for n, own in places.items()}
+
+
+def _best(queries: bytes, rows: bytes, top: int, least: float) -> Iterator[tuple[int, int, float]]:
+    """query_id, id, score of the best rows of a block for each query of a block; ties by id."""
+    (query_ids, asked), (ids, held) = _unpacked(queries), _unpacked(rows)
+    for n, (own, values) in asked.items():
+        at, vectors = held[n] if n > 0 and n in held else (np.zeros(0, int), None)
+        known = np.zeros((len(own), len(ids)))  # other lengths score 0
+        if len(at):
+            known[:, at] = np.nan_to_num(values @ vectors.T, nan=-np.inf)
+        place = np.full(len(ids), -1)
+        place[at] = np.arange(len(at))
+        for k, q, about in zip(own, values, known, strict=True):
+            bar = max(least, np.partition(about, len(about) - top)[len(about) - top]) if len(about) > top else least
+            near = np.flatnonzero(about >= bar - 1e-9)
+            same = near[place[near] >= 0]
+            exact = np.zeros(len(ids))
+            if len(same):
+                exact[same] = np.cumsum(vectors[place[same]] * q, axis=1)[:, -1]  # in order, so that equal vectors tie
+            near = near[exact[near] >= least]
+            for i in near[np.lexsort((ids[near], -exact[near]))][:top]:
+                yield int(query_ids[k]), int(ids[i]), float(exact[i])
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, top: int = 30, least: float = 0.25) -> DataFrame:
+    """query_id, id, score: what nearest() gives for each query; both have rows (id, embedding).
+
+    Blocks of queries meet blocks of vectors; of each such pair the best rows are kept, and of those the best of all.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, rows in zip(batch["q"], batch["rows"], strict=True):
+                yield pd.DataFrame(list(_best(q, rows, top, least)), columns=["query_id", "id", "score"])
+
+    found = _blocks(vectors, "rows").crossJoin(_blocks(queries, "q")).mapInPandas(run, "query_id long, id long, score double")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= top).drop("place")
+
+
 # notes
 
 

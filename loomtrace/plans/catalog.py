@@ -67,10 +67,17 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     return corpus.align_counts(corpus.align_sessions(steps, pairs))
 
 
+def _nearest_of_each(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of every row whose id is divisible by 50."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return corpus.nearest_of_each(e, e.filter("id % 50 = 0")).withColumn("score", F.round("score", 6))
+
+
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of row 0, as the query's SQL has them; nearest_vectors_all has all query rows."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    query = e.filter("id = 0").first()["embedding"]  # one vector
-    return corpus.nearest(e, query).withColumn("score", F.round("score", 6))
+    found = corpus.nearest_of_each(e, e.filter("id = 0")).orderBy(F.desc("score"), "id")
+    return found.select("id", F.round("score", 6).alias("score"))
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "compare_tools": _pairs,
     "align_sessions": _aligned,
     "nearest_vectors": _nearest,
+    "nearest_vectors_all": _nearest_of_each,
     "upsert_notes": _notes,
     "pii_scan": _pii,
     "pii_ipv4": _ipv4,
