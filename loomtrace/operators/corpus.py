@@ -63,6 +63,12 @@ def tool_buckets(stats: DataFrame) -> DataFrame:
     return stats.groupBy("tool_name").agg(F.sum("use_count").alias("use_count"), F.sum("error_count").alias("error_count"), F.count(F.lit(1)).alias("session_count")).orderBy(F.desc("use_count"), "tool_name")
 
 
+def top_buckets(buckets: DataFrame, n: int = 10) -> DataFrame:
+    """The first n rows of model_buckets() or tool_buckets(), in their order."""
+    by, name = ("session_count", "model") if "model" in buckets.columns else ("use_count", "tool_name")
+    return buckets.orderBy(F.desc(by), name).limit(n)
+
+
 def format_buckets(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("format").agg(F.count(F.lit(1)).alias("session_count")).orderBy(F.desc("session_count"), "format")
 

@@ -40,6 +40,12 @@ def session_totals(steps: DataFrame) -> DataFrame:
     return with_cost(steps).groupBy("session_id").agg(F.first("format").alias("format"), F.count(F.lit(1)).alias("step_count"), *tokens, (F.sum("cost_nano") / 1e9).alias("cost_usd"), F.count_if("is_fork_root").alias("fork_root_count"), F.max("timestamp_ms").alias("last_ms"))
 
 
+def fork_root_indices(steps: DataFrame) -> DataFrame:
+    """The ordered indices of each session's fork roots; [] without any."""
+    at = F.array_sort(F.collect_list(F.when(F.col("is_fork_root"), F.col("step_index"))))
+    return steps.groupBy("session_id").agg(at.alias("fork_root_indices"))
+
+
 def session_models(steps: DataFrame) -> DataFrame:
     """Distinct models of a session in the order they are first seen."""
     first = steps.filter("model is not null").groupBy("session_id", "model").agg(F.min("step_index").alias("at"))

@@ -22,14 +22,18 @@ def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFram
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """Adds format (null where nothing fits) and status (ok, skip) to files (path, content); content becomes text."""
+    """Adds format (null where nothing fits), status (ok, skip, error) and error to files (path, content); content becomes text.
+
+    A file of lines whose format is known fails as a whole if one line that isn't blank is no JSON object
+    with a type, or is an entry of a user or an assistant without a message; a chat, if its messages are no list.
+    """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     rows = files.withColumn("bad_text", text.isNull()).withColumn("content", text).withColumn("v", F.expr("try_parse_json(content)"))
     has = lambda path, kind="variant": F.expr(f"try_variant_get(v, '$.{path}', '{kind}')").isNotNull()
     steps = F.expr("try_variant_get(v, '$.steps', 'array<variant>')")
     calls = F.expr("try_variant_get(v, '$.toolCalls', 'array<variant>')")
     vercel = has("finishReason") | F.coalesce(F.exists(steps, lambda s: F.try_variant_get(s, "$.stepType", "variant").isNotNull()), F.lit(False)) | F.coalesce(F.exists(calls, lambda c: F.try_variant_get(c, "$.toolCallId", "variant").isNotNull() & F.try_variant_get(c, "$.toolName", "variant").isNotNull()), F.lit(False))
-    first = F.get(F.filter(F.split("content", "\n"), lambda line: F.trim(line) != ""), F.lit(0))
+    first = F.get(F.filter(F.split("content", "\n"), lambda line: F.trim(line, F.lit(BLANK)) != ""), F.lit(0))
     kind = F.get_json_object(first, "$.type")
     fmt = (
         F.when(F.col("bad_text"), "otel_proto")
@@ -41,7 +45,29 @@ def detect(files: DataFrame) -> DataFrame:
         .when(kind.isin("session_meta", "event_msg", "response_item", "turn_context"), "codex")
         .when(kind.isNotNull(), "claude_code")
     )
-    return rows.withColumn("format", fmt).withColumn("status", F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").otherwise("ok")).drop("bad_text")
+    rows = rows.withColumn("format", fmt)
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))), lambda x: F.trim(x["line"], F.lit(BLANK)) != "")
+    bad_line = F.get(F.filter(lines, lambda x: ~_is_entry(F.try_parse_json(x["line"]), F.col("format"))), F.lit(0))["n"]
+    listed = F.expr("try_variant_get(v, '$.messages', 'array<variant>')").isNotNull()
+    error = F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file"))).when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list")
+    rows = rows.withColumn("error", error)
+    return rows.withColumn("status", F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").when(F.col("error").isNotNull(), "error").otherwise("ok")).drop("bad_text")
+
+
+#: White space that may fill a blank line.
+BLANK = " \t\r\x0b\x0c"
+
+
+def _is_entry(m, fmt):
+    """Whether a parsed line has what each entry of its format needs."""
+    has = lambda path: F.try_variant_get(m, path, "variant").isNotNull()
+    said = F.try_variant_get(m, "$.type", "string").isin("user", "assistant")
+    return F.coalesce(has("$.type") & ((fmt == "codex") | ~said | has("$.message")), F.lit(False))
+
+
+def parse_errors(files: DataFrame) -> DataFrame:
+    """path, error of the session files (path, content) whose format is known but which can't be parsed."""
+    return detect(files).filter("status = 'error'").select("path", "error")
 
 
 def _parts(df: DataFrame) -> DataFrame:
@@ -105,7 +131,7 @@ def gemini(files: DataFrame) -> DataFrame:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    rows = files.select(F.col("path").alias("session_id"), F.posexplode(F.split("content", "\n")).alias("i", "line")).filter("trim(line) <> ''")
+    rows = files.select(F.col("path").alias("session_id"), F.posexplode(F.split("content", "\n")).alias("i", "line")).filter(F.trim("line", F.lit(BLANK)) != "")
     return rows.select("session_id", "i", F.expr("try_parse_json(line)").alias("m"))
 
 
@@ -206,7 +232,7 @@ NAMED = {"gemini": gemini, "vercel_ai": vercel_ai, "otel_json": otel_json}
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Steps of session files (path, content); files of no known format are skipped."""
+    """Steps of session files (path, content); files of no known format are skipped, broken ones are in parse_errors()."""
     known = detect(files).filter("status = 'ok'")
     out = None
     for name, parser in {**PAIRED, **NAMED}.items():
