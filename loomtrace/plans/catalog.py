@@ -63,7 +63,7 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     """Alignment counts of every session with the next one by number."""
     steps = adapters.event_steps(spark, d)
     ids = steps.select("session_id").distinct()
-    pairs = ids.select(F.concat_ws(":", "session_id", (F.col("session_id").cast("long") + 1).cast("string")).alias("pair_id"), F.col("session_id").alias("left_id"), (F.col("session_id").cast("long") + 1).cast("string").alias("right_id")).filter(F.col("left_id").cast("long") % 2 == 0)
+    pairs = ids.select(F.concat_ws(":", "session_id", (F.col("session_id").cast("long") + 1).cast("string")).alias("pair_id"), F.col("session_id").alias("left_id"), (F.col("session_id").cast("long") + 1).cast("string").alias("right_id"))
     return corpus.align_counts(corpus.align_sessions(steps, pairs))
 
 
