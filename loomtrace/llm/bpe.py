@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread
+from loomtrace.llm.common import documents, slices, spread
 
-#: Texts of a batch are encoded so many characters at a time at most (a text at least), to bound memory.
-SLICE_CHARS = 2_000_000
-#: Distinct pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Bytes of text that a worker splits and encodes at a time (a text at least).
+SLICE = 500_000
+#: Characters and ids of distinct pieces that a worker remembers; beyond that it starts anew.
+REMEMBERED = 1_500_000
 
 
 def byte_table() -> list[str]:
@@ -42,7 +42,6 @@ def byte_table() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -53,11 +52,10 @@ def tokenizer(path: str):
     """The library's tokenizer for a ranks file; it encodes one piece at a time."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    by_rank = sorted(ranks(path).items(), key=lambda x: x[1])
-    table, known = byte_table(), ranks(path)
-    chars = {token: "".join(table[b] for b in token) for token, _ in by_rank}
-    merges = [(chars[t[:i]], chars[t[i:]]) for t, _ in by_rank for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
-    bpe = Tokenizer(models.BPE(vocab={chars[t]: r for t, r in by_rank}, merges=merges, ignore_merges=True))
+    known, table = ranks(path), byte_table()
+    chars = {token: "".join(table[b] for b in token) for token in sorted(known, key=known.__getitem__)}
+    merges = [(chars[t[:i]], chars[t[i:]]) for t in chars for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
+    bpe = Tokenizer(models.BPE(vocab={c: known[t] for t, c in chars.items()}, merges=merges, ignore_merges=True))
     bpe.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return bpe
 
@@ -88,53 +86,43 @@ class Pieces:
     """Encodings of distinct pieces: the bytes of their ids (unsigned 32-bit), and offsets if wanted."""
 
     def __init__(self, path: str, offsets: bool):
-        self.bpe, self.offsets, self.ids, self.spans = tokenizer(path), offsets, {}, {}
+        self.bpe, self.offsets, self.ids, self.spans, self.held = tokenizer(path), offsets, {}, {}, 0
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.spans = {}, {}
+        if self.held > REMEMBERED:
+            self.ids, self.spans, self.held = {}, {}, 0
         new = [x for x in pieces if x not in self.ids]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
             encoded = (self.bpe.encode_batch if self.offsets else self.bpe.encode_batch_fast)(part, add_special_tokens=False)
             for x, e in zip(part, encoded, strict=True):
                 self.ids[x] = np.array(e.ids, "<u4").tobytes()
+                self.held += len(x) + len(e.ids)
                 if self.offsets:
                     self.spans[x] = e.offsets
 
 
 def _batches(path: str, pattern: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-        at = 0
-        while at < len(texts):
-            end, chars = at + 1, len(texts[at])
-            while end < len(texts) and chars + len(texts[end]) <= SLICE_CHARS:
-                chars, end = chars + len(texts[end]), end + 1
-            yield at, end
-            at = end
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         known, split = Pieces(path, full), splitter(pattern)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at, end in slices(texts):
-                parts = [split.findall(x) for x in texts[at:end]]
-                known.learn(set().union(*parts))
-                raw = [b"".join(map(known.ids.__getitem__, x)) for x in parts]
-                ids = [np.frombuffer(x, "<u4") for x in raw]
-                columns = {
-                    "row": batch.column(0).slice(at, end - at),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(decode_bytes(x, path)).hexdigest() for x in ids], pa.string()),
-                }
-                if full:
-                    spans = [[(m + a, m + b) for m, x in zip(accumulate(map(len, xs), initial=0), xs, strict=False) for a, b in known.spans[x]] for xs in parts]
-                    columns["ids"] = pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))
-                    columns["starts"] = pa.array([[a for a, _ in x] for x in spans], pa.list_(pa.int32()))
-                    columns["ends"] = pa.array([[b for _, b in x] for x in spans], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(columns)
+        for part in (x for batch in batches for x in slices(batch, 1, SLICE)):
+            parts = [split.findall(x or "") for x in part.column(1).to_pylist()]
+            known.learn(set().union(*parts))
+            raw = [b"".join(map(known.ids.__getitem__, x)) for x in parts]
+            ids = [np.frombuffer(x, "<u4") for x in raw]
+            columns = {
+                "row": part.column(0),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(decode_bytes(x, path)).hexdigest() for x in ids], pa.string()),
+            }
+            if full:
+                spans = [[(m + a, m + b) for m, x in zip(accumulate(map(len, xs), initial=0), xs, strict=False) for a, b in known.spans[x]] for xs in parts]
+                columns["ids"] = pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))
+                columns["starts"] = pa.array([[a for a, _ in x] for x in spans], pa.list_(pa.int32()))
+                columns["ends"] = pa.array([[b for _, b in x] for x in spans], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 

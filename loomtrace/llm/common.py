@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.operators.storage import discard, fresh_path, numbered, own_shuffles, shared_folder, stored
+
+__all__ = ["ascii_lower", "discard", "documents", "drop_buckets", "numbered", "shared_folder", "slices", "spread", "stored", "stored_by", "words"]
+
 #: Fixed by the contracts: a word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Only used where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,41 +29,37 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/loomtrace-{name}-{uuid.uuid4().hex}"
-
+def stored_by(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
+    """As stored, in n buckets of key, so that later joins on key don't move these rows again. df lies in n partitions of key already."""
+    spark = df.sparkSession
+    table, path = f"loomtrace_{name}_{uuid.uuid4().hex}", fresh_path(spark, name)
+    with own_shuffles(spark):
+        df.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    _BUCKETED[out] = (table, path)
+    return out
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished writes now, not at some later collection of garbage."""
-    spark.sparkContext._jvm.System.gc()
 
+#: Name and path of each table in buckets.
+_BUCKETED: weakref.WeakKeyDictionary[DataFrame, tuple[str, str]] = weakref.WeakKeyDictionary()
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and losing executors loses nothing.
 
-    The session's clean-up of the shared folder also removes these tables.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+def drop_buckets(df: DataFrame) -> None:
+    """Drops a table of stored_by() that nothing reads any more."""
+    table, path = _BUCKETED.pop(df)
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    df.sparkSession.sql(f"DROP TABLE {table}")
 
 
-def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As stored, in buckets of key, so that later joins on key don't move these rows again."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"loomtrace_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(table)
-    release_shuffles(spark)
-    return spark.table(table)
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with up to so many bytes of text in a column, a row at least, so that Python holds few texts at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def ascii_lower(text: Column) -> Column:
@@ -73,4 +75,5 @@ def words(text: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """At least as many partitions as the session's parallelism, so that few large files don't leave cores idle."""
     spark = df.sparkSession
-    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(spark.sparkContext.defaultParallelism)
+    n = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

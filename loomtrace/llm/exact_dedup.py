@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, stored
+from loomtrace.llm.common import documents, slices, stored
 
 #: Most leading bits of a fingerprint that choose the range (block) it is merged in.
 MAX_BLOCK_BITS = 16
@@ -38,7 +38,7 @@ def normalise(text: str | None) -> bytes:
 
 def _digests(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             norm = [normalise(x) for x in batch.column(1).to_pylist()]
             sha = [hashlib.sha256(x).digest() for x in norm]
             fp = np.frombuffer(b"".join(x[:8] for x in sha), dtype="<i8") if sha else np.zeros(0, "<i8")

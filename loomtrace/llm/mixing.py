@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, stored, words
+from loomtrace.llm.common import documents, numbered, stored, words
 
 #: Weights of sources by code point order, repeating (fixed by the contract).
 WEIGHTS = (5, 2, 1)
@@ -40,24 +40,58 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """source, source_size, n, target from rows (source, size).
 
     Water filling: targets are min(most * source_size, level * weight), and level is such that they
-    add up to all words. The table has a row per source, after aggregation.
+    add up to all words. It rises until no further source is capped; the driver sees two sums a round.
+    Sources are numbered by range partitions, so that no task holds all of them.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    # sources are capped in the order of their cap / weight; the first whose share fits ends it
-    up = W.orderBy((F.col("source_size") * most / F.col("weight")), F.col("source").asc_nulls_last())
-    every = W.partitionBy()
-    filled = (
-        ranked.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("before_cap", F.coalesce(F.sum(F.col("source_size") * most).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before_cap")) / F.col("weight_left"))
-        .withColumn("open", F.col("level") * F.col("weight") <= F.col("source_size") * most)
-        .withColumn("final_level", F.min(F.when(F.col("open"), F.struct(F.col("source_size") * most / F.col("weight"), F.col("level")))).over(every)["level"])
-    )
-    cap = F.col("source_size") * most
-    return filled.select("source", "source_size", "n", F.when(F.col("final_level").isNull() | (F.col("final_level") * F.col("weight") >= cap), cap.cast("double")).otherwise(F.col("final_level") * F.col("weight")).alias("target"))
+    ranked = numbered(by_source, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sources = stored(ranked.select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * most).alias("cap")), "sources")
+    total, weight_left = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, before = (total / weight_left if total else 0.0), None
+    while level != before:
+        before, full = level, F.col("cap") < F.lit(level) * F.col("weight")
+        capped, weight_left = sources.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        level = (total - capped) / weight_left if weight_left else level
+    share = F.lit(level) * F.col("weight")
+    return sources.select("source", "source_size", "n", F.when(share >= F.col("cap"), F.col("cap").cast("double")).otherwise(share).alias("target"))
+
+
+def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """A row per source (source, source_size, n, target, whole, part, cut_rank, cut_id) from stored rows (doc_id, source, size).
+
+    whole certain copies go to every document; of the part, documents up to the cut get one more.
+    """
+    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    targets = source_targets(sized, weights, most).withColumn("whole", F.floor(ratio)).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = stored(targets, "targets")
+    ranked = stored(_of_source(sized, targets).withColumn("rank", _rank()).filter("rank is not null").select("doc_id", "source", "size", "rank", "part"), "ranked")
+    cut = _cut(ranked).select(F.col("source").alias("_source"), F.col("rank").alias("cut_rank"), F.col("doc_id").alias("cut_id"))
+    return stored(targets.join(cut, targets["source"].eqNullSafe(cut["_source"]), "left").drop("_source"), "plan")
+
+
+def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of their source's row in table."""
+    t = table.withColumnRenamed("source", "_source")
+    return rows.join(t, rows["source"].eqNullSafe(t["_source"]), "left").drop("_source")
+
+
+def _rank() -> Column:
+    """The random odds divided by the inclusion odds, squeezed into (0, 1) with their order kept; null for documents of no words and sources without a part."""
+    f = F.least(F.lit(MOST_PART), F.try_divide(F.col("part"), F.col("source_size")))
+    tilt = F.least(F.lit(TILT[1]), F.greatest(F.lit(TILT[0]), F.sqrt((F.col("source_size") / F.col("n")) / F.greatest(F.col("size"), F.lit(1)))))
+    u = uniform(F.col("doc_id"))
+    odds = (u / (1 - u)) / (f / (1 - f) * tilt)
+    return F.when((F.col("part") > 0) & (F.col("size") > 0), odds / (1 + odds))
+
+
+def _copies() -> Column:
+    chosen = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("doc_id") <= F.col("cut_id")))
+    return F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long")
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words(F.col("text"))).cast("long").alias("size"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -65,27 +99,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
 
     A source gets its target up to half of the document at the cut. Null texts count no words, the
     null source is a source, an empty table gives an empty result; rows that repeat a doc_id share
-    its random number and follow each other in the ranking.
+    its random number and are taken alike; further columns are not read.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words(F.col("text"))).cast("long").alias("size")), "sizes")
-    targets = stored(source_targets(sized, weights, most), "targets")
-    t = targets.withColumnRenamed("source", "_source")
-    rows = sized.join(t, sized["source"].eqNullSafe(t["_source"]), "left").drop("_source")
-    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    rows = rows.withColumn("whole", F.floor(ratio)).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    f = F.least(F.lit(MOST_PART), F.try_divide(F.col("part"), F.col("source_size")))
-    tilt = F.least(F.lit(TILT[1]), F.greatest(F.lit(TILT[0]), F.sqrt((F.col("source_size") / F.col("n")) / F.greatest(F.col("size"), F.lit(1)))))
-    u = uniform(F.col("doc_id"))
-    rank = (u / (1 - u)) / (f / (1 - f) * tilt)
-    # odds into (0, 1), order kept; documents of no words and sources without a part are never sampled
-    rows = rows.withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), rank / (1 + rank)))
-    ranked = stored(rows, "ranked")
-    cut = _cut(ranked.filter("rank is not null").select("doc_id", "source", "size", "rank", "part"))
-    c = cut.select(F.col("source").alias("_source"), F.col("rank").alias("cut_rank"), F.col("doc_id").alias("cut_id"))
-    taken = ranked.join(c, ranked["source"].eqNullSafe(c["_source"]), "left").drop("_source")
-    chosen = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("doc_id") <= F.col("cut_id")))
-    copies = F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long")
-    return taken.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sized = stored(_sized(docs), "sizes")
+    taken = _of_source(sized, source_plan(sized, weights, most)).withColumn("rank", _rank())
+    return taken.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs, all columns of any name, each as often as the mix takes it.
+
+    A row's copies follow from its own doc_id, source and words and its source's row of the plan, so
+    rows are neither joined with each other nor moved. Cases as in mix().
+    """
+    plan = source_plan(stored(_sized(docs), "sizes"), weights, most)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _of_source(_sized(docs, whole), plan).withColumn("rank", _rank()).select("row", _copies().cast("int").alias("copies")).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def _cut(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread, stored
+from loomtrace.llm.common import documents, slices, spread, stored
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -93,7 +93,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         n, keys, bands = [], [], []
         for x in batch.column(1).to_pylist():
             s = shingles(x)
@@ -104,7 +104,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         sets = [shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 

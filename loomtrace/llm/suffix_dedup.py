@@ -2,35 +2,39 @@
 
 A byte goes if a LENGTH-byte string that covers it also starts in a document with a smaller id.
 
-1. Anchors. Every LENGTH-byte window has a minimiser, the least hash of its GRAM-byte strings. Runs
+1. Texts. Of equal texts only the least id's is looked at; the others lose all bytes. These texts are
+   moved once, into buckets of doc_id, and stay there.
+2. Anchors. Every LENGTH-byte window has a minimiser, the least hash of its GRAM-byte strings. Runs
    of windows with the same minimiser are found for whole texts; equal windows have equal minimisers,
    so only windows whose minimiser occurs in two different texts can repeat.
-2. Pieces. The runs with shared anchors, as strings. A piece is kept once, with the least id that
-   holds it. Runs of an anchor found in very many texts are cut into single windows, which then
-   spread over all tasks by their own hash.
-3. Shards. Each partition builds the Burrows-Wheeler transform of its pieces per range of keys.
-4. Merge. The transforms of a range are merged by iterative interleave refinement: each round sorts
-   the interleave stably by the preceding symbol, so after k rounds it is right for prefixes of k
-   bytes, and the boundaries that round k adds are common prefixes of k - 1 bytes. After LENGTH rounds
-   the blocks left are the repeated intervals; no suffix is compared or sorted again.
-5. The least id of each interval goes back to all places of its pieces, and bytes are removed.
-
-Copies of a whole text are one text (its least id); the others lose all bytes.
+3. Pieces. The runs with shared anchors, as strings, kept once per partition, with the places where
+   they occur. Runs of an anchor found in very many texts are cut into single windows, which then
+   spread over all tasks by their own hash. Strings travel to their range of anchors; places stay.
+4. Shards. A range's distinct pieces are dealt to shards by the partition that has them first; each
+   shard gets its Burrows-Wheeler transform.
+5. Merge. The transforms are merged by iterative interleave refinement: a round sorts the interleave
+   stably by the preceding symbols, so that it is right for prefixes that are longer by as many, and
+   the boundaries it adds are common prefixes that end there. After LENGTH symbols the blocks left are
+   the repeated intervals; no suffix is compared or sorted again.
+6. The least id of each interval goes back to the partitions that have its pieces, which turn it into
+   byte ranges at their places, and the bytes are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread, stored, stored_by
+from loomtrace.llm.common import discard, documents, drop_buckets, slices, stored, stored_by
 
 LENGTH = 50
 GRAM = 16
@@ -38,12 +42,17 @@ GRAM = 16
 MOST_WINDOWS = 48
 #: An anchor found in more texts than this is hot: its windows are dealt out one by one.
 HOT = 20_000
-#: Bytes of text after which a partition hands on the anchors found so far.
-FLUSH = 24_000_000
-#: Pieces that one merge should hold.
-PER_MERGE = 6_000
+#: Bytes of text whose anchors one task should compare; so many also lie in a bucket of texts, up to Spark's bound on their number.
+PER_BUCKET, MOST_BUCKETS = 24_000_000, 100_000
+#: Bytes of text after which a partition hands on the anchors, and bytes of pieces after which it hands on the pieces found so far.
+FLUSH, FLUSH_PIECES = 24_000_000, 12_000_000
+#: Shared anchors, counted once a text, that one merge should hold, and its most shards.
+PER_MERGE, SHARDS = 16_000, 16
 #: Never a byte of UTF-8 text; stands for NUL, which ends pieces.
 _NUL = 0xC0
+_ENDED = bytes([_NUL, *range(1, 256)])
+#: Most distinct symbols that one radix sort takes, and most pairs of symbols that are numbered by a table.
+_KEYS, _PAIRS = 1 << 16, 1 << 24
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -61,14 +70,9 @@ def window_minimisers(data: bytes) -> np.ndarray:
     load = lambda at: np.ndarray((grams,), "<u8", data, at, (1,))  # noqa: E731  the 8 bytes from each place
     with np.errstate(over="ignore"):
         h = load(0) * _A
-        h ^= h >> np.uint64(31)
-        h += load(8)
-        h *= _B
-        h ^= h >> np.uint64(29)
-        h += load(GRAM - 8)
-        h *= _C
+        h += load(GRAM - 8) * _B
         h ^= h >> np.uint64(32)
-        h *= _A
+        h *= _C
         h ^= h >> np.uint64(29)
     width, have = LENGTH - GRAM + 1, 1
     while 2 * have <= width:
@@ -94,97 +98,133 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (bucket, anchors, counts, ids, texts): the anchors of one document after the other, with their number, its id (as a difference) and its text's hash."""
+    """Rows (bucket, anchors, counts, ids): the anchors of one document after the other, with their number and its id (as a difference)."""
 
-    def packed(docs: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not docs:
+    def packed(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not ids:
             return
-        ids = np.array([i for i, _ in docs.values()], "<i8")
-        texts = np.array(list(docs), "<u8")
-        sets = [a for _, a in docs.values()]
         anchors = np.concatenate(sets)
-        place = np.repeat(np.arange(len(sets), dtype="<u4"), [len(a) for a in sets])
-        bucket = (anchors % np.uint64(buckets)).astype(np.int64)
+        place = np.repeat(np.arange(len(sets)), [len(a) for a in sets])
+        bucket = ((anchors >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        anchors, place, bucket = anchors[order], place[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            s, e = edges[b], edges[b + 1]
-            if s < e:
-                own, counts = np.unique(place[s:e], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (anchors[s:e], counts.astype("<u4"), np.diff(ids[own], prepend=0), texts[own]))], ["bucket", "anchors", "counts", "ids", "texts"])
+        anchors, place, bucket = anchors[order].astype("<u4"), place[order], bucket[order]
+        found, edges = np.unique(bucket, return_index=True)
+        ids = np.array(ids, "<i8")
+        for b, s, e in zip(found.tolist(), edges, np.append(edges[1:], len(bucket)), strict=True):
+            own, counts = np.unique(place[s:e], return_counts=True)
+            values = (anchors[s:e], counts.astype("<u4"), np.diff(ids[own], prepend=0))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], ["bucket", "anchors", "counts", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: dict[int, tuple[int, np.ndarray]] = {}
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
         held = 0
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encoded(x)
-                if len(data) < LENGTH:
-                    continue
-                key = xxhash.xxh3_64_intdigest(data)
-                if key in docs:  # copies count once, with their least id
-                    docs[key] = (min(i, docs[key][0]), docs[key][1])
-                    continue
-                docs[key] = (i, np.unique(runs(data)[0]))
+                ids.append(i)
+                sets.append(np.unique(runs(data)[0]))
                 held += len(data)
                 if held > FLUSH:
-                    yield from packed(docs)
-                    docs, held = {}, 0
-        yield from packed(docs)
+                    yield from packed(ids, sets)
+                    ids, sets, held = [], [], 0
+        yield from packed(ids, sets)
 
     return run
 
 
-def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, shared, hot: the anchors of the least copy of each text that another text has too; hot ones apart."""
-    read = lambda column, kind: [np.frombuffer(x, kind) for x in bucket[column]]
-    anchors, counts, flat_texts = (np.concatenate(read(c, k)) for c, k in (("anchors", "<u8"), ("counts", "<u4"), ("texts", "<u8")))
-    flat_ids = np.concatenate([np.cumsum(x) for x in read("ids", "<i8")])
-    distinct, text = np.unique(flat_texts, return_inverse=True)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, text, flat_ids)
-    own = np.repeat(text, counts)
-    order = np.lexsort((own, anchors))
-    anchors, own = anchors[order], own[order]
-    fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (own[1:] != own[:-1]))  # a copy elsewhere adds nothing
-    anchors, own = anchors[fresh], own[fresh]
-    first = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
-    n = np.diff(np.append(first, len(anchors)))
-    n = np.repeat(n, n)
-    anchors, own, n = anchors[n > 1], own[n > 1], n[n > 1]
-    order = np.argsort(own, kind="stable")
-    anchors, own, hot = anchors[order], own[order], n[order] > HOT
-    edges = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)]), len(own))
-    rows = [(int(least[own[s]]), anchors[s:e][~hot[s:e]].tobytes(), anchors[s:e][hot[s:e]].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["doc_id", "shared", "hot"])
-
-
-OCCURRENCES = "piece binary, key long, doc_id long, start int, windows int"
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of each candidate document, without their strings."""
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for i, x, shared, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            data = encoded(x)
-            cold, warm = (np.frombuffer(b"".join(y), "<u8") for y in (shared, hot))
-            anchor, start, count = runs(data)
-            whole = np.isin(anchor, cold)
-            for a, s, n in zip(anchor[whole].view(np.int64).tolist(), start[whole].tolist(), count[whole].tolist(), strict=True):
-                for c, v in zip(out, (xxhash.xxh3_128_digest(data[s : s + n + LENGTH - 1]), a, i, s, n), strict=True):
-                    c.append(v)
-            if len(warm):
-                single = np.isin(anchor, warm)
-                for s, n in zip(start[single].tolist(), count[single].tolist(), strict=True):
-                    for w in range(s, s + n):
-                        digest = xxhash.xxh3_128_digest(data[w : w + LENGTH])
-                        for c, v in zip(out, (digest, int.from_bytes(digest[:8], "little", signed=True), i, w, 1), strict=True):
-                            c.append(v)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        for at in range(0, max(1, len(out[0])), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], k) for c, k in zip(out, kinds, strict=True)], ["piece", "key", "doc_id", "start", "windows"])
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of x begin, and its end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)]), len(x))
+
+
+def _shared(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Rows (own, ids, counts, anchors, hot): per group of documents, the anchors of each that another text has too; hot ones are marked."""
+
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        read = lambda column, kind: [np.frombuffer(x, kind) for x in bucket[column]]
+        anchors = np.concatenate(read("anchors", "<u4"))
+        doc = np.repeat(np.concatenate([np.cumsum(x) for x in read("ids", "<i8")]), np.concatenate(read("counts", "<u4")))
+        order = np.lexsort((doc, anchors))
+        anchors, doc = anchors[order], doc[order]
+        fresh = np.append(True, (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1]))  # a repeated row adds nothing
+        anchors, doc = anchors[fresh], doc[fresh]
+        n = np.diff(_edges(anchors))
+        n = np.repeat(n, n)
+        anchors, doc, hot = anchors[n > 1], doc[n > 1], n[n > 1] > HOT
+        group = _group(doc, groups)
+        order = np.lexsort((doc, group))
+        anchors, doc, hot, group = anchors[order], doc[order], hot[order], group[order]
+        rows, edges = [], _edges(group)
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            own = _edges(doc[s:e])
+            rows.append((int(group[s]), doc[s:e][own[:-1]].tobytes(), np.diff(own).astype("<u4").tobytes(), anchors[s:e].tobytes(), np.packbits(hot[s:e]).tobytes()))
+        return pd.DataFrame(rows, columns=["own", "ids", "counts", "anchors", "hot"])
+
+    return run
+
+
+def _group(doc: np.ndarray, groups: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((doc.view(np.uint64) * _A) >> np.uint64(33)).astype(np.int64) % groups
+
+
+def _of_documents(rows: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, shared, hot of a group of documents, from all buckets of anchors."""
+    read = lambda column, kind: [np.frombuffer(x, kind) for x in rows[column]]
+    anchors = read("anchors", "<u4")
+    hot = np.concatenate([np.unpackbits(h)[: len(a)] for a, h in zip(anchors, read("hot", np.uint8), strict=True)]).astype(bool)
+    doc = np.repeat(np.concatenate(read("ids", "<i8")), np.concatenate(read("counts", "<u4")))
+    anchors = np.concatenate(anchors)
+    order = np.argsort(doc, kind="stable")
+    anchors, hot, doc = anchors[order], hot[order], doc[order]
+    edges = _edges(doc)
+    out = [(int(doc[s]), anchors[s:e][~hot[s:e]].tobytes(), anchors[s:e][hot[s:e]].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+    return pd.DataFrame(out, columns=["doc_id", "shared", "hot"])
+
+
+PIECES = "source long, merge long, strings binary, least binary, most binary, own binary, docs binary, starts binary"
+
+
+def _pieces(merges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows PIECES: a source's distinct pieces of a merge, and which occurs in which document where."""
+
+    def packed(source: int, found: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        for m, (pieces, own, docs, starts) in found.items():
+            own, docs = np.frombuffer(own, "<i4"), np.frombuffer(docs, "<i8")
+            least, most = np.full(len(pieces), np.iinfo(np.int64).max), np.full(len(pieces), np.iinfo(np.int64).min)
+            np.minimum.at(least, own, docs)
+            np.maximum.at(most, own, docs)
+            values = (b"\0".join(pieces), least.tobytes(), most.tobytes(), own.tobytes(), docs.tobytes(), starts.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([m], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], [x.split()[0] for x in PIECES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, found, held = TaskContext.get().partitionId() << 24, {}, 0
+        for batch in (x for whole in batches for x in slices(whole)):
+            for i, x, shared, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data = encoded(x)
+                anchor, start, count = runs(data)
+                data = data.translate(_ENDED)
+                cold, warm = (np.isin(anchor.astype("<u4"), np.frombuffer(y, "<u4")) for y in (shared, hot))
+                at, size, merge = start[cold], count[cold] + (LENGTH - 1), (anchor[cold] % np.uint64(merges)).astype(np.int64)
+                todo = list(zip(merge.tolist(), at.tolist(), (at + size).tolist(), strict=True))
+                for s, n in zip(start[warm].tolist(), count[warm].tolist(), strict=True):
+                    todo += [(xxhash.xxh3_64_intdigest(data[w : w + LENGTH]) % merges, w, w + LENGTH) for w in range(s, s + n)]
+                for m, s, e in todo:
+                    if m not in found:
+                        found[m] = ({}, array("i"), array("q"), array("i"))
+                    pieces, own, docs, starts = found[m]
+                    known = len(pieces)
+                    own.append(pieces.setdefault(data[s:e], known))
+                    docs.append(i)
+                    starts.append(s)
+                    held += 16 + (e - s if len(pieces) > known else 0)
+                if held > FLUSH_PIECES:
+                    yield from packed(source, found)
+                    source, found, held = source + 1, {}, 0
+        yield from packed(source, found)
+
+    return run
 
 
 def suffix_array(joined: bytes) -> np.ndarray:
@@ -239,87 +279,142 @@ def rows_of_pieces(bwt: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return piece, offset
 
 
+def _symbols(bwt: np.ndarray, step: np.ndarray, most: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, key, step): the preceding width symbols of each row as one number, in their order, and the row of the suffix longer by them."""
+    levels = [(1, bwt, step)]
+    while True:
+        width, key, step = levels[-1]
+        n = int(key.max()) + 1
+        if n * n > _PAIRS or 2 * width > most:
+            return levels
+        pair = key[step].astype(np.int64) * n + key
+        there = np.zeros(n * n, bool)
+        there[pair] = True
+        if np.count_nonzero(there) > _KEYS:
+            return levels
+        levels.append((2 * width, (np.cumsum(there, dtype=np.int32) - 1)[pair].astype(np.uint16), step[step]))
+
+
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order of all rows (numbered through the transforms) for prefixes of depth bytes, and where blocks of equal prefixes begin."""
+    """The merged order of all rows (numbered through the transforms) for prefixes of depth bytes, and where blocks of equal prefixes begin.
+
+    A round takes several preceding symbols at once where so few strings of them occur that they are sorted by radix.
+    """
     bwt = np.concatenate(transforms)
     shift = np.cumsum([0, *map(len, transforms)])
     step = np.concatenate([last_to_first(t) + s for t, s in zip(transforms, shift, strict=False)]).astype(np.int32)
+    levels = _symbols(bwt, step, depth)
     rows = np.arange(len(bwt), dtype=np.int32)  # no prefix yet: one block, shard after shard
     block = np.zeros(len(bwt), np.int32)
     begins = np.zeros(len(bwt), bool)
-    for _ in range(depth):
-        order = np.argsort(bwt[rows], kind="stable")
-        rows, ahead = rows[order], block[order]
-        symbol = bwt[rows]
-        begins[0] = True
+    begins[:1] = True
+    while depth:
+        width, key, step = next(x for x in reversed(levels) if x[0] <= depth)
+        symbol = key[rows]
+        order = np.argsort(symbol, kind="stable")
+        rows, ahead, symbol = rows[order], block[order], symbol[order]
         np.logical_or(symbol[1:] != symbol[:-1], ahead[1:] != ahead[:-1], out=begins[1:])  # common prefix below the round's
         block = np.cumsum(begins, dtype=np.int32)
-        rows = step[rows]  # the suffixes one symbol longer; a shard's rows keep their order
+        rows = step[rows]  # the suffixes longer by width symbols; a shard's rows keep their order
+        depth -= width
     return rows, begins
 
 
-def _shards(merges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (merge, bwt, pieces, lengths, least, most): the transform of a partition's pieces per merge."""
-    ended = bytes([_NUL, *range(1, 256)])
-
-    def built(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for m, rows in found.items():
-            rows = sorted(set(rows))  # rows of docs that repeat bring the same pieces
-            columns = [transform([r[0] for r in rows]), b"".join(r[1] for r in rows), np.array([len(r[0]) for r in rows], "<i4").tobytes(), np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["merge", "bwt", "pieces", "lengths", "least", "most"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        held = 0
-        for batch in batches:
-            for x, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encoded(x)
-                for p in pieces:
-                    s = data[p["start"] : p["start"] + p["windows"] + LENGTH - 1].translate(ended)
-                    found.setdefault(p["key"] % merges, []).append((s, p["piece"], p["least"], p["most"]))
-                    held += len(s)
-            if held > FLUSH:
-                yield from built(found)
-                found, held = {}, 0
-        yield from built(found)
-
-    return run
-
-
-def _merged(shards: pd.DataFrame) -> pd.DataFrame:
-    """piece, first, last, least: the least id that has a piece's windows first..last, where it is below the piece's greatest."""
-    read = lambda column, kind: [np.frombuffer(x, kind) for x in shards[column]]
-    bwts, lengths = read("bwt", np.uint8), read("lengths", "<i4")
-    own = [rows_of_pieces(b, n) for b, n in zip(bwts, lengths, strict=True)]
-    shift = np.cumsum([0, *map(len, lengths)])[:-1]
-    piece = np.concatenate([p + s for (p, _), s in zip(own, shift, strict=True)])
-    offset = np.concatenate([o for _, o in own])
-    length, least, most = np.concatenate(lengths), np.concatenate(read("least", "<i8")), np.concatenate(read("most", "<i8"))
-    rows, begins = interleave(bwts, LENGTH)
-    piece, offset = piece[rows], offset[rows]
+def _slices(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, then the same of the next."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (source, merge, pieces, firsts, lasts, leasts): which windows first..last of a source's pieces an earlier document has too, and the least that has."""
+    rows = rows.sort_values("source")
+    number: dict[bytes, int] = {}
+    shard: list[int] = []
+    named = []
+    for k, strings in enumerate(rows["strings"]):
+        pieces = strings.split(b"\0")
+        named.append(np.array([number.setdefault(x, len(number)) for x in pieces], np.int64))
+        shard += [k % SHARDS] * (len(number) - len(shard))
+    dealt: dict[int, list[bytes]] = {}
+    for x, k in zip(number, shard, strict=True):
+        dealt.setdefault(k, []).append(x)
+    own = [sorted(x) for x in dealt.values()]
+    bwts = [np.frombuffer(transform(x), np.uint8) for x in own]
+    lengths = [np.array([len(p) for p in x]) for x in own]
+    names = [np.array([number[p] for p in x]) for x in own]
+    placed = [rows_of_pieces(b, n) for b, n in zip(bwts, lengths, strict=True)]
+    piece = np.concatenate([n[p] for (p, _), n in zip(placed, names, strict=True)])
+    offset = np.concatenate([o for _, o in placed])
+    length = np.empty(len(number), np.int64)
+    length[np.concatenate(names)] = np.concatenate(lengths)
+    least, most = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    mosts = [np.frombuffer(x, "<i8") for x in rows["most"]]
+    for k, lo, hi in zip(named, rows["least"], mosts, strict=True):
+        np.minimum.at(least, k, np.frombuffer(lo, "<i8"))
+        np.maximum.at(most, k, hi)
+    order, begins = interleave(bwts, LENGTH)
+    piece, offset = piece[order], offset[order]
     whole = offset + LENGTH <= length[piece]  # suffixes that hold a whole window
     first = np.flatnonzero(begins)
     best = np.minimum.reduceat(np.where(whole, least[piece], np.iinfo(np.int64).max), first)
-    best = np.repeat(best, np.diff(np.append(first, len(rows))))
+    best = np.repeat(best, np.diff(np.append(first, len(order))))
     hit = whole & (best < most[piece])
     piece, offset, best = piece[hit], offset[hit], best[hit]
     order = np.lexsort((offset, piece))
     piece, offset, best = piece[order], offset[order], best[order]
     start = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1) | (best[1:] != best[:-1]))[: len(piece)])
     end = np.append(start[1:], len(piece)) - 1 if len(start) else start
-    names = b"".join(shards["pieces"])
-    return pd.DataFrame({"piece": [names[16 * p : 16 * p + 16] for p in piece[start].tolist()], "first": offset[start].astype(np.int32), "last": offset[end].astype(np.int32), "least": best[start]})
+    piece, first, last, best = piece[start], offset[start].astype("<i4"), offset[end].astype("<i4"), best[start]
+    low, high = np.searchsorted(piece, np.arange(len(number)), "left"), np.searchsorted(piece, np.arange(len(number)), "right")
+    out = []
+    for source, merge, k, hi in zip(rows["source"], rows["merge"], named, mosts, strict=True):
+        n = high[k] - low[k]
+        at, local = _slices(low[k], n), np.repeat(np.arange(len(k)), n)
+        useful = best[at] < hi[local]
+        at, local = at[useful], local[useful]
+        if len(at):
+            out.append((source, merge, local.astype("<i4").tobytes(), first[at].tobytes(), last[at].tobytes(), best[at].tobytes()))
+    return pd.DataFrame(out, columns=["source", "merge", "pieces", "firsts", "lasts", "leasts"])
+
+
+def _ranges(places: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, starts, ends: the byte ranges to remove of a source's documents."""
+    out = {"doc_id": [], "starts": [], "ends": []}
+    if len(places) and len(found):
+        places = places.set_index("merge").loc[found["merge"]]
+        read = lambda df, column, kind: [np.frombuffer(x, kind) for x in df[column]]
+        own = read(places, "own", "<i4")
+        shift = np.cumsum([0, *(int(x.max()) + 1 for x in own)])[:-1]  # pieces numbered through the merges
+        own = np.concatenate([x + s for x, s in zip(own, shift, strict=True)])
+        docs, starts = np.concatenate(read(places, "docs", "<i8")), np.concatenate(read(places, "starts", "<i4"))
+        order = np.argsort(own, kind="stable")
+        own, docs, starts = own[order], docs[order], starts[order]
+        piece = np.concatenate([x + s for x, s in zip(read(found, "pieces", "<i4"), shift, strict=True)])
+        first, last, least = (np.concatenate(read(found, c, k)) for c, k in (("firsts", "<i4"), ("lasts", "<i4"), ("leasts", "<i8")))
+        low = np.searchsorted(own, piece, "left")
+        n = np.searchsorted(own, piece, "right") - low
+        at, of = _slices(low, n), np.repeat(np.arange(len(piece)), n)
+        later = least[of] < docs[at]
+        at, of = at[later], of[later]
+        doc, s, e = docs[at], (starts[at] + first[of]).astype("<i4"), (starts[at] + last[of] + LENGTH).astype("<i4")
+        order = np.argsort(doc, kind="stable")
+        doc, s, e = doc[order], s[order], e[order]
+        edges = _edges(doc)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for c, v in zip(out.values(), (int(doc[a]), s[a:b].tobytes(), e[a:b].tobytes()), strict=True):
+                c.append(v)
+    return pd.DataFrame(out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_removed, n_spans, kept_sha256, kept from texts and the byte ranges to remove."""
-    for batch in batches:
+    """doc_id, n_removed, n_spans, kept_sha256 from texts and the byte ranges to remove."""
+    for batch in (x for whole in batches for x in slices(whole)):
         out: list[list] = [[], [], [], []]
-        for i, x, ranges in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for i, x, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             data = np.frombuffer(encoded(x), np.uint8)
             edges = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edges, [r["s"] for r in ranges], 1)
-            np.add.at(edges, [r["e"] for r in ranges], -1)
+            np.add.at(edges, np.frombuffer(starts, "<i4"), 1)
+            np.add.at(edges, np.frombuffer(ends, "<i4"), -1)
             gone = np.cumsum(edges[:-1]) > 0
             spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
             for c, v in zip(out, (i, int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()), strict=True):
@@ -327,28 +422,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (doc_id, text, ...), and rows (doc_id, s, e): byte ranges of theirs that an earlier text has too.
-
-    docs has doc_id and text; of equal texts only the least doc_id is looked at. Texts are moved
-    once, into buckets of doc_id.
-    """
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = spread(docs).mapInArrow(_anchors(buckets), "bucket long, anchors binary, counts binary, ids binary, texts binary")
-    shared = stored(packed.groupBy("bucket").applyInPandas(_shared, "doc_id long, shared binary, hot binary"), "shared")
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))  # bounded by the document's length
-    candidates = stored_by(docs.join(by_doc, "doc_id").select("doc_id", "text", "shared", "hot"), "doc_id", "candidates")
-    places = stored(candidates.mapInArrow(_occurrences, OCCURRENCES), "places")
-    pieces = places.groupBy("piece").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("most"), F.first("key").alias("key"), F.first("windows").alias("windows"))
-    pieces = stored(pieces.select("piece", "key", "windows", "most", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start")), "pieces")
-    merges = max(buckets, -(-pieces.count() // PER_MERGE))
-    wanted = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("piece", "key", "start", "windows", F.col("doc_id").alias("least"), "most")).alias("pieces"))  # bounded by the document's length
-    strings = candidates.select("doc_id", "text").join(wanted, "doc_id").select("text", "pieces")
-    shards = strings.mapInArrow(_shards(merges), "merge long, bwt binary, pieces binary, lengths binary, least binary, most binary")
-    found = stored(shards.groupBy("merge").applyInPandas(_merged, "piece binary, first int, last int, least long"), "intervals")
-    ranges = places.join(found, "piece").filter(F.col("least") < F.col("doc_id"))
-    return candidates, ranges.select("doc_id", (F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last") + LENGTH).alias("e"))
+def repeated_ranges(texts: DataFrame, n_bytes: int) -> DataFrame:
+    """Rows (doc_id, starts, ends): byte ranges that an earlier text has too. texts has doc_id and distinct texts, n_bytes in all."""
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PER_BUCKET))
+    anchors = texts.mapInArrow(_anchors(n), "bucket long, anchors binary, counts binary, ids binary")
+    shared = anchors.groupBy("bucket").applyInPandas(_shared(n), "own long, ids binary, counts binary, anchors binary, hot binary")
+    of_documents = shared.groupBy("own").applyInPandas(_of_documents, "doc_id long, shared binary, hot binary")
+    of_documents = stored(of_documents, "shared")
+    held = of_documents.agg(F.coalesce(F.sum(F.octet_length("shared") / 4 + MOST_WINDOWS * F.octet_length("hot") / 4), F.lit(0))).first()[0]
+    merges = max(n, int(held) // PER_MERGE)
+    wanted = texts.join(of_documents.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "shared", "hot")
+    pieces = stored(wanted.mapInArrow(_pieces(merges), PIECES), "pieces")
+    discard(of_documents)
+    merged = pieces.select("source", "merge", "strings", "least", "most").groupBy("merge")
+    found = stored(merged.applyInPandas(_merged, "source long, merge long, pieces binary, firsts binary, lasts binary, leasts binary"), "intervals")
+    places = pieces.select("source", "merge", "own", "docs", "starts").groupBy("source")
+    ranges = places.cogroup(found.groupBy("source")).applyInPandas(_ranges, "doc_id long, starts binary, ends binary")
+    ranges = stored(ranges, "ranges")
+    discard(pieces, found)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -359,12 +451,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     narrow = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "narrow")
-    candidates, ranges = repeated_ranges(rows)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))  # bounded by the document's length
-    cut = candidates.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id"])
-    least = narrow.groupBy("sha").agg(F.min("doc_id").alias("least"))
+    least = stored(narrow.groupBy("sha").agg(F.min("doc_id").alias("least"), F.first("n_bytes").alias("n")), "least")
+    whole = least.filter(F.col("n") >= LENGTH)
+    n_bytes = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-n_bytes // PER_BUCKET)))
+    firsts = whole.select(F.col("least").alias("doc_id")).repartition(n, "doc_id").hint("shuffle_hash")
+    texts = stored_by(rows.repartition(n, "doc_id").join(firsts, "doc_id"), "doc_id", "texts", n)
+    ranges = repeated_ranges(texts, n_bytes)
+    cut = texts.join(ranges.hint("shuffle_hash"), "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string")
+    cut = stored(cut.dropDuplicates(["doc_id"]), "cut")
+    drop_buckets(texts)
+    discard(ranges)
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
-    joined = narrow.join(least, "sha").join(cut, "doc_id", "left")
+    joined = narrow.join(least.select("sha", "least"), "sha").join(cut, "doc_id", "left")
     return joined.select(
         "doc_id",
         "n_bytes",
