@@ -1,10 +1,11 @@
 """Quality rules by weak supervision, with Spark functions alone.
 
-Every rule votes good (1), bad (-1) or abstains (0). Rules have one unknown accuracy each; the
-posterior of a document is the product of its votes' odds and the prior odds. Expectation
-maximisation estimates prior and accuracies from the counts of vote patterns, of which there are at
-most 3 to the number of rules, whatever the size of the corpus: one aggregation with map-side
-combining, then a fold over iterations on that bounded table.
+Every rule votes good (1), bad (-1) or abstains (0), and abstains unless it sees evidence. A rule has
+four unknown rates: how often it votes bad or good on good documents, and on bad ones. The posterior
+odds of a document are the prior odds times the ratio of rates of each vote cast. Expectation
+maximisation estimates prior and rates from the counts of vote patterns, of which there are at most 3
+to the number of rules, whatever the size of the corpus: one aggregation with map-side combining,
+then a fold over iterations on that bounded table. No label is read.
 
 Repeated three-word windows are found inside a text's own row by sorting 64-bit window hashes, so a
 very long text costs n log n and nothing is shuffled but one narrow row a document.
@@ -20,24 +21,25 @@ from pyspark.sql import functions as F
 from loomtrace.llm.common import documents, stored, words
 
 ITERATIONS = 10
-#: Accuracies stay within these bounds (a rule is better than chance and never certain), the prior too.
-ACCURACY, PRIOR = (0.55, 0.95), (0.05, 0.95)
-#: Where the iteration starts; the start also counts as SMOOTHING votes.
-START_ACCURACY, START_PRIOR, SMOOTHING = 0.7, 0.7, 10.0
+#: Rates and the prior stay within these bounds, so that no single vote decides alone.
+RATE, PRIOR = (0.01, 0.99), (0.05, 0.95)
+#: Where the iteration starts: the prior, and a rule's rates; the start also counts as SMOOTHING documents of either kind.
+START_PRIOR, SMOOTHING = 0.7, 20.0
+START = {"bad_of_bad": 0.4, "good_of_bad": 0.2, "bad_of_good": 0.05, "good_of_good": 0.5}
 THRESHOLD = 0.5
 
-#: name, bad condition, good condition; columns are the counts of features(). Integers only.
+#: name, bad condition, good condition ("false": the rule never votes good); columns are the counts of features(). Integers only.
 RULES = (
-    ("length", "n_words < 50", "n_words >= 80"),
-    ("symbols", "10 * n_symbols > word_chars", "50 * n_symbols <= word_chars"),
-    ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-    ("duplicate lines", "5 * n_dup_lines > n_lines", "n_dup_lines = 0"),
-    ("word length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars >= 3 * n_words and word_chars <= 10 * n_words"),
-    ("capitals", "10 * n_capitals > 3 * word_chars", "10 * n_capitals <= word_chars"),
-    ("marks", "2 * n_marks > n_words", "4 * n_marks <= n_words"),
-    ("vocabulary", "10 * n_distinct < 2 * n_words", "10 * n_distinct >= 4 * n_words"),
+    ("symbols", "10 * n_symbols > n_words", "false"),
+    ("sentences", "100 * n_marks < 2 * n_words or 3 * n_marks > n_words", "100 * n_marks >= 4 * n_words and 4 * n_marks <= n_words"),
+    ("function words", "100 * n_short < 8 * n_words", "100 * n_short >= 15 * n_words and 100 * n_short <= 60 * n_words"),
+    ("capitals", "100 * n_capitals > 30 * word_chars", "false"),
+    ("repeats", "100 * n_repeat_words > 20 * n_words", "false"),
+    ("duplicate lines", "4 * n_dup_lines > n_lines", "false"),
+    ("vocabulary", "100 * n_distinct < 25 * n_words", "100 * n_distinct >= 40 * n_words and 100 * n_distinct <= 95 * n_words"),
+    ("word length", "word_chars < 3 * n_words or word_chars > 10 * n_words", "word_chars >= 4 * n_words and word_chars <= 7 * n_words"),
 )
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_distinct", "n_short")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,6 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_capitals": F.length("text") - F.length(F.regexp_replace("text", r"[A-Z]+", "")),
         "n_marks": F.size(F.filter("ws", lambda x: x.endswith(".") | x.endswith("!") | x.endswith("?"))),
         "n_distinct": F.size(F.array_distinct("ws")),
+        "n_short": F.size(F.filter("ws", lambda x: x.rlike(r"^\p{L}{1,3}$"))),
     }
     return rows.select("doc_id", *[counts[c].cast("long").alias(c) for c in COUNTS])
 
@@ -90,7 +93,7 @@ def pattern() -> Column:
 
 
 def vote(p: Column, j: int) -> Column:
-    return (F.floor(p / 3**j).cast("long") % 3 - 1).cast("double")
+    return (F.floor(p / 3**j).cast("long") % 3 - 1).cast("int")
 
 
 def posteriors(patterns: DataFrame) -> DataFrame:
@@ -99,32 +102,35 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     votes = F.array(*[vote(F.col("pattern"), j) for j in range(len(RULES))])
     table = counted.agg(F.sort_array(F.collect_list(F.struct("pattern", F.col("n").cast("double").alias("n"), votes.alias("v")))).alias("t"))
 
-    def log_odds(p: Column) -> Column:
-        return F.log(p / (1 - p))
-
-    def posterior(v: Column, state: Column) -> Column:
-        total = sum((F.get(v, F.lit(j)) * log_odds(F.get(state["acc"], F.lit(j))) for j in range(len(RULES))), log_odds(state["prior"]))
-        return 1 / (1 + F.exp(-total))
-
     def add(terms: Column) -> Column:
         return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
+    def within(x: Column, bounds: tuple[float, float]) -> Column:
+        return F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), x))
+
+    def posterior(v: Column, state: Column) -> Column:
+        ratio = lambda x, r: F.when(x < 0, F.log(r["bad_of_good"] / r["bad_of_bad"])).when(x > 0, F.log(r["good_of_good"] / r["good_of_bad"])).otherwise(0.0)
+        return 1 / (1 + F.exp(-(F.log(state["prior"] / (1 - state["prior"])) + add(F.zip_with(v, state["rates"], ratio)))))
+
     def step(state: Column, _: Column) -> Column:
-        weighed = F.transform("t", lambda e: F.struct(e["n"].alias("n"), e["v"].alias("v"), posterior(e["v"], state).alias("q")))
+        weighed = F.transform("t", lambda e: F.struct(e["v"].alias("v"), (e["n"] * posterior(e["v"], state)).alias("good"), e["n"].alias("n")))
 
         def update(w: Column) -> Column:
-            prior = add(F.transform(w, lambda e: e["n"] * e["q"])) / add(F.transform(w, lambda e: e["n"]))
+            n, good = add(F.transform(w, lambda e: e["n"])), add(F.transform(w, lambda e: e["good"]))
+
+            def rates(j: Column) -> Column:
+                def rate(kind: str) -> Column:
+                    of = (lambda e: e["good"]) if kind.endswith("good") else (lambda e: e["n"] - e["good"])
+                    cast = add(F.transform(w, lambda e: F.when(F.get(e["v"], j) == (-1 if kind.startswith("bad") else 1), of(e)).otherwise(0.0)))
+                    return within((cast + SMOOTHING * START[kind]) / ((good if kind.endswith("good") else n - good) + SMOOTHING), RATE).alias(kind)
 
-            def accuracy(j: int) -> Column:
-                right = add(F.transform(w, lambda e: e["n"] * F.when(F.get(e["v"], F.lit(j)) > 0, e["q"]).when(F.get(e["v"], F.lit(j)) < 0, 1 - e["q"]).otherwise(0.0)))
-                voted = add(F.transform(w, lambda e: e["n"] * F.abs(F.get(e["v"], F.lit(j)))))
-                return F.least(F.lit(ACCURACY[1]), F.greatest(F.lit(ACCURACY[0]), (right + SMOOTHING * START_ACCURACY) / (voted + SMOOTHING)))
+                return F.struct(*map(rate, START))
 
-            return F.struct(F.least(F.lit(PRIOR[1]), F.greatest(F.lit(PRIOR[0]), prior)).alias("prior"), F.array(*[accuracy(j) for j in range(len(RULES))]).alias("acc"))
+            return F.struct(within(good / n, PRIOR).alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), rates).alias("rates"))
 
         return let(weighed, update)
 
-    start = F.struct(F.lit(START_PRIOR).alias("prior"), F.array(*[F.lit(START_ACCURACY)] * len(RULES)).alias("acc"))
+    start = F.struct(F.lit(START_PRIOR).alias("prior"), F.array_repeat(F.struct(*[F.lit(x).alias(k) for k, x in START.items()]), len(RULES)).alias("rates"))
     fitted = table.withColumn("state", F.when(F.size("t") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step)))
     return fitted.select("state", F.explode("t").alias("e")).select(F.col("e.pattern").alias("pattern"), posterior(F.col("e.v"), F.col("state")).alias("posterior"))
 
@@ -149,11 +155,20 @@ def _sql() -> str:
     n = len(RULES)
     votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}" for j, (_, bad, good) in enumerate(RULES))
     keys = ", ".join(f"v{j}" for j in range(n))
-    odds = "ln(s.prior / (1 - s.prior))" + "".join(f" + p.v{j} * ln(s.a{j} / (1 - s.a{j}))" for j in range(n))
-    steps = [f"it0 AS (SELECT {START_PRIOR}::DOUBLE AS prior, " + ", ".join(f"{START_ACCURACY}::DOUBLE AS a{j}" for j in range(n)) + ")"]
+    ratio = " + CASE p.v{0} WHEN -1 THEN ln(s.bad_of_good{0} / s.bad_of_bad{0}) WHEN 1 THEN ln(s.good_of_good{0} / s.good_of_bad{0}) ELSE 0 END"
+    odds = "ln(s.prior / (1 - s.prior))" + "".join(ratio.format(j) for j in range(n))
+    steps = [f"it0 AS (SELECT {START_PRIOR}::DOUBLE AS prior, " + ", ".join(f"{x}::DOUBLE AS {k}{j}" for j in range(n) for k, x in START.items()) + ")"]
+    within = "least({1}, greatest({0}, {2}))"
+
+    def rate(kind: str, j: int) -> str:
+        q = "q" if kind.endswith("good") else "1 - q"
+        cast = f"sum(n * CASE WHEN v{j} = {-1 if kind.startswith('bad') else 1} THEN {q} ELSE 0 END)"
+        return within.format(*RATE, f"({cast} + {SMOOTHING * START[kind]}) / (sum(n * ({q})) + {SMOOTHING})") + f" AS {kind}{j}"
+
     for k in range(ITERATIONS):
-        accuracies = ", ".join(f"least({ACCURACY[1]}, greatest({ACCURACY[0]}, (sum(n * CASE v{j} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {SMOOTHING * START_ACCURACY}) / (sum(n * abs(v{j})) + {SMOOTHING}))) AS a{j}" for j in range(n))
-        steps.append(f"it{k + 1} AS (SELECT least({PRIOR[1]}, greatest({PRIOR[0]}, sum(n * q) / sum(n))) AS prior, {accuracies} FROM (SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, it{k} s))")
+        rates = ", ".join(rate(kind, j) for j in range(n) for kind in START)
+        weighed = f"SELECT p.*, 1 / (1 + exp(-({odds}))) AS q FROM patterns p, it{k} s"
+        steps.append(f"it{k + 1} AS (SELECT {within.format(*PRIOR, 'sum(n * q) / sum(n)')} AS prior, {rates} FROM ({weighed}))")
     same = " AND ".join(f"r.v{j} = p.v{j}" for j in range(n))
     return rf"""
 WITH d AS (
@@ -172,7 +187,8 @@ WITH d AS (
 ), f AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
-    length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals, len(list_filter(ws, lambda x: x[-1] IN ('.', '!', '?')))::BIGINT AS n_marks, len(list_distinct(ws))::BIGINT AS n_distinct
+    length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals, len(list_filter(ws, lambda x: x[-1] IN ('.', '!', '?')))::BIGINT AS n_marks, len(list_distinct(ws))::BIGINT AS n_distinct,
+    len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{L}}{{1,3}}$')))::BIGINT AS n_short
   FROM d LEFT JOIN rep USING (doc_id)
 ), r AS (SELECT *, {votes} FROM f
 ), patterns AS (SELECT {keys}, count(*)::DOUBLE AS n FROM r GROUP BY ALL
