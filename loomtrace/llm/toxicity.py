@@ -1,18 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A cascade of small transducers reads a clause. The lexicon maps words to insults with weights: its
-arcs are whole words and word beginnings (so that inflected forms are caught), learned from labelled
-rows. Threat and target words, negation and reported speech are listed. Scope transducers then carry
-a weight along: a negation or a reporting verb lowers the insults of the words that follow it in its
-clause, a target raises those near it. A document's figures (sum and maximum of its clauses' scores,
-insults a word) go through a logistic regression, also learned.
+Five small transducers are composed into one machine that reads the clauses of a text. Their symbols
+are word classes: insult, threat, target, negation, report, and word for all others. The lexicon gives
+insults their weights: its arcs are whole words and word beginnings (so that inflected forms are
+caught), learned from labelled rows. An arc of a transducer reads a symbol, writes one, and has a gain:
+
+- negation: after a negation, insults and threats of the next words count for less;
+- report: after a reporting verb, so do those of the rest of the clause;
+- target: insults and threats near a target, before or after it, are aimed;
+- threat: only aimed threats count;
+- insult: aimed insults count for more.
+
+Whether a target will follow is guessed (the target machine isn't deterministic), and a path with a
+wrong guess never ends in a final state. A clause scores the most that a path through the composed
+machine gathers: each word's weight times the gains of the arcs that read it. A text's figures (sum and
+maximum of its clauses' scores, insults a word) go through a logistic regression, also learned.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread
+from loomtrace.llm.common import documents, slices, spread
 
 #: Rows the classifier is fitted on: at most so many of either label, in the order of a hash of their ids.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
@@ -28,6 +39,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
 STEMS = (4, 5, 6, 7)
 #: Most lexicon arcs that are kept.
 ARCS = 4_000
+#: Words whose weights a worker remembers; beyond that it starts anew.
+REMEMBERED = 50_000
 THRESHOLD = 0.3
 
 TARGETS = frozenset("you your yours he him his she her they them their tu te vous ton ta él ella usted ustedes du dich dir ihr sie".split())
@@ -35,41 +48,128 @@ THREATS = frozenset("kill hurt destroy attack beat stab shoot burn murder tuer m
 NEGATIONS = frozenset("not no never nobody isn wasn aren don doesn non pas jamais nunca jamás kein keine nicht nie".split())
 REPORTS = frozenset("said says wrote quoted claimed reported called told dit écrit dijo escribió sagte schrieb".split())
 
+#: Gains of negated, reported and aimed words; how many words a negation and a target reach; the weight of an aimed threat.
+NEGATED, REPORTED, AIMED = 0.25, 0.5, 1.5
+NEGATION_REACH, TARGET_REACH = 4, 5
+THREAT_WEIGHT = 3.0
+
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+")
-
-
-class Scope:
-    """A transducer over (class, weight) pairs: a trigger word opens a scope in which insults are scaled."""
-
-    def __init__(self, trigger: str, factor: float, reach: int):
-        self.trigger, self.factor, self.reach = trigger, factor, reach
-
-    def __call__(self, clause: list[tuple[str, float]]) -> list[tuple[str, float]]:
-        state, out = 0, []  # the state counts the words left in the scope
-        for kind, weight in clause:
-            out.append((kind, weight * self.factor if state and weight > 0 else weight))
-            state = self.reach if kind == self.trigger else max(0, state - 1)
-        return out
-
-
-def compose(*transducers: Callable[[list], list]) -> Callable[[list], list]:
-    """Feeds each transducer's output to the next."""
-
-    def run(clause: list) -> list:
-        for t in transducers:
-            clause = t(clause)
-        return clause
-
-    return run
-
-
-def _backwards(t: Callable[[list], list]) -> Callable[[list], list]:
-    return lambda clause: t(clause[::-1])[::-1]
-
-
-#: Negation reaches four words ahead, reported speech to the clause's end, a target five words either way.
-GRAMMAR = compose(Scope("negation", 0.25, 4), Scope("report", 0.5, 1_000_000), Scope("target", 1.5, 5), _backwards(Scope("target", 1.5, 5)))
+SYMBOLS = ("word", "target", "threat", "negation", "report", "insult")
+MARKED = ("insult", "threat")
+
+
+@dataclass
+class Transducer:
+    """arcs: state and symbol read to arcs (symbol written, gain, next state); a pair without arcs is a dead end."""
+
+    start: object
+    arcs: dict[tuple, list[tuple[str, float, object]]]
+    final: set
+
+    def paths(self, symbols: list[str]) -> list[tuple[list[str], list[float]]]:
+        """What every accepting path writes, and its gains (all of them; for tests and short inputs)."""
+        found = [(self.start, [], [])]
+        for x in symbols:
+            found = [(t, [*out, y], [*gains, g]) for s, out, gains in found for y, g, t in self.arcs.get((s, x), ())]
+        return [(out, gains) for s, out, gains in found if s in self.final]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """b reads what a writes; gains are multiplied. States are the pairs that can be reached."""
+    read_by_a = {}
+    for (s, x), arcs in a.arcs.items():
+        read_by_a.setdefault(s, []).append((x, arcs))
+    start = (a.start, b.start)
+    todo, seen, joined = [start], {start}, {}
+    while todo:
+        s, t = state = todo.pop()
+        for x, arcs in read_by_a.get(s, ()):
+            made = [(z, g * h, (s2, t2)) for y, g, s2 in arcs for z, h, t2 in b.arcs.get((t, y), ())]
+            if made:
+                joined[state, x] = made
+                fresh = {n for *_, n in made} - seen
+                seen |= fresh
+                todo += fresh
+    return Transducer(start, joined, {(s, t) for s, t in seen if s in a.final and t in b.final})
+
+
+def negation(reach: int = NEGATION_REACH) -> Transducer:
+    """The state counts the words left in the scope of a negation."""
+    arcs = {}
+    for left in range(reach + 1):
+        for x in SYMBOLS:
+            gain = NEGATED if left and x in MARKED else 1.0
+            arcs[left, x] = [(x, gain, reach if x == "negation" else max(0, left - 1))]
+    return Transducer(0, arcs, set(range(reach + 1)))
+
+
+def report() -> Transducer:
+    """State 1: what follows is somebody's speech, up to the clause's end."""
+    arcs = {(s, x): [(x, REPORTED if s and x in MARKED else 1.0, int(s or x == "report"))] for s in (0, 1) for x in SYMBOLS}
+    return Transducer(0, arcs, {0, 1})
+
+
+def target(reach: int = TARGET_REACH) -> Transducer:
+    """States: (seen, k), a target lies back and reaches k more words (0: none); (owed, k), one must follow within k words."""
+    arcs = {}
+    for k in range(reach + 1):
+        for x in SYMBOLS:
+            on = ("seen", reach) if x == "target" else ("seen", max(0, k - 1))
+            if x not in MARKED:
+                arcs[("seen", k), x] = [(x, 1.0, on)]
+            elif k:
+                arcs[("seen", k), x] = [("aimed " + x, 1.0, on)]
+            else:  # not aimed, or a target follows
+                arcs[("seen", 0), x] = [(x, 1.0, ("seen", 0)), ("aimed " + x, 1.0, ("owed", reach))]
+    for k in range(1, reach + 1):
+        for x in SYMBOLS:
+            if x == "target":
+                arcs[("owed", k), x] = [(x, 1.0, ("seen", reach))]
+            elif k > 1:
+                arcs[("owed", k), x] = [("aimed " + x if x in MARKED else x, 1.0, ("owed", k - 1))]
+    return Transducer(("seen", 0), arcs, {("seen", k) for k in range(reach + 1)})
+
+
+def _single(gains: dict[str, tuple[str, float]]) -> Transducer:
+    """One state; symbols that gains doesn't name pass."""
+    passed = {x: (x, 1.0) for x in (*SYMBOLS, *("aimed " + x for x in MARKED))} | gains
+    return Transducer(0, {(0, x): [(y, g, 0)] for x, (y, g) in passed.items()}, {0})
+
+
+def threat() -> Transducer:
+    return _single({"threat": ("word", 0.0), "aimed threat": ("threat", 1.0)})
+
+
+def insult() -> Transducer:
+    return _single({"aimed insult": ("insult", AIMED)})
+
+
+def cascade() -> list[Transducer]:
+    return [negation(), report(), target(), threat(), insult()]
+
+
+@lru_cache(maxsize=1)
+def grammar() -> Transducer:
+    """The composed machine, with its states numbered."""
+    whole = reduce(compose, cascade())
+    number = {s: i for i, s in enumerate({whole.start: 0} | {s: 0 for s, _ in whole.arcs} | {n: 0 for arcs in whole.arcs.values() for *_, n in arcs})}
+    arcs = {(number[s], x): [(y, g, number[n]) for y, g, n in found] for (s, x), found in whole.arcs.items()}
+    return Transducer(number[whole.start], arcs, {number[s] for s in whole.final if s in number})
+
+
+def clause_score(clause: list[tuple[str, float]], machine: Transducer) -> float:
+    """The most that an accepting path gathers from (symbol, weight) pairs."""
+    best = {machine.start: 0.0}
+    for symbol, weight in clause:
+        ahead: dict = {}
+        for state, so_far in best.items():
+            for _, gain, n in machine.arcs.get((state, symbol), ()):
+                value = so_far + gain * weight
+                if value > ahead.get(n, -1.0):
+                    ahead[n] = value
+        best = ahead
+    return max((v for s, v in best.items() if s in machine.final), default=0.0)
 
 
 class Lexicon:
@@ -83,7 +183,7 @@ class Lexicon:
         found = self.known.get(word)
         if found is None:
             found = max((self.arcs[x] for x in units(word) if x in self.arcs), default=0.0)
-            if len(self.known) > 500_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[word] = found
         return found
@@ -93,26 +193,26 @@ class Lexicon:
         if w > 0:
             return "insult", w
         if word in THREATS:
-            return "threat", 1.0
+            return "threat", THREAT_WEIGHT
         return ("negation" if word in NEGATIONS else "report" if word in REPORTS else "target" if word in TARGETS else "word"), 0.0
 
     def figures(self, text: str) -> tuple[float, float, float]:
         """Sum and maximum of the clauses' scores, and the insults' share of the words; zeros without an insult or a threat."""
         low = text.lower()
         words = WORD.findall(low)
-        known = self.known
-        if not any(known[w] if w in known else self.weight(w) for w in set(words)) and not THREATS.intersection(words):
+        marked = {w for w in set(words) if w in THREATS or self.weight(w)}
+        if not marked:
             return 0.0, 0.0, 0.0
-        scores, hits, clause = [], 0, []
+        scores, hits, clause, machine = [], 0, [], grammar()
         for token in [*TOKEN.findall(low), "."]:
-            if token in ".!?;:\n":
-                if clause:
-                    marked = [w for kind, w in GRAMMAR(clause) if kind in ("insult", "threat")]
-                    hits += sum(kind == "insult" for kind, _ in clause)
-                    scores.append(sum(marked))
+            if token not in ".!?;:\n":
+                clause.append(token)
+            elif clause:
+                if not marked.isdisjoint(clause):  # others score nothing
+                    read = [self.classify(w) for w in clause]
+                    hits += sum(kind == "insult" for kind, _ in read)
+                    scores.append(clause_score(read, machine))
                 clause = []
-            else:
-                clause.append(self.classify(token))
         return float(sum(scores)), float(max(scores, default=0.0)), hits / max(1, len(words))
 
 
@@ -222,7 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             s = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["row", "score", "predicted"])
 
@@ -235,8 +335,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist()) < THRESHOLD))
+        for batch in (x for whole in batches for x in slices(whole, whole.schema.get_field_index("text"))):
+            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, schema)
 
