@@ -1,10 +1,15 @@
 """Secret scans: three base patterns, and a linear-chain conditional random field.
 
-The field tags tokens as begin, inside or outside of a secret. Plain words (no digit, or shorter than
-LEAST characters) are outside by constraint, so a chain is a run of other tokens on a line with
-nothing but separators between them, and decoding chain by chain is exact. Features are the token's
-shape, the words before it, what stands around it, and figures of the whole file. Weights are
-trained here, by gradient ascent on the exact likelihood, over lines that TRAINING describes.
+The field tags all tokens of a line (words, signs, values) as begin, inside or outside of a secret, by
+Viterbi. Features are the token's shape, the nearest trigger word before it and what lies between,
+the word before it, and figures of the whole file. Weights are trained here, by gradient ascent on the
+exact likelihood, over lines that TRAINING describes.
+
+Most tokens are quiet: no digit, no unusual sign, not long, and no trigger word in reach. The weights
+bound what a quiet token can add to a tagging that makes it part of a secret; if that is below what
+being outside adds, quiet tokens further from all others than reach() tokens are outside in the best
+tagging of the line, and only the stretches around the others are decoded. If the bound doesn't
+hold, whole lines are decoded. Either way the tags are those of the whole line's best tagging.
 """
 
 from __future__ import annotations
@@ -13,16 +18,18 @@ import hashlib
 import math
 import random
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread
+from loomtrace.llm.common import documents, slices, spread
 
 #: Fixed by the contract.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -31,11 +38,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-#: Tokens of fewer characters or without a digit are plain words.
-LEAST = 12
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
-BUCKETS = 1 << 12
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Signs that part tokens, and tokens: such a sign, or a run of other characters with the = that may end it.
+SIGNS = r"\s\"'`,;:|()<>\[\]{}="
+TOKEN = re.compile(rf"[^{SIGNS}]+(?:={{1,2}}(?![^{SIGNS}]))?|[^\s]")
+#: Words that announce secrets, and how many tokens they reach.
+TRIGGERS = frozenset("password passwd passphrase pwd pass secret secrets token tokens credential credentials apikey api_key key keys auth authorization bearer login".split())
+REACH = 4
+#: Words whose successors are seldom secrets; features name them.
+CUES = frozenset("commit sha256 md5 id version order card call phone on at file host see mail issue page line build isbn the a of is".split())
+#: What makes a token other than quiet: a digit, a sign of codes, a capital after a small letter, more than LONG letters, a trigger word.
+LONG = 20
+LOUD = re.compile(r"[0-9_/+=@~^\\]|[a-z][A-Z]|[^\W\d_]{%d}|(?i:passw|passph|pwd|\bpass\b|secret|token|credential|api.?key|\bkeys?\b|\bauth|bearer|login)" % (LONG + 1))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -54,108 +68,150 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode()) % BUCKETS
-
-
-def _shape(token: str) -> str:
-    kinds = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token)))
-    return re.sub(r"(.)\1+", r"\1", kinds)[:6]
+def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the tokens of a line; marks that end a sentence don't belong to them."""
+    out = []
+    for m in TOKEN.finditer(text, start, end):
+        a, b = m.span()
+        while b - a > 1 and text[b - 1] in ".!?":
+            b -= 1
+        out.append((a, b))
+    return out
 
 
 def file_features(text: str) -> list[str]:
     """What the whole file looks like: code signs and key armour."""
     signs = sum(text.count(c) for c in "{};=")
-    return [f"file:signs{min(3, int(math.log10(1 + 1000 * signs / (1 + len(text)))))}", f"file:armour{int('PRIVATE KEY' in text)}"]
-
-
-def features(text: str, start: int, end: int, whole: list[str]) -> list[int]:
-    """Buckets of the features of the token at start:end."""
-    token = text[start:end]
-    before = text[max(0, start - 48) : start]
-    words = re.findall(r"[A-Za-z_]+", before.lower())[-2:]
-    counts = np.bincount(np.frombuffer(token.encode(), np.uint8))
-    p = counts[counts > 0] / len(token)
-    entropy = float(-(p * np.log2(p)).sum())
-    kinds = (any(c.islower() for c in token), any(c.isupper() for c in token), any(c.isdigit() for c in token))
+    return [f"code:{min(3, int(math.log10(1 + 1000 * signs / (1 + len(text)))))}", f"armour:{'PRIVATE KEY' in text}"]
+
+
+def _shape(token: str) -> str:
+    """Kinds of characters, repetitions once; without digits only which kinds there are."""
+    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "_-./+=@" else "." for c in token[:64])
+    if "0" in kinds:
+        return "0 " + re.sub(r"(.)\1+", r"\1", kinds)[:6]
+    return "camel" if "aA" in kinds else "signs" if kinds.strip(".") == "" else "Word" if kinds[0] == "A" and "a" in kinds else "WORD" if "A" in kinds else "word"
+
+
+def own_features(token: str, near: int) -> list[str]:
+    """Features of a token alone; near: how far the trigger word before it is, 0 without. Sizes of plain words count near triggers only."""
+    digits = any(c.isdigit() for c in token)
+    sized = "digits" if digits else "near" if near else ""
+    features = ["bias", f"shape:{_shape(token)}", f"at:{'@' in token[1:]}", f"plain:{token.isalpha()} {len(token) > LONG}"]
+    if not sized:
+        return [*features, "length:none", "entropy:none", "dots:none", "dashes:none", "slashes:none", "hex:none", "start:none"]
+    p = np.unique(list(token), return_counts=True)[1] / len(token)
     return [
-        _bucket(x)
-        for x in (
-            "bias",
-            f"shape:{_shape(token)}",
-            f"kinds:{kinds}",
-            f"length:{min(8, len(token) // 8)}",
-            f"entropy:{int(entropy * 2)}",
-            f"dots:{min(3, token.count('.'))}",
-            f"dashes:{min(4, token.count('-'))}",
-            f"slashes:{min(3, token.count('/'))}",
-            f"hex:{re.fullmatch('[0-9a-fA-F]+', token) is not None}",
-            f"start:{token[:4]}",
-            f"last:{''.join(words[-1:])}",
-            f"last but one:{''.join(words[-2:-1])}",
-            f"left:{before.rstrip(' ')[-1:]}",
-            f"near:{before[-1:]}",
-            f"right:{text[end : end + 1]}",
-            *whole,
-        )
+        *features,
+        f"length:{min(10, len(token) // 4)} {sized}",
+        f"entropy:{int(float(-(p * np.log2(p)).sum()) * 2)} {sized}",
+        f"dots:{min(3, token.count('.'))} {sized}",
+        f"dashes:{min(4, token.count('-'))} {sized}",
+        f"slashes:{min(3, token.count('/'))} {sized}",
+        f"hex:{re.fullmatch('[0-9a-fA-F]+', token) is not None} {min(5, len(token) // 8)} {sized}",
+        f"start:{token[:4]}" if digits and not token[:4].isdigit() else "start:none",
     ]
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of candidate tokens with at most three separators between them."""
-    out: list[list[tuple[int, int]]] = []
-    for m in CANDIDATE.finditer(text):
-        if out and re.fullmatch(r"[ \t\"',:|\n]{1,3}", text[out[-1][-1][1] : m.start()]):
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
+def _kind(token: str) -> str:
+    low = token.lower()
+    return low if low in ("is", "was", "my", "the", "of") or len(token) == 1 else "word" if token.isalpha() else "other"
+
+
+def line_features(words: list[str], whole: list[str]) -> list[list[str]]:
+    """Names of the features of each token of a line."""
+    low = [w.lower().strip("*-_.") for w in words]
+    out = []
+    for i, w in enumerate(words):
+        near = next((d for d in range(1, min(REACH, i) + 1) if low[i - d] in TRIGGERS or low[i - d].split("_")[-1] in TRIGGERS), 0)
+        before = low[i - 1] if i else ""
+        said = ["trigger:none", "between:none"]
+        if near:
+            word = low[i - near].split("_")[-1]
+            said = [f"trigger:{word}", f"between:{' '.join(_kind(x) for x in words[i - near + 1 : i])}"]
+        out.append([*own_features(w, near), *said, f"cue:{before}" if before in CUES and not near else "cue:none", f"itself:{low[i] in TRIGGERS}", *whole])
     return out
 
 
-#: Training lines: (weight, begins, template); braces name generators below. begins: which generated
-#: tokens are secrets. The generators use one seeded random source, so that reruns train the same field.
+#: Training lines: (weight, template); a name in braces is generated below, and is a secret if the line has an exclamation mark
+#: before the brace. The generators use one seeded random source, so that reruns train the same field.
 TRAINING = (
-    (4, True, 'password = "{mixed}"'), (4, True, "api_key: {mixed}"), (3, True, "token={hex40}"), (3, True, 'token = "{hex40}"'), (2, True, "secret: {hex40}"), (2, True, "password={hex40}"), (3, True, "Authorization: Bearer {jwt}"),
-    (3, True, "export SECRET_ACCESS_KEY={base64}"), (3, True, "{github}"), (3, True, "key {stripe} was used"), (2, True, "{slack}"),
-    (3, True, "aws_access_key_id = {aws}"), (3, True, "client secret {mixed}"), (2, True, "-----BEGIN RSA PRIVATE KEY-----\n{base64}\n{base64}\n{base64}"),
-    (4, False, "see https://example.com/{path}"), (4, False, "mail {mail} or"), (4, False, "call {phone} today"), (4, False, "card {digits16} paid"),
-    (3, False, "commit {hex40} fixed"), (3, False, "sha256 {hex64}"), (3, False, "id {uuid} seen"), (3, False, "version {version} of"),
-    (3, False, "on {date} it"), (3, False, "file {path} opened"), (2, False, "order number {digits16}"), (2, False, "host {host} is up"), (2, False, "{host}"),
+    (3, 'password = "!{mixed}"'), (3, "api_key: !{mixed}"), (2, "token=!{hex40}"), (2, 'token = "!{hex40}"'), (2, "secret: !{hex32}"), (3, "password is !{short}"), (2, "my password is !{phrase}"),
+    (3, "the password was !{signs} and"), (2, "pass !{short} works"), (2, "pwd: !{signs}"), (2, "passwd=!{short}"), (2, "password: !{phrase}"), (2, "login with !{short} or"), (2, 'secret "!{signs}"'),
+    (2, "token is !{hex12}"), (2, "token !{mixed} expires"), (2, "use key !{mixed} now"), (2, "Authorization: Bearer !{jwt}"), (2, "bearer !{mixed}"), (2, "export SECRET_ACCESS_KEY=!{base64}"), (2, "DB_PASSWORD=!{signs}"),
+    (2, "!{github}"), (2, "found !{github} there"), (2, "key !{stripe} was used"), (2, "see !{stripe}"), (2, "!{slack}"), (2, "aws_access_key_id = !{aws}"), (2, "client secret !{mixed}"), (2, "credentials !{short} here"), (2, "the passphrase is !{phrase}"),
+    (3, "-----BEGIN RSA PRIVATE KEY-----\n!{base64}\n!{base64}\n!{base64}"), (2, "key: !{google}"), (1, "jwt !{jwt}"),
+    (3, "see https://example.com/{path}"), (3, "mail {mail} or"), (3, "call {phone} today"), (3, "card {digits16} paid"), (3, "commit {hex40} fixed"), (3, "sha256 {hex64}"), (3, "id {uuid} seen"), (3, "version {version} of"), (2, "{date}"),
+    (3, "on {date} it"), (3, "file {path} opened"), (2, "order number {digits16}"), (3, "host {host} is up"), (2, "{host}"), (3, "from {ip} to {ip}"), (2, "{mail}"), (3, "about {number} of {number}"), (2, "costs {number} in {year}"), (2, "Version 2.0, {year}"),
+    (4, "the secret of {word} is {word}"), (3, "a secret {word} in the {word}"), (3, "password reset by {word}"), (3, "forgot the password {word}"), (3, "token count {number}"), (3, "each token {word} costs"), (3, "the key to {word}"), (2, "press the {word} key"),
+    (2, "keys and {word}"), (2, "login page {number}"), (2, "auth service {word}"), (3, "key {word} value"), (3, "pass the {word}"), (2, "bearer of {word} news"), (3, "set {snake} to {number}"), (3, "call {camel} with {snake}"), (2, "{WORD} {WORD} {WORD}"), (2, "{word}### {word}%%% {word}!!"),
+    (2, "{word} | {word} | {word}"), (2, "secret: {word} and {word}"), (2, "tokens: {number}"), (2, "license {version}"), (3, "{word} {long} {word}"), (2, "{word}-{word} {word}/{word}"), (2, "step {number}: {word}"), (2, "{number}. {word}"), (2, "ref {digits16}"),
 )
-COPIES, EPOCHS, RATE, PENALTY, SEED = 30, 60, 0.5, 1e-3, 7
+COPIES, EPOCHS, RATE, PENALTY, SEED = 24, 60, 0.5, 2e-3, 7
 
 
-def _generated(r: random.Random) -> dict[str, str]:
-    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+def _generated(r: random.Random, name: str) -> str:
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     up, hexa = low.upper(), digits + "abcdef"
-    name = lambda: pick(low, r.randint(3, 8))
+    every = low + up + digits
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    word = lambda: pick(low, r.randint(2, 10))
+    mixed = lambda n: pick(every, n - 2) + r.choice(digits) + r.choice(up)
     return {
-        "mixed": pick(low + up + digits, r.randint(14, 40)) + "7", "hex40": pick(hexa, 40), "hex64": pick(hexa, 64),
-        "jwt": "eyJ" + pick(low + up + digits, 20) + "." + pick(low + up + digits, 40) + "." + pick(low + up + digits + "_-", 30) + "1",
-        "base64": pick(low + up + digits + "+/", r.choice((40, 64))) + "9", "github": "ghp_" + pick(low + up + digits, 36), "stripe": "sk_live_" + pick(low + up + digits, 24) + "4",
-        "slack": "xoxb-" + pick(digits, 11) + "-" + pick(low + up + digits, 24), "aws": "AKIA" + pick(up + digits, 16) + "2", "path": "/".join(name() for _ in range(3)) + f"/{r.randint(1, 99)}.html",
-        "mail": f"{name()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.{name()}.com", "phone": f"+1-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", "digits16": pick(digits, 16),
-        "uuid": "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), "version": f"release-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 9)}", "date": f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T10:00", "host": f"mail{r.randint(1, 99)}.{name()}.{name()}.com",
-    }
-
-
-def training_chains() -> list[tuple[list[list[int]], list[int]]]:
-    """Feature buckets and tags of the chains in the generated lines."""
+        "mixed": lambda: mixed(r.randint(12, 40)), "short": lambda: word() + pick(digits, r.randint(2, 4)) + pick(every, r.randint(0, 4)), "phrase": lambda: "".join(word() for _ in range(3)) + pick(low, 4),
+        "signs": lambda: word().title() + r.choice("@!#$%&*") + pick(digits, r.randint(1, 4)) + r.choice("@!#$%&*") + word(), "hex12": lambda: pick(hexa, 11) + r.choice(digits), "hex32": lambda: pick(hexa, 32), "hex40": lambda: pick(hexa, 40), "hex64": lambda: pick(hexa, 64),
+        "jwt": lambda: "eyJ" + pick(every, 20) + "." + pick(every, 40) + "." + pick(every + "_-", 30) + "1", "base64": lambda: pick(every + "+/", r.choice((40, 64))) + "9", "github": lambda: f"gh{r.choice('pousr')}_" + pick(every, 35) + "5", "stripe": lambda: f"sk_{r.choice(('live', 'test'))}_" + pick(every, 24) + "4",
+        "slack": lambda: "xoxb-" + pick(digits, 11) + "-" + pick(every, 24), "aws": lambda: "AKIA" + pick(up + digits, 15) + "2", "google": lambda: "AIza" + pick(every + "_-", 34) + "8", "path": lambda: "/".join(word() for _ in range(3)) + f"/{r.randint(1, 99)}.html",
+        "mail": lambda: f"{word()}.{r.choice((word(), str(r.randint(1, 99))))}@mail{r.randint(1, 9)}.{word()}.com", "phone": lambda: f"+{r.randint(1, 99)}-{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", "digits16": lambda: pick(digits, r.choice((8, 12, 16))),
+        "uuid": lambda: "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), "version": lambda: r.choice((f"release-{r.randint(1, 20)}.{r.randint(0, 99)}.{r.randint(0, 9)}", f"{r.randint(1, 20)}.{r.randint(0, 9)}", f"v{r.randint(1, 9)}")), "date": lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}" + r.choice(("", "T10:00", "T09:15:22Z")),
+        "host": lambda: f"mail{r.randint(1, 99)}.{word()}.{word()}.com", "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "number": lambda: str(r.randint(0, 10 ** r.randint(1, 6))), "year": lambda: str(r.randint(1900, 2030)), "word": lambda: r.choice((word(), word().title(), word() + r.choice(",.!?"))), "WORD": lambda: word().upper(),
+        "long": lambda: pick(low, r.randint(14, 26)), "snake": lambda: f"{word()}_{word()}", "camel": lambda: word() + word().title(),
+    }[name]()
+
+
+def drawn(r: random.Random, template: str) -> tuple[str, list[tuple[int, int]]]:
+    """A line of a template, and the spans of its secrets."""
+    text, secrets = "", []
+    for part in re.split(r"(!?\{\w+\})", template):
+        if re.fullmatch(r"!?\{\w+\}", part):
+            value = _generated(r, part.strip("!{}"))
+            if part[0] == "!":
+                secrets.append((len(text), len(text) + len(value)))
+            part = value
+        text += part
+    return text, secrets
+
+
+def training_chains() -> list[tuple[list[list[str]], list[int]]]:
+    """Feature names and tags of the generated lines."""
     r, out = random.Random(SEED), []
-    for weight, secret, template in TRAINING:
+    for weight, template in TRAINING:
         for _ in range(weight * COPIES):
-            text = template
-            for name, value in _generated(r).items():
-                text = text.replace("{" + name + "}", value)
-            some = lambda: " ".join("".join(r.choice("abcdefghilmnoprstuz") for _ in range(r.randint(2, 8))) for _ in range(r.randint(0, 4)))
-            text = f"{some()} {text} {some()}".strip()  # neighbours that say nothing
+            text, secrets = drawn(r, template)
+            some = lambda: " ".join(_generated(r, "word") for _ in range(r.randint(0, 4)))
+            before = some()
+            text, at = f"{before} {text} {some()}", len(before) + 1  # neighbours that say nothing
+            secrets = [(a + at, b + at) for a, b in secrets]
             whole = file_features(text)
-            out += [([features(text, a, b, whole) for a, b in c], ([BEGIN] + [INSIDE] * (len(c) - 1)) if secret else [OUT] * len(c)) for c in chains(text)]
+            for start, end in lines(text):
+                spans = tokens(text, start, end)
+                inside = [next((k for k, (a, b) in enumerate(secrets) if a <= s < b), None) for s, _ in spans]
+                tags = [OUT if k is None else INSIDE if j and inside[j - 1] == k else BEGIN for j, k in enumerate(inside)]
+                if spans:
+                    out.append((line_features([text[a:b] for a, b in spans], whole), tags))
     return out
 
 
-#: Moves between tags that cannot be: inside after outside, and at a chain's start.
+def lines(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        yield at, end
+        at = end + 1
+
+
+#: Moves between tags that cannot be: inside after outside, and at a line's start.
 _MOVES = np.array([[0.0, 0.0, -1e9], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
 _FIRST = np.array([0.0, 0.0, -1e9])
 
@@ -165,52 +221,99 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _marginals(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tags and moves of one chain (forward-backward)."""
-    n = len(emit)
-    ahead, back = np.zeros((n, 3)), np.zeros((n, 3))
-    ahead[0] = emit[0] + _FIRST
+def marginals(emit: np.ndarray, there: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tags of all chains, and expected moves, by forward-backward; emit is (chain, place, tag), there says which places a chain has."""
+    n = emit.shape[1]
+    ahead, back = np.zeros_like(emit), np.zeros_like(emit)
+    ahead[:, 0] = emit[:, 0] + _FIRST
     for i in range(1, n):
-        ahead[i] = emit[i] + _lse(ahead[i - 1][:, None] + moves, 0)
+        step = emit[:, i] + _lse(ahead[:, i - 1, :, None] + moves, 1)
+        ahead[:, i] = np.where(there[:, i, None], step, ahead[:, i - 1])
+    total = _lse(ahead[:, -1], 1)
+    pairs = np.zeros((3, 3))
     for i in range(n - 2, -1, -1):
-        back[i] = _lse(moves + (emit[i + 1] + back[i + 1])[None, :], 1)
-    total = _lse(ahead[-1], 0)
-    pairs = sum((np.exp(ahead[i - 1][:, None] + moves + (emit[i] + back[i])[None, :] - total) for i in range(1, n)), np.zeros((3, 3)))
-    return np.exp(ahead + back - total), pairs
+        onward = moves + (emit[:, i + 1] + back[:, i + 1])[:, None, :]
+        back[:, i] = np.where(there[:, i + 1, None], _lse(onward, 2), 0.0)
+        pairs += (np.exp(ahead[:, i, :, None] + onward - total[:, None, None]) * there[:, i + 1, None, None]).sum(0)
+    return np.exp(ahead + back - total[:, None, None]) * there[:, :, None], pairs
+
+
+@dataclass(frozen=True)
+class Model:
+    """Feature names with their numbers, weights (feature, tag; unknown features are row 0, all 0), and weights of moves (tag, tag)."""
+
+    names: dict[str, int]
+    emit: np.ndarray
+    moves: np.ndarray
+
+    def scores(self, described: list[list[str]]) -> np.ndarray:
+        return np.array([self.emit[[self.names.get(f, 0) for f in xs]].sum(0) for xs in described])
+
+    def most(self, of: np.ndarray, allowed: Callable[[str], bool]) -> float:
+        """The most that the features of a token add up to, whose names are allowed: one value of each kind, or an unknown one."""
+        by_kind: dict[str, float] = {}
+        for name, k in self.names.items():
+            kind = name.split(":")[0]
+            if allowed(name):
+                by_kind[kind] = max(by_kind.get(kind, -math.inf if kind in ALWAYS else 0.0), float(of[k]))
+        return sum(by_kind.values())
+
+    def reach(self) -> int | None:
+        """How many quiet tokens part stretches whose tags don't depend on each other; None if quiet tokens may be in secrets.
+
+        k quiet tokens in a secret instead of outside add at most k * gain by their features and
+        (k + 1) * spread by moves; where they join two secrets, the second one's first token adds at most `join`.
+        """
+        can = self.moves[_MOVES == 0]
+        spread = float(can.max() - can.min())
+        worst = self.most(self.emit[:, 1:].max(1) - self.emit[:, OUT], quiet_value) + 2 * spread
+        join = self.most(self.emit[:, INSIDE] - self.emit[:, BEGIN], lambda _: True)
+        return None if worst >= 0 else REACH + 2 + math.ceil(max(0.0, join) / -worst)
+
+
+#: Kinds of features of which every quiet token has one of the known values.
+ALWAYS = ("bias", "shape", "at", "plain", "length", "entropy", "dots", "dashes", "slashes", "hex", "start", "trigger", "between", "cue", "itself", "armour")
+
+
+def quiet_value(name: str) -> bool:
+    """Whether a quiet token, out of reach of triggers, can have a feature."""
+    kind, _, value = name.partition(":")
+    if kind in ("bias", "cue", "code", "armour"):
+        return True
+    if kind == "shape":
+        return value in ("signs", "word", "Word", "WORD")
+    return value == "none" or kind in ("at", "itself", "plain") and value.endswith("False")
 
 
 @lru_cache(maxsize=1)
-def trained() -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (bucket, tag) and move weights (tag, tag)."""
+def trained() -> Model:
     data = training_chains()
-    emit, moves = np.zeros((BUCKETS, 3)), _MOVES.copy()
-    squares, squares_m = np.full_like(emit, 1e-8), np.full_like(moves, 1e-8)
-    flat = np.array([f for xs, _ in data for f in xs])
-    row = np.cumsum([0] + [len(xs) for xs, _ in data])
-    longer = [(s, e) for s, e in zip(row[:-1], row[1:], strict=True) if e > s + 1]
-    gold = np.zeros((len(flat), 3))
-    gold[np.arange(len(flat)), [t for _, tags in data for t in tags]] = 1
+    names = {f: i + 1 for i, f in enumerate(dict.fromkeys(f for xs, _ in data for x in xs for f in x))}
+    longest = max(len(xs) for xs, _ in data)
+    width = len(data[0][0][0])
+    flat = np.zeros((len(data), longest, width), np.int64)
+    gold, there = np.zeros((len(data), longest, 3)), np.zeros((len(data), longest), bool)
     pairs_gold = np.zeros((3, 3))
-    for _, tags in data:
-        for a, b in zip(tags, tags[1:], strict=False):
-            pairs_gold[a, b] += 1
+    for k, (xs, tags) in enumerate(data):
+        flat[k, : len(xs)] = [[names[f] for f in x] for x in xs]
+        gold[k, range(len(tags)), tags] = 1
+        there[k, : len(xs)] = True
+        np.add.at(pairs_gold, (tags[:-1], tags[1:]), 1)
+    used = flat[there]
+    emit, moves = np.zeros((len(names) + 1, 3)), _MOVES.copy()
+    squares, squares_m = np.full_like(emit, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(EPOCHS):
-        scores, pairs = emit[flat].sum(1), np.zeros((3, 3))
-        alone = scores + _FIRST
-        expected = np.exp(alone - _lse(alone, 1)[:, None])  # right for chains of one token
-        for s, e in longer:
-            expected[s:e], p = _marginals(scores[s:e], moves)
-            pairs += p
-        grad = np.zeros_like(emit)
-        for j in range(flat.shape[1]):
-            np.add.at(grad, flat[:, j], gold - expected)
-        grad -= PENALTY * len(flat) * emit / 100
+        expected, pairs = marginals(emit[flat].sum(2) * there[:, :, None], there, moves)
+        off = (gold - expected)[there]
+        grad = np.column_stack([np.bincount(used.ravel(), np.repeat(off[:, t], width), len(emit)) for t in range(3)])
+        grad -= PENALTY * len(used) * emit / 100
         grad_m = pairs_gold - pairs
         squares += grad**2
         squares_m += grad_m**2
         emit += RATE * grad / np.sqrt(squares)
         moves = np.where(_MOVES < 0, _MOVES, moves + RATE * grad_m / np.sqrt(squares_m))
-    return emit, moves
+    emit[0] = 0
+    return Model(names, emit, moves)
 
 
 def viterbi(emit: np.ndarray, moves: np.ndarray) -> list[int]:
@@ -226,14 +329,39 @@ def viterbi(emit: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def field_spans(text: str, emit: np.ndarray, moves: np.ndarray) -> list[tuple[int, int]]:
+def stretches(text: str, reach: int | None) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Lines with anything loud in them: their tokens, and which of these to decode together, first and last but one."""
+    at = 0
+    while hit := LOUD.search(text, at):
+        start, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.start())
+        end = len(text) if end < 0 else end
+        spans = tokens(text, start, end)
+        if reach is None:
+            yield spans, 0, len(spans)
+        else:
+            loud = sorted({max(0, bisect_left(spans, (m.start() + 1,)) - 1) for m in LOUD.finditer(text, start, end)} | {min(len(spans) - 1, max(0, bisect_left(spans, (m.end(),)) - 1)) for m in LOUD.finditer(text, start, end)})
+            first = last = None
+            for k in loud:
+                if first is not None and k - reach > last:
+                    yield spans, first, last
+                    first = None
+                first, last = max(0, k - reach) if first is None else first, min(len(spans), k + reach + 1)
+            if first is not None:
+                yield spans, first, last
+        at = end
+
+
+def field_spans(text: str, model: Model, reach: int | None) -> list[tuple[int, int]]:
     """Spans of the secrets that the field finds in a text."""
     found: list[tuple[int, int]] = []
     whole = None
-    for chain in chains(text):
+    for spans, first, last in stretches(text, reach):
         whole = whole or file_features(text)
-        scores = np.array([emit[features(text, a, b, whole)].sum(0) for a, b in chain])
-        for (a, b), tag in zip(chain, viterbi(scores, moves), strict=True):
+        back = max(0, first - REACH)  # the features of a token look so far back
+        described = line_features([text[a:b] for a, b in spans[back:last]], whole)[first - back :]
+        scores = model.scores(described)
+        scores[: first > 0, 1:] = scores[len(scores) - (last < len(spans)) :, 1:] = -1e9  # quiet tokens far from others are outside
+        for (a, b), tag in zip(spans[first:last], viterbi(scores, model.moves), strict=True):
             if tag == BEGIN:
                 found.append((a, b))
             elif tag == INSIDE:
@@ -241,19 +369,25 @@ def field_spans(text: str, emit: np.ndarray, moves: np.ndarray) -> list[tuple[in
     return found
 
 
-def all_spans(text: str, emit: np.ndarray, moves: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def all_spans(text: str, model: Model, reach: int | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: the field's are added where they touch no base span."""
     base = base_spans(text)
-    added = [("crf", a, b) for a, b in field_spans(text, emit, moves) if not any(a < e and s < b for _, s, e in base)]
+    starts, ends = [s for _, s, _ in base], list(accumulate((e for *_, e in base), max))
+    added = []
+    for a, b in field_spans(text, model, reach):
+        before = bisect_left(starts, b)  # base spans that start before b
+        if not before or ends[before - 1] <= a:
+            added.append(("crf", a, b))
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _scan(emit: np.ndarray, moves: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        reach = model.reach()
+        for batch in (x for whole in batches for x in slices(whole)):
             counts, shas, spans = {k: [] for k in KINDS}, [], []
             for x in batch.column(1).to_pylist():
-                base, every = all_spans(x or "", emit, moves)
+                base, every = all_spans(x or "", model, reach)
                 for k in KINDS:
                     counts[k].append(sum(kind == k for kind, _, _ in every))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -271,7 +405,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col)))
     schema = "row long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string"
-    return rows.mapInArrow(_scan(*trained()), schema).withColumnRenamed("row", "doc_id")
+    return rows.mapInArrow(_scan(trained()), schema).withColumnRenamed("row", "doc_id")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
