@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, spread
+from loomtrace.llm.common import documents, slices, spread
 
 #: Fixed by the contract: phrases (as words) and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -84,13 +85,17 @@ class Scanner:
                 end = min(len(text), last - length + 1 - at + len(notice) + k)
                 own = windows.setdefault(n, [])
                 if own and start <= own[-1][1]:  # seeds of one place share a window
-                    own[-1][1] = max(own[-1][1], end)
+                    own[-1] = [min(own[-1][0], start), max(own[-1][1], end)]
                 else:
                     own.append([start, end])
         found = []
-        for n, spans in windows.items():
-            for a, b in spans:
-                found += [(self.labels[n][1], m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.fuzzy[n].finditer(text, a, b) if m.end() > m.start()]
+        for n, todo in windows.items():
+            while todo:  # a window's best match, then what lies before and behind it
+                a, b = todo.pop()
+                m = self.fuzzy[n].search(text, a, b)
+                if m and m.end() > m.start():
+                    found.append((self.labels[n][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                    todo += [[a, m.start()], [m.end(), b]]
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -121,7 +126,8 @@ def _scan(notices: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         base = sorted({label for _, label in places})
         every = sorted({*base, *(x[0] for x in fuzzy)})
         best = 1.0 if places else max((1 - e / max(1, b - a) for _, a, b, e in fuzzy), default=0.0)
-        index = lambda at: text.count(" ", 0, at)
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32) if fuzzy else None
+        index = lambda at: int(np.searchsorted(blanks, at))
         spans = [{"label": x, "first": index(a + (text[a : a + 1] == " ")), "last": index(b - (text[b - 1 : b] == " ")), "errors": e} for x, a, b, e in fuzzy]
         return len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(every), best, spans
 
@@ -129,7 +135,7 @@ def _scan(notices: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         scanner = Scanner(notices)
         needed = [b"license", *(x.encode() for x in scanner.seeds)]
         none = (0, None, None, "", "", 0.0, [])
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             n_words, rows = [], []
             for x in batch.column(1).to_pylist():
                 words = (x or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
