@@ -10,8 +10,8 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 3. Pieces. The runs with shared anchors, as strings, kept once per partition, with the places where
    they occur. Runs of an anchor found in very many texts are cut into single windows, which then
    spread over all tasks by their own hash. Strings travel to their range of anchors; places stay.
-4. Shards. A range's distinct pieces are dealt to shards by the partition that has them first; each
-   shard gets its Burrows-Wheeler transform.
+4. Shards. A range's distinct pieces are cut into shards in the order of the partitions that have them
+   first; each shard gets its Burrows-Wheeler transform.
 5. Merge. The transforms are merged by iterative interleave refinement: a round sorts the interleave
    stably by the preceding symbols, so that it is right for prefixes that are longer by as many, and
    the boundaries it adds are common prefixes that end there. After LENGTH symbols the blocks left are
@@ -23,7 +23,6 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,14 +45,15 @@ HOT = 20_000
 PER_BUCKET, MOST_BUCKETS = 24_000_000, 100_000
 #: Bytes of text after which a partition hands on the anchors, and bytes of pieces after which it hands on the pieces found so far.
 FLUSH, FLUSH_PIECES = 24_000_000, 12_000_000
-#: Shared anchors, counted once a text, that one merge should hold, and its most shards.
-PER_MERGE, SHARDS = 16_000, 16
+#: Shared anchors, counted once a text, that one merge should hold, and about the most bytes of one of its shards.
+PER_MERGE, PER_SHARD = 5_000, 40_000
 #: Never a byte of UTF-8 text; stands for NUL, which ends pieces.
 _NUL = 0xC0
 _ENDED = bytes([_NUL, *range(1, 256)])
 #: Most distinct symbols that one radix sort takes, and most pairs of symbols that are numbered by a table.
 _KEYS, _PAIRS = 1 << 16, 1 << 24
 
+_ZERO = np.zeros(1, np.int64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -86,8 +86,9 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = window_minimisers(data)
     if not len(m):
         return m, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-    counts = np.diff(np.append(starts, len(m)))
+    starts = np.flatnonzero(m[1:] != m[:-1])
+    starts = np.concatenate((_ZERO, starts + 1))
+    counts = np.diff(starts, append=len(m))
     if counts.max() > MOST_WINDOWS:
         parts = -(-counts // MOST_WINDOWS)
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -97,6 +98,17 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return m[starts], starts, counts
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of x begin, and its end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)]), len(x))
+
+
+def _batch(rows: list[tuple], names: str, numbers: int) -> pa.RecordBatch:
+    """Rows of so many numbers, then binary values."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names.split())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < numbers else pa.binary()) for k, c in enumerate(columns)], names.split())
+
+
 def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (bucket, anchors, counts, ids): the anchors of one document after the other, with their number and its id (as a difference)."""
 
@@ -108,12 +120,11 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         bucket = ((anchors >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         anchors, place, bucket = anchors[order].astype("<u4"), place[order], bucket[order]
-        found, edges = np.unique(bucket, return_index=True)
-        ids = np.array(ids, "<i8")
-        for b, s, e in zip(found.tolist(), edges, np.append(edges[1:], len(bucket)), strict=True):
-            own, counts = np.unique(place[s:e], return_counts=True)
-            values = (anchors[s:e], counts.astype("<u4"), np.diff(ids[own], prepend=0))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], ["bucket", "anchors", "counts", "ids"])
+        ids, edges, rows = np.array(ids, "<i8"), _edges(bucket), []
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            own = _edges(place[s:e])
+            rows.append((int(bucket[s]), anchors[s:e].tobytes(), np.diff(own).astype("<u4").tobytes(), np.diff(ids[place[s:e][own[:-1]]], prepend=0).tobytes()))
+        yield _batch(rows, "bucket anchors counts ids", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -123,7 +134,7 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encoded(x)
                 ids.append(i)
-                sets.append(np.unique(runs(data)[0]))
+                sets.append(runs(data)[0])
                 held += len(data)
                 if held > FLUSH:
                     yield from packed(ids, sets)
@@ -133,11 +144,6 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _edges(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values of x begin, and its end."""
-    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)]), len(x))
-
-
 def _shared(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Rows (own, ids, counts, anchors, hot): per group of documents, the anchors of each that another text has too; hot ones are marked."""
 
@@ -164,6 +170,14 @@ def _shared(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are wanted."""
+    if not len(wanted) or not len(values):
+        return np.zeros(len(values), bool)
+    wanted = np.sort(wanted)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((doc.view(np.uint64) * _A) >> np.uint64(33)).astype(np.int64) % groups
@@ -190,13 +204,14 @@ def _pieces(merges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Rows PIECES: a source's distinct pieces of a merge, and which occurs in which document where."""
 
     def packed(source: int, found: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for m, (pieces, own, docs, starts) in found.items():
-            own, docs = np.frombuffer(own, "<i4"), np.frombuffer(docs, "<i8")
+            own, docs, starts = np.array(own, "<i4"), np.array(docs, "<i8"), np.array(starts, "<i4")
             least, most = np.full(len(pieces), np.iinfo(np.int64).max), np.full(len(pieces), np.iinfo(np.int64).min)
             np.minimum.at(least, own, docs)
             np.maximum.at(most, own, docs)
-            values = (b"\0".join(pieces), least.tobytes(), most.tobytes(), own.tobytes(), docs.tobytes(), starts.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([m], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], [x.split()[0] for x in PIECES.split(", ")])
+            rows.append((source, m, b"\0".join(pieces), *(x.tobytes() for x in (least, most, own, docs, starts))))
+        yield _batch(rows, "source merge strings least most own docs starts", 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, found, held = TaskContext.get().partitionId() << 24, {}, 0
@@ -205,14 +220,14 @@ def _pieces(merges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 data = encoded(x)
                 anchor, start, count = runs(data)
                 data = data.translate(_ENDED)
-                cold, warm = (np.isin(anchor.astype("<u4"), np.frombuffer(y, "<u4")) for y in (shared, hot))
+                cold, warm = (_among(anchor.astype("<u4"), np.frombuffer(y, "<u4")) for y in (shared, hot))
                 at, size, merge = start[cold], count[cold] + (LENGTH - 1), (anchor[cold] % np.uint64(merges)).astype(np.int64)
                 todo = list(zip(merge.tolist(), at.tolist(), (at + size).tolist(), strict=True))
                 for s, n in zip(start[warm].tolist(), count[warm].tolist(), strict=True):
                     todo += [(xxhash.xxh3_64_intdigest(data[w : w + LENGTH]) % merges, w, w + LENGTH) for w in range(s, s + n)]
                 for m, s, e in todo:
                     if m not in found:
-                        found[m] = ({}, array("i"), array("q"), array("i"))
+                        found[m] = ({}, [], [], [])
                     pieces, own, docs, starts = found[m]
                     known = len(pieces)
                     own.append(pieces.setdefault(data[s:e], known))
@@ -310,12 +325,12 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     begins[:1] = True
     while depth:
         width, key, step = next(x for x in reversed(levels) if x[0] <= depth)
-        symbol = key[rows]
+        symbol = key.take(rows)
         order = np.argsort(symbol, kind="stable")
-        rows, ahead, symbol = rows[order], block[order], symbol[order]
+        rows, ahead, symbol = rows.take(order), block.take(order), symbol.take(order)
         np.logical_or(symbol[1:] != symbol[:-1], ahead[1:] != ahead[:-1], out=begins[1:])  # common prefix below the round's
         block = np.cumsum(begins, dtype=np.int32)
-        rows = step[rows]  # the suffixes longer by width symbols; a shard's rows keep their order
+        rows = step.take(rows)  # the suffixes longer by width symbols; a shard's rows keep their order
         depth -= width
     return rows, begins
 
@@ -329,16 +344,11 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     """Rows (source, merge, pieces, firsts, lasts, leasts): which windows first..last of a source's pieces an earlier document has too, and the least that has."""
     rows = rows.sort_values("source")
     number: dict[bytes, int] = {}
-    shard: list[int] = []
-    named = []
-    for k, strings in enumerate(rows["strings"]):
-        pieces = strings.split(b"\0")
-        named.append(np.array([number.setdefault(x, len(number)) for x in pieces], np.int64))
-        shard += [k % SHARDS] * (len(number) - len(shard))
-    dealt: dict[int, list[bytes]] = {}
-    for x, k in zip(number, shard, strict=True):
-        dealt.setdefault(k, []).append(x)
-    own = [sorted(x) for x in dealt.values()]
+    named = [np.array([number.setdefault(x, len(number)) for x in strings.split(b"\0")], np.int64) for strings in rows["strings"]]
+    # pieces in the order of the partitions that have them first, cut into shards of about one size
+    pieces, ends = list(number), np.cumsum([len(x) + 1 for x in number])
+    cuts = np.searchsorted(ends, np.linspace(0, ends[-1], max(2, -(-int(ends[-1]) // PER_SHARD)) + 1)[1:-1], "right")
+    own = [sorted(pieces[a:b]) for a, b in zip([0, *cuts], [*cuts, len(pieces)], strict=True) if a < b]
     bwts = [np.frombuffer(transform(x), np.uint8) for x in own]
     lengths = [np.array([len(p) for p in x]) for x in own]
     names = [np.array([number[p] for p in x]) for x in own]
