@@ -146,7 +146,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without texts that equal one of a larger doc_id."""
+    """The rows of docs, all columns, without texts that equal one of a larger doc_id; cases as in exact_groups().
+
+    Of null and empty texts the one with the largest id stays; rows that repeat a kept id all stay.
+    """
     dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
 

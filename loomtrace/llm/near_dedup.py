@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, slices, spread, stored
+from loomtrace.llm.common import discard, documents, slices, spread, stored
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -138,7 +138,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
+        fresh = stored(small, "edges")
+        discard(edges)
+        edges = fresh
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -237,6 +239,7 @@ def link(docs: DataFrame) -> DataFrame:
     apart = placed(found)
     third = stored(family_links(apart, sets), "third")
     found = stored(components(joined(found, third)), "components")
+    discard(bucketed, sets, first, second, third, mixed, apart)
 
     placed_nodes = nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "doc_id")
@@ -244,7 +247,10 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, one document of each component."""
+    """The rows of docs, all columns, one document of each component (its least id); cases as in link().
+
+    Texts that are null, empty or of white space alone all stay; rows that repeat a kept id all stay.
+    """
     dropped = link(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
 

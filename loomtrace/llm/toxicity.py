@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that the model doesn't reject."""
+    """The rows of docs, all columns, that the model doesn't reject; cases as in score(): null and empty texts stay, repeated rows fare alike."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
