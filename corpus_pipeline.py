@@ -1,7 +1,12 @@
 """A training-data pipeline over the documents table; each stage applies one operator of loomtrace.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever further
+columns there are and whatever their names.
+
+Null and empty texts: toxicity keeps them; exact dedup keeps one of them; near dedup keeps all that are
+left; mixing gives them their source's whole copies; the last stage gives them no tokens. Rows that repeat
+an id and text fare alike in each stage. An empty table passes all stages.
 """
 
 from __future__ import annotations
