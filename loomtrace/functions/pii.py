@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _T = "[A-Za-z0-9_-]"
@@ -65,12 +66,15 @@ def scan_pii(df: DataFrame, *text_cols: str) -> DataFrame:
 
 
 def scan_report(found: DataFrame) -> DataFrame:
-    """Per category: hits, the first three step numbers (from 1), how many more, the first snippet (40 characters)."""
-    numbered = found.withColumn("_step", F.col("step_index") + 1)
-    totals = numbered.groupBy("category").agg(F.count(F.lit(1)).alias("hits"), F.min_by(F.substring("snippet", 1, 40), F.struct("session_id", "_step", "field", "snippet")).alias("first_snippet"))
-    steps = numbered.select("category", "_step").distinct()
-    first = F.slice(F.array_sort(F.collect_set("_step")), 1, 3)
-    from pyspark.sql import Window as W
+    """Per category: hits, the step numbers (from 1) of the first three hits, how many more, the first snippet (40 characters, then an ellipsis).
 
-    few = steps.withColumn("rn", F.row_number().over(W.partitionBy("category").orderBy("_step"))).filter("rn <= 3").groupBy("category").agg(F.array_join(first, ",").alias("first_steps"))
+    Hits are in the order of sessions, steps, fields (detail before label) and snippets; a step with
+    several hits is named as often.
+    """
+    order = W.partitionBy("category").orderBy("session_id", "step_index", "field", "snippet")
+    snippet = F.when(F.length("snippet") > 40, F.concat(F.substring("snippet", 1, 40), F.lit("…"))).otherwise(F.col("snippet"))
+    totals = found.groupBy("category").agg(F.count(F.lit(1)).alias("hits"))
+    few = found.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")  # Spark keeps three rows of a category and partition before they are shuffled
+    first = F.transform(F.array_sort(F.collect_list(F.struct("rn", (F.col("step_index") + 1).alias("step")))), lambda x: x["step"])
+    few = few.groupBy("category").agg(F.array_join(first, ",").alias("first_steps"), F.min_by(snippet, "rn").alias("first_snippet"))
     return totals.join(few, "category").select("category", "hits", "first_steps", F.greatest(F.col("hits") - 3, F.lit(0)).alias("more"), "first_snippet")

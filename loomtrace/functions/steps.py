@@ -140,7 +140,9 @@ def shell_command(tool: Column, input_text: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.format_string("%.1fs", ms / 1000)).otherwise(F.format_string("%.1fm", ms / 60000))
+    """Milliseconds, or tenths of seconds or minutes, rounded half up."""
+    tenths = lambda unit, name: F.format_string(f"%d.%d{name}", F.floor(F.floor((ms + unit // 20) / (unit // 10)) / 10), F.floor((ms + unit // 20) / (unit // 10)) % 10)
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, tenths(1000, "s")).when(ms >= 60000, tenths(60000, "m"))
 
 
 def relative_time(seconds: Column, now: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.operators.storage import numbered, stored
+
 
 def matches(model: str | None = None, tool: str | None = None, errored: bool = False, annotated: bool = False) -> Column:
     """A condition on session rows: all given ones hold."""
@@ -27,8 +30,8 @@ def matches(model: str | None = None, tool: str | None = None, errored: bool = F
     return reduce(lambda a, b: a & b, parts)
 
 
-def ordered(sessions: DataFrame, mode: str) -> DataFrame:
-    """Sessions by mtime, cost, errors, tokens or format; ties by session_id."""
+def order_of(mode: str) -> list[Column]:
+    """The order of sessions by mtime, cost, errors, tokens or format; ties by session_id."""
     keys = {
         "mtime": F.desc_nulls_last("mtime_secs"),
         "cost": F.coalesce(F.col("cost_usd"), F.lit(0.0)).desc(),
@@ -36,7 +39,16 @@ def ordered(sessions: DataFrame, mode: str) -> DataFrame:
         "tokens": (F.col("tokens_in") + F.col("tokens_out")).desc(),
         "format": F.asc("format"),
     }
-    return sessions.orderBy(keys[mode], "session_id")
+    return [keys[mode], F.col("session_id").asc()]
+
+
+def ordered(sessions: DataFrame, mode: str) -> DataFrame:
+    return sessions.orderBy(*order_of(mode))
+
+
+def placed(sessions: DataFrame, mode: str) -> DataFrame:
+    """sessions with their place (from 1) in an order, numbered by range partitions."""
+    return numbered(sessions, *order_of(mode)).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def most_recent(sessions: DataFrame, n: int) -> DataFrame:
@@ -73,16 +85,39 @@ def format_buckets(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("format").agg(F.count(F.lit(1)).alias("session_count")).orderBy(F.desc("session_count"), "format")
 
 
+PERCENTILES = (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))
+
+
 def distributions(sessions: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """One row with min, p50, p90, p99, max, mean, total of each measure (nearest rank), zeros without sessions."""
-    rows = sessions.select(*[c.cast("long").alias(f"_{n}") for n, c in measures.items()], "fork_root_count", "annotation_count", "error_count")
+    """One row with min, p50, p90, p99, max, mean, total of each measure (nearest rank), zeros without sessions.
+
+    Values are numbered by range partitions, measure after measure, and the few ranks asked for are picked.
+    """
+    flags = ("fork_root_count", "annotation_count", "error_count")
+    rows = stored(sessions.select(*[c.cast("long").alias(f"_{n}") for n, c in measures.items()], *flags), "measures")
+    rate = lambda c: F.coalesce(F.try_divide(F.count_if(F.col(c) > 0), F.count(F.lit(1))), F.lit(0.0))
     aggs = []
     for n in measures:
         c = F.col(f"_{n}")
-        aggs += [F.coalesce(F.min(c), F.lit(0)).alias(f"{n}_min"), *[F.expr(f"cast(coalesce(percentile_disc({p}) within group (order by _{n}), 0) as bigint)").alias(f"{n}_{q}") for q, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]]
-        aggs += [F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max"), F.coalesce(F.try_divide(F.sum(c), F.count(c)), F.lit(0.0)).alias(f"{n}_mean"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_total")]
-    rate = lambda c: F.coalesce(F.try_divide(F.count_if(F.col(c) > 0), F.count(F.lit(1))), F.lit(0.0))
-    return rows.agg(F.count(F.lit(1)).alias("sessions"), *aggs, rate("fork_root_count").alias("branched_rate"), rate("annotation_count").alias("annotated_rate"), rate("error_count").alias("errored_rate"))
+        aggs += [F.coalesce(F.min(c), F.lit(0)).alias(f"{n}_min"), F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max"), F.count(c).alias(f"_n_{n}")]
+        aggs += [F.coalesce(F.try_divide(F.sum(c), F.count(c)), F.lit(0.0)).alias(f"{n}_mean"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_total")]
+    rates = [rate(c).alias(r) for c, r in zip(flags, ("branched_rate", "annotated_rate", "errored_rate"), strict=True)]
+    whole = stored(rows.agg(F.count(F.lit(1)).alias("sessions"), *aggs, *rates), "whole")
+    counts = whole.select(*[f"_n_{n}" for n in measures]).first()
+    wanted, before = {}, 0
+    for n, count in zip(measures, counts, strict=True):
+        for q, p in PERCENTILES:
+            if count:
+                wanted.setdefault(before + max(1, math.ceil(count * p)) - 1, []).append(f"{n}_{q}")
+        before += count
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_{n}").alias("value")) for i, n in enumerate(measures)])).alias("v")).select("v.*").filter("value is not null")
+    picked = {}
+    if wanted:
+        for r in numbered(values, F.col("m"), F.col("value")).filter(F.col("place").isin(*wanted)).collect():  # three a measure
+            picked |= dict.fromkeys(wanted[r["place"]], r["value"])
+    out = whole.withColumns({f"{n}_{q}": F.lit(picked.get(f"{n}_{q}", 0)).cast("long") for n in measures for q, _ in PERCENTILES})
+    listed = [f"{n}_{x}" for n in measures for x in ("min", "p50", "p90", "p99", "max", "mean", "total")]
+    return out.select("sessions", *listed, "branched_rate", "annotated_rate", "errored_rate")
 
 
 def trajectory_stats(sessions: DataFrame) -> DataFrame:
@@ -110,21 +145,40 @@ def compare_tools(stats_a: DataFrame, stats_b: DataFrame) -> DataFrame:
     return both.select("pair_id", "tool_name", side.alias("side"), *[zero(c).alias(c) for c in ("uses_a", "uses_b", "errors_a", "errors_b")], (zero("uses_b") - zero("uses_a")).alias("delta"))
 
 
+def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The row of the table of common lengths after row, for a left step that equals the right steps marked in same."""
+    out = np.zeros_like(row)
+    out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + same))
+    return out
+
+
 def align(left: list[str], right: list[str]) -> list[tuple[int | None, int | None]]:
-    """Pairs of a longest common subsequence with gaps; left gaps come first, ties go up in the table."""
+    """Pairs of a longest common subsequence with gaps; left gaps come first, ties go up in the table.
+
+    Of the table of n by m lengths, each sqrt(n)-th row is kept and the rows between are made anew, a
+    block at a time, as the way back passes them.
+    """
     n, m = len(left), len(right)
     code = {s: i for i, s in enumerate({*left, *right})}
     a, b = np.array([code[s] for s in left], int), np.array([code[s] for s in right], int)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        row = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (b == a[i - 1]))
-        table[i, 1:] = np.maximum.accumulate(row)
+    block = max(1, math.isqrt(n))
+    row, kept = np.zeros(m + 1, np.int32), []
+    for i in range(n):
+        if i % block == 0:
+            kept.append(row)
+        row = _next_row(row, b == a[i])
     matched, i, j = [(n, m)], n, m  # an end mark, then the pairs from the back
+    base, table = n, []  # table: the rows from base on
     while i and j:
+        if i - 1 < base:
+            base = (i - 1) // block * block
+            table = [kept[base // block]]
+            for k in range(base, i):
+                table.append(_next_row(table[-1], b == a[k]))
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             matched.append((i, j))
-        elif table[i - 1, j] >= table[i, j - 1]:
+        elif table[i - 1 - base][j] >= table[i - base][j - 1]:
             i -= 1
         else:
             j -= 1
@@ -141,7 +195,8 @@ ALIGNED = "pair_id string, row_no int, left_idx int, right_idx int, align_kind s
 def align_sessions(steps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Alignment rows of session pairs (pair_id, left_id, right_id); steps match by kind and tool, and are equal by detail.
 
-    Two sessions travel as arrays in one row; a pair costs time and memory with the product of their lengths.
+    Two sessions travel as arrays in one row; a pair costs time with the product of their lengths, and memory with the
+    length of one and the square root of the other's.
     """
     signed = steps.select("session_id", F.struct("step_index", F.concat_ws("\x1f", "kind", F.coalesce("tool_name", F.lit("\x1e"))).alias("sig"), F.md5("detail").alias("d")).alias("s"))
     arrays = signed.groupBy("session_id").agg(F.array_sort(F.collect_list("s")).alias("s"))

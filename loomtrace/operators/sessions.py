@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,12 +16,16 @@ KINDS = ("user_text", "assistant_text", "tool_use", "tool_result")
 def paired(steps: DataFrame) -> DataFrame:
     """Tool results with their call's tool and input, by session and call id; the last call of an id wins, orphans stay.
 
-    steps has session_id, position, kind, tool_name, tool_call_id, input_text.
+    steps has session_id, position, kind, tool_name, tool_call_id, input_text. Sessions move once;
+    pairing and what follows by session work on that partitioning.
     """
-    calls = steps.filter("kind = 'tool_use'").groupBy("session_id", "tool_call_id").agg(F.max_by(F.struct("tool_name", "input_text"), "position").alias("call"))
-    results = F.col("kind") == "tool_result"
-    joined = steps.join(calls, ["session_id", "tool_call_id"], "left")
-    return joined.withColumn("tool_name", F.when(results, F.col("call.tool_name")).otherwise(F.col("tool_name"))).withColumn("input_text", F.when(results, F.col("call.input_text")).otherwise(F.col("input_text"))).drop("call")
+    used_at = F.when(F.col("kind") == "tool_use", F.col("position"))
+    call = F.max_by(F.struct("tool_name", "input_text"), used_at).over(W.partitionBy("session_id", "tool_call_id"))
+    found = (F.col("kind") == "tool_result") & F.col("tool_call_id").isNotNull()
+    rows = steps.repartition("session_id").withColumn("call", F.when(found, call))
+    result = F.col("kind") == "tool_result"
+    own = lambda c: F.when(result, F.col(f"call.{c}")).otherwise(F.col(c))
+    return rows.withColumns({"tool_name": own("tool_name"), "input_text": own("input_text")}).drop("call")
 
 
 def durations(steps: DataFrame) -> DataFrame:
@@ -61,17 +65,54 @@ def tool_stats(steps: DataFrame) -> DataFrame:
     return stats.withColumn("error_rate", rate("result_count")).withColumn("error_rate_of_uses", rate("use_count"))
 
 
+TOOL_STATS = "array<struct<name:string,use_count:bigint,result_count:bigint,error_count:bigint>>"
+
+
 def sessions(steps: DataFrame, notes: DataFrame | None = None, mtimes: DataFrame | None = None) -> DataFrame:
-    """One row per session: totals, counts by kind, models, tool statistics (by uses, then name), notes, time of change."""
-    tools = tool_stats(steps).groupBy("session_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("use_count")).alias("o"), F.col("tool_name").alias("name"), "use_count", "result_count", "error_count"))), lambda t: F.struct(t["name"].alias("name"), t["use_count"].alias("use_count"), t["result_count"].alias("result_count"), t["error_count"].alias("error_count"))).alias("tool_stats"),
-        F.sum("error_count").alias("error_count"),
+    """One row per session: totals, counts by kind, models, tool statistics (by uses, then name), notes, time of change.
+
+    Steps are read once: they are added up by session, tool and model, and a session's few sums
+    are then put together.
+    """
+    counters = ("tokens_in", "tokens_out", "cache_read", "cache_create")
+    counted = with_cost(steps).groupBy("session_id", "tool_name", "model").agg(
+        F.first("format").alias("format"),
+        F.count(F.lit(1)).alias("step_count"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters],
+        F.sum("cost_nano").alias("cost_nano"),
+        F.count_if("is_fork_root").alias("fork_root_count"),
+        F.max("timestamp_ms").alias("last_ms"),
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        F.count_if(is_error(F.col("kind"), F.col("detail"))).alias("error_count"),
+        F.min("step_index").alias("first_step"),
     )
-    noted = notes.groupBy("session_id").agg(F.count(F.lit(1)).alias("annotation_count")) if notes is not None else None
-    out = session_totals(steps).join(step_counts(steps), "session_id").join(session_models(steps), "session_id", "left").join(tools, "session_id", "left")
-    out = out.join(noted, "session_id", "left") if noted is not None else out.withColumn("annotation_count", F.lit(0).cast("long"))
-    out = out.join(mtimes, "session_id", "left") if mtimes is not None else out.withColumn("mtime_secs", F.floor(F.col("last_ms") / 1000))
-    return out.withColumns({"annotation_count": F.coalesce("annotation_count", F.lit(0)), "error_count": F.coalesce("error_count", F.lit(0)), "models": F.coalesce("models", F.array().cast("array<string>")), "tool_stats": F.coalesce("tool_stats", F.array().cast("array<struct<name:string,use_count:bigint,result_count:bigint,error_count:bigint>>"))})
+    tool = F.when(F.col("tool_name").isNotNull(), F.struct(F.col("tool_name").alias("name"), F.col("n_tool_use").alias("use_count"), F.col("n_tool_result").alias("result_count"), "error_count"))
+    model = F.when(F.col("model").isNotNull(), F.struct("first_step", "model"))
+    sums = ("step_count", *counters, "fork_root_count", *[f"n_{k}" for k in KINDS])
+    whole = counted.groupBy("session_id").agg(
+        F.first("format").alias("format"),
+        *[F.sum(c).alias(c) for c in sums],
+        (F.sum("cost_nano") / 1e9).alias("cost_usd"),
+        F.max("last_ms").alias("last_ms"),
+        F.coalesce(F.sum(F.when(F.col("tool_name").isNotNull(), F.col("error_count"))), F.lit(0)).alias("error_count"),
+        F.collect_list(tool).alias("tools"),
+        F.array_sort(F.collect_list(model)).alias("seen"),
+    )  # the lists hold a session's tools and models
+
+    def of_tool(name: Column) -> Column:
+        own = F.filter("tools", lambda t: t["name"] == name)
+        total = lambda c: F.aggregate(own, F.lit(0).cast("long"), lambda a, t: a + t[c])
+        return F.struct((-total("use_count")).alias("o"), name.alias("name"), *[total(c).alias(c) for c in ("use_count", "result_count", "error_count")])
+
+    names = F.array_distinct(F.transform("tools", lambda t: t["name"]))
+    stats = F.transform(F.array_sort(F.transform(names, of_tool)), lambda t: F.struct(*[t[c].alias(c) for c in ("name", "use_count", "result_count", "error_count")]))
+    out = whole.withColumns({"tool_stats": stats.cast(TOOL_STATS), "models": F.array_distinct(F.transform("seen", lambda x: x["model"]))}).drop("tools", "seen")
+    if notes is not None:
+        counts = notes.groupBy("session_id").agg(F.count(F.lit(1)).alias("annotation_count"))
+        out = out.join(counts, "session_id", "left").withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)))
+    else:
+        out = out.withColumn("annotation_count", F.lit(0).cast("long"))
+    return out.join(mtimes, "session_id", "left") if mtimes is not None else out.withColumn("mtime_secs", F.floor(F.col("last_ms") / 1000))
 
 
 def first_labels(steps: DataFrame, n: int = 20) -> DataFrame:

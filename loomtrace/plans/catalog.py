@@ -12,8 +12,9 @@ from loomtrace.functions import pii
 from loomtrace.functions import steps as fs
 from loomtrace.operators import corpus, export
 from loomtrace.operators import sessions as ops
-from loomtrace.plans.oracle import ORACLE_SQL
-from loomtrace.sources import adapters, formats
+from loomtrace.plans import raw
+from loomtrace.plans.oracle_more import ORACLE_SQL
+from loomtrace.sources import adapters, drift, formats, notes
 from loomtrace.streaming import live
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -31,9 +32,7 @@ def _sessions(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _place(mode: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        keys = {"mtime": F.desc_nulls_last("mtime_secs"), "cost": F.coalesce(F.col("cost_usd"), F.lit(0.0)).desc(), "errors": F.desc("error_count"), "tokens": (F.col("tokens_in") + F.col("tokens_out")).desc(), "format": F.asc("format")}
-        rows = corpus.ordered(ops.sessions(adapters.event_steps(spark, d)), mode)
-        return rows.select("session_id", F.row_number().over(W.orderBy(keys[mode], "session_id")).alias("place"))
+        return corpus.placed(ops.sessions(adapters.event_steps(spark, d)), mode).select("session_id", "place")
 
     return run
 
@@ -87,10 +86,11 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pii(spark: SparkSession, d: str) -> DataFrame:
+    """Matches in documents, each with two keys of its own added."""
     key = F.md5(F.col("doc_id").cast("string"))
     text = F.concat("text", F.lit(" AKIA"), F.upper(F.substring(key, 1, 20)), F.lit(" sk-ant-"), key, F.lit("abc"))
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"))
-    return pii.scan_pii(docs, "text").filter("category <> 'ipv4'").drop("field")
+    return pii.scan_pii(docs, "text").drop("field")
 
 
 def _ipv4(spark: SparkSession, d: str) -> DataFrame:
@@ -106,14 +106,49 @@ def _docs(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-def _generic_files(spark: SparkSession, d: str) -> DataFrame:
-    turns = spark.read.parquet(f"{d}/conversations.parquet")
-    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return turns.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("content"))
+def _raw(files: Query) -> Query:
+    return lambda spark, d: formats.parse(files(spark, d)).select("session_id", "step_index", "kind", "detail")
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return formats.parse(_generic_files(spark, d)).select("session_id", "step_index", "kind", "detail")
+def _drift(spark: SparkSession, d: str) -> DataFrame:
+    found = drift.drift_report(formats.detect(raw.event_files(spark, d)))
+    return found.withColumn("first_positions", F.array_join("first_positions", ","))
+
+
+def _parse_errors(spark: SparkSession, d: str) -> DataFrame:
+    return formats.parse_errors(raw.event_files(spark, d))
+
+
+def _fork_indices(spark: SparkSession, d: str) -> DataFrame:
+    order = W.partitionBy("session_id").orderBy("entry")
+    numbered = _forks(spark, d).withColumn("step_index", (F.row_number().over(order) - 1).cast("int"))
+    return ops.fork_root_indices(numbered).withColumn("fork_root_indices", F.array_join("fork_root_indices", ","))
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with notes, as the session rows count them."""
+    rows = ops.sessions(adapters.event_steps(spark, d), _notes(spark, d))
+    return rows.filter(corpus.matches(annotated=True)).select("session_id", "step_count", "annotation_count")
+
+
+def _noted_steps(spark: SparkSession, d: str) -> DataFrame:
+    found = corpus.with_notes(adapters.event_steps(spark, d), _notes(spark, d))
+    return found.filter("note is not null").select("session_id", "step_index", "kind", "note")
+
+
+def _document(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus document of errored sessions, with files that can't be parsed, read back."""
+    sessions, errors = ops.sessions(adapters.event_steps(spark, d)), _parse_errors(spark, d)
+    got = export.corpus_document(sessions, errors, corpus.matches(errored=True))
+    whole = ("file_count", "parse_success_count", "parse_error_count", "filtered_out_count", "total_steps", "total_tokens_in", "total_tokens_out", "total_cache_read", "total_cache_create")
+    number = lambda name, kind="long": F.get_json_object("document", f"$.{name}").cast(kind).alias(name)
+    model = F.from_json(F.get_json_object("document", "$.per_model"), "array<struct<model: string, session_count: long, tokens_in: long, tokens_out: long>>")
+    return got.select(*map(number, whole), number("total_cost_usd", "double"), F.to_json(model).alias("per_model"), *[F.get_json_object("document", f"$.per_{x}").alias(f"per_{x}") for x in ("tool", "format")])
+
+
+def _session_lines(sessions: DataFrame) -> DataFrame:
+    tools = F.transform("tool_counts", lambda t: F.concat(t["name"], F.lit(":"), t["count"]))
+    return _rounded(export.session_lines(sessions)).withColumns({"models": F.array_join("models", ","), "tool_counts": F.array_join(tools, ",")})
 
 
 def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -125,27 +160,27 @@ def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
     return live.event_stream(spark, d, rows)
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-
-
 def _stream_errors(spark: SparkSession, d: str) -> DataFrame:
-    return live.drained(spark, live.new_errors(_stream_rows(spark, d)), "append", _folder(spark)).select("session_id", "step_id")
+    return live.drained(spark, live.new_errors(_stream_rows(spark, d)), "append").select("session_id", "step_id")
 
 
 def _stream_idle(spark: SparkSession, d: str) -> DataFrame:
-    return live.drained(spark, live.idle_sessions(_stream_rows(spark, d)), "append", _folder(spark))
+    idle = live.drained(spark, live.idle_sessions(_stream_rows(spark, d)), "append")
+    return idle.select("session_id", F.unix_millis("started").alias("started_ms"), F.unix_millis("idle_at").alias("idle_ms"), "steps")
 
 
 def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = live.event_stream(spark, d, lambda e: e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), F.lit("tool_use").alias("kind"), F.lit("").alias("detail")))
-    return live.drained(spark, live.live_totals(rows), "complete", _folder(spark)).select("session_id", "tool_name", "steps")
+    return live.drained(spark, live.live_totals(_stream_rows(spark, d)), "complete")
 
 
 QUERIES: dict[str, Query] = {
     "event_steps": lambda spark, d: adapters.event_steps(spark, d),
     "conversation_steps": lambda spark, d: adapters.conversation_steps(spark, d).select("session_id", "step_index", "kind", "detail"),
-    "raw_generic_steps": _raw,
+    "raw_generic_steps": _raw(raw.generic),
+    **{f"raw_{name}_steps": _raw(files) for name, files in raw.FILES.items()},
+    "parse_errors": _parse_errors,
+    "drift_report": _drift,
+    "sidecar_notes": lambda spark, d: notes.sidecar_notes(raw.sidecars(spark, d)),
     "tool_buckets": _steps(lambda s: corpus.tool_buckets(ops.tool_stats(s))),
     "tool_stats": _steps(ops.tool_stats),
     "sessions": _sessions(_listed),
@@ -171,6 +206,12 @@ QUERIES: dict[str, Query] = {
     "parallel_batches": _steps(ops.parallel_batches),
     "text_context": _steps(ops.text_context),
     "fork_flags": _forks,
+    "fork_root_indices": _fork_indices,
+    "top_models": _sessions(lambda s: _rounded(corpus.top_buckets(corpus.model_buckets(s)))),
+    "top_tools_of_corpus": _steps(lambda s: corpus.top_buckets(corpus.tool_buckets(ops.tool_stats(s)))),
+    "corpus_document": _document,
+    "annotated_sessions": _annotated,
+    "steps_with_notes": _noted_steps,
     "compare_tools": _pairs,
     "align_sessions": _aligned,
     "nearest_vectors": _nearest,
@@ -184,7 +225,7 @@ QUERIES: dict[str, Query] = {
     "trajectory_lines": _steps(export.trajectories),
     "markdown": _steps(export.markdown),
     "html": _steps(export.html),
-    "session_lines": _sessions(export.session_lines),
+    "session_lines": _sessions(_session_lines),
     "shell_commands": _steps(lambda s: s.filter("kind = 'tool_use'").select("session_id", "step_index", fs.shell_command(F.col("tool_name"), F.col("input_text")).alias("command")).filter("command is not null")),
     "stream_errors": _stream_errors,
     "stream_idle": _stream_idle,

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.functions.steps import RATES, STEP_COLUMNS, detail, label
-from loomtrace.operators.sessions import durations, paired
+from loomtrace.operators.sessions import paired
 
 #: Tools and models that events are mapped to.
 TOOLS = ("Read", "Edit", "Bash", "Grep", "Write", "WebFetch")
@@ -41,15 +41,16 @@ def event_parts(events: DataFrame) -> DataFrame:
 
 def finish(parts: DataFrame, fmt: str) -> DataFrame:
     """Numbers, labels and details of raw steps whose results are paired; the columns of the steps table."""
-    numbered = parts.withColumn("step_index", (F.row_number().over(W.partitionBy("session_id").orderBy("position")) - 1).cast("int"))
-    c = F.col
+    c, order = F.col, W.partitionBy("session_id").orderBy("position")
+    gap = c("timestamp_ms") - F.lag("timestamp_ms").over(order)
+    numbered = parts.withColumns({"step_index": (F.row_number().over(order) - 1).cast("int"), "duration_ms": F.when(gap >= 0, gap)})
     full = numbered.withColumns({
         "label": label(c("kind"), c("text"), c("tool_name"), c("tool_call_id"), c("result_text")),
         "detail": detail(c("kind"), c("text"), c("tool_name"), c("tool_call_id"), c("input_text"), c("result_text")),
         "format": F.lit(fmt),
         **({} if "is_fork_root" in parts.columns else {"is_fork_root": F.lit(False)}),
     })
-    return durations(full).select(*STEP_NAMES)
+    return full.select(*STEP_NAMES)
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.steps import STEP_COLUMNS, iso_millis, pretty_json
 from loomtrace.operators.sessions import paired
+from loomtrace.operators.storage import stored
 from loomtrace.sources.adapters import finish
+from loomtrace.sources.run_trees import langchain, run_list
 
 #: Columns of raw steps, before results are paired and steps numbered.
 PARTS = {n: t for n, t in (x.split() for x in STEP_COLUMNS.split(", ")) if n in ("session_id", "kind", "tool_name", "tool_call_id", "timestamp_ms", "model", "tokens_in", "tokens_out", "cache_read", "cache_create", "is_fork_root", "input_text", "result_text")} | {"text": "string", "position": "array<int>"}
@@ -16,9 +19,9 @@ PARTS = {n: t for n, t in (x.split() for x in STEP_COLUMNS.split(", ")) if n in
 def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFrame:
     """path, content (binary), mtime_secs of all files down to max_depth levels (the folder itself is level 1)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    depth = lambda c: F.size(F.split(F.regexp_replace(c, "^[a-z]+:/+|/+$", ""), "/"))
-    root = depth(F.lit(folder.rstrip("/")))
-    return files.filter(depth(F.col("path")) - root <= max_depth).select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
+    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?|/+$", "")  # noqa: E731  without scheme and host
+    depth = lambda c: F.size(F.filter(F.split(plain(c), "/"), lambda x: x != ""))
+    return files.filter(depth(F.col("path")) - depth(F.lit(folder)) <= max_depth).select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
 
 
 def detect(files: DataFrame) -> DataFrame:
@@ -50,6 +53,7 @@ def detect(files: DataFrame) -> DataFrame:
     bad_line = F.get(F.filter(lines, lambda x: ~_is_entry(F.try_parse_json(x["line"]), F.col("format"))), F.lit(0))["n"]
     listed = F.expr("try_variant_get(v, '$.messages', 'array<variant>')").isNotNull()
     error = F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file"))).when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list")
+    error = error.when((F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(), "parsing run tree")
     rows = rows.withColumn("error", error)
     return rows.withColumn("status", F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").when(F.col("error").isNotNull(), "error").otherwise("ok")).drop("bad_text")
 
@@ -164,7 +168,8 @@ def claude_code(files: DataFrame) -> DataFrame:
     rows = entries.select("*", F.posexplode(items).alias("j", "c")).withColumn("type", _get("c", "type")).withColumn("text", F.when(F.col("type") == "text", _get("c", "text")))
     kept = rows.filter("(type = 'text' and text is not null) or (type = 'tool_use' and role = 'assistant') or (type = 'tool_result' and role = 'user')")
     content = F.expr("try_variant_get(c, '$.content', 'array<variant>')")
-    result = F.when(content.isNotNull(), F.array_join(F.transform(content, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.to_json(x))), "\n")).otherwise(F.coalesce(_get("c", "content"), F.lit("")))
+    whole = pretty_json(F.when(content.isNotNull(), F.to_json(F.expr("try_variant_get(c, '$.content', 'variant')"))))
+    result = F.coalesce(whole, _get("c", "content"), F.lit(""))
     use, res = F.col("type") == "tool_use", F.col("type") == "tool_result"
     steps = kept.select(
         "session_id", "i", "m", "role", F.array("i", "j").alias("position"), "timestamp_ms", F.when(use | res, F.col("type")).otherwise(F.concat("role", F.lit("_text"))).alias("kind"), "text", F.when(use, _get("c", "name")).alias("tool_name"),
@@ -228,15 +233,44 @@ def otel_json(files: DataFrame) -> DataFrame:
 
 #: Formats whose results carry only a call id.
 PAIRED = {"generic": generic, "codex": codex, "claude_code": claude_code}
-NAMED = {"gemini": gemini, "vercel_ai": vercel_ai, "otel_json": otel_json}
+NAMED = {"gemini": gemini, "vercel_ai": vercel_ai, "otel_json": otel_json, "langchain": lambda files: _parts(langchain(files))}
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Steps of session files (path, content); files of no known format are skipped, broken ones are in parse_errors()."""
-    known = detect(files).filter("status = 'ok'")
-    out = None
+    """Steps of session files (path, content); files of no known format are skipped, broken ones are in parse_errors().
+
+    Formats are found once and the files laid down by format; only the parsers of formats that occur
+    run, each on its own files.
+    """
+    spark = files.sparkSession
+    known = stored(detect(files).filter("status = 'ok'").select("path", "content", "format"), "sessions", by="format")
+    found = {r[0] for r in known.select("format").distinct().collect()}  # at most one a format
+    out = spark.createDataFrame([], STEP_COLUMNS)
     for name, parser in {**PAIRED, **NAMED}.items():
-        parts = parser(known.filter(F.col("format") == name))
-        steps = finish(paired(parts) if name in PAIRED else parts, name)
-        out = steps if out is None else out.unionByName(steps)
+        if name in found:
+            own = known.filter(F.col("format") == name).withColumn("v", F.expr("try_parse_json(content)"))
+            parts = parser(own)
+            out = out.unionByName(finish(paired(parts) if name in PAIRED else parts, name))
     return out
+
+
+#: Where the tools keep their sessions, below a home folder.
+LAYOUTS = {"claude_code": ".claude/projects/*/*.jsonl", "codex": ".codex/sessions/**/rollout-*.jsonl", "gemini": ".gemini/tmp/*/chats/session-*.json"}
+
+
+def discover(spark: SparkSession, home: str) -> DataFrame:
+    """path, format, mtime_secs of the session files in the known places below a home folder, newest first, unknown times last."""
+    root = home.rstrip("/")
+    out = spark.createDataFrame([], "path string, format string, mtime_secs long")
+    for fmt, layout in LAYOUTS.items():
+        top, _, name = layout.rpartition("/")
+        # dates are up to three folders deep
+        folders = [top.replace("**", "/".join(["*"] * k)).rstrip("/") for k in range(4)] if "**" in top else [top]
+        for folder in folders:
+            try:
+                files = spark.read.format("binaryFile").load(f"{root}/{folder}/{name}")
+            except AnalysisException:  # no such place
+                continue
+            found = files.select("path", F.lit(fmt).alias("format"), F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
+            out = out.unionByName(found)
+    return out.orderBy(F.desc_nulls_last("mtime_secs"), "path")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.steps import is_error
+from loomtrace.operators.storage import fresh_path
 
 
 def new_errors(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Error results as they arrive; rows delivered again within the watermark are dropped. stream has a timestamp `at`."""
+    """Error results as they arrive; rows delivered again within the watermark are dropped. stream has a timestamp `at`.
+
+    A row older than the watermark when its batch arrives is dropped: input must come in the order of
+    time up to `late`, or `late` must span what the files of one run spread over.
+    """
     once = stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["session_id", "step_id"])
     return once.filter(is_error(F.col("kind"), F.col("detail"))).select("session_id", "step_id", "at", F.substring("detail", 1, 200).alias("preview"))
 
@@ -28,15 +32,20 @@ def live_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id", "tool_name").agg(F.count(F.lit(1)).alias("steps"), F.count_if(is_error(F.col("kind"), F.col("detail"))).alias("errors"))
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """What a stream has written once all of its present input is read."""
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream (append or complete mode) has written once all of its present input is read.
+
+    State and output lie in the shared folder, which the session's clean-up empties.
+    """
+    path = fresh_path(spark, "stream")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append")
+    elif mode != "complete":
+        raise ValueError(f"mode {mode}: batches would overwrite each other")
     else:
 
         def last(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/out")
+            batch.write.mode("overwrite").parquet(f"{path}/out")  # the whole table each time
 
         writer = stream.writeStream.foreachBatch(last).outputMode(mode)
     writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
