@@ -62,7 +62,12 @@ def scan_pii(df: DataFrame, *text_cols: str) -> DataFrame:
     """A row (all other columns, field, category, snippet) per match in each of the text columns."""
     keep = [c for c in df.columns if c not in text_cols]
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in text_cols]))
-    return df.select(*keep, fields.alias("f")).select(*keep, "f.field", F.explode(matches(F.col("f.text"))).alias("m")).select(*keep, "field", "m.category", "m.snippet")
+    return (
+        df
+        .select(*keep, fields.alias("f"))
+        .select(*keep, "f.field", F.explode(matches(F.col("f.text"))).alias("m"))
+        .select(*keep, "field", "m.category", "m.snippet")
+    )
 
 
 def scan_report(found: DataFrame) -> DataFrame:
@@ -74,7 +79,15 @@ def scan_report(found: DataFrame) -> DataFrame:
     order = W.partitionBy("category").orderBy("session_id", "step_index", "field", "snippet")
     snippet = F.when(F.length("snippet") > 40, F.concat(F.substring("snippet", 1, 40), F.lit("…"))).otherwise(F.col("snippet"))
     totals = found.groupBy("category").agg(F.count(F.lit(1)).alias("hits"))
-    few = found.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")  # Spark keeps three rows of a category and partition before they are shuffled
+    few = (
+        found
+        .withColumn("rn", F.row_number().over(order))
+        .filter("rn <= 3")  # Spark keeps three rows of a category and partition before they are shuffled
+    )
     first = F.transform(F.array_sort(F.collect_list(F.struct("rn", (F.col("step_index") + 1).alias("step")))), lambda x: x["step"])
     few = few.groupBy("category").agg(F.array_join(first, ",").alias("first_steps"), F.min_by(snippet, "rn").alias("first_snippet"))
-    return totals.join(few, "category").select("category", "hits", "first_steps", F.greatest(F.col("hits") - 3, F.lit(0)).alias("more"), "first_snippet")
+    return (
+        totals
+        .join(few, "category")
+        .select("category", "hits", "first_steps", F.greatest(F.col("hits") - 3, F.lit(0)).alias("more"), "first_snippet")
+    )

@@ -74,7 +74,11 @@ def detail(kind: Column, text: Column, tool: Column, call_id: Column, input_text
     """The full text of a step; tool steps have a fixed layout."""
     head = F.concat(F.lit("Tool: "), F.coalesce(tool, F.lit("(unknown)")), F.lit("\nID: "), call_id, F.lit("\n\n"))
     given = F.coalesce(F.concat(F.lit("Input:\n"), input_text, F.lit("\n\n")), F.lit(""))
-    return F.when(kind.isin("user_text", "assistant_text"), text).when(kind == "tool_use", F.concat(head, F.lit("Input:\n"), input_text)).otherwise(F.concat(head, given, F.lit("Result:\n"), result))
+    return (
+        F.when(kind.isin("user_text", "assistant_text"), text)
+        .when(kind == "tool_use", F.concat(head, F.lit("Input:\n"), input_text))
+        .otherwise(F.concat(head, given, F.lit("Result:\n"), result))
+    )
 
 
 def is_error(kind: Column, detail_text: Column) -> Column:
@@ -85,7 +89,12 @@ def is_error(kind: Column, detail_text: Column) -> Column:
     for mark in ERROR_MARKS:
         marks = marks | F.contains(text, F.lit(mark))
     codes = F.regexp_extract_all(text, F.lit(r"(?:exit code |process exited with code )([0-9]+)"), F.lit(1))
-    coded = F.exists(codes, lambda c: c.rlike("[1-9]") & (F.length(F.regexp_replace(c, "^0+", "")) <= 10) & (F.regexp_replace(c, "^0+", "").cast("decimal(20,0)") <= 4294967295))
+    coded = F.exists(
+        codes,
+        lambda c: (
+            c.rlike("[1-9]") & (F.length(F.regexp_replace(c, "^0+", "")) <= 10) & (F.regexp_replace(c, "^0+", "").cast("decimal(20,0)") <= 4294967295)
+        ),
+    )
     return (kind == "tool_result") & (marks | coded)
 
 
@@ -109,7 +118,12 @@ def with_cost(steps: DataFrame) -> DataFrame:
     )
     used = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("tokens_in", "tokens_out", "cache_read", "cache_create")]) > 0
     joined = steps.join(p, F.lower(steps["model"]) == p["name"], "left")
-    return joined.withColumn("cost_nano", F.when(F.col("name").isNotNull() & used, cost)).withColumn("cost_usd", F.col("cost_nano") / 1e9).drop("name", "rate_in", "rate_out", "rate_read", "rate_create")
+    return (
+        joined
+        .withColumn("cost_nano", F.when(F.col("name").isNotNull() & used, cost))
+        .withColumn("cost_usd", F.col("cost_nano") / 1e9)
+        .drop("name", "rate_in", "rate_out", "rate_read", "rate_create")
+    )
 
 
 def iso_millis(text: Column) -> Column:
@@ -125,7 +139,10 @@ def input_section(text: Column) -> Column:
     at = F.locate("\nInput:\n", text)
     rest = F.substring(text, at + 8, F.length(text))
     result, blank = F.locate("\n\nResult:\n", rest), F.locate("\n\n", rest)
-    return F.when(at > 0, F.when(result > 0, F.substring(rest, F.lit(1), result - 1)).when(blank > 0, F.substring(rest, F.lit(1), blank - 1)).otherwise(rest))
+    return F.when(
+        at > 0,
+        F.when(result > 0, F.substring(rest, F.lit(1), result - 1)).when(blank > 0, F.substring(rest, F.lit(1), blank - 1)).otherwise(rest),
+    )
 
 
 def result_section(text: Column) -> Column:
@@ -141,7 +158,11 @@ def shell_command(tool: Column, input_text: Column) -> Column:
 
 def format_duration(ms: Column) -> Column:
     """Milliseconds, or tenths of seconds or minutes, rounded half up."""
-    tenths = lambda unit, name: F.format_string(f"%d.%d{name}", F.floor(F.floor((ms + unit // 20) / (unit // 10)) / 10), F.floor((ms + unit // 20) / (unit // 10)) % 10)
+    tenths = lambda unit, name: F.format_string(
+        f"%d.%d{name}",
+        F.floor(F.floor((ms + unit // 20) / (unit // 10)) / 10),
+        F.floor((ms + unit // 20) / (unit // 10)) % 10,
+    )
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, tenths(1000, "s")).when(ms >= 60000, tenths(60000, "m"))
 
 
@@ -149,7 +170,15 @@ def relative_time(seconds: Column, now: Column) -> Column:
     """How long ago a time is; now is a parameter."""
     d = now - seconds
     unit = lambda size, name: F.concat(F.floor(d / size).cast("string"), F.lit(f"{name} ago"))
-    return F.when(d.isNull(), "?").when(d < 0, "future").when(d < 60, "just now").when(d < 3600, unit(60, "m")).when(d < 86400, unit(3600, "h")).when(d < 2592000, unit(86400, "d")).otherwise(unit(2592000, "mo"))
+    return (
+        F.when(d.isNull(), "?")
+        .when(d < 0, "future")
+        .when(d < 60, "just now")
+        .when(d < 3600, unit(60, "m"))
+        .when(d < 86400, unit(3600, "h"))
+        .when(d < 2592000, unit(86400, "d"))
+        .otherwise(unit(2592000, "mo"))
+    )
 
 
 @F.pandas_udf(T.StringType())

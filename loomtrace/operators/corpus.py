@@ -59,20 +59,43 @@ def totals(sessions: DataFrame, errors: DataFrame | None = None, filtered_out: C
     """One row: sessions, steps, tokens, cost (null if none is known), filtered-out sessions."""
     out = F.lit(False) if filtered_out is None else filtered_out
     kept = ~out
-    sums = [F.coalesce(F.sum(F.when(kept, F.col(c))), F.lit(0)).alias(c) for c in ("step_count", "tokens_in", "tokens_out", "cache_read", "cache_create")]
-    row = sessions.agg(F.count_if(kept).alias("session_count"), F.count_if(out).alias("filtered_out_count"), *sums, F.sum(F.when(kept, F.col("cost_usd"))).alias("cost_usd"), F.coalesce(F.sum(F.when(kept, F.col("error_count"))), F.lit(0)).alias("error_count"))
+    sums = [
+        F.coalesce(F.sum(F.when(kept, F.col(c))), F.lit(0)).alias(c) for c in ("step_count", "tokens_in", "tokens_out", "cache_read", "cache_create")
+    ]
+    row = sessions.agg(
+        F.count_if(kept).alias("session_count"),
+        F.count_if(out).alias("filtered_out_count"),
+        *sums,
+        F.sum(F.when(kept, F.col("cost_usd"))).alias("cost_usd"),
+        F.coalesce(F.sum(F.when(kept, F.col("error_count"))), F.lit(0)).alias("error_count"),
+    )
     return row if errors is None else row.join(errors.agg(F.count(F.lit(1)).alias("parse_errors")))
 
 
 def model_buckets(sessions: DataFrame) -> DataFrame:
     """A session's whole tokens and cost count for every model it used."""
     rows = sessions.withColumn("model", F.explode("models"))
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("session_count"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd")).orderBy(F.desc("session_count"), "model")
+    return (
+        rows
+        .groupBy("model")
+        .agg(
+            F.count(F.lit(1)).alias("session_count"),
+            F.sum("tokens_in").alias("tokens_in"),
+            F.sum("tokens_out").alias("tokens_out"),
+            F.sum("cost_usd").alias("cost_usd"),
+        )
+        .orderBy(F.desc("session_count"), "model")
+    )
 
 
 def tool_buckets(stats: DataFrame) -> DataFrame:
     """Uses, errors and sessions of each tool; tools known from results alone count."""
-    return stats.groupBy("tool_name").agg(F.sum("use_count").alias("use_count"), F.sum("error_count").alias("error_count"), F.count(F.lit(1)).alias("session_count")).orderBy(F.desc("use_count"), "tool_name")
+    return (
+        stats
+        .groupBy("tool_name")
+        .agg(F.sum("use_count").alias("use_count"), F.sum("error_count").alias("error_count"), F.count(F.lit(1)).alias("session_count"))
+        .orderBy(F.desc("use_count"), "tool_name")
+    )
 
 
 def top_buckets(buckets: DataFrame, n: int = 10) -> DataFrame:
@@ -110,7 +133,12 @@ def distributions(sessions: DataFrame, measures: dict[str, Column]) -> DataFrame
             if count:
                 wanted.setdefault(before + max(1, math.ceil(count * p)) - 1, []).append(f"{n}_{q}")
         before += count
-    values = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_{n}").alias("value")) for i, n in enumerate(measures)])).alias("v")).select("v.*").filter("value is not null")
+    values = (
+        rows
+        .select(F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_{n}").alias("value")) for i, n in enumerate(measures)])).alias("v"))
+        .select("v.*")
+        .filter("value is not null")
+    )
     picked = {}
     if wanted:
         for r in numbered(values, F.col("m"), F.col("value")).filter(F.col("place").isin(*wanted)).collect():  # three a measure
@@ -122,7 +150,10 @@ def distributions(sessions: DataFrame, measures: dict[str, Column]) -> DataFrame
 
 def trajectory_stats(sessions: DataFrame) -> DataFrame:
     calls = F.aggregate("tool_stats", F.lit(0).cast("long"), lambda a, t: a + t["use_count"])
-    return distributions(sessions, {"steps": F.col("step_count"), "tool_calls": calls, "tokens_in": F.col("tokens_in"), "tokens_out": F.col("tokens_out")})
+    return distributions(
+        sessions,
+        {"steps": F.col("step_count"), "tool_calls": calls, "tokens_in": F.col("tokens_in"), "tokens_out": F.col("tokens_out")},
+    )
 
 
 def fail_on_errored(sessions: DataFrame, parse_errors: int = 0) -> None:
@@ -142,7 +173,13 @@ def compare_tools(stats_a: DataFrame, stats_b: DataFrame) -> DataFrame:
     both = a.join(b, ["pair_id", "tool_name"], "full_outer")
     side = F.when(F.col("uses_a").isNull(), "b").when(F.col("uses_b").isNull(), "a").otherwise("both")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return both.select("pair_id", "tool_name", side.alias("side"), *[zero(c).alias(c) for c in ("uses_a", "uses_b", "errors_a", "errors_b")], (zero("uses_b") - zero("uses_a")).alias("delta"))
+    return both.select(
+        "pair_id",
+        "tool_name",
+        side.alias("side"),
+        *[zero(c).alias(c) for c in ("uses_a", "uses_b", "errors_a", "errors_b")],
+        (zero("uses_b") - zero("uses_a")).alias("delta"),
+    )
 
 
 def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -198,7 +235,13 @@ def align_sessions(steps: DataFrame, pairs: DataFrame) -> DataFrame:
     Two sessions travel as arrays in one row; a pair costs time with the product of their lengths, and memory with the
     length of one and the square root of the other's.
     """
-    signed = steps.select("session_id", F.struct("step_index", F.concat_ws("\x1f", "kind", F.coalesce("tool_name", F.lit("\x1e"))).alias("sig"), F.md5("detail").alias("d")).alias("s"))
+    signed = steps.select(
+        "session_id",
+        (
+            F.struct("step_index", F.concat_ws("\x1f", "kind", F.coalesce("tool_name", F.lit("\x1e"))).alias("sig"), F.md5("detail").alias("d"))
+            .alias("s")
+        ),
+    )
     arrays = signed.groupBy("session_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     side = lambda name: arrays.select(F.col("session_id").alias(f"{name}_id"), F.col("s.sig").alias(f"{name}_sig"), F.col("s.d").alias(f"{name}_d"))
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("pair_id", "left_sig", "left_d", "right_sig", "right_d")
@@ -208,7 +251,15 @@ def align_sessions(steps: DataFrame, pairs: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 rows = align(list(r.left_sig), list(r.right_sig))
                 kind = ["left_only" if j is None else "right_only" if i is None else "match" if r.left_d[i] == r.right_d[j] else "differ" for i, j in rows]
-                yield pd.DataFrame({"pair_id": r.pair_id, "row_no": range(len(rows)), "left_idx": pd.array([i for i, _ in rows], "Int32"), "right_idx": pd.array([j for _, j in rows], "Int32"), "align_kind": kind})
+                yield pd.DataFrame(
+                    {
+                        "pair_id": r.pair_id,
+                        "row_no": range(len(rows)),
+                        "left_idx": pd.array([i for i, _ in rows], "Int32"),
+                        "right_idx": pd.array([j for _, j in rows], "Int32"),
+                        "align_kind": kind,
+                    }
+                )
 
     return both.mapInPandas(run, ALIGNED)
 
@@ -255,7 +306,11 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.
     places: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         places.setdefault(-1 if v is None else len(v), []).append(i)
-    return table.column("id").to_numpy(), {n: (np.array(own), np.array([vectors[i] for i in own], float).reshape(len(own), -1)) for n, own in places.items()}
+    return (
+        table
+        .column("id")
+        .to_numpy(), {n: (np.array(own), np.array([vectors[i] for i in own], float).reshape(len(own), -1)) for n, own in places.items()}
+    )
 
 
 def _best(queries: bytes, rows: bytes, top: int, least: float) -> Iterator[tuple[int, int, float]]:
@@ -305,10 +360,24 @@ def upsert_notes(edits: DataFrame) -> DataFrame:
     A note is created when it appears after nothing or a deletion, and updated at its last change.
     """
     w = W.partitionBy("session_id", "step_index").orderBy("at_ms")
-    rows = edits.withColumn("text", F.trim("text")).withColumn("same", F.col("text").eqNullSafe(F.lag("text").over(w))).filter("not same").drop("same")
-    rows = rows.withColumn("life", F.sum(F.when(F.col("text") == "", 1).otherwise(0)).over(w)).withColumn("last_life", F.max("life").over(W.partitionBy("session_id", "step_index")))
+    rows = (
+        edits
+        .withColumn("text", F.trim("text"))
+        .withColumn("same", F.col("text").eqNullSafe(F.lag("text").over(w)))
+        .filter("not same")
+        .drop("same")
+    )
+    rows = (
+        rows
+        .withColumn("life", F.sum(F.when(F.col("text") == "", 1).otherwise(0)).over(w))
+        .withColumn("last_life", F.max("life").over(W.partitionBy("session_id", "step_index")))
+    )
     left = rows.filter("life = last_life and text <> ''")
-    return left.groupBy("session_id", "step_index").agg(F.max_by("text", "at_ms").alias("text"), F.min("at_ms").alias("created_at_ms"), F.max("at_ms").alias("updated_at_ms"))
+    return (
+        left
+        .groupBy("session_id", "step_index")
+        .agg(F.max_by("text", "at_ms").alias("text"), F.min("at_ms").alias("created_at_ms"), F.max("at_ms").alias("updated_at_ms"))
+    )
 
 
 def with_notes(steps: DataFrame, notes: DataFrame) -> DataFrame:

@@ -41,7 +41,18 @@ def step_counts(steps: DataFrame) -> DataFrame:
 def session_totals(steps: DataFrame) -> DataFrame:
     """Token sums (null counts as 0), cost (null if none is known), steps and fork roots per session."""
     tokens = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "cache_read", "cache_create")]
-    return with_cost(steps).groupBy("session_id").agg(F.first("format").alias("format"), F.count(F.lit(1)).alias("step_count"), *tokens, (F.sum("cost_nano") / 1e9).alias("cost_usd"), F.count_if("is_fork_root").alias("fork_root_count"), F.max("timestamp_ms").alias("last_ms"))
+    return (
+        with_cost(steps)
+        .groupBy("session_id")
+        .agg(
+            F.first("format").alias("format"),
+            F.count(F.lit(1)).alias("step_count"),
+            *tokens,
+            (F.sum("cost_nano") / 1e9).alias("cost_usd"),
+            F.count_if("is_fork_root").alias("fork_root_count"),
+            F.max("timestamp_ms").alias("last_ms"),
+        )
+    )
 
 
 def fork_root_indices(steps: DataFrame) -> DataFrame:
@@ -60,7 +71,11 @@ def tool_stats(steps: DataFrame) -> DataFrame:
     """Per session and tool: uses, results, errors, both error rates; steps without a tool don't count."""
     by = steps.filter("tool_name is not null").groupBy("session_id", "tool_name")
     errors = F.count_if(is_error(F.col("kind"), F.col("detail")))
-    stats = by.agg(F.count_if(F.col("kind") == "tool_use").alias("use_count"), F.count_if(F.col("kind") == "tool_result").alias("result_count"), errors.alias("error_count"))
+    stats = by.agg(
+        F.count_if(F.col("kind") == "tool_use").alias("use_count"),
+        F.count_if(F.col("kind") == "tool_result").alias("result_count"),
+        errors.alias("error_count"),
+    )
     rate = lambda n: F.when(F.col(n) > 0, F.col("error_count") / F.col(n))
     return stats.withColumn("error_rate", rate("result_count")).withColumn("error_rate_of_uses", rate("use_count"))
 
@@ -86,7 +101,15 @@ def sessions(steps: DataFrame, notes: DataFrame | None = None, mtimes: DataFrame
         F.count_if(is_error(F.col("kind"), F.col("detail"))).alias("error_count"),
         F.min("step_index").alias("first_step"),
     )
-    tool = F.when(F.col("tool_name").isNotNull(), F.struct(F.col("tool_name").alias("name"), F.col("n_tool_use").alias("use_count"), F.col("n_tool_result").alias("result_count"), "error_count"))
+    tool = F.when(
+        F.col("tool_name").isNotNull(),
+        F.struct(
+            F.col("tool_name").alias("name"),
+            F.col("n_tool_use").alias("use_count"),
+            F.col("n_tool_result").alias("result_count"),
+            "error_count",
+        ),
+    )
     model = F.when(F.col("model").isNotNull(), F.struct("first_step", "model"))
     sums = ("step_count", *counters, "fork_root_count", *[f"n_{k}" for k in KINDS])
     whole = counted.groupBy("session_id").agg(
@@ -102,11 +125,22 @@ def sessions(steps: DataFrame, notes: DataFrame | None = None, mtimes: DataFrame
     def of_tool(name: Column) -> Column:
         own = F.filter("tools", lambda t: t["name"] == name)
         total = lambda c: F.aggregate(own, F.lit(0).cast("long"), lambda a, t: a + t[c])
-        return F.struct((-total("use_count")).alias("o"), name.alias("name"), *[total(c).alias(c) for c in ("use_count", "result_count", "error_count")])
+        return F.struct(
+            (-total("use_count")).alias("o"),
+            name.alias("name"),
+            *[total(c).alias(c) for c in ("use_count", "result_count", "error_count")],
+        )
 
     names = F.array_distinct(F.transform("tools", lambda t: t["name"]))
-    stats = F.transform(F.array_sort(F.transform(names, of_tool)), lambda t: F.struct(*[t[c].alias(c) for c in ("name", "use_count", "result_count", "error_count")]))
-    out = whole.withColumns({"tool_stats": stats.cast(TOOL_STATS), "models": F.array_distinct(F.transform("seen", lambda x: x["model"]))}).drop("tools", "seen")
+    stats = F.transform(
+        F.array_sort(F.transform(names, of_tool)),
+        lambda t: F.struct(*[t[c].alias(c) for c in ("name", "use_count", "result_count", "error_count")]),
+    )
+    out = (
+        whole
+        .withColumns({"tool_stats": stats.cast(TOOL_STATS), "models": F.array_distinct(F.transform("seen", lambda x: x["model"]))})
+        .drop("tools", "seen")
+    )
     if notes is not None:
         counts = notes.groupBy("session_id").agg(F.count(F.lit(1)).alias("annotation_count"))
         out = out.join(counts, "session_id", "left").withColumn("annotation_count", F.coalesce("annotation_count", F.lit(0)))
@@ -117,7 +151,12 @@ def sessions(steps: DataFrame, notes: DataFrame | None = None, mtimes: DataFrame
 
 def first_labels(steps: DataFrame, n: int = 20) -> DataFrame:
     """The first n labels of each session, in order."""
-    return steps.filter(F.col("step_index") < n).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_index", "label"))), lambda x: x["label"]).alias("labels"))
+    return (
+        steps
+        .filter(F.col("step_index") < n)
+        .groupBy("session_id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("step_index", "label"))), lambda x: x["label"]).alias("labels"))
+    )
 
 
 def top_tools(steps: DataFrame, n: int = 8) -> DataFrame:
@@ -129,7 +168,12 @@ def recent_errors(steps: DataFrame, n: int = 5) -> DataFrame:
     """The last n error results of each session, newest first, orphans included."""
     order = W.partitionBy("session_id").orderBy(F.desc("step_index"))
     found = steps.filter(is_error(F.col("kind"), F.col("detail")))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("session_id", "step_index", "tool_name", F.substring("detail", 1, 200).alias("preview"), "rank")
+    return (
+        found
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= n)
+        .select("session_id", "step_index", "tool_name", F.substring("detail", 1, 200).alias("preview"), "rank")
+    )
 
 
 # windows
@@ -138,13 +182,24 @@ def recent_errors(steps: DataFrame, n: int = 5) -> DataFrame:
 def tool_density(steps: DataFrame, reach: int = 5) -> DataFrame:
     """Tool steps within reach rows either way, and the heat bucket (0 to 5) of that number."""
     near = F.count(F.when(F.col("kind").isin("tool_use", "tool_result"), 1)).over(in_session().rowsBetween(-reach, reach))
-    bucket = F.when(F.col("density") == 0, 0).when(F.col("density") <= 2, 1).when(F.col("density") <= 4, 2).when(F.col("density") <= 7, 3).when(F.col("density") <= 10, 4).otherwise(5)
+    bucket = (
+        F.when(F.col("density") == 0, 0)
+        .when(F.col("density") <= 2, 1)
+        .when(F.col("density") <= 4, 2)
+        .when(F.col("density") <= 7, 3)
+        .when(F.col("density") <= 10, 4)
+        .otherwise(5)
+    )
     return steps.select("session_id", "step_index", "kind").withColumn("density", near).withColumn("bucket", bucket)
 
 
 def parallel_batches(steps: DataFrame) -> DataFrame:
     """in_batch: the step belongs to two or more consecutive tool steps of its kind."""
-    rows = steps.select("session_id", "step_index", "kind").withColumn("island", F.sum(F.when(F.col("kind").eqNullSafe(F.lag("kind").over(in_session())), 0).otherwise(1)).over(in_session()))
+    rows = (
+        steps
+        .select("session_id", "step_index", "kind")
+        .withColumn("island", F.sum(F.when(F.col("kind").eqNullSafe(F.lag("kind").over(in_session())), 0).otherwise(1)).over(in_session()))
+    )
     size = F.count(F.lit(1)).over(W.partitionBy("session_id", "island"))
     return rows.withColumn("in_batch", F.col("kind").isin("tool_use", "tool_result") & (size >= 2)).drop("island")
 
@@ -184,7 +239,10 @@ def parse_duration(text: str) -> int:
 
 def slice_time(steps: DataFrame, after_ms: int | None = None, before_ms: int | None = None) -> DataFrame:
     """Steps at an offset from the session's first known time (in order): from after_ms up to before_ms; sessions without times pass whole."""
-    anchor = F.first("timestamp_ms", ignorenulls=True).over(W.partitionBy("session_id").orderBy("step_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    anchor = (
+        F.first("timestamp_ms", ignorenulls=True)
+        .over(W.partitionBy("session_id").orderBy("step_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    )
     offset = F.greatest(F.col("timestamp_ms") - F.col("_anchor"), F.lit(0))
     inside = F.lit(True)
     inside = inside & (offset >= after_ms) if after_ms is not None else inside
@@ -195,8 +253,17 @@ def slice_time(steps: DataFrame, after_ms: int | None = None, before_ms: int | N
 
 def first_at(steps: DataFrame, offset_ms: int) -> DataFrame:
     """The first step, in order, at or after an offset from the session's first known time."""
-    anchor = F.first("timestamp_ms", ignorenulls=True).over(W.partitionBy("session_id").orderBy("step_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return steps.select("session_id", "step_index", "timestamp_ms", anchor.alias("a")).filter(F.col("timestamp_ms") >= F.col("a") + offset_ms).groupBy("session_id").agg(F.min("step_index").alias("step_index"))
+    anchor = (
+        F.first("timestamp_ms", ignorenulls=True)
+        .over(W.partitionBy("session_id").orderBy("step_index").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    )
+    return (
+        steps
+        .select("session_id", "step_index", "timestamp_ms", anchor.alias("a"))
+        .filter(F.col("timestamp_ms") >= F.col("a") + offset_ms)
+        .groupBy("session_id")
+        .agg(F.min("step_index").alias("step_index"))
+    )
 
 
 def label_filter(steps: DataFrame, query: str) -> DataFrame:
@@ -207,7 +274,12 @@ def search(steps: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """The first limit steps of each session with the text in label or detail."""
     q = F.lit(query.lower())
     found = steps.filter(F.contains(F.lower("label"), q) | F.contains(F.lower("detail"), q))
-    return found.withColumn("rank", F.row_number().over(in_session())).filter(F.col("rank") <= limit).select("session_id", "step_index", "kind", F.substring("detail", 1, 120).alias("preview"), "rank")
+    return (
+        found
+        .withColumn("rank", F.row_number().over(in_session()))
+        .filter(F.col("rank") <= limit)
+        .select("session_id", "step_index", "kind", F.substring("detail", 1, 120).alias("preview"), "rank")
+    )
 
 
 def conversation(steps: DataFrame) -> DataFrame:

@@ -39,7 +39,21 @@ def _place(mode: str) -> Query:
 
 def _listed(s: DataFrame) -> DataFrame:
     calls = F.aggregate("tool_stats", F.lit(0).cast("long"), lambda a, t: a + t["use_count"])
-    return s.select("session_id", "format", "step_count", "tokens_in", "tokens_out", "cache_read", "cache_create", "cost_usd", *[f"n_{k}" for k in ops.KINDS], F.array_join("models", ",").alias("models"), "error_count", calls.alias("tool_calls"), "mtime_secs")
+    return s.select(
+        "session_id",
+        "format",
+        "step_count",
+        "tokens_in",
+        "tokens_out",
+        "cache_read",
+        "cache_create",
+        "cost_usd",
+        *[f"n_{k}" for k in ops.KINDS],
+        F.array_join("models", ",").alias("models"),
+        "error_count",
+        calls.alias("tool_calls"),
+        "mtime_secs",
+    )
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -48,7 +62,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _forks(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    entries = e.select(F.col("event_id").alias("entry"), F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 300).alias("parent"), F.lit(True).alias("first"))
+    entries = e.select(
+        F.col("event_id").alias("entry"),
+        F.col("user_id").cast("string").alias("session_id"),
+        F.floor(F.col("event_id") / 300).alias("parent"),
+        F.lit(True).alias("first"),
+    )
     return ops.fork_flags(entries).select("entry", "session_id", "is_fork_root")
 
 
@@ -62,7 +81,11 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     """Alignment counts of every session with the next one by number."""
     steps = adapters.event_steps(spark, d)
     ids = steps.select("session_id").distinct()
-    pairs = ids.select(F.concat_ws(":", "session_id", (F.col("session_id").cast("long") + 1).cast("string")).alias("pair_id"), F.col("session_id").alias("left_id"), (F.col("session_id").cast("long") + 1).cast("string").alias("right_id"))
+    pairs = ids.select(
+        F.concat_ws(":", "session_id", (F.col("session_id").cast("long") + 1).cast("string")).alias("pair_id"),
+        F.col("session_id").alias("left_id"),
+        (F.col("session_id").cast("long") + 1).cast("string").alias("right_id"),
+    )
     return corpus.align_counts(corpus.align_sessions(steps, pairs))
 
 
@@ -81,7 +104,12 @@ def _nearest(spark: SparkSession, d: str) -> DataFrame:
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    edits = e.select(F.col("user_id").cast("string").alias("session_id"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("int").alias("step_index"), F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("text"), F.col("event_id").alias("at_ms"))
+    edits = e.select(
+        F.col("user_id").cast("string").alias("session_id"),
+        (F.get_json_object("props", "$.k").cast("long") % 5).cast("int").alias("step_index"),
+        F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("text"),
+        F.col("event_id").alias("at_ms"),
+    )
     return corpus.upsert_notes(edits)
 
 
@@ -98,7 +126,11 @@ def _ipv4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pii_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(0).alias("step_index"), F.col("text").alias("detail"))
+    docs = (
+        spark.read
+        .parquet(f"{d}/documents.parquet")
+        .select(F.col("doc_id").cast("string").alias("session_id"), F.lit(0).alias("step_index"), F.col("text").alias("detail"))
+    )
     return pii.scan_report(pii.scan_pii(docs, "detail"))
 
 
@@ -140,10 +172,28 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     """The corpus document of errored sessions, with files that can't be parsed, read back."""
     sessions, errors = ops.sessions(adapters.event_steps(spark, d)), _parse_errors(spark, d)
     got = export.corpus_document(sessions, errors, corpus.matches(errored=True))
-    whole = ("file_count", "parse_success_count", "parse_error_count", "filtered_out_count", "total_steps", "total_tokens_in", "total_tokens_out", "total_cache_read", "total_cache_create")
+    whole = (
+        "file_count",
+        "parse_success_count",
+        "parse_error_count",
+        "filtered_out_count",
+        "total_steps",
+        "total_tokens_in",
+        "total_tokens_out",
+        "total_cache_read",
+        "total_cache_create",
+    )
     number = lambda name, kind="long": F.get_json_object("document", f"$.{name}").cast(kind).alias(name)
-    model = F.from_json(F.get_json_object("document", "$.per_model"), "array<struct<model: string, session_count: long, tokens_in: long, tokens_out: long>>")
-    return got.select(*map(number, whole), number("total_cost_usd", "double"), F.to_json(model).alias("per_model"), *[F.get_json_object("document", f"$.per_{x}").alias(f"per_{x}") for x in ("tool", "format")])
+    model = F.from_json(
+        F.get_json_object("document", "$.per_model"),
+        "array<struct<model: string, session_count: long, tokens_in: long, tokens_out: long>>",
+    )
+    return got.select(
+        *map(number, whole),
+        number("total_cost_usd", "double"),
+        F.to_json(model).alias("per_model"),
+        *[F.get_json_object("document", f"$.per_{x}").alias(f"per_{x}") for x in ("tool", "format")],
+    )
 
 
 def _session_lines(sessions: DataFrame) -> DataFrame:
@@ -155,7 +205,14 @@ def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
     def rows(events: DataFrame) -> DataFrame:
         p = adapters.event_parts(events)
         full = fs.detail(F.col("kind"), F.col("text"), F.col("tool_name"), F.col("tool_call_id"), F.col("input_text"), F.col("result_text"))
-        return p.select("session_id", F.col("event_id").alias("step_id"), F.timestamp_millis("timestamp_ms").alias("at"), "kind", full.alias("detail"), "tool_name")
+        return p.select(
+            "session_id",
+            F.col("event_id").alias("step_id"),
+            F.timestamp_millis("timestamp_ms").alias("at"),
+            "kind",
+            full.alias("detail"),
+            "tool_name",
+        )
 
     return live.event_stream(spark, d, rows)
 

@@ -12,7 +12,11 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _files(turns: DataFrame, line: Column, content: Column) -> DataFrame:
     """path and content: line of each turn, in order, as column `lines` of content."""
-    rows = turns.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), "role", "text"))).alias("turns"))
+    rows = (
+        turns
+        .groupBy(F.col("conv_id").cast("string").alias("path"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), "role", "text"))).alias("turns"))
+    )
     return rows.withColumn("lines", F.transform("turns", lambda t: t["line"])).select("path", content.alias("content"))
 
 
@@ -32,7 +36,14 @@ def generic(spark: SparkSession, d: str) -> DataFrame:
 def claude_code(spark: SparkSession, d: str) -> DataFrame:
     content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
     message = F.struct("role", content.alias("content"))
-    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat("conv_id", F.lit("-"), "turn").alias("uuid"), F.concat(F.lit("p"), "turn").alias("parentUuid"), message.alias("message")))
+    line = F.to_json(
+        F.struct(
+            F.col("role").alias("type"),
+            F.concat("conv_id", F.lit("-"), "turn").alias("uuid"),
+            F.concat(F.lit("p"), "turn").alias("parentUuid"),
+            message.alias("message"),
+        )
+    )
     return _files(_turns(spark, d), line, F.array_join("lines", "\n"))
 
 
@@ -49,9 +60,16 @@ def gemini(spark: SparkSession, d: str) -> DataFrame:
 
 def vercel_ai(spark: SparkSession, d: str) -> DataFrame:
     """Only the first user turn and the assistant's turns have a place in such a file."""
-    steps = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.to_json(F.struct(F.lit("continue").alias("stepType"), t["text"].alias("text"))))
+    steps = F.transform(
+        F.filter("turns", lambda t: t["role"] == "assistant"),
+        lambda t: F.to_json(F.struct(F.lit("continue").alias("stepType"), t["text"].alias("text"))),
+    )
     asked = F.to_json(F.struct(F.lit("user").alias("role"), _first_user().alias("content")))
-    return _files(_turns(spark, d), F.lit(None).cast("string"), F.concat(F.lit('{"finishReason":"stop","messages":['), asked, F.lit('],"steps":['), F.array_join(steps, ","), F.lit("]}")))
+    return _files(
+        _turns(spark, d),
+        F.lit(None).cast("string"),
+        F.concat(F.lit('{"finishReason":"stop","messages":['), asked, F.lit('],"steps":['), F.array_join(steps, ","), F.lit("]}")),
+    )
 
 
 def otel_json(spark: SparkSession, d: str) -> DataFrame:
@@ -64,12 +82,29 @@ def otel_json(spark: SparkSession, d: str) -> DataFrame:
 
 def langchain(spark: SparkSession, d: str) -> DataFrame:
     """As for vercel_ai: the root's question and a model run for each of the assistant's turns."""
-    start = lambda t: F.concat(F.lit("2024-01-01T00:"), F.lpad(F.floor(t["turn"] / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((t["turn"] % 60).cast("string"), 2, "0"))
+    start = lambda t: F.concat(
+        F.lit("2024-01-01T00:"),
+        F.lpad(F.floor(t["turn"] / 60).cast("string"), 2, "0"),
+        F.lit(":"),
+        F.lpad((t["turn"] % 60).cast("string"), 2, "0"),
+    )
     said = lambda t: F.array(F.array(F.struct(F.struct(F.struct(t["text"].alias("content")).alias("data")).alias("message"))))
-    run = lambda t: F.to_json(F.struct(F.lit("llm").alias("run_type"), F.lit("r").alias("id"), F.lit("model").alias("name"), start(t).alias("start_time"), F.struct(said(t).alias("generations")).alias("outputs")))
+    run = lambda t: F.to_json(
+        F.struct(
+            F.lit("llm").alias("run_type"),
+            F.lit("r").alias("id"),
+            F.lit("model").alias("name"),
+            start(t).alias("start_time"),
+            F.struct(said(t).alias("generations")).alias("outputs"),
+        )
+    )
     runs = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), run)
     inputs = F.to_json(F.struct(_first_user().alias("question")))
-    return _files(_turns(spark, d), F.lit(None).cast("string"), F.concat(F.lit('{"run_type":"chain","id":"root","inputs":'), inputs, F.lit(',"child_runs":['), F.array_join(runs, ","), F.lit("]}")))
+    return _files(
+        _turns(spark, d),
+        F.lit(None).cast("string"),
+        F.concat(F.lit('{"run_type":"chain","id":"root","inputs":'), inputs, F.lit(',"child_runs":['), F.array_join(runs, ","), F.lit("]}")),
+    )
 
 
 FILES = {"claude_code": claude_code, "codex": codex, "gemini": gemini, "vercel_ai": vercel_ai, "otel_json": otel_json, "langchain": langchain}
@@ -79,14 +114,30 @@ def event_files(spark: SparkSession, d: str) -> DataFrame:
     """A file per user with a line per event, of kinds that no parser knows; each 50th event is damaged."""
     e = spark.read.parquet(f"{d}/events.parquet")
     line = F.when(F.col("event_id") % 50 == 0, "{cut").otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), "event_id")))
-    rows = e.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    rows = (
+        e
+        .groupBy(F.col("user_id").cast("string").alias("path"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    )
     return rows.select("path", F.concat(F.lit('{"type":"assistant","message":{"content":[]}}\n'), F.array_join("lines", "\n")).alias("content"))
 
 
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     """A sidecar of notes per conversation, on each third turn; those of conversations with numbers divisible by 7 are damaged."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").filter("turn % 3 = 0")
-    note = F.struct(F.substring("text", 1, 20).alias("text"), F.col("turn").cast("long").alias("created_at_ms"), (F.col("turn") + 5).cast("long").alias("updated_at_ms"))
-    rows = turns.filter("text is not null").groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("string"), note)))).alias("notes"))
+    note = F.struct(
+        F.substring("text", 1, 20).alias("text"),
+        F.col("turn").cast("long").alias("created_at_ms"),
+        (F.col("turn") + 5).cast("long").alias("updated_at_ms"),
+    )
+    rows = (
+        turns
+        .filter("text is not null")
+        .groupBy("conv_id")
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("string"), note)))).alias("notes"))
+    )
     whole = F.to_json(F.struct(F.lit(1).alias("version"), F.concat(F.lit("conversation "), "conv_id").alias("path"), "notes"))
-    return rows.select(F.col("conv_id").cast("string").alias("path"), F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("{"), whole)).otherwise(whole).alias("content"))
+    return rows.select(
+        F.col("conv_id").cast("string").alias("path"),
+        F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("{"), whole)).otherwise(whole).alias("content"),
+    )

@@ -22,14 +22,25 @@ def _pick(names: tuple[str, ...], n):
 def event_parts(events: DataFrame) -> DataFrame:
     """Events as raw steps: session, position, kind, text or tool with call id, input and result, model and counters."""
     k = F.get_json_object("props", "$.k").cast("long")
-    kind = F.when(F.col("event_type") == "view", "user_text").when(F.col("event_type") == "signup", "assistant_text").when(F.col("event_type") == "click", "tool_use").otherwise("tool_result")
+    kind = (
+        F.when(F.col("event_type") == "view", "user_text")
+        .when(F.col("event_type") == "signup", "assistant_text")
+        .when(F.col("event_type") == "click", "tool_use")
+        .otherwise("tool_result")
+    )
     rows = events.select(
         F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("position"), "event_id", "event_type", kind.alias("kind"), k.alias("k"),
         F.floor(F.col("value")).cast("long").alias("v"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("timestamp_ms"),
     )
     said, asst, use, result = (F.col("kind") == x for x in ("user_text", "assistant_text", "tool_use", "tool_result"))
     text = F.when(said, F.concat(F.lit("please view item "), F.col("k"))).when(asst, F.concat(F.lit("signed up with plan "), F.col("k")))
-    outcome = F.when(F.col("event_type") == "error", F.when(F.col("k") % 2 == 0, F.concat(F.lit("Error: no item "), F.col("k"))).otherwise(F.concat(F.lit("exit code "), F.col("k") % 3))).otherwise(F.concat(F.lit("bought "), F.col("v")))
+    outcome = (
+        F.when(
+            F.col("event_type") == "error",
+            F.when(F.col("k") % 2 == 0, F.concat(F.lit("Error: no item "), F.col("k"))).otherwise(F.concat(F.lit("exit code "), F.col("k") % 3)),
+        )
+        .otherwise(F.concat(F.lit("bought "), F.col("v")))
+    )
     return rows.select(
         "session_id", "position", "event_id", "kind", text.alias("text"), F.when(use, _pick(TOOLS, F.col("k"))).alias("tool_name"),
         F.when(use | result, F.concat(F.lit("call-number-"), F.col("k"))).alias("tool_call_id"),
@@ -62,5 +73,14 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session per conversation; system turns are dropped, times and tools unknown."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role in ('user', 'assistant')")
     none = {n: F.lit(None).cast(t) for n, t in (x.split() for x in STEP_COLUMNS.split(", ")) if n in ("tool_name", "tool_call_id", "input_text", "result_text", "timestamp_ms", "model", "tokens_in", "tokens_out", "cache_read", "cache_create")}
-    parts = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("position"), F.concat("role", F.lit("_text")).alias("kind"), "text").withColumns(none)
+    parts = (
+        turns
+        .select(
+            F.col("conv_id").cast("string").alias("session_id"),
+            F.col("turn").alias("position"),
+            F.concat("role", F.lit("_text")).alias("kind"),
+            "text",
+        )
+        .withColumns(none)
+    )
     return finish(parts, "generic")

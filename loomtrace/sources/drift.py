@@ -31,34 +31,67 @@ def _items(column: str, path: str) -> Column:
 def _lined(files: DataFrame) -> DataFrame:
     """Lines of the two formats that have a JSON object a line: tag and section of what is unknown."""
     rows = files.filter(F.col("format").isin("claude_code", "codex"))
-    lines = rows.select("path", "format", F.posexplode(F.split("content", "\n")).alias("i", "line")).filter(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "")
-    lines = lines.select("path", "format", (F.col("i") + 1).alias("position"), F.expr("try_parse_json(line)").alias("m")).withColumn("type", text_at("m", "$.type"))
+    lines = (
+        rows
+        .select("path", "format", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+        .filter(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "")
+    )
+    lines = (
+        lines
+        .select("path", "format", (F.col("i") + 1).alias("position"), F.expr("try_parse_json(line)").alias("m"))
+        .withColumn("type", text_at("m", "$.type"))
+    )
     known = F.when(F.col("format") == "codex", F.col("type").isin(*KNOWN["codex"])).otherwise(F.col("type").isin(*KNOWN["claude_code"]))
     top = F.when(F.col("m").isNull(), "<malformed-json>").when(F.col("type").isNull(), "<no-type-field>").when(~known, F.col("type"))
     top = lines.select("path", "format", F.lit("top_level").alias("section"), top.alias("tag"), "position")
     payload = text_at("m", "$.payload.type")
-    payloads = lines.filter("format = 'codex' and type = 'response_item'").select("path", "format", F.lit("payload").alias("section"), payload.alias("tag"), "position").filter(~F.col("tag").isin(*KNOWN_PAYLOADS))
+    payloads = (
+        lines
+        .filter("format = 'codex' and type = 'response_item'")
+        .select("path", "format", F.lit("payload").alias("section"), payload.alias("tag"), "position")
+        .filter(~F.col("tag").isin(*KNOWN_PAYLOADS))
+    )
     item = lines.filter("format = 'claude_code'").select("path", "format", "type", "position", F.explode(_items("m", "$.message.content")).alias("x"))
     item = item.select("path", "format", F.lit("content_item").alias("section"), text_at("x", "$.type").alias("tag"), "position", "type")
-    unknown = F.when(F.col("type") == "user", ~F.col("tag").isin(*KNOWN_ITEMS["user"])).when(F.col("type") == "assistant", ~F.col("tag").isin(*KNOWN_ITEMS["assistant"]))
+    unknown = (
+        F.when(F.col("type") == "user", ~F.col("tag").isin(*KNOWN_ITEMS["user"]))
+        .when(F.col("type") == "assistant", ~F.col("tag").isin(*KNOWN_ITEMS["assistant"]))
+    )
     return top.unionByName(payloads).unionByName(item.filter(unknown).drop("type"))
 
 
 def _listed(files: DataFrame, fmt: str, items: Column, tag: str) -> DataFrame:
     rows = files.filter(F.col("format") == fmt).withColumn("v", F.expr("try_parse_json(content)"))
     rows = rows.select("path", "format", F.posexplode(items).alias("i", "x"))
-    return rows.select("path", "format", F.lit("top_level").alias("section"), text_at("x", tag).alias("tag"), (F.col("i") + 1).alias("position")).filter(~F.col("tag").isin(*KNOWN[fmt]))
+    return (
+        rows
+        .select("path", "format", F.lit("top_level").alias("section"), text_at("x", tag).alias("tag"), (F.col("i") + 1).alias("position"))
+        .filter(~F.col("tag").isin(*KNOWN[fmt]))
+    )
 
 
 def _spans(files: DataFrame) -> DataFrame:
     fmt = "otel_json"
     rows = files.filter(F.col("format") == fmt).withColumn("v", F.expr("try_parse_json(content)"))
-    rows = rows.select("path", F.posexplode(_items("v", "$.resourceSpans")).alias("a", "r")).select("path", "a", F.posexplode(_items("r", "$.scopeSpans")).alias("b", "s"))
+    rows = (
+        rows
+        .select("path", F.posexplode(_items("v", "$.resourceSpans")).alias("a", "r"))
+        .select("path", "a", F.posexplode(_items("r", "$.scopeSpans")).alias("b", "s"))
+    )
     rows = rows.select("path", "a", "b", F.posexplode(_items("s", "$.spans")).alias("c", "x"))
     rows = rows.withColumn("position", F.row_number().over(W.partitionBy("path").orderBy("a", "b", "c")))
-    named = F.filter(_items("x", "$.attributes"), lambda y: (F.try_variant_get(y, "$.key", "string") == "gen_ai.operation.name") & F.try_variant_get(y, "$.value.stringValue", "string").isNotNull())
+    named = F.filter(
+        _items("x", "$.attributes"),
+        lambda y: (
+            (F.try_variant_get(y, "$.key", "string") == "gen_ai.operation.name") & F.try_variant_get(y, "$.value.stringValue", "string").isNotNull()
+        ),
+    )
     operation = F.try_variant_get(F.get(named, F.size(named) - 1), "$.value.stringValue", "string")
-    return rows.select("path", F.lit(fmt).alias("format"), F.lit("top_level").alias("section"), operation.alias("tag"), "position").filter(~F.col("tag").isin(*KNOWN[fmt]))
+    return (
+        rows
+        .select("path", F.lit(fmt).alias("format"), F.lit("top_level").alias("section"), operation.alias("tag"), "position")
+        .filter(~F.col("tag").isin(*KNOWN[fmt]))
+    )
 
 
 def _runs(files: DataFrame) -> DataFrame:
@@ -72,7 +105,11 @@ def drift_report(detected: DataFrame) -> DataFrame:
 
     Files without anything unknown have no row; binary files have one, as they aren't looked into.
     """
-    binary = detected.filter("format = 'otel_proto'").select("path", "format", F.lit("top_level").alias("section"), F.lit("<binary-otlp-not-scanned>").alias("tag"), F.lit(0).alias("position"))
+    binary = (
+        detected
+        .filter("format = 'otel_proto'")
+        .select("path", "format", F.lit("top_level").alias("section"), F.lit("<binary-otlp-not-scanned>").alias("tag"), F.lit(0).alias("position"))
+    )
     parts = [
         _lined(detected), binary, _runs(detected), _spans(detected),
         _listed(detected, "gemini", _items("v", "$.messages"), "$.type"), _listed(detected, "generic", _items("v", "$.messages"), "$.role"), _listed(detected, "vercel_ai", _items("v", "$.steps"), "$.stepType"),

@@ -21,7 +21,11 @@ def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFram
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?|/+$", "")  # noqa: E731  without scheme and host
     depth = lambda c: F.size(F.filter(F.split(plain(c), "/"), lambda x: x != ""))
-    return files.filter(depth(F.col("path")) - depth(F.lit(folder)) <= max_depth).select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
+    return (
+        files
+        .filter(depth(F.col("path")) - depth(F.lit(folder)) <= max_depth)
+        .select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
+    )
 
 
 def detect(files: DataFrame) -> DataFrame:
@@ -35,7 +39,17 @@ def detect(files: DataFrame) -> DataFrame:
     has = lambda path, kind="variant": F.expr(f"try_variant_get(v, '$.{path}', '{kind}')").isNotNull()
     steps = F.expr("try_variant_get(v, '$.steps', 'array<variant>')")
     calls = F.expr("try_variant_get(v, '$.toolCalls', 'array<variant>')")
-    vercel = has("finishReason") | F.coalesce(F.exists(steps, lambda s: F.try_variant_get(s, "$.stepType", "variant").isNotNull()), F.lit(False)) | F.coalesce(F.exists(calls, lambda c: F.try_variant_get(c, "$.toolCallId", "variant").isNotNull() & F.try_variant_get(c, "$.toolName", "variant").isNotNull()), F.lit(False))
+    vercel = (
+        has("finishReason")
+        | F.coalesce(F.exists(steps, lambda s: F.try_variant_get(s, "$.stepType", "variant").isNotNull()), F.lit(False))
+        | F.coalesce(
+            F.exists(
+                calls,
+                lambda c: F.try_variant_get(c, "$.toolCallId", "variant").isNotNull() & F.try_variant_get(c, "$.toolName", "variant").isNotNull(),
+            ),
+            F.lit(False),
+        )
+    )
     first = F.get(F.filter(F.split("content", "\n"), lambda line: F.trim(line, F.lit(BLANK)) != ""), F.lit(0))
     kind = F.get_json_object(first, "$.type")
     fmt = (
@@ -49,13 +63,29 @@ def detect(files: DataFrame) -> DataFrame:
         .when(kind.isNotNull(), "claude_code")
     )
     rows = rows.withColumn("format", fmt)
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))), lambda x: F.trim(x["line"], F.lit(BLANK)) != "")
+    lines = F.filter(
+        F.transform(F.split("content", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))),
+        lambda x: F.trim(x["line"], F.lit(BLANK)) != "",
+    )
     bad_line = F.get(F.filter(lines, lambda x: ~_is_entry(F.try_parse_json(x["line"]), F.col("format"))), F.lit(0))["n"]
     listed = F.expr("try_variant_get(v, '$.messages', 'array<variant>')").isNotNull()
-    error = F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file"))).when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list")
-    error = error.when((F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(), "parsing run tree")
+    error = (
+        F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file")))
+        .when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list")
+    )
+    error = error.when(
+        (F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(),
+        "parsing run tree",
+    )
     rows = rows.withColumn("error", error)
-    return rows.withColumn("status", F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").when(F.col("error").isNotNull(), "error").otherwise("ok")).drop("bad_text")
+    return (
+        rows
+        .withColumn(
+            "status",
+            F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").when(F.col("error").isNotNull(), "error").otherwise("ok"),
+        )
+        .drop("bad_text")
+    )
 
 
 #: White space that may fill a blank line.
@@ -76,7 +106,9 @@ def parse_errors(files: DataFrame) -> DataFrame:
 
 def _parts(df: DataFrame) -> DataFrame:
     """Raw steps with all columns; missing ones are null."""
-    return df.select(*[(F.col(n) if n in df.columns else F.lit(False) if n == "is_fork_root" else F.lit(None)).cast(t).alias(n) for n, t in PARTS.items()])
+    return df.select(
+        *[(F.col(n) if n in df.columns else F.lit(False) if n == "is_fork_root" else F.lit(None)).cast(t).alias(n) for n, t in PARTS.items()],
+    )
 
 
 def _get(column: str, path: str, kind: str = "string"):
@@ -100,12 +132,41 @@ def generic(files: DataFrame) -> DataFrame:
     """OpenAI-style conversations: user, assistant and tool messages; results pair by id."""
     m = files.select(F.col("path").alias("session_id"), F.posexplode(_array("v", "messages")).alias("i", "m"))
     m = m.select("session_id", "i", "m", _get("m", "role").alias("role"), _content("m").alias("text"))
-    text = m.filter("role in ('user', 'assistant') and trim(text) <> ''").select("session_id", F.array("i", F.lit(0)).alias("position"), F.concat("role", F.lit("_text")).alias("kind"), "text", "i", "m", "role")
+    text = (
+        m
+        .filter("role in ('user', 'assistant') and trim(text) <> ''")
+        .select("session_id", F.array("i", F.lit(0)).alias("position"), F.concat("role", F.lit("_text")).alias("kind"), "text", "i", "m", "role")
+    )
     calls = m.filter("role = 'assistant'").select("session_id", "i", "m", F.posexplode(_array("m", "tool_calls")).alias("j", "c"))
-    use = calls.select("session_id", F.array(F.col("i"), F.col("j") + 1).alias("position"), F.lit("tool_use").alias("kind"), F.coalesce(_get("c", "function.name"), F.lit("")).alias("tool_name"), F.coalesce(_get("c", "id"), F.lit("")).alias("tool_call_id"), pretty_json(F.coalesce(_get("c", "function.arguments"), F.lit(""))).alias("input_text"), "i", "m", F.lit("assistant").alias("role"))
-    result = m.filter("role = 'tool'").select("session_id", F.array("i", F.lit(0)).alias("position"), F.lit("tool_result").alias("kind"), F.coalesce(_get("m", "tool_call_id"), F.lit("")).alias("tool_call_id"), F.col("text").alias("result_text"))
+    use = calls.select(
+        "session_id",
+        F.array(F.col("i"), F.col("j") + 1).alias("position"),
+        F.lit("tool_use").alias("kind"),
+        F.coalesce(_get("c", "function.name"), F.lit("")).alias("tool_name"),
+        F.coalesce(_get("c", "id"), F.lit("")).alias("tool_call_id"),
+        pretty_json(F.coalesce(_get("c", "function.arguments"), F.lit(""))).alias("input_text"),
+        "i",
+        "m",
+        F.lit("assistant").alias("role"),
+    )
+    result = (
+        m
+        .filter("role = 'tool'")
+        .select(
+            "session_id",
+            F.array("i", F.lit(0)).alias("position"),
+            F.lit("tool_result").alias("kind"),
+            F.coalesce(_get("m", "tool_call_id"), F.lit("")).alias("tool_call_id"),
+            F.col("text").alias("result_text"),
+        )
+    )
     said = text.unionByName(use, allowMissingColumns=True)
-    return _parts(_anchored(said, {"tokens_in": "usage.prompt_tokens", "tokens_out": "usage.completion_tokens", "cache_read": "usage.cached_tokens"}).unionByName(result, allowMissingColumns=True))
+    return _parts(
+        _anchored(said, {"tokens_in": "usage.prompt_tokens", "tokens_out": "usage.completion_tokens", "cache_read": "usage.cached_tokens"}).unionByName(
+            result,
+            allowMissingColumns=True,
+        )
+    )
 
 
 def _anchored(said: DataFrame, usage: dict[str, str], model: str = "model") -> DataFrame:
@@ -113,15 +174,39 @@ def _anchored(said: DataFrame, usage: dict[str, str], model: str = "model") -> D
     from pyspark.sql import Window as W
 
     first = (F.row_number().over(W.partitionBy("session_id", "i").orderBy("position")) == 1) & (F.col("role") == "assistant")
-    return said.withColumns({"model": F.when(first, _get("m", model)), **{n: F.when(first, _get("m", p, "bigint")) for n, p in usage.items()}}).drop("i", "m", "role")
+    return (
+        said
+        .withColumns({"model": F.when(first, _get("m", model)), **{n: F.when(first, _get("m", p, "bigint")) for n, p in usage.items()}})
+        .drop("i", "m", "role")
+    )
 
 
 def gemini(files: DataFrame) -> DataFrame:
     """Chats whose messages carry atomic tool calls; each call is a use and a result."""
     m = files.select(F.col("path").alias("session_id"), F.posexplode(_array("v", "messages")).alias("i", "m"))
-    m = m.select("session_id", "i", "m", _get("m", "type").alias("type"), _content("m", part="").alias("text"), iso_millis(_get("m", "timestamp")).alias("ts"))
+    m = m.select(
+        "session_id",
+        "i",
+        "m",
+        _get("m", "type").alias("type"),
+        _content("m", part="").alias("text"),
+        iso_millis(_get("m", "timestamp")).alias("ts"),
+    )
     role = F.when(F.col("type") == "gemini", "assistant").otherwise(F.col("type"))
-    text = m.filter("type in ('user', 'gemini') and trim(text) <> ''").select("session_id", F.array("i", F.lit(0), F.lit(0)).alias("position"), F.concat(role, F.lit("_text")).alias("kind"), "text", F.col("ts").alias("timestamp_ms"), "i", "m", role.alias("role"))
+    text = (
+        m
+        .filter("type in ('user', 'gemini') and trim(text) <> ''")
+        .select(
+            "session_id",
+            F.array("i", F.lit(0), F.lit(0)).alias("position"),
+            F.concat(role, F.lit("_text")).alias("kind"),
+            "text",
+            F.col("ts").alias("timestamp_ms"),
+            "i",
+            "m",
+            role.alias("role"),
+        )
+    )
     calls = m.filter("type = 'gemini'").select("session_id", "i", "m", "ts", F.posexplode(_array("m", "toolCalls")).alias("j", "c"))
     output = F.expr("try_variant_get(c, '$.result[0].functionResponse.response.output', 'string')")
     whole = F.expr("try_variant_get(c, '$.result', 'string')")
@@ -129,30 +214,91 @@ def gemini(files: DataFrame) -> DataFrame:
         "session_id", "i", "m", "j", F.coalesce(_get("c", "name"), F.lit("")).alias("tool_name"), F.coalesce(_get("c", "id"), F.lit("")).alias("tool_call_id"), pretty_json(F.coalesce(F.to_json(F.expr("try_variant_get(c, '$.args', 'variant')")), F.lit("null"))).alias("input_text"),
         F.coalesce(output, whole, pretty_json(F.to_json(F.expr("try_variant_get(c, '$.result', 'variant')"))), F.lit("")).alias("result"), F.coalesce(iso_millis(_get("c", "timestamp")), "ts").alias("timestamp_ms"), F.explode(F.array(F.lit("tool_use"), F.lit("tool_result"))).alias("kind"),
     )
-    both = both.withColumn("position", F.array(F.col("i"), F.col("j") + 1, (F.col("kind") == "tool_result").cast("int"))).withColumn("result_text", F.when(F.col("kind") == "tool_result", F.col("result"))).withColumn("role", F.lit("assistant")).drop("j", "result")
+    both = (
+        both
+        .withColumn("position", F.array(F.col("i"), F.col("j") + 1, (F.col("kind") == "tool_result").cast("int")))
+        .withColumn("result_text", F.when(F.col("kind") == "tool_result", F.col("result")))
+        .withColumn("role", F.lit("assistant"))
+        .drop("j", "result")
+    )
     said = text.unionByName(both, allowMissingColumns=True)
-    return _parts(_anchored(said, {"tokens_in": "usageMetadata.promptTokenCount", "tokens_out": "usageMetadata.candidatesTokenCount", "cache_read": "usageMetadata.cachedContentTokenCount"}))
+    return _parts(
+        _anchored(
+            said,
+            {
+                "tokens_in": "usageMetadata.promptTokenCount",
+                "tokens_out": "usageMetadata.candidatesTokenCount",
+                "cache_read": "usageMetadata.cachedContentTokenCount",
+            },
+        )
+    )
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    rows = files.select(F.col("path").alias("session_id"), F.posexplode(F.split("content", "\n")).alias("i", "line")).filter(F.trim("line", F.lit(BLANK)) != "")
+    rows = (
+        files
+        .select(F.col("path").alias("session_id"), F.posexplode(F.split("content", "\n")).alias("i", "line"))
+        .filter(F.trim("line", F.lit(BLANK)) != "")
+    )
     return rows.select("session_id", "i", F.expr("try_parse_json(line)").alias("m"))
 
 
 def codex(files: DataFrame) -> DataFrame:
     """Rollout lines: messages of users and assistants, function calls and their outputs, paired by call id."""
     items = _lines(files).filter(_get("m", "type") == "response_item")
-    items = items.select("session_id", "i", F.expr("try_variant_get(m, '$.payload', 'variant')").alias("p"), iso_millis(_get("m", "timestamp")).alias("timestamp_ms")).withColumn("type", _get("p", "type"))
+    items = (
+        items
+        .select(
+            "session_id",
+            "i",
+            F.expr("try_variant_get(m, '$.payload', 'variant')").alias("p"),
+            iso_millis(_get("m", "timestamp")).alias("timestamp_ms"),
+        )
+        .withColumn("type", _get("p", "type"))
+    )
     position = F.array("i").alias("position")
     texts = F.transform(_array("p", "content"), lambda x: F.try_variant_get(x, "$.text", "string"))
-    said = items.filter("type = 'message'").select("session_id", position, "timestamp_ms", _get("p", "role").alias("role"), F.array_join(texts, "\n").alias("text"), "p").filter("role in ('user', 'assistant') and trim(text) <> ''")
+    said = (
+        items
+        .filter("type = 'message'")
+        .select("session_id", position, "timestamp_ms", _get("p", "role").alias("role"), F.array_join(texts, "\n").alias("text"), "p")
+        .filter("role in ('user', 'assistant') and trim(text) <> ''")
+    )
     asst = F.col("role") == "assistant"
     number = lambda *keys: F.when(asst, F.coalesce(*[_get("p", f"usage.{k}", "bigint") for k in keys]))
-    said = said.withColumns({"kind": F.concat("role", F.lit("_text")), "model": F.when(asst, _get("p", "model")), "tokens_in": number("input_tokens", "prompt_tokens", "promptTokens"), "tokens_out": number("output_tokens", "completion_tokens", "completionTokens"), "cache_read": number("cached_tokens", "prompt_cache_read_tokens")}).drop("role", "p")
+    said = (
+        said
+        .withColumns(
+            {
+                "kind": F.concat("role", F.lit("_text")),
+                "model": F.when(asst, _get("p", "model")),
+                "tokens_in": number("input_tokens", "prompt_tokens", "promptTokens"),
+                "tokens_out": number("output_tokens", "completion_tokens", "completionTokens"),
+                "cache_read": number("cached_tokens", "prompt_cache_read_tokens"),
+            }
+        )
+        .drop("role", "p")
+    )
     call_id = F.coalesce(_get("p", "call_id"), F.lit("")).alias("tool_call_id")
-    use = items.filter("type = 'function_call'").select("session_id", position, "timestamp_ms", F.lit("tool_use").alias("kind"), F.coalesce(_get("p", "name"), F.lit("(unknown)")).alias("tool_name"), call_id, pretty_json(F.coalesce(_get("p", "arguments"), F.lit(""))).alias("input_text"))
+    use = (
+        items
+        .filter("type = 'function_call'")
+        .select(
+            "session_id",
+            position,
+            "timestamp_ms",
+            F.lit("tool_use").alias("kind"),
+            F.coalesce(_get("p", "name"), F.lit("(unknown)")).alias("tool_name"),
+            call_id,
+            pretty_json(F.coalesce(_get("p", "arguments"), F.lit(""))).alias("input_text"),
+        )
+    )
     output = F.coalesce(_get("p", "output"), F.to_json(F.expr("try_variant_get(p, '$.output', 'variant')")), F.lit("null"))
-    result = items.filter("type = 'function_call_output'").select("session_id", position, "timestamp_ms", F.lit("tool_result").alias("kind"), call_id, output.alias("result_text"))
+    result = (
+        items
+        .filter("type = 'function_call_output'")
+        .select("session_id", position, "timestamp_ms", F.lit("tool_result").alias("kind"), call_id, output.alias("result_text"))
+    )
     return _parts(said.unionByName(use, allowMissingColumns=True).unionByName(result, allowMissingColumns=True))
 
 
@@ -161,12 +307,26 @@ def claude_code(files: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     entries = _lines(files).withColumn("role", _get("m", "type")).filter("role in ('user', 'assistant')")
-    entries = entries.select("session_id", "i", "role", F.expr("try_variant_get(m, '$.message', 'variant')").alias("m"), iso_millis(_get("m", "timestamp")).alias("timestamp_ms"), _get("m", "parentUuid").alias("parent"))
+    entries = entries.select(
+        "session_id",
+        "i",
+        "role",
+        F.expr("try_variant_get(m, '$.message', 'variant')").alias("m"),
+        iso_millis(_get("m", "timestamp")).alias("timestamp_ms"),
+        _get("m", "parentUuid").alias("parent"),
+    )
     entries = entries.withColumn("forked", F.count(F.lit(1)).over(W.partitionBy("session_id", "parent")) > 1)
     text_item = F.expr("array(parse_json(to_json(named_struct('type', 'text', 'text', try_variant_get(m, '$.content', 'string')))))")
     items = F.coalesce(F.expr("try_variant_get(m, '$.content', 'array<variant>')"), text_item)
-    rows = entries.select("*", F.posexplode(items).alias("j", "c")).withColumn("type", _get("c", "type")).withColumn("text", F.when(F.col("type") == "text", _get("c", "text")))
-    kept = rows.filter("(type = 'text' and text is not null) or (type = 'tool_use' and role = 'assistant') or (type = 'tool_result' and role = 'user')")
+    rows = (
+        entries
+        .select("*", F.posexplode(items).alias("j", "c"))
+        .withColumn("type", _get("c", "type"))
+        .withColumn("text", F.when(F.col("type") == "text", _get("c", "text")))
+    )
+    kept = rows.filter(
+        "(type = 'text' and text is not null) or (type = 'tool_use' and role = 'assistant') or (type = 'tool_result' and role = 'user')"
+    )
     content = F.expr("try_variant_get(c, '$.content', 'array<variant>')")
     whole = pretty_json(F.when(content.isNotNull(), F.to_json(F.expr("try_variant_get(c, '$.content', 'variant')"))))
     result = F.coalesce(whole, _get("c", "content"), F.lit(""))
@@ -176,7 +336,17 @@ def claude_code(files: DataFrame) -> DataFrame:
         F.when(use, _get("c", "id")).when(res, _get("c", "tool_use_id")).alias("tool_call_id"), F.when(use, pretty_json(F.to_json(F.expr("try_variant_get(c, '$.input', 'variant')")))).alias("input_text"), F.when(res, result).alias("result_text"),
         (F.col("forked") & (F.row_number().over(W.partitionBy("session_id", "i").orderBy("j")) == 1)).alias("is_fork_root"),
     )
-    return _parts(_anchored(steps, {"tokens_in": "usage.input_tokens", "tokens_out": "usage.output_tokens", "cache_read": "usage.cache_read_input_tokens", "cache_create": "usage.cache_creation_input_tokens"}))
+    return _parts(
+        _anchored(
+            steps,
+            {
+                "tokens_in": "usage.input_tokens",
+                "tokens_out": "usage.output_tokens",
+                "cache_read": "usage.cache_read_input_tokens",
+                "cache_create": "usage.cache_creation_input_tokens",
+            },
+        )
+    )
 
 
 def vercel_ai(files: DataFrame) -> DataFrame:
@@ -184,18 +354,78 @@ def vercel_ai(files: DataFrame) -> DataFrame:
     roots = files.select(F.col("path").alias("session_id"), "v")
     users = F.filter(_array("v", "messages"), lambda x: F.try_variant_get(x, "$.role", "string") == "user")
     prompt = F.trim(F.coalesce(_get("v", "prompt"), F.try_variant_get(F.get(users, F.lit(0)), "$.content", "string"), F.lit("")))
-    asked = roots.select("session_id", F.array(F.lit(-1), F.lit(0), F.lit(0)).alias("position"), F.lit("user_text").alias("kind"), prompt.alias("text")).filter("text <> ''")
-    steps = roots.select("session_id", _get("v", "response.modelId").alias("root_model"), F.posexplode(F.coalesce(F.expr("try_variant_get(v, '$.steps', 'array<variant>')"), F.array("v"))).alias("i", "m"))
+    asked = (
+        roots
+        .select("session_id", F.array(F.lit(-1), F.lit(0), F.lit(0)).alias("position"), F.lit("user_text").alias("kind"), prompt.alias("text"))
+        .filter("text <> ''")
+    )
+    steps = roots.select(
+        "session_id",
+        _get("v", "response.modelId").alias("root_model"),
+        F.posexplode(F.coalesce(F.expr("try_variant_get(v, '$.steps', 'array<variant>')"), F.array("v"))).alias("i", "m"),
+    )
     steps = steps.withColumn("timestamp_ms", iso_millis(_get("m", "response.timestamp")))
     base = ["session_id", "i", "m", "root_model", "timestamp_ms"]
-    text = steps.select(*base, F.lit(0).alias("s"), F.lit(0).alias("j"), F.lit("assistant_text").alias("kind"), F.trim(F.coalesce(_get("m", "text"), F.lit(""))).alias("text")).filter("text <> ''")
+    text = (
+        steps
+        .select(
+            *base,
+            F.lit(0).alias("s"),
+            F.lit(0).alias("j"),
+            F.lit("assistant_text").alias("kind"),
+            F.trim(F.coalesce(_get("m", "text"), F.lit(""))).alias("text"),
+        )
+        .filter("text <> ''")
+    )
     json = lambda *names: pretty_json(F.coalesce(*[F.to_json(F.expr(f"try_variant_get(c, '$.{n}', 'variant')")) for n in names], F.lit("null")))
-    use = steps.select(*base, F.lit(1).alias("s"), F.posexplode(_array("m", "toolCalls")).alias("j", "c")).select(*base, "s", "j", F.lit("tool_use").alias("kind"), _get("c", "toolName").alias("tool_name"), F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"), json("args", "input").alias("input_text"))
+    use = (
+        steps
+        .select(*base, F.lit(1).alias("s"), F.posexplode(_array("m", "toolCalls")).alias("j", "c"))
+        .select(
+            *base,
+            "s",
+            "j",
+            F.lit("tool_use").alias("kind"),
+            _get("c", "toolName").alias("tool_name"),
+            F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"),
+            json("args", "input").alias("input_text"),
+        )
+    )
     shown = F.coalesce(_get("c", "result"), _get("c", "output"), json("result", "output"))
-    result = steps.select(*base, F.lit(2).alias("s"), F.posexplode(_array("m", "toolResults")).alias("j", "c")).select(*base, "s", "j", F.lit("tool_result").alias("kind"), _get("c", "toolName").alias("tool_name"), F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"), json("args", "input").alias("input_text"), shown.alias("result_text"))
-    said = text.unionByName(use, allowMissingColumns=True).unionByName(result, allowMissingColumns=True).withColumn("position", F.array("i", "s", "j")).withColumn("role", F.lit("assistant"))
+    result = (
+        steps
+        .select(*base, F.lit(2).alias("s"), F.posexplode(_array("m", "toolResults")).alias("j", "c"))
+        .select(
+            *base,
+            "s",
+            "j",
+            F.lit("tool_result").alias("kind"),
+            _get("c", "toolName").alias("tool_name"),
+            F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"),
+            json("args", "input").alias("input_text"),
+            shown.alias("result_text"),
+        )
+    )
+    said = (
+        text
+        .unionByName(use, allowMissingColumns=True)
+        .unionByName(result, allowMissingColumns=True)
+        .withColumn("position", F.array("i", "s", "j"))
+        .withColumn("role", F.lit("assistant"))
+    )
     model = F.col("root_model")
-    out = _anchored(said, {"tokens_in": "usage.promptTokens", "tokens_out": "usage.completionTokens", "_in": "usage.inputTokens", "_out": "usage.outputTokens", "cache_read": "usage.cachedInputTokens", "_any": "usage.totalTokens"}, "response.modelId")
+    out = _anchored(
+        said,
+        {
+            "tokens_in": "usage.promptTokens",
+            "tokens_out": "usage.completionTokens",
+            "_in": "usage.inputTokens",
+            "_out": "usage.outputTokens",
+            "cache_read": "usage.cachedInputTokens",
+            "_any": "usage.totalTokens",
+        },
+        "response.modelId",
+    )
     zero = (F.coalesce("tokens_in", "_in", F.lit(0)) + F.coalesce("tokens_out", "_out", F.lit(0))) == 0
     out = out.withColumns({"tokens_in": F.when(~zero, F.coalesce("tokens_in", "_in")), "tokens_out": F.when(~zero, F.coalesce("tokens_out", "_out"))})
     from pyspark.sql import Window as W
@@ -208,27 +438,83 @@ def otel_json(files: DataFrame) -> DataFrame:
     """OTel GenAI spans by start time: tool executions, and the numbered prompts and completions of other operations."""
     from pyspark.sql import Window as W
 
-    s = files.select(F.col("path").alias("session_id"), F.posexplode(_array("v", "resourceSpans")).alias("a", "r")).select("session_id", "a", F.posexplode(_array("r", "scopeSpans")).alias("b", "s")).select("session_id", "a", "b", F.posexplode(_array("s", "spans")).alias("c", "s"))
-    value = lambda x: F.coalesce(*[F.try_variant_get(x, f"$.value.{k}", "string") for k in ("stringValue", "intValue", "doubleValue", "boolValue")], F.lit(""))
-    attrs = F.transform(_array("s", "attributes"), lambda x: F.struct(F.coalesce(F.try_variant_get(x, "$.key", "string"), F.lit("")).alias("k"), value(x).alias("v")))
-    last = F.map_from_entries(F.filter(attrs, lambda x, i: ~F.exists(F.slice(attrs, i + 2, F.greatest(F.size(attrs), F.lit(1))), lambda y: y["k"] == x["k"])))
+    s = (
+        files
+        .select(F.col("path").alias("session_id"), F.posexplode(_array("v", "resourceSpans")).alias("a", "r"))
+        .select("session_id", "a", F.posexplode(_array("r", "scopeSpans")).alias("b", "s"))
+        .select("session_id", "a", "b", F.posexplode(_array("s", "spans")).alias("c", "s"))
+    )
+    value = lambda x: F.coalesce(
+        *[F.try_variant_get(x, f"$.value.{k}", "string") for k in ("stringValue", "intValue", "doubleValue", "boolValue")],
+        F.lit(""),
+    )
+    attrs = F.transform(
+        _array("s", "attributes"),
+        lambda x: F.struct(F.coalesce(F.try_variant_get(x, "$.key", "string"), F.lit("")).alias("k"), value(x).alias("v")),
+    )
+    last = F.map_from_entries(
+        F.filter(attrs, lambda x, i: ~F.exists(F.slice(attrs, i + 2, F.greatest(F.size(attrs), F.lit(1))), lambda y: y["k"] == x["k"]))
+    )
     start = F.coalesce(_get("s", "startTimeUnixNano", "bigint"), F.lit(0))
     s = s.select("session_id", "a", "b", "c", start.alias("ns"), last.alias("at")).filter(F.col("at")["gen_ai.operation.name"].isNotNull())
-    s = s.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("ns", "a", "b", "c"))).withColumn("timestamp_ms", F.when(F.col("ns") > 0, F.floor(F.col("ns") / 1000000)))
+    s = (
+        s
+        .withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("ns", "a", "b", "c")))
+        .withColumn("timestamp_ms", F.when(F.col("ns") > 0, F.floor(F.col("ns") / 1000000)))
+    )
     at = lambda k: F.col("at")[k]
     tool = s.filter(at("gen_ai.operation.name") == "execute_tool")
     base = ["session_id", "n", "timestamp_ms"]
-    named = [F.coalesce(at("gen_ai.tool.name"), F.lit("(unknown)")).alias("tool_name"), F.coalesce(at("gen_ai.tool.call.id"), F.lit("")).alias("tool_call_id"), pretty_json(F.coalesce(at("gen_ai.tool.call.arguments"), F.lit(""))).alias("input_text")]
+    named = [
+        F.coalesce(at("gen_ai.tool.name"), F.lit("(unknown)")).alias("tool_name"),
+        F.coalesce(at("gen_ai.tool.call.id"), F.lit("")).alias("tool_call_id"),
+        pretty_json(F.coalesce(at("gen_ai.tool.call.arguments"), F.lit(""))).alias("input_text"),
+    ]
     use = tool.select(*base, F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit("tool_use").alias("kind"), *named)
-    result = tool.filter(at("gen_ai.tool.call.result").isNotNull()).select(*base, F.lit(1).alias("x"), F.lit(0).alias("y"), F.lit("tool_result").alias("kind"), *named, at("gen_ai.tool.call.result").alias("result_text"))
+    result = (
+        tool
+        .filter(at("gen_ai.tool.call.result").isNotNull())
+        .select(
+            *base,
+            F.lit(1).alias("x"),
+            F.lit(0).alias("y"),
+            F.lit("tool_result").alias("kind"),
+            *named,
+            at("gen_ai.tool.call.result").alias("result_text"),
+        )
+    )
     pattern = r"^gen_ai\.(prompt|completion)\.([0-9]+)\.content$"
     chat = s.filter(at("gen_ai.operation.name") != "execute_tool").select("*", F.explode("at").alias("k", "text")).filter(F.col("k").rlike(pattern))
     section, number = F.regexp_extract("k", pattern, 1), F.regexp_extract("k", pattern, 2)
-    chat = chat.withColumns({"section": section, "y": number.cast("int"), "text": F.trim("text")}).withColumn("role", F.coalesce(F.col("at")[F.concat(F.lit("gen_ai."), section, F.lit("."), number, F.lit(".role"))], F.when(section == "prompt", "user").otherwise("assistant")))
+    chat = (
+        chat
+        .withColumns({"section": section, "y": number.cast("int"), "text": F.trim("text")})
+        .withColumn(
+            "role",
+            F.coalesce(
+                F.col("at")[F.concat(F.lit("gen_ai."), section, F.lit("."), number, F.lit(".role"))],
+                F.when(section == "prompt", "user").otherwise("assistant"),
+            ),
+        )
+    )
     chat = chat.filter("text <> '' and role in ('user', 'assistant')").withColumn("x", (F.col("section") == "completion").cast("int"))
     first = (F.col("section") == "completion") & (F.row_number().over(W.partitionBy("session_id", "n", "section").orderBy("y")) == 1)
-    chat = chat.select(*base, "x", "y", F.concat("role", F.lit("_text")).alias("kind"), "text", F.when(first, F.coalesce(at("gen_ai.response.model"), at("gen_ai.request.model"))).alias("model"), F.when(first, F.expr("try_cast(at['gen_ai.usage.input_tokens'] as bigint)")).alias("tokens_in"), F.when(first, F.expr("try_cast(at['gen_ai.usage.output_tokens'] as bigint)")).alias("tokens_out"))
-    return _parts(chat.unionByName(use, allowMissingColumns=True).unionByName(result, allowMissingColumns=True).withColumn("position", F.array("n", "x", "y").cast("array<int>")))
+    chat = chat.select(
+        *base,
+        "x",
+        "y",
+        F.concat("role", F.lit("_text")).alias("kind"),
+        "text",
+        F.when(first, F.coalesce(at("gen_ai.response.model"), at("gen_ai.request.model"))).alias("model"),
+        F.when(first, F.expr("try_cast(at['gen_ai.usage.input_tokens'] as bigint)")).alias("tokens_in"),
+        F.when(first, F.expr("try_cast(at['gen_ai.usage.output_tokens'] as bigint)")).alias("tokens_out"),
+    )
+    return _parts(
+        chat
+        .unionByName(use, allowMissingColumns=True)
+        .unionByName(result, allowMissingColumns=True)
+        .withColumn("position", F.array("n", "x", "y").cast("array<int>"))
+    )
 
 
 #: Formats whose results carry only a call id.

@@ -56,29 +56,62 @@ def langchain(files: DataFrame) -> DataFrame:
     just before isn't a call of the same tool.
     """
     runs = files.select(F.col("path").alias("session_id"), F.posexplode(run_list("content")).alias("n", "r")).select("session_id", "n", "r.*")
-    runs = runs.withColumns({c: F.expr(f"try_parse_json({c})") for c in ("inputs", "outputs", "extra")}).withColumn("timestamp_ms", iso_millis(F.col("start")))
+    runs = (
+        runs
+        .withColumns({c: F.expr(f"try_parse_json({c})") for c in ("inputs", "outputs", "extra")})
+        .withColumn("timestamp_ms", iso_millis(F.col("start")))
+    )
     batches = F.expr("try_variant_get(inputs, '$.messages', 'array<variant>')")
-    messages = F.flatten(F.transform(batches, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))))
-    human = F.filter(messages, lambda m: (F.try_variant_get(m, "$.type", "string") == "human") & F.try_variant_get(m, "$.data.content", "string").isNotNull())
+    messages = F.flatten(
+        F.transform(batches, lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.expr("cast(array() as array<variant>)")))
+    )
+    human = F.filter(
+        messages,
+        lambda m: (F.try_variant_get(m, "$.type", "string") == "human") & F.try_variant_get(m, "$.data.content", "string").isNotNull(),
+    )
     first_human = F.try_variant_get(F.get(human, F.lit(0)), "$.data.content", "string")
     asked = F.coalesce(*[text_at("inputs", f"$.{k}") for k in ("input", "question", "query", "prompt")], first_human)
-    user = runs.filter("n = 0").select("session_id", "timestamp_ms", F.lit("user_text").alias("kind"), asked.alias("text"), F.array(*[F.lit(-1)] * 3).alias("position")).filter("trim(text) <> ''")
+    user = (
+        runs
+        .filter("n = 0")
+        .select("session_id", "timestamp_ms", F.lit("user_text").alias("kind"), asked.alias("text"), F.array(*[F.lit(-1)] * 3).alias("position"))
+        .filter("trim(text) <> ''")
+    )
 
     order = W.partitionBy("session_id").orderBy(F.coalesce("timestamp_ms", F.lit(0)), "n")
     said = "$.generations[0][0].message.data"
     calls = F.coalesce(F.expr(f"try_variant_get(outputs, '{said}.tool_calls', 'array<variant>')"), F.expr("cast(array() as array<variant>)"))
-    runs = runs.withColumns({"k": F.row_number().over(order), "said": F.when(F.col("run_type").isin("chat_model", "llm"), text_at("outputs", f"{said}.content")), "calls": F.when(F.col("run_type").isin("chat_model", "llm"), calls)})
+    runs = runs.withColumns(
+        {
+            "k": F.row_number().over(order),
+            "said": F.when(F.col("run_type").isin("chat_model", "llm"), text_at("outputs", f"{said}.content")),
+            "calls": F.when(F.col("run_type").isin("chat_model", "llm"), calls),
+        }
+    )
     runs = runs.withColumn("said", F.when(F.trim("said") != "", F.col("said")))
     last_call = F.coalesce(F.try_variant_get(F.get("calls", F.size("calls") - 1), "$.name", "string"), F.lit("(unknown)"))
     emits = runs.filter("run_type = 'tool' or said is not null or size(calls) > 0")
     emits = emits.withColumn("before", F.lag(F.when(F.size("calls") > 0, last_call)).over(order))
     base = ["session_id", "k", "timestamp_ms"]
 
-    model = F.coalesce(text_at("outputs", "$.llm_output.model_name"), text_at("extra", "$.invocation_params.model_name"), text_at("extra", "$.invocation_params.model"))
+    model = F.coalesce(
+        text_at("outputs", "$.llm_output.model_name"),
+        text_at("extra", "$.invocation_params.model_name"),
+        text_at("extra", "$.invocation_params.model"),
+    )
     number = lambda *keys: F.coalesce(*[F.expr(f"try_variant_get(outputs, '$.llm_output.token_usage.{k}', 'bigint')") for k in keys])
-    usage = {"model": model, "tokens_in": number("prompt_tokens", "input_tokens"), "tokens_out": number("completion_tokens", "output_tokens"), "cache_read": number("prompt_cache_read", "cache_read_tokens")}
+    usage = {
+        "model": model,
+        "tokens_in": number("prompt_tokens", "input_tokens"),
+        "tokens_out": number("completion_tokens", "output_tokens"),
+        "cache_read": number("prompt_cache_read", "cache_read_tokens"),
+    }
     models = emits.filter("run_type <> 'tool'").withColumns(usage)
-    text = models.filter("said is not null").select(*base, F.lit("assistant_text").alias("kind"), F.col("said").alias("text"), F.lit(0).alias("j"), *usage)
+    text = (
+        models
+        .filter("said is not null")
+        .select(*base, F.lit("assistant_text").alias("kind"), F.col("said").alias("text"), F.lit(0).alias("j"), *usage)
+    )
     used = models.select(*base, "said", *usage, F.posexplode("calls").alias("c", "call"))
     anchor = (F.col("c") == 0) & F.col("said").isNull()
     used = used.select(
@@ -92,10 +125,23 @@ def langchain(files: DataFrame) -> DataFrame:
     )
 
     given = pretty_json(F.coalesce(_json_at("inputs", "$.input"), _json_at("inputs", "$.args"), F.to_json("inputs"), F.lit("null")))
-    got = F.coalesce(text_at("outputs", "$.output"), pretty_json(_json_at("outputs", "$.output")), text_at("outputs", "$"), F.when(F.is_variant_null("outputs"), "").otherwise(pretty_json(F.to_json("outputs"))))
+    got = F.coalesce(
+        text_at("outputs", "$.output"),
+        pretty_json(_json_at("outputs", "$.output")),
+        text_at("outputs", "$"),
+        F.when(F.is_variant_null("outputs"), "").otherwise(pretty_json(F.to_json("outputs"))),
+    )
     name = F.when(F.col("name") == "", "(unknown)").otherwise(F.col("name"))
-    tools = emits.filter("run_type = 'tool'").select(*base, name.alias("tool_name"), F.col("id").alias("tool_call_id"), given.alias("input_text"), got.alias("result_text"), "before")
-    own_use = tools.filter(~F.coalesce(F.col("before") == F.col("tool_name"), F.lit(False))).select(*base, F.lit("tool_use").alias("kind"), F.lit(0).alias("j"), "tool_name", "tool_call_id", "input_text")
+    tools = (
+        emits
+        .filter("run_type = 'tool'")
+        .select(*base, name.alias("tool_name"), F.col("id").alias("tool_call_id"), given.alias("input_text"), got.alias("result_text"), "before")
+    )
+    own_use = (
+        tools
+        .filter(~F.coalesce(F.col("before") == F.col("tool_name"), F.lit(False)))
+        .select(*base, F.lit("tool_use").alias("kind"), F.lit(0).alias("j"), "tool_name", "tool_call_id", "input_text")
+    )
     result = tools.select(*base, F.lit("tool_result").alias("kind"), F.lit(1).alias("j"), "tool_name", "tool_call_id", "input_text", "result_text")
 
     steps = text

@@ -24,12 +24,22 @@ def new_errors(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 def idle_sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """One row per session and spell of activity, once no step has followed for the gap."""
     spell = F.session_window("at", gap)
-    return stream.withWatermark("at", late).groupBy("session_id", spell).agg(F.count(F.lit(1)).alias("steps")).select("session_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("idle_at"), "steps")
+    return (
+        stream
+        .withWatermark("at", late)
+        .groupBy("session_id", spell)
+        .agg(F.count(F.lit(1)).alias("steps"))
+        .select("session_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("idle_at"), "steps")
+    )
 
 
 def live_totals(stream: DataFrame) -> DataFrame:
     """Running steps and errors per session and tool (complete or update mode)."""
-    return stream.groupBy("session_id", "tool_name").agg(F.count(F.lit(1)).alias("steps"), F.count_if(is_error(F.col("kind"), F.col("detail"))).alias("errors"))
+    return (
+        stream
+        .groupBy("session_id", "tool_name")
+        .agg(F.count(F.lit(1)).alias("steps"), F.count_if(is_error(F.col("kind"), F.col("detail"))).alias("errors"))
+    )
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:

@@ -19,33 +19,61 @@ def lines(*rows):
 def parent_linked():
     """One question, four answers, three tools: 740 + 345 tokens, 6,810 read from the cache and 1,500 put there."""
     usage = [(240, 100, 0, 1500), (200, 85, 2270, 0), (200, 80, 2270, 0), (100, 80, 2270, 0)]
-    rows = [{"type": "summary"}, {"type": "user", "uuid": "u0", "timestamp": "2025-02-03T10:00:00Z", "message": {"role": "user", "content": "tidy the shelf"}}]
+    rows = [
+        {"type": "summary"},
+        {"type": "user", "uuid": "u0", "timestamp": "2025-02-03T10:00:00Z", "message": {"role": "user", "content": "tidy the shelf"}},
+    ]
     for k, (i, o, r, c) in enumerate(usage):
         items = [{"type": "text", "text": f"look {k}"}]
         if k < 3:
             items.append({"type": "tool_use", "id": f"t{k}", "name": ("Read", "Grep", "Bash")[k], "input": {"z": k, "a": [k]}})
         counters = {"input_tokens": i, "output_tokens": o, "cache_read_input_tokens": r, "cache_creation_input_tokens": c}
-        rows.append({"type": "assistant", "uuid": f"a{k}", "parentUuid": f"u{k}", "timestamp": f"2025-02-03T10:00:0{k + 1}Z", "message": {"role": "assistant", "model": "claude-opus-4-6", "usage": counters, "content": items}})
+        rows.append(
+            {
+                "type": "assistant",
+                "uuid": f"a{k}",
+                "parentUuid": f"u{k}",
+                "timestamp": f"2025-02-03T10:00:0{k + 1}Z",
+                "message": {"role": "assistant", "model": "claude-opus-4-6", "usage": counters, "content": items},
+            }
+        )
         if k < 3:
             result = [{"type": "text", "text": "found"}] if k == 1 else "Error: none" if k == 2 else "ok"
-            rows.append({"type": "user", "uuid": f"u{k + 1}", "parentUuid": f"a{k}", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": f"t{k}", "content": result}]}})
+            rows.append(
+                {
+                    "type": "user",
+                    "uuid": f"u{k + 1}",
+                    "parentUuid": f"a{k}",
+                    "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": f"t{k}", "content": result}]},
+                }
+            )
     return lines(*rows)
 
 
 def rollout():
     item = lambda **p: {"type": "response_item", "timestamp": "2025-02-03T10:00:00Z", "payload": p}
-    rows = [{"type": "session_meta", "payload": {}}, item(type="message", role="developer", content=[{"text": "rules"}]), item(type="message", role="user", content=[{"type": "input_text", "text": "count"}])]
+    rows = [
+        {"type": "session_meta", "payload": {}},
+        item(type="message", role="developer", content=[{"text": "rules"}]),
+        item(type="message", role="user", content=[{"type": "input_text", "text": "count"}]),
+    ]
     for k in range(3):
         rows.append(item(type="message", role="assistant", content=[{"text": f"step {k}"}]))
         if k < 2:
-            rows += [item(type="function_call", call_id=f"c{k}", name="shell", arguments='{"cmd":"wc"}'), item(type="reasoning"), item(type="function_call_output", call_id=f"c{k}", output="12")]
+            rows += [
+                item(type="function_call", call_id=f"c{k}", name="shell", arguments='{"cmd":"wc"}'),
+                item(type="reasoning"),
+                item(type="function_call_output", call_id=f"c{k}", output="12"),
+            ]
     return lines(*rows)
 
 
 def chat():
     call = lambda k: {"id": f"g{k}", "name": "list", "args": {"dir": "/"}, "result": [{"functionResponse": {"response": {"output": "a b"}}}]}
     answers = [{"type": "gemini", "model": "gemini-unpriced", "content": f"part {k}", "toolCalls": [call(k)] if k < 2 else []} for k in range(3)]
-    return json.dumps({"sessionId": "s", "messages": [{"type": "user", "content": [{"text": "where"}]}, *answers, {"type": "info", "content": "skipped"}]})
+    return json.dumps(
+        {"sessionId": "s", "messages": [{"type": "user", "content": [{"text": "where"}]}, *answers, {"type": "info", "content": "skipped"}]}
+    )
 
 
 def conversation():
@@ -59,18 +87,57 @@ def conversation():
 
 def tree():
     """A chain whose second model run starts after the tool, though it is listed first."""
-    said = lambda data: {"generations": [[{"message": {"data": data}}]], "llm_output": {"model_name": "gpt-5", "token_usage": {"prompt_tokens": 150, "completion_tokens": 37 + ("tool_calls" in data)}}}
-    first = {"id": "m1", "name": "llm", "run_type": "chat_model", "start_time": "2025-02-03T10:00:01", "outputs": said({"content": "let me see", "tool_calls": [{"id": "call", "name": "weather", "args": {"b": 1, "a": 2}}]})}
-    tool = {"id": "t1", "name": "weather", "run_type": "tool", "start_time": "2025-02-03T10:00:02", "inputs": {"input": {"place": "x"}}, "outputs": {"output": "rain"}}
+    said = lambda data: {
+        "generations": [[{"message": {"data": data}}]],
+        "llm_output": {"model_name": "gpt-5", "token_usage": {"prompt_tokens": 150, "completion_tokens": 37 + ("tool_calls" in data)}},
+    }
+    first = {
+        "id": "m1",
+        "name": "llm",
+        "run_type": "chat_model",
+        "start_time": "2025-02-03T10:00:01",
+        "outputs": said({"content": "let me see", "tool_calls": [{"id": "call", "name": "weather", "args": {"b": 1, "a": 2}}]}),
+    }
+    tool = {
+        "id": "t1",
+        "name": "weather",
+        "run_type": "tool",
+        "start_time": "2025-02-03T10:00:02",
+        "inputs": {"input": {"place": "x"}},
+        "outputs": {"output": "rain"},
+    }
     last = {"id": "m2", "name": "llm", "run_type": "llm", "start_time": "2025-02-03T10:00:03", "outputs": said({"content": "it rains"})}
     chain = {"id": "inner", "run_type": "chain", "child_runs": [last, tool]}
-    return json.dumps({"id": "root", "run_type": "chain", "start_time": "2025-02-03T10:00:00", "inputs": {"messages": [[{"type": "system"}, {"type": "human", "data": {"content": "umbrella?"}}]]}, "child_runs": [chain, first]})
+    return json.dumps(
+        {
+            "id": "root",
+            "run_type": "chain",
+            "start_time": "2025-02-03T10:00:00",
+            "inputs": {"messages": [[{"type": "system"}, {"type": "human", "data": {"content": "umbrella?"}}]]},
+            "child_runs": [chain, first],
+        }
+    )
 
 
 def multi_step():
-    step = lambda kind, text, i, o, **more: {"stepType": kind, "text": text, "usage": {"promptTokens": i, "completionTokens": o}, "response": {"modelId": "gpt-5", "timestamp": "2025-02-03T10:00:00Z"}, **more}
+    step = lambda kind, text, i, o, **more: {
+        "stepType": kind,
+        "text": text,
+        "usage": {"promptTokens": i, "completionTokens": o},
+        "response": {"modelId": "gpt-5", "timestamp": "2025-02-03T10:00:00Z"},
+        **more,
+    }
     call = {"toolCallId": "v", "toolName": "find", "args": {"q": 1}}
-    return json.dumps({"finishReason": "stop", "messages": [{"role": "user", "content": "find it"}], "steps": [step("initial", "looking", 100, 25, toolCalls=[call], toolResults=[{**call, "result": {"hits": 2}}]), step("tool-result", "two", 200, 50)]})
+    return json.dumps(
+        {
+            "finishReason": "stop",
+            "messages": [{"role": "user", "content": "find it"}],
+            "steps": [
+                step("initial", "looking", 100, 25, toolCalls=[call], toolResults=[{**call, "result": {"hits": 2}}]),
+                step("tool-result", "two", 200, 50),
+            ],
+        }
+    )
 
 
 def spans():
@@ -85,7 +152,15 @@ def spans():
     return json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": rows}]}]})
 
 
-FILES = {"claude_code": parent_linked(), "codex": rollout(), "gemini": chat(), "generic": conversation(), "langchain": tree(), "vercel_ai": multi_step(), "otel_json": spans()}
+FILES = {
+    "claude_code": parent_linked(),
+    "codex": rollout(),
+    "gemini": chat(),
+    "generic": conversation(),
+    "langchain": tree(),
+    "vercel_ai": multi_step(),
+    "otel_json": spans(),
+}
 #: steps of each kind, tokens in and out, read from and put into the cache, cost
 TOTALS = {
     "claude_code": (1, 4, 3, 3, 740, 345, 6810, 1500, 0.075315), "codex": (1, 3, 2, 2, 0, 0, 0, 0, None), "gemini": (1, 3, 2, 2, 0, 0, 0, 0, None), "generic": (1, 3, 2, 2, 0, 0, 0, 0, None),
@@ -121,7 +196,11 @@ def test_totals_of_each_format(steps):
 
 def test_session_rows(steps):
     r = ops.sessions(steps).filter("session_id = 'claude_code'").first()
-    assert [(t["name"], t["use_count"], t["result_count"], t["error_count"]) for t in r["tool_stats"]] == [("Bash", 1, 1, 1), ("Grep", 1, 1, 0), ("Read", 1, 1, 0)]
+    assert [(t["name"], t["use_count"], t["result_count"], t["error_count"]) for t in r["tool_stats"]] == [
+        ("Bash", 1, 1, 1),
+        ("Grep", 1, 1, 0),
+        ("Read", 1, 1, 0),
+    ]
     assert r["models"] == ["claude-opus-4-6"] and r["error_count"] == 1 and r["annotation_count"] == 0
 
 
@@ -132,15 +211,45 @@ def test_results_made_of_items_are_shown_whole(steps):
 
 def test_run_trees(spark, steps):
     rows = steps.filter("session_id = 'langchain'").orderBy("step_index").collect()
-    assert [(r["kind"], r["tool_name"]) for r in rows] == [("user_text", None), ("assistant_text", None), ("tool_use", "weather"), ("tool_result", "weather"), ("assistant_text", None)]
+    assert [(r["kind"], r["tool_name"]) for r in rows] == [
+        ("user_text", None),
+        ("assistant_text", None),
+        ("tool_use", "weather"),
+        ("tool_result", "weather"),
+        ("assistant_text", None),
+    ]
     assert (rows[0]["detail"], rows[2]["tool_call_id"], rows[3]["tool_call_id"], rows[3]["result_text"]) == ("umbrella?", "call", "t1", "rain")
     assert rows[3]["input_text"] == '{\n  "place": "x"\n}' and [r["duration_ms"] for r in rows] == [None, 1000, 0, 1000, 1000]
-    alone = {"run_type": "tool", "id": "i", "name": "", "inputs": {"k": 1}, "outputs": {"output": [1]}, "child_runs": [{"run_type": "llm", "outputs": {"generations": [[{"message": {"data": {"content": ["no text"], "tool_calls": [{"args": None}]}}}]]}}, {"run_type": "tool", "outputs": "bare", "inputs": {"args": 5}, "name": "(unknown)"}]}
-    got = formats.parse(spark.createDataFrame([("a", json.dumps(alone)), ("bad", '{"run_type":"tool","inputs":{},"child_runs":{}}')], "path string, content string")).orderBy("step_index").collect()
+    alone = {
+        "run_type": "tool",
+        "id": "i",
+        "name": "",
+        "inputs": {"k": 1},
+        "outputs": {"output": [1]},
+        "child_runs": [
+            {"run_type": "llm", "outputs": {"generations": [[{"message": {"data": {"content": ["no text"], "tool_calls": [{"args": None}]}}}]]}},
+            {"run_type": "tool", "outputs": "bare", "inputs": {"args": 5}, "name": "(unknown)"},
+        ],
+    }
+    got = (
+        formats
+        .parse(
+            spark.createDataFrame(
+                [("a", json.dumps(alone)), ("bad", '{"run_type":"tool","inputs":{},"child_runs":{}}')],
+                "path string, content string",
+            )
+        )
+        .orderBy("step_index")
+        .collect()
+    )
     assert [(r["kind"], r["tool_name"], r["input_text"], r["result_text"]) for r in got] == [
         ("tool_use", "(unknown)", '{\n  "k": 1\n}', None), ("tool_result", "(unknown)", '{\n  "k": 1\n}', "[\n  1\n]"), ("tool_use", "(unknown)", "null", None), ("tool_result", "(unknown)", "5", "bare"),
     ]
-    errors = formats.parse_errors(spark.createDataFrame([("bad", '{"run_type":"tool","inputs":{},"child_runs":{}}')], "path string, content string")).collect()
+    errors = (
+        formats
+        .parse_errors(spark.createDataFrame([("bad", '{"run_type":"tool","inputs":{},"child_runs":{}}')], "path string, content string"))
+        .collect()
+    )
     assert [tuple(r) for r in errors] == [("bad", "parsing run tree")]
     assert [r["id"] for r in listed_runs(FILES["langchain"])] == ["root", "inner", "m2", "t1", "m1"] and listed_runs("[]") is None
 
@@ -165,11 +274,24 @@ def test_drift_report(spark):
 
 def test_notes_beside_files(spark, steps):
     note = lambda text: {"text": text, "created_at_ms": 1, "updated_at_ms": 2}
-    rows = [("a", json.dumps({"version": 1, "path": "codex", "notes": {"10": note("x"), "2": note("y\nz"), "first": note("w")}})), ("gemini", json.dumps({"notes": {"0": note("own")}})), ("c", "{"), ("d", '{"notes":{"1":{"text":"no times"}}}')]
+    rows = [
+        ("a", json.dumps({"version": 1, "path": "codex", "notes": {"10": note("x"), "2": note("y\nz"), "first": note("w")}})),
+        ("gemini", json.dumps({"notes": {"0": note("own")}})),
+        ("c", "{"),
+        ("d", '{"notes":{"1":{"text":"no times"}}}'),
+    ]
     got = notes.sidecar_notes(spark.createDataFrame(rows, "path string, content string"))
-    assert sorted((r["session_id"], r["key"], r["step_index"]) for r in got.collect()) == [("codex", "10", 10), ("codex", "2", 2), ("codex", "first", None), ("gemini", "0", 0)]
+    assert sorted((r["session_id"], r["key"], r["step_index"]) for r in got.collect()) == [
+        ("codex", "10", 10),
+        ("codex", "2", 2),
+        ("codex", "first", None),
+        ("gemini", "0", 0),
+    ]
     sessions = ops.sessions(steps, got)
-    assert {r[0]: r[1] for r in sessions.filter(corpus.matches(annotated=True)).select("session_id", "annotation_count").collect()} == {"codex": 3, "gemini": 1}
+    assert {r[0]: r[1] for r in sessions.filter(corpus.matches(annotated=True)).select("session_id", "annotation_count").collect()} == {
+        "codex": 3,
+        "gemini": 1,
+    }
     text = {r[0]: r[1] for r in export.markdown(steps, got).collect()}
     assert "annotations: 1\n" in text["codex"] and "> **note**: y\n> z\n\n```\n" in text["codex"] and "annotations" not in text["generic"]
     page = {r[0]: r[1] for r in export.html(steps, got).collect()}
@@ -178,8 +300,12 @@ def test_notes_beside_files(spark, steps):
 
 def test_transcripts(steps):
     text = {r[0]: r[1] for r in export.markdown(steps).collect()}
-    assert text["claude_code"].startswith("# session transcript\n\ntokens — in: 740, out: 345, cache_read: 6810, cache_create: 1500\nmodels: claude-opus-4-6\nestimated cost: $0.0753 USD\n\n## [user] — step 1 (user)\n\n```\ntidy the shelf\n```\n\n")
-    assert "**Δ**: 1.0s  ·  **model**: `claude-opus-4-6`  ·  **tokens**: in=240 out=100 cache_read=0 cache_create=1500  ·  **cost**: $0.0392\n\n" in text["claude_code"]
+    assert text["claude_code"].startswith(
+        "# session transcript\n\ntokens — in: 740, out: 345, cache_read: 6810, cache_create: 1500\nmodels: claude-opus-4-6\nestimated cost: $0.0753 USD\n\n## [user] — step 1 (user)\n\n```\ntidy the shelf\n```\n\n"
+    )
+    assert "**Δ**: 1.0s  ·  **model**: `claude-opus-4-6`  ·  **tokens**: in=240 out=100 cache_read=0 cache_create=1500  ·  **cost**: $0.0392\n\n" in text[
+        "claude_code"
+    ]
     assert "cost" not in export.markdown(steps, costs=False).filter("session_id = 'claude_code'").first()[1]
     assert text["codex"].startswith("# session transcript\n\n\n## [user] — step 1 (user)")
     page = {r[0]: r[1] for r in export.html(steps).collect()}["claude_code"]
@@ -190,7 +316,13 @@ def test_corpus_document(spark, steps, tmp_path):
     errors = spark.createDataFrame([("p", "e")], "path string, error string")
     document = export.corpus_document(ops.sessions(steps), errors, ~corpus.matches(tool="shell"))
     got = json.loads(document.first()[0])
-    assert (got["file_count"], got["parse_success_count"], got["parse_error_count"], got["filtered_out_count"], got["total_steps"]) == (8, 6, 1, 1, 42)
+    assert (got["file_count"], got["parse_success_count"], got["parse_error_count"], got["filtered_out_count"], got["total_steps"]) == (
+        8,
+        6,
+        1,
+        1,
+        42,
+    )
     assert got["per_model"][0] == {"model": "gpt-5", "session_count": 3, "tokens_in": 900, "tokens_out": 225, "cost_usd": 0.01575}
     assert [x["tool"] for x in got["per_tool"]][:2] == ["add", "list"] and got["per_format"][0] == {"format": "Claude Code", "session_count": 1}
     export.write_corpus_document(document, f"{tmp_path}/doc")
@@ -211,7 +343,11 @@ def test_front_doors(spark, tmp_path):
         assert names(1) == ["one.jsonl"] and names(2) == ["one.jsonl", "two.json"] and len(names(3)) == 4
     assert api.load_steps(spark, f"{tmp_path}/a/two.json").count() == 5
     rows = api.load_corpus(spark, str(tmp_path)).collect()
-    assert [(r["path"].rsplit("/", 1)[1], r["step_count"], r["error"]) for r in rows] == [("two.json", 5, None), ("one.jsonl", 8, None), ("bad.json", None, "messages is no list")]
+    assert [(r["path"].rsplit("/", 1)[1], r["step_count"], r["error"]) for r in rows] == [
+        ("two.json", 5, None),
+        ("one.jsonl", 8, None),
+        ("bad.json", None, "messages is no list"),
+    ]
     assert all(r["mtime_secs"] for r in rows[:2])
     assert [tuple(r) for r in api.scan_pii(spark, "mail a@b.co").collect()] == [("email", 0, "a@b.co")]
 
@@ -225,22 +361,43 @@ def test_known_places(spark, tmp_path):
 
         os.utime(path, (1000 + at, 1000 + at))
     got = [(r["path"].rsplit("/", 1)[1], r["format"], r["mtime_secs"]) for r in formats.discover(spark, str(tmp_path)).collect()]
-    assert got == [("session-1.json", "gemini", 1003), ("rollout-2.jsonl", "codex", 1002), ("rollout-1.jsonl", "codex", 1001), ("x.jsonl", "claude_code", 1000)]
+    assert got == [
+        ("session-1.json", "gemini", 1003),
+        ("rollout-2.jsonl", "codex", 1002),
+        ("rollout-1.jsonl", "codex", 1001),
+        ("x.jsonl", "claude_code", 1000),
+    ]
     assert formats.discover(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_scan_report_names_hits(spark):
     from loomtrace.functions import pii
 
-    rows = [("s", 0, "detail", "email", "a@b.co"), ("s", 0, "label", "email", "a@b.co"), ("s", 4, "detail", "email", "c" * 50), ("t", 1, "detail", "email", "z@z.zz"), ("t", 2, "detail", "ipv4", "9" * 50)]
+    rows = [
+        ("s", 0, "detail", "email", "a@b.co"),
+        ("s", 0, "label", "email", "a@b.co"),
+        ("s", 4, "detail", "email", "c" * 50),
+        ("t", 1, "detail", "email", "z@z.zz"),
+        ("t", 2, "detail", "ipv4", "9" * 50),
+    ]
     found = spark.createDataFrame(rows, "session_id string, step_index int, field string, category string, snippet string")
     got = {r["category"]: tuple(r)[1:] for r in pii.scan_report(found).collect()}
     assert got == {"email": (4, "1,1,5", 1, "a@b.co"), "ipv4": (1, "3", 0, "9" * 40 + "…")}
 
 
 def test_orphans_and_last_calls_pair(spark):
-    rows = [("s", 0, "tool_use", "A", "k", "1"), ("s", 1, "tool_use", "B", "k", "2"), ("s", 2, "tool_result", None, "k", None), ("s", 3, "tool_result", None, "none", None), ("s", 4, "user_text", None, None, None), ("t", 0, "tool_result", None, "k", None), ("t", 1, "tool_result", None, None, None)]
-    got = ops.paired(spark.createDataFrame(rows, "session_id string, position int, kind string, tool_name string, tool_call_id string, input_text string"))
+    rows = [
+        ("s", 0, "tool_use", "A", "k", "1"),
+        ("s", 1, "tool_use", "B", "k", "2"),
+        ("s", 2, "tool_result", None, "k", None),
+        ("s", 3, "tool_result", None, "none", None),
+        ("s", 4, "user_text", None, None, None),
+        ("t", 0, "tool_result", None, "k", None),
+        ("t", 1, "tool_result", None, None, None),
+    ]
+    got = ops.paired(
+        spark.createDataFrame(rows, "session_id string, position int, kind string, tool_name string, tool_call_id string, input_text string")
+    )
     assert {(r["session_id"], r["position"]): (r["tool_name"], r["input_text"]) for r in got.collect()} == {
         ("s", 0): ("A", "1"), ("s", 1): ("B", "2"), ("s", 2): ("B", "2"), ("s", 3): (None, None), ("s", 4): (None, None), ("t", 0): (None, None), ("t", 1): (None, None),
     }

@@ -22,7 +22,9 @@ def test_each_query_has_its_neighbours(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(vectors)), SCHEMA)
     wanted = [i for i in range(80) if i % 10 == 0]
     got = {(r["query_id"], r["id"]): r["score"] for r in corpus.nearest_of_each(table, table.filter("id % 10 = 0 and id < 80"), top=5).collect()}
-    assert got == {(i, n["id"]): n["score"] for i in wanted for n in corpus.nearest(table, [float(np.float32(x)) for x in vectors[i]], top=5).collect()}
+    assert got == {
+        (i, n["id"]): n["score"] for i in wanted for n in corpus.nearest(table, [float(np.float32(x)) for x in vectors[i]], top=5).collect()
+    }
     assert [n for i, n in sorted(got) if i == 60] == [60, 61, 62, 63, 64]
 
 

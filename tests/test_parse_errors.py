@@ -21,7 +21,13 @@ def test_damaged_files_are_errors_and_give_no_steps(spark):
     sound = FILES | {"blank": FILES["cx"].replace("\n", "\n\r\n \t\n") + "\n"}
     files = spark.createDataFrame(list((sound | DAMAGED).items()), "path string, content string")
     errors = formats.parse_errors(files)
-    assert {r["path"]: r["error"] for r in errors.collect()} == {"cut": "parsing line 4 of session file", "noise": "parsing line 2 of session file", "untyped": "parsing line 5 of session file", "silent": "parsing line 5 of session file", "chat": "messages is no list"}
+    assert {r["path"]: r["error"] for r in errors.collect()} == {
+        "cut": "parsing line 4 of session file",
+        "noise": "parsing line 2 of session file",
+        "untyped": "parsing line 5 of session file",
+        "silent": "parsing line 5 of session file",
+        "chat": "messages is no list",
+    }
     steps = formats.parse(files)
     assert {r[0] for r in steps.select("session_id").distinct().collect()} == {*FILES, "blank"} - {"no", "em"}
     assert {r["path"] for r in formats.detect(files).filter("status = 'skip'").collect()} == {"no", "em"}
