@@ -118,7 +118,9 @@ def _batches(path: str, pattern: str, full: bool) -> Callable[[Iterator[pa.Recor
                 "decoded_sha256": pa.array([hashlib.sha256(decode_bytes(x, path)).hexdigest() for x in ids], pa.string()),
             }
             if full:
-                spans = [[(m + a, m + b) for m, x in zip(accumulate(map(len, xs), initial=0), xs, strict=False) for a, b in known.spans[x]] for xs in parts]
+                spans = [
+                    [(m + a, m + b) for m, x in zip(accumulate(map(len, xs), initial=0), xs, strict=False) for a, b in known.spans[x]] for xs in parts
+                ]
                 columns["ids"] = pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))
                 columns["starts"] = pa.array([[a for a, _ in x] for x in spans], pa.list_(pa.int32()))
                 columns["ends"] = pa.array([[b for _, b in x] for x in spans], pa.list_(pa.int32()))
@@ -155,7 +157,11 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     """As encode, without ids and offsets."""
     path, pattern = path or default_path(), pattern or default_pattern()
     rows = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col)))
-    return rows.mapInArrow(_batches(path, pattern, False), "row long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("row", "doc_id")
+    return (
+        rows
+        .mapInArrow(_batches(path, pattern, False), "row long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .withColumnRenamed("row", "doc_id")
+    )
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

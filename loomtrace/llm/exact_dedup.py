@@ -101,7 +101,10 @@ def _partition_filters(block_bits: int) -> Callable[[Iterator[pa.RecordBatch]],
         edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])[: len(blocks)]), len(blocks))
         keys = fps & np.uint64((1 << key_bits) - 1)
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([int(blocks[s])], pa.int64()), pa.array([encode_filter(keys[s:e], counts[s:e], key_bits)], pa.binary())], ["block", "filter"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(blocks[s])], pa.int64()), pa.array([encode_filter(keys[s:e], counts[s:e], key_bits)], pa.binary())],
+                ["block", "filter"],
+            )
 
     return run
 
@@ -134,7 +137,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = stored(rows.mapInArrow(_digests(False), NARROW), "digests")
     repeated = repeated_fingerprints(narrow)
     routed = rows.mapInArrow(_digests(True), f"{NARROW}, norm binary").join(repeated, "fp", "left_semi")
-    groups = routed.groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"), F.first("sha").alias("sha")).select("fp", "sha", "keep_id", "size")
+    groups = (
+        routed
+        .groupBy("fp", "norm")
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"), F.first("sha").alias("sha"))
+        .select("fp", "sha", "keep_id", "size")
+    )
     keep_id = F.coalesce("keep_id", "doc_id")
     return narrow.join(groups, ["fp", "sha"], "left").select(
         "doc_id",

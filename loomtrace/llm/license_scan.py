@@ -145,7 +145,10 @@ def _scan(notices: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 rows.append(one(scanner, words, plain.decode("utf-8", "surrogatepass")) if any(y in plain for y in needed) else none)
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["row", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
+                ["row", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
+            )
 
     return run
 

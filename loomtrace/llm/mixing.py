@@ -63,9 +63,16 @@ def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     whole certain copies go to every document; of the part, documents up to the cut get one more.
     """
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    targets = source_targets(sized, weights, most).withColumn("whole", F.floor(ratio)).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = (
+        source_targets(sized, weights, most)
+        .withColumn("whole", F.floor(ratio))
+        .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+    )
     targets = stored(targets, "targets")
-    ranked = stored(_of_source(sized, targets).withColumn("rank", _rank()).filter("rank is not null").select("doc_id", "source", "size", "rank", "part"), "ranked")
+    ranked = stored(
+        _of_source(sized, targets).withColumn("rank", _rank()).filter("rank is not null").select("doc_id", "source", "size", "rank", "part"),
+        "ranked",
+    )
     cut = _cut(ranked).select(F.col("source").alias("_source"), F.col("rank").alias("cut_rank"), F.col("doc_id").alias("cut_id"))
     return stored(targets.join(cut, targets["source"].eqNullSafe(cut["_source"]), "left").drop("_source"), "plan")
 
@@ -130,7 +137,12 @@ def _cut(rows: DataFrame) -> DataFrame:
         so_far = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
         # the first bucket that reaches the part, else the last one: words before it are all taken
         state = sums.withColumn("upto", F.col("before") + so_far).withColumn("last", F.max("bucket").over(W.partitionBy("source")))
-        held = state.filter((F.col("upto") >= F.col("part")) | (F.col("bucket") == F.col("last"))).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+        held = (
+            state
+            .filter((F.col("upto") >= F.col("part")) | (F.col("bucket") == F.col("last")))
+            .groupBy("source")
+            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+        )
         held = held.select(F.col("source").alias("_source"), F.col("at.bucket").alias("_bucket"), F.col("at.before").alias("_before"))
         joined = rows.drop("before").join(held, rows["source"].eqNullSafe(held["_source"]) & (rows["bucket"] == held["_bucket"]))
         rows = stored(joined.withColumn("before", F.col("_before")).drop("_source", "_bucket", "_before"), f"cut{level}")
@@ -142,7 +154,11 @@ def _cut(rows: DataFrame) -> DataFrame:
     # where nothing in the last bucket fits, the cut lies just before its first document
     l = last.withColumnRenamed("source", "_source")
     both = none.join(l, none["source"].eqNullSafe(l["_source"]), "left")
-    return both.select("source", F.coalesce(F.col("at.rank"), F.col("first.rank")).alias("rank"), F.coalesce(F.col("at.doc_id"), F.col("first.doc_id") - 1).alias("doc_id"))
+    return both.select(
+        "source",
+        F.coalesce(F.col("at.rank"), F.col("first.rank")).alias("rank"),
+        F.coalesce(F.col("at.doc_id"), F.col("first.doc_id") - 1).alias("doc_id"),
+    )
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

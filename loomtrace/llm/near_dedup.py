@@ -100,7 +100,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             keys.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
             bands.append(band_hashes(signature(s)) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "set_key", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "n", "set_key", "bands"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = (
+            small
+            .filter("v <> m")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(least.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
         fresh = stored(small, "edges")
         discard(edges)
         edges = fresh
@@ -145,7 +154,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return (
+        edges
+        .select(F.col("u").alias("id"), F.col("v").alias("component"))
+        .unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    )
 
 
 def _cross_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -180,13 +193,34 @@ def family_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     family = components(mixed.join(centre, "bucket").select("a", F.col("id").alias("b")).filter("a <> b")).withColumnRenamed("component", "family")
     members = stored(mixed.select("id", "component").distinct().join(family, "id"), "family")
     counts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
-    shape = shape.select("family", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("asking_blocks"))
+    shape = (
+        counts
+        .groupBy("family")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    )
+    shape = shape.select(
+        "family",
+        "main",
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("asking_blocks"),
+    )
     with_sets = members.join(shape, "family").join(sets, "id")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = with_sets.select("family", "id", "component", "set", F.lit(False).alias("asks"), own("blocks").alias("i"), every("asking_blocks").alias("j"))
-    asks = with_sets.filter("component <> main").select("family", "id", "component", "set", F.lit(True).alias("asks"), every("blocks").alias("i"), own("asking_blocks").alias("j"))
+    asked = with_sets.select(
+        "family",
+        "id",
+        "component",
+        "set",
+        F.lit(False).alias("asks"),
+        own("blocks").alias("i"),
+        every("asking_blocks").alias("j"),
+    )
+    asks = (
+        with_sets
+        .filter("component <> main")
+        .select("family", "id", "component", "set", F.lit(True).alias("asks"), every("blocks").alias("i"), own("asking_blocks").alias("j"))
+    )
     return asked.unionByName(asks).groupBy("family", "i", "j").applyInPandas(_cross_links, "a long, b long")
 
 
@@ -199,7 +233,10 @@ def link(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(spread(rows).mapInArrow(_signatures, "doc_id long, n long, set_key binary, bands array<long>"), "signatures")
-    nodes = stored(signed.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(
+        signed.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        "nodes",
+    )
     # buckets of two nodes or more
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -229,9 +266,23 @@ def link(docs: DataFrame) -> DataFrame:
 
     # second: members outside of the bucket's main component with some of its members
     mixed = placed(found)
-    by = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"), *[F.min_by("id", F.xxhash64("id", "bucket", F.lit(t))).alias(f"t{t}") for t in range(TRIES)])
-    main = by.groupBy("bucket").agg(F.max_by(F.struct("component", *[f"t{t}" for t in range(TRIES)]), F.struct("m", "component")).alias("main")).filter("main is not null")
-    some = mixed.join(main, "bucket").filter("component <> main.component").select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array(*[f"main.t{t}" for t in range(TRIES)]))).alias("b"))
+    by = (
+        mixed
+        .groupBy("bucket", "component")
+        .agg(F.count(F.lit(1)).alias("m"), *[F.min_by("id", F.xxhash64("id", "bucket", F.lit(t))).alias(f"t{t}") for t in range(TRIES)])
+    )
+    main = (
+        by
+        .groupBy("bucket")
+        .agg(F.max_by(F.struct("component", *[f"t{t}" for t in range(TRIES)]), F.struct("m", "component")).alias("main"))
+        .filter("main is not null")
+    )
+    some = (
+        mixed
+        .join(main, "bucket")
+        .filter("component <> main.component")
+        .select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array(*[f"main.t{t}" for t in range(TRIES)]))).alias("b"))
+    )
     second = tested(some, "second")
     found = stored(components(joined(found, second.filter("linked"))), "components")
 
@@ -243,7 +294,12 @@ def link(docs: DataFrame) -> DataFrame:
 
     placed_nodes = nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "doc_id")
-    return signed.select("doc_id", "n", "set_key").join(placed_nodes, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return (
+        signed
+        .select("doc_id", "n", "set_key")
+        .join(placed_nodes, "set_key", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    )
 
 
 def drop_near(docs: DataFrame) -> DataFrame:

@@ -60,7 +60,13 @@ def repeat_words(ws: Column) -> Column:
 
     def windows(a: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(a) - 3), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)))
+        return let(
+            hashes,
+            lambda h: (
+                F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0))
+                .otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated))
+            ),
+        )
 
     return F.when(F.size(ws) < 3, F.lit(0)).otherwise(let(ws, windows))
 
@@ -109,7 +115,12 @@ def posteriors(patterns: DataFrame) -> DataFrame:
         return F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), x))
 
     def posterior(v: Column, state: Column) -> Column:
-        ratio = lambda x, r: F.when(x < 0, F.log(r["bad_of_good"] / r["bad_of_bad"])).when(x > 0, F.log(r["good_of_good"] / r["good_of_bad"])).otherwise(0.0)
+        ratio = (
+            lambda x, r: F
+            .when(x < 0, F.log(r["bad_of_good"] / r["bad_of_bad"]))
+            .when(x > 0, F.log(r["good_of_good"] / r["good_of_bad"]))
+            .otherwise(0.0)
+        )
         return 1 / (1 + F.exp(-(F.log(state["prior"] / (1 - state["prior"])) + add(F.zip_with(v, state["rates"], ratio)))))
 
     def step(state: Column, _: Column) -> Column:
@@ -130,9 +141,16 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 
         return let(weighed, update)
 
-    start = F.struct(F.lit(START_PRIOR).alias("prior"), F.array_repeat(F.struct(*[F.lit(x).alias(k) for k, x in START.items()]), len(RULES)).alias("rates"))
+    start = F.struct(
+        F.lit(START_PRIOR).alias("prior"),
+        F.array_repeat(F.struct(*[F.lit(x).alias(k) for k, x in START.items()]), len(RULES)).alias("rates"),
+    )
     fitted = table.withColumn("state", F.when(F.size("t") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step)))
-    return fitted.select("state", F.explode("t").alias("e")).select(F.col("e.pattern").alias("pattern"), posterior(F.col("e.v"), F.col("state")).alias("posterior"))
+    return (
+        fitted
+        .select("state", F.explode("t").alias("e"))
+        .select(F.col("e.pattern").alias("pattern"), posterior(F.col("e.v"), F.col("state")).alias("posterior"))
+    )
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -148,7 +166,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
 
 
 def _sql() -> str:
@@ -157,7 +184,9 @@ def _sql() -> str:
     keys = ", ".join(f"v{j}" for j in range(n))
     ratio = " + CASE p.v{0} WHEN -1 THEN ln(s.bad_of_good{0} / s.bad_of_bad{0}) WHEN 1 THEN ln(s.good_of_good{0} / s.good_of_bad{0}) ELSE 0 END"
     odds = "ln(s.prior / (1 - s.prior))" + "".join(ratio.format(j) for j in range(n))
-    steps = [f"it0 AS (SELECT {START_PRIOR}::DOUBLE AS prior, " + ", ".join(f"{x}::DOUBLE AS {k}{j}" for j in range(n) for k, x in START.items()) + ")"]
+    steps = [
+        f"it0 AS (SELECT {START_PRIOR}::DOUBLE AS prior, " + ", ".join(f"{x}::DOUBLE AS {k}{j}" for j in range(n) for k, x in START.items()) + ")"
+    ]
     within = "least({1}, greatest({0}, {2}))"
 
     def rate(kind: str, j: int) -> str:

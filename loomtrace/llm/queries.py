@@ -17,4 +17,10 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op6_suffix_dedup": suffix_dedup.OP6_SQL, "op1_quality": quality.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_near_dedup": near_dedup.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
+    "op1_quality": quality.OP1_SQL,
+    "op2_mixing": mixing.OP2_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+}

@@ -43,13 +43,19 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 SIGNS = r"\s\"'`,;:|()<>\[\]{}="
 TOKEN = re.compile(rf"[^{SIGNS}]+(?:={{1,2}}(?![^{SIGNS}]))?|[^\s]")
 #: Words that announce secrets, and how many tokens they reach.
-TRIGGERS = frozenset("password passwd passphrase pwd pass secret secrets token tokens credential credentials apikey api_key key keys auth authorization bearer login".split())
+TRIGGERS = frozenset(
+    "password passwd passphrase pwd pass secret secrets token tokens credential credentials apikey api_key key keys auth authorization bearer login".split()
+)
 REACH = 4
 #: Words whose successors are seldom secrets; features name them.
 CUES = frozenset("commit sha256 md5 id version order card call phone on at file host see mail issue page line build isbn the a of is".split())
 #: What makes a token other than quiet: a digit, a sign of codes, a capital after a small letter, more than LONG letters, a trigger word.
 LONG = 20
-LOUD = re.compile(r"[0-9_/+=@~^\\]|[a-z][A-Z]|[^\W\d_]{%d}|(?i:passw|passph|pwd|\bpass\b|secret|token|credential|api.?key|\bkeys?\b|\bauth|bearer|login)" % (LONG + 1))
+LOUD = re.compile(
+    r"[0-9_/+=@~^\\]|[a-z][A-Z]|[^\W\d_]{%d}|(?i:passw|passph|pwd|\bpass\b|secret|token|credential|api.?key|\bkeys?\b|\bauth|bearer|login)" % (
+        LONG + 1
+    )
+)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -90,7 +96,10 @@ def _shape(token: str) -> str:
     kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "_-./+=@" else "." for c in token[:64])
     if "0" in kinds:
         return "0 " + re.sub(r"(.)\1+", r"\1", kinds)[:6]
-    return "camel" if "aA" in kinds else "signs" if kinds.strip(".") == "" else "Word" if kinds[0] == "A" and "a" in kinds else "WORD" if "A" in kinds else "word"
+    return (
+        "camel" if "aA" in kinds else "signs" if kinds.strip(".") == "" else "Word" if kinds[0] == "A"
+        and "a" in kinds else "WORD" if "A" in kinds else "word"
+    )
 
 
 def own_features(token: str, near: int) -> list[str]:
@@ -129,7 +138,9 @@ def line_features(words: list[str], whole: list[str]) -> list[list[str]]:
         if near:
             word = low[i - near].split("_")[-1]
             said = [f"trigger:{word}", f"between:{' '.join(_kind(x) for x in words[i - near + 1 : i])}"]
-        out.append([*own_features(w, near), *said, f"cue:{before}" if before in CUES and not near else "cue:none", f"itself:{low[i] in TRIGGERS}", *whole])
+        out.append(
+            [*own_features(w, near), *said, f"cue:{before}" if before in CUES and not near else "cue:none", f"itself:{low[i] in TRIGGERS}", *whole]
+        )
     return out
 
 
@@ -272,7 +283,24 @@ class Model:
 
 
 #: Kinds of features of which every quiet token has one of the known values.
-ALWAYS = ("bias", "shape", "at", "plain", "length", "entropy", "dots", "dashes", "slashes", "hex", "start", "trigger", "between", "cue", "itself", "armour")
+ALWAYS = (
+    "bias",
+    "shape",
+    "at",
+    "plain",
+    "length",
+    "entropy",
+    "dots",
+    "dashes",
+    "slashes",
+    "hex",
+    "start",
+    "trigger",
+    "between",
+    "cue",
+    "itself",
+    "armour",
+)
 
 
 def quiet_value(name: str) -> bool:
@@ -339,7 +367,10 @@ def stretches(text: str, reach: int | None) -> Iterator[tuple[list[tuple[int, in
         if reach is None:
             yield spans, 0, len(spans)
         else:
-            loud = sorted({max(0, bisect_left(spans, (m.start() + 1,)) - 1) for m in LOUD.finditer(text, start, end)} | {min(len(spans) - 1, max(0, bisect_left(spans, (m.end(),)) - 1)) for m in LOUD.finditer(text, start, end)})
+            loud = sorted(
+                {max(0, bisect_left(spans, (m.start() + 1,)) - 1) for m in LOUD.finditer(text, start, end)}
+                | {min(len(spans) - 1, max(0, bisect_left(spans, (m.end(),)) - 1)) for m in LOUD.finditer(text, start, end)}
+            )
             first = last = None
             for k in loud:
                 if first is not None and k - reach > last:
@@ -392,7 +423,10 @@ def _scan(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     counts[k].append(sum(kind == k for kind, _, _ in every))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(shas, pa.string()), pa.array(spans, pa.string())], ["row", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(shas, pa.string()), pa.array(spans, pa.string())],
+                ["row", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+            )
 
     return run
 

@@ -50,7 +50,13 @@ class _Prefix:
         if not chunk:
             return [self.total for _ in limits]
         within = self.groups.filter(F.col("chunk").isin(sorted(set(chunk.values()))))
-        best = within.agg(*[F.max(F.when((F.col("chunk") == c) & (F.col("upto") <= x - self.start[c]), F.col("upto"))).alias(f"c{i}") for i, (x, c) in enumerate(chunk.items())]).first()
+        best = (
+            within
+            .agg(
+                *[F.max(F.when((F.col("chunk") == c) & (F.col("upto") <= x - self.start[c]), F.col("upto"))).alias(f"c{i}") for i, (x, c) in enumerate(chunk.items())],
+            )
+            .first()
+        )
         found = {x: self.start[c] + (best[f"c{i}"] or 0) for i, (x, c) in enumerate(chunk.items())}
         return [found.get(x, self.total) for x in limits]
 
@@ -79,7 +85,11 @@ class _Prefix:
             return []
         places = [(c := max(0, bisect.bisect_left(self.start, x) - 1), x - self.start[c]) for x in cuts]
         within = self.groups.filter(F.col("chunk").isin(sorted({c for c, _ in places})))
-        return list(within.agg(*[F.max(F.when((F.col("chunk") == c) & (F.col("upto") == x), F.col("group"))).alias(f"g{i}") for i, (c, x) in enumerate(places)]).first())
+        return list(
+            within
+            .agg(*[F.max(F.when((F.col("chunk") == c) & (F.col("upto") == x), F.col("group"))).alias(f"g{i}") for i, (c, x) in enumerate(places)])
+            .first()
+        )
 
 
 def minimax_cuts(sized: DataFrame, shards: int = SHARDS) -> tuple[int, list[str]]:
@@ -131,7 +141,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     (rows that repeat a doc_id) are numbered in any order.
     """
     text = F.coalesce("text", F.lit(""))
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group")), "sized")
+    sized = stored(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            F.sha2(text, 256).alias("group"),
+        ),
+        "sized",
+    )
     _, ends = minimax_cuts(sized, shards)
     number = sum(((F.col("group") > F.lit(end)).cast("int") for end in ends), F.lit(0))
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")
@@ -139,7 +157,19 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     counts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))  # shards * CELLS rows at most
     offsets = counts.select("shard", "cell", (F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("offset"))
     slot = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id")) - 1
-    return placed.join(F.broadcast(offsets), ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return (
+        placed
+        .join(F.broadcast(offsets), ["shard", "cell"])
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("bytes").alias("law"),
+            "shard",
+            (F.col("offset") + slot).cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
+    )
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,14 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         ids, edges, rows = np.array(ids, "<i8"), _edges(bucket), []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             own = _edges(place[s:e])
-            rows.append((int(bucket[s]), anchors[s:e].tobytes(), np.diff(own).astype("<u4").tobytes(), np.diff(ids[place[s:e][own[:-1]]], prepend=0).tobytes()))
+            rows.append(
+                (
+                    int(bucket[s]),
+                    anchors[s:e].tobytes(),
+                    np.diff(own).astype("<u4").tobytes(),
+                    np.diff(ids[place[s:e][own[:-1]]], prepend=0).tobytes(),
+                )
+            )
         yield _batch(rows, "bucket anchors counts ids", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +171,15 @@ def _shared(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows, edges = [], _edges(group)
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             own = _edges(doc[s:e])
-            rows.append((int(group[s]), doc[s:e][own[:-1]].tobytes(), np.diff(own).astype("<u4").tobytes(), anchors[s:e].tobytes(), np.packbits(hot[s:e]).tobytes()))
+            rows.append(
+                (
+                    int(group[s]),
+                    doc[s:e][own[:-1]].tobytes(),
+                    np.diff(own).astype("<u4").tobytes(),
+                    anchors[s:e].tobytes(),
+                    np.packbits(hot[s:e]).tobytes(),
+                )
+            )
         return pd.DataFrame(rows, columns=["own", "ids", "counts", "anchors", "hot"])
 
     return run
@@ -429,7 +444,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
             for c, v in zip(out, (i, int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)],
+            ["doc_id", "n_removed", "n_spans", "kept_sha256"],
+        )
 
 
 def repeated_ranges(texts: DataFrame, n_bytes: int) -> DataFrame:

@@ -227,9 +227,19 @@ def held_out(doc_id) -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic, half of the bounded sample; half says which step learns from a row."""
-    usable = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = (
+        labels
+        .filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+        .select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    )
     order = [F.md5(F.col("_id").cast("string")), F.col("_id")]
-    sample = usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    sample = (
+        usable
+        .filter("toxic = 1")
+        .orderBy(*order)
+        .limit(SAMPLE_TOXIC)
+        .unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
+    )
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id")  # bounded by the sample sizes
     return joined.withColumn("half", (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary")) % 3 == 0).cast("int"))
 
@@ -257,14 +267,28 @@ def fit_lexicon(rows: DataFrame) -> Lexicon:
     An arc is at least 20 times likelier in toxic documents, found in 3 and 1 % of them, and its
     likelihood ratio pays for the number of units tried, so that small samples give few false arcs.
     """
-    counts = _distinct(rows).mapInPandas(_unit_counts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    counts = (
+        _distinct(rows)
+        .mapInPandas(_unit_counts, "unit string, toxic long, clean long")
+        .groupBy("unit")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .persist()
+    )
     of_all = lambda c: F.coalesce(F.max(F.when(F.col("unit") == "", F.col(c))), F.lit(0))
     n_units, n_toxic, n_clean = counts.agg(F.count(F.lit(1)), F.greatest(of_all("toxic"), F.lit(1)), F.greatest(of_all("clean"), F.lit(1))).first()
     share = n_toxic / (n_toxic + n_clean)
     both = F.col("toxic") + F.col("clean")
-    ratio = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0)
+    ratio = (
+        F.col("toxic") * F.log(F.col("toxic") / (both * share))
+        + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0)
+    )
     odds = F.log(((F.col("toxic") + 0.1) / (n_toxic + 0.2)) / ((F.col("clean") + 0.1) / (n_clean + 0.2)))
-    kept = counts.filter(f"unit <> '' and toxic >= {max(3, n_toxic // 100)}").withColumn("weight", odds).filter((F.col("weight") >= float(np.log(20.0))) & (ratio >= float(np.log(max(2, n_units)))))
+    kept = (
+        counts
+        .filter(f"unit <> '' and toxic >= {max(3, n_toxic // 100)}")
+        .withColumn("weight", odds)
+        .filter((F.col("weight") >= float(np.log(20.0))) & (ratio >= float(np.log(max(2, n_units)))))
+    )
     top = kept.orderBy(F.desc("toxic"), F.desc("weight"), "unit").limit(ARCS).collect()  # bounded by ARCS
     counts.unpersist()
     return Lexicon({r["unit"]: float(r["weight"]) for r in top})
@@ -273,7 +297,11 @@ def fit_lexicon(rows: DataFrame) -> Lexicon:
 def design(figures: np.ndarray) -> np.ndarray:
     """The regression's inputs: a constant, whether there is an insult, squashed sum, maximum and share."""
     figures = figures.reshape(-1, 3)
-    return np.column_stack([np.ones(len(figures)), figures[:, 0] > 0, np.log1p(figures[:, 0]), np.log1p(figures[:, 1]), np.log1p(100 * figures[:, 2])]).astype(float)
+    return (
+        np
+        .column_stack([np.ones(len(figures)), figures[:, 0] > 0, np.log1p(figures[:, 0]), np.log1p(figures[:, 1]), np.log1p(100 * figures[:, 2])])
+        .astype(float)
+    )
 
 
 def fit_regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -324,7 +352,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in slices(whole)):
             s = model.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["row", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
+                ["row", "score", "predicted"],
+            )
 
     rows = spread(docs.select(F.col(id_col).cast("long"), F.col(text_col)))
     return rows.mapInArrow(run, "row long, score double, predicted int").withColumnRenamed("row", "doc_id")

@@ -34,7 +34,13 @@ ROWS = [*enumerate(SMALL), (0, SMALL[0]), (0, SMALL[0]), (2, None), (9, SMALL[1]
 def awkward(spark):
     """Repeated rows, a text of over a million characters, and columns whose names the operators use themselves."""
     rows = [(i, t, f"s{i % 2}" if i else None, i, i, i, "x", "x", "x", i) for i, t in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, copies long, _n long, row string, place string, rank string, size long").repartition(3)
+    return (
+        spark.createDataFrame(
+            rows,
+            "doc_id long, text string, source string, _id long, copies long, _n long, row string, place string, rank string, size long",
+        )
+        .repartition(3)
+    )
 
 
 OPERATORS = {
@@ -130,7 +136,10 @@ def test_grammar_equals_enumeration():
 
 
 def test_grammar_clauses():
-    score = lambda *symbols: toxicity.clause_score([(s, 4.0 if s == "insult" else 3.0 if s == "threat" else 0.0) for s in symbols], toxicity.grammar())
+    score = lambda *symbols: toxicity.clause_score(
+        [(s, 4.0 if s == "insult" else 3.0 if s == "threat" else 0.0) for s in symbols],
+        toxicity.grammar(),
+    )
     assert score("insult") == 4.0
     assert score("target", "word", "insult") == score("insult", "word", "target") == 6.0
     assert score("negation", "insult") == 1.0 and score("report", "word", "insult") == 2.0
@@ -142,7 +151,11 @@ def test_grammar_clauses():
 def test_toxicity_model_does_not_depend_on_the_layout(spark):
     rows = [(i, prose(25) + (f" {R.choice(['gromnar', 'gromnarish', 'vilkor'])} you." if i % 5 == 0 else ".") + prose(10), int(i % 5 == 0)) for i in range(400)]
     rows += [(1000 + i, *rows[5 * i][1:]) for i in range(30)]  # copies
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    docs, labels = (
+        spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        .drop("toxic"), spark
+        .createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    )
     models = [toxicity.fit(docs.repartition(n), labels) for n in (1, 7)]
     assert models[0].lexicon.arcs == models[1].lexicon.arcs and models[0].lexicon.arcs
     assert (models[0].weights == models[1].weights).all()
@@ -193,7 +206,30 @@ def plain_base(text):
 
 
 def test_base_spans_equal_plain_search():
-    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apiKey", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "x", "ſecret", "é", "abcDEF12345/+_.-=", "\n"]
+    parts = [
+        "password",
+        "Passwd",
+        "SECRET",
+        "token",
+        "api_key",
+        "apiKey",
+        '"',
+        "'",
+        " ",
+        "  ",
+        ":",
+        "=",
+        "==",
+        "AKIA",
+        "A1B2C3D4E5F6G7H8",
+        "0123456789abcdef",
+        "deadbeef",
+        "x",
+        "ſecret",
+        "é",
+        "abcDEF12345/+_.-=",
+        "\n",
+    ]
     for _ in range(4000):
         text = "".join(R.choice(parts) for _ in range(R.randint(1, 9)))
         assert secret_scan.joined(secret_scan.base_spans(text)) == plain_base(text), text
@@ -230,7 +266,13 @@ def test_field_on_held_out_lines():
 
 
 def test_field_finds_what_the_base_misses(spark):
-    texts = ["my password is Tr0ub4dor&3xyz here", "db pass hunter2secret99 ok", "token is 9f8a7b6c5d4e", "the passphrase is correcthorsebatterystaple", "the secret of the forest is old"]
+    texts = [
+        "my password is Tr0ub4dor&3xyz here",
+        "db pass hunter2secret99 ok",
+        "token is 9f8a7b6c5d4e",
+        "the passphrase is correcthorsebatterystaple",
+        "the secret of the forest is old",
+    ]
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, value in enumerate(["Tr0ub4dor&3xyz", "hunter2secret99", "9f8a7b6c5d4e", "correcthorsebatterystaple"]):
         at = texts[i].index(value)

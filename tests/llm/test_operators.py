@@ -112,7 +112,9 @@ def brute_components(texts):
 def test_near(docs, spark):
     got = by_id(near_dedup.link(docs))
     sets, root = brute_components(TEXTS)
-    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(TEXTS))}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {
+        i: (len(sets[i]), root[i], root[i] == i) for i in range(len(TEXTS))
+    }
 
 
 def test_near_large_family(spark):
@@ -229,7 +231,14 @@ def test_sharding(docs, monkeypatch, local):
 
 
 def test_licenses(spark):
-    texts = ["Released under the MIT-License!", "Licensed undr the Apache Licence, Version 2.0", "no notice", None, "MIT license, mit license and General  Public\nLicense", "x " * 5000 + "Licensed under CC BY-NC 4.0."]
+    texts = [
+        "Released under the MIT-License!",
+        "Licensed undr the Apache Licence, Version 2.0",
+        "no notice",
+        None,
+        "MIT license, mit license and General  Public\nLicense",
+        "x " * 5000 + "Licensed under CC BY-NC 4.0.",
+    ]
     got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert (got[0]["n_base"], got[0]["first_word"], got[0]["labels"]) == (1, 3, "mit")
     assert (got[1]["n_base"], got[1]["base_labels"], got[1]["labels"]) == (0, "", "apache") and 0 < got[1]["score"] < 1
@@ -254,7 +263,15 @@ def test_fuzzy_search_equals_matching_everywhere():
 
 def test_secrets(spark):
     hexes = "0123456789abcdef" * 2
-    texts = [f'token = "{hexes}"', "AKIA" + "A1" * 8, "password: short", None, f"call sk_live_{'aB3' * 8}7 now", "see https://example.com/a/b/12.html", "secret=" + "x" * 12 + " plain"]
+    texts = [
+        f'token = "{hexes}"',
+        "AKIA" + "A1" * 8,
+        "password: short",
+        None,
+        f"call sk_live_{'aB3' * 8}7 now",
+        "see https://example.com/a/b/12.html",
+        "secret=" + "x" * 12 + " plain",
+    ]
     got = by_id(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert got[0]["spans"] == f"assign:0:{len(texts[0]) - 1},hex:9:41" and (got[0]["n_assign"], got[0]["n_hex"]) == (1, 1)
     assert got[1]["spans"] == "access:0:20" and got[2]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
@@ -268,14 +285,19 @@ def test_viterbi_equals_all_taggings():
     r = np.random.default_rng(3)
     for n in (1, 2, 4):
         emit = r.normal(size=(n, 3))
-        value = lambda tags: emit[range(n), tags].sum() + secret_scan._FIRST[tags[0]] + sum(moves[a, b] for a, b in zip(tags, tags[1:]))  # noqa: B023, E731
+        value = lambda tags: (
+            emit[range(n), tags].sum() + secret_scan._FIRST[tags[0]] + sum(moves[a, b] for a, b in zip(tags, tags[1:]))  # noqa: B023, E731
+        )
         assert secret_scan.viterbi(emit, moves) == list(max(product(range(3), repeat=n), key=value))
 
 
 def test_pipeline_stages(docs, spark, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame([(i, 0, int(i == 3)) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (
+        spark.createDataFrame([(i, 0, int(i == 3)) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int").write
+        .parquet(f"{tmp_path}/labels.parquet")
+    )
     table = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.col("n").alias("n_chars"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, table, str(tmp_path))
