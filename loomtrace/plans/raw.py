@@ -119,7 +119,7 @@ def event_files(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(F.col("user_id").cast("string").alias("path"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     )
-    return rows.select("path", F.concat(F.lit('{"type":"assistant","message":{"content":[]}}\n'), F.array_join("lines", "\n")).alias("content"))
+    return rows.select("path", F.concat(F.lit('{"type":"assistant","uuid":"a","message":{"role":"assistant","content":[]}}\n'), F.array_join("lines", "\n")).alias("content"))
 
 
 def sidecars(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.steps import STEP_COLUMNS, iso_millis, pretty_json
@@ -31,8 +31,9 @@ def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFram
 def detect(files: DataFrame) -> DataFrame:
     """Adds format (null where nothing fits), status (ok, skip, error) and error to files (path, content); content becomes text.
 
-    A file of lines whose format is known fails as a whole if one line that isn't blank is no JSON object
-    with a type, or is an entry of a user or an assistant without a message; a chat, if its messages are no list.
+    A file of lines whose format is known fails as a whole if one line that isn't blank lacks a field that
+    its kind of entry needs, or has one of a wrong kind; a chat, if its messages are no list of such
+    messages; a run tree, if it is no tree of runs.
     """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     rows = files.withColumn("bad_text", text.isNull()).withColumn("content", text).withColumn("v", F.expr("try_parse_json(content)"))
@@ -67,11 +68,13 @@ def detect(files: DataFrame) -> DataFrame:
         F.transform(F.split("content", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))),
         lambda x: F.trim(x["line"], F.lit(BLANK)) != "",
     )
-    bad_line = F.get(F.filter(lines, lambda x: ~_is_entry(F.try_parse_json(x["line"]), F.col("format"))), F.lit(0))["n"]
-    listed = F.expr("try_variant_get(v, '$.messages', 'array<variant>')").isNotNull()
+    parsed = F.transform(lines, lambda x: F.struct(F.try_parse_json(x["line"]).alias("m"), x["n"].alias("n")))  # each line once
+    bad_line = F.get(F.filter(parsed, lambda x: ~_is_entry(x["m"], F.col("format"))), F.lit(0))["n"]
+    messages = F.expr("try_variant_get(v, '$.messages', 'array<variant>')")
+    listed = F.coalesce(messages.isNotNull() & F.forall(messages, lambda m: _is_message(m, F.col("format"))), F.lit(False))
     error = (
         F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file")))
-        .when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list")
+        .when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list of messages")
     )
     error = error.when(
         (F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(),
@@ -92,11 +95,54 @@ def detect(files: DataFrame) -> DataFrame:
 BLANK = " \t\r\x0b\x0c"
 
 
-def _is_entry(m, fmt):
-    """Whether a parsed line has what each entry of its format needs."""
-    has = lambda path: F.try_variant_get(m, path, "variant").isNotNull()
-    said = F.try_variant_get(m, "$.type", "string").isin("user", "assistant")
-    return F.coalesce(has("$.type") & ((fmt == "codex") | ~said | has("$.message")), F.lit(False))
+def _kind(m: Column, path: str) -> Column:
+    """The kind of the value at a path, as schema_of_variant names it: STRING, BIGINT, VOID (null), ...; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(m, path, "variant"))
+
+
+def _is(m: Column, path: str, *kinds: str) -> Column:
+    return F.coalesce(_kind(m, path).isin(*kinds), F.lit(False))
+
+
+def _may_be(m: Column, path: str, kind: str) -> Column:
+    return F.coalesce(_kind(m, path).isin(kind, "VOID"), F.lit(True))
+
+
+def _items(m: Column, path: str) -> Column:
+    return F.try_variant_get(m, path, "array<variant>")
+
+
+def _is_item(x: Column, said_by: str) -> Column:
+    """Whether an item of a message's content has the fields of its type; items of other types may have any."""
+    kind = F.try_variant_get(x, "$.type", "string")
+    result = _is(x, "$.tool_use_id", "STRING") & (_is(x, "$.content", "STRING") | _items(x, "$.content").isNotNull())
+    use = _is(x, "$.id", "STRING") & _is(x, "$.name", "STRING") & F.try_variant_get(x, "$.input", "variant").isNotNull()
+    named = (kind == "tool_result", result) if said_by == "user" else (kind == "tool_use", use)
+    return _is(x, "$.type", "STRING") & F.when(kind == "text", _is(x, "$.text", "STRING")).when(*named).otherwise(True)
+
+
+def _is_entry(m: Column, fmt: Column) -> Column:
+    """Whether a parsed line has what each entry of its format needs, with values of the right kinds."""
+    kind = F.try_variant_get(m, "$.type", "string")
+    message = _is(m, "$.uuid", "STRING") & _may_be(m, "$.parentUuid", "STRING") & _is(m, "$.message.role", "STRING")
+    listed = lambda who: F.coalesce(F.forall(_items(m, "$.message.content"), lambda x: _is_item(x, who)), F.lit(False))
+    asked = _is(m, "$.message.content", "STRING") | listed("user")
+    counters = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+    used = _may_be(m, "$.message.model", "STRING")
+    for c in counters:
+        used = used & _may_be(m, f"$.message.usage.{c}", "BIGINT")
+    entry = F.when(kind == "user", message & asked).when(kind == "assistant", message & listed("assistant") & used).otherwise(True)
+    known = (fmt == "codex") | entry
+    timed = F.when((fmt == "codex") | kind.isin("user", "assistant"), _may_be(m, "$.timestamp", "STRING")).otherwise(True)
+    return F.coalesce(m.isNotNull() & _is(m, "$.type", "STRING") & known & timed, F.lit(False))
+
+
+def _is_message(m: Column, fmt: Column) -> Column:
+    """Whether a chat's message has the fields of its format, with values of the right kinds."""
+    calls = lambda path: F.coalesce(_items(m, path).isNotNull(), F.lit(False)) | _kind(m, path).isNull()
+    chat = _is(m, "$.type", "STRING") & _may_be(m, "$.timestamp", "STRING") & calls("$.toolCalls")
+    role = F.coalesce(_kind(m, "$.role") == "STRING", F.lit(True))
+    return _may_be(m, "$.model", "STRING") & F.when(fmt == "gemini", chat).otherwise(role & calls("$.tool_calls") & _may_be(m, "$.tool_call_id", "STRING"))
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

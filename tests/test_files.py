@@ -346,7 +346,7 @@ def test_front_doors(spark, tmp_path):
     assert [(r["path"].rsplit("/", 1)[1], r["step_count"], r["error"]) for r in rows] == [
         ("two.json", 5, None),
         ("one.jsonl", 8, None),
-        ("bad.json", None, "messages is no list"),
+        ("bad.json", None, "messages is no list of messages"),
     ]
     assert all(r["mtime_secs"] for r in rows[:2])
     assert [tuple(r) for r in api.scan_pii(spark, "mail a@b.co").collect()] == [("email", 0, "a@b.co")]

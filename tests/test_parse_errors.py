@@ -26,7 +26,7 @@ def test_damaged_files_are_errors_and_give_no_steps(spark):
         "noise": "parsing line 2 of session file",
         "untyped": "parsing line 5 of session file",
         "silent": "parsing line 5 of session file",
-        "chat": "messages is no list",
+        "chat": "messages is no list of messages",
     }
     steps = formats.parse(files)
     assert {r[0] for r in steps.select("session_id").distinct().collect()} == {*FILES, "blank"} - {"no", "em"}
@@ -47,3 +47,20 @@ def test_top_ten(spark):
     rows = spark.range(12).select(F.concat(F.lit("m"), "id").alias("model"), (F.col("id") % 3).alias("session_count"))
     got = [tuple(r) for r in corpus.top_buckets(rows).collect()]
     assert got == sorted((tuple(r) for r in rows.collect()), key=lambda x: (-x[1], x[0]))[:10]
+
+
+def test_entries_need_fields_of_the_right_kinds(spark):
+    user, answer = '{"type":"user","uuid":"u","message":{"role":"user","content":%s}}', '{"type":"assistant","uuid":"u","message":{"role":"assistant","content":%s}}'
+    sound = {
+        "text": user % '"x"', "items": user % '[{"type":"image","x":1},{"type":"tool_result","tool_use_id":"t","content":[1]}]', "none": answer % "[]", "other": '{"type":"summary"}',
+        "use": answer % '[{"type":"tool_use","id":"i","name":"n","input":null}]', "parent": (user % '"x"').replace('"uuid"', '"parentUuid":null,"uuid"'), "rollout": '{"type":"event_msg","payload":5}',
+        "tool": '{"messages":[{"content":null},{"role":"tool","tool_call_id":null}]}', "chat": '{"sessionId":"s","messages":[{"type":"user"}]}',
+    }
+    bad = {
+        "number": user % "5", "no id": (user % '"x"').replace('"uuid":"u",', ""), "no role": (user % '"x"').replace('"role":"user",', ""), "untyped item": user % '[{"text":"x"}]', "result": user % '[{"type":"tool_result","tool_use_id":"t"}]',
+        "answer": answer % '"x"', "no input": answer % '[{"type":"tool_use","id":"i","name":"n"}]', "id": answer % '[{"type":"tool_use","id":1,"name":"n","input":1}]', "usage": (answer % "[]").replace('"content"', '"usage":{"input_tokens":"9"},"content"'),
+        "time": '{"type":"event_msg","timestamp":5}', "type": '{"type":"response_item"}\n{"type":7}', "untyped": '{"sessionId":"s","messages":[{"content":"x"}]}', "calls": '{"messages":[{"role":"user","tool_calls":"x"}]}', "role": '{"messages":[{"role":5}]}',
+    }
+    rows = formats.detect(spark.createDataFrame(list((sound | bad).items()), "path string, content string")).collect()
+    assert {r["path"] for r in rows if r["status"] == "error"} == set(bad)
+    assert {r["path"] for r in rows if r["status"] == "ok"} == set(sound)

@@ -103,7 +103,7 @@ def test_slices_reject_and_parse():
 
 
 FILES = {
-    "cc": '{"type":"user","uuid":"a","message":{"content":"hello"},"timestamp":"2024-01-01T00:00:00Z"}\n\n{"type":"assistant","parentUuid":"a","message":{"model":"gpt-5","usage":{"input_tokens":7},"content":[{"type":"text","text":"hi"},{"type":"tool_use","id":"t1","name":"Read","input":{"b":1,"a":2}}]}}\n{"type":"user","parentUuid":"b","message":{"content":[{"type":"tool_result","tool_use_id":"t1","content":"done"}]}}',
+    "cc": '{"type":"user","uuid":"a","message":{"role":"user","content":"hello"},"timestamp":"2024-01-01T00:00:00Z"}\n\n{"type":"assistant","uuid":"b","parentUuid":"a","message":{"role":"assistant","model":"gpt-5","usage":{"input_tokens":7},"content":[{"type":"text","text":"hi"},{"type":"tool_use","id":"t1","name":"Read","input":{"b":1,"a":2}}]}}\n{"type":"user","uuid":"c","parentUuid":"b","message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"t1","content":"done"}]}}',
     "cx": '{"type":"session_meta"}\n{"type":"response_item","payload":{"type":"message","role":"user","content":[{"text":"q"}]}}\n{"type":"response_item","payload":{"type":"function_call","call_id":"c","name":"shell","arguments":"{}"}}\n{"type":"response_item","payload":{"type":"function_call_output","call_id":"c","output":"ok"}}',
     "ge": '{"sessionId":"s","messages":[{"type":"user","content":"q"},{"type":"gemini","model":"gemini-2-5-pro","content":"a","usageMetadata":{"promptTokenCount":3},"toolCalls":[{"id":"1","name":"ls","args":{},"result":[{"functionResponse":{"response":{"output":"x"}}}]}]}]}',
     "op": '{"messages":[{"role":"system","content":"no"},{"role":"user","content":[{"type":"text","text":"q"}]},{"role":"assistant","content":"","tool_calls":[{"id":"1","function":{"name":"f","arguments":"{}"}}]},{"role":"tool","tool_call_id":"1","content":"r"}]}',
