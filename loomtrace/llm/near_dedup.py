@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import discard, documents, slices, spread, stored
+from loomtrace.llm.common import discard, documents, join_heavy, slices, spread, stored
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -234,13 +234,13 @@ def link(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(spread(rows).mapInArrow(_signatures, "doc_id long, n long, set_key binary, bands array<long>"), "signatures")
     nodes = stored(
-        signed.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        signed.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")),
         "nodes",
     )
     # buckets of two nodes or more
     members = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    bucketed = stored(members.join(shared.drop("m"), "bucket"), "buckets")
+    shared = stored(members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
+    bucketed = stored(join_heavy(members, shared, ["bucket"], "m", "inner").drop("m"), "buckets")
     sizes = bucketed.select("id", "n").distinct()
     involved = sizes.select(F.col("id").alias("doc_id"))
     sets = stored(rows.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]), "sets")
@@ -290,14 +290,12 @@ def link(docs: DataFrame) -> DataFrame:
     apart = placed(found)
     third = stored(family_links(apart, sets), "third")
     found = stored(components(joined(found, third)), "components")
-    discard(bucketed, sets, first, second, third, mixed, apart)
+    discard(bucketed, sets, first, second, third, mixed, apart, shared)
 
-    placed_nodes = nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    placed_nodes = nodes.join(found, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "doc_id")
     return (
-        signed
-        .select("doc_id", "n", "set_key")
-        .join(placed_nodes, "set_key", "left")
+        join_heavy(signed.select("doc_id", "n", "set_key"), stored(placed_nodes, "placed"), ["set_key"], "copies")
         .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
     )
 
