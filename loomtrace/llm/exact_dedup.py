@@ -6,8 +6,8 @@ equal fingerprints added. Only fingerprints with a count above one route their t
 verification, which groups by the whole normalised text.
 
 A group of copies collapses to one slot per partition in the filters and to one row per task in
-the byte verification (map-side aggregation), so no task ever holds a hot group. The one join that
-meets hot keys carries ids and hashes only, and Spark may split its skewed partitions.
+the byte verification (map-side aggregation), so no task ever holds a hot group. Rows of hot groups
+are dealt out and find their group by broadcast, as there are few such groups by definition.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, slices, stored
+from loomtrace.llm.common import documents, join_heavy, semi_heavy, slices, stored
 
 #: Most leading bits of a fingerprint that choose the range (block) it is merged in.
 MAX_BLOCK_BITS = 16
@@ -113,17 +113,18 @@ def _repeated(block_bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         keys, counts = merge_filters(list(block["filter"]), 64 - block_bits)
         top = np.uint64(block["block"].iloc[0]) << np.uint64(64 - block_bits)
-        return pd.DataFrame({"fp": (keys[counts > 1] | top).view(np.int64)})
+        more = counts > 1
+        return pd.DataFrame({"fp": (keys[more] | top).view(np.int64), "n": counts[more].astype(np.int64)})
 
     return run
 
 
 def repeated_fingerprints(narrow: DataFrame) -> DataFrame:
-    """Distinct `fp` that occur more than once in `narrow`, by merged counting quotient filters."""
+    """Distinct `fp` that occur more than once in `narrow`, and how often (`n`), by merged counting quotient filters."""
     n = narrow.count()
     bits = min(MAX_BLOCK_BITS, max(6, int(np.ceil(np.log2(n / PER_BLOCK + 1)))))
     filters = narrow.select("fp").mapInArrow(_partition_filters(bits), "block long, filter binary")
-    return filters.groupBy("block").applyInPandas(_repeated(bits), "fp long")
+    return filters.groupBy("block").applyInPandas(_repeated(bits), "fp long, n long")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +136,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     narrow = stored(rows.mapInArrow(_digests(False), NARROW), "digests")
-    repeated = repeated_fingerprints(narrow)
-    routed = rows.mapInArrow(_digests(True), f"{NARROW}, norm binary").join(repeated, "fp", "left_semi")
+    repeated = stored(repeated_fingerprints(narrow), "repeated")
+    routed = semi_heavy(rows.mapInArrow(_digests(True), f"{NARROW}, norm binary"), repeated, "fp", "n", "doc_id")
     groups = (
         routed
         .groupBy("fp", "norm")
@@ -144,7 +145,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("fp", "sha", "keep_id", "size")
     )
     keep_id = F.coalesce("keep_id", "doc_id")
-    return narrow.join(groups, ["fp", "sha"], "left").select(
+    return join_heavy(narrow, stored(groups, "groups"), ["fp", "sha"], "size").select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),

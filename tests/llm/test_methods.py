@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, secret_scan, sharding, suffix_dedup, toxicity
-from loomtrace.llm.common import numbered, slices
+from loomtrace.llm import common
+from loomtrace.llm.common import join_heavy, numbered, semi_heavy, slices
 
 R = random.Random(11)
 LETTERS = "abcdefghilmnoprstuvz"
@@ -75,6 +76,21 @@ def test_numbered(spark):
     assert numbered(df.limit(0), F.col("v")).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 3, 2_000])
+def test_hot_keys_join_as_others(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    keys = [R.choice([None, "hot", "hot", "hot", *"abcdef"]) for _ in range(300)]
+    left = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    counts = Counter(k for k in keys if k and k != "f")
+    right = spark.createDataFrame([(k, n, k.upper()) for k, n in counts.items()], "k string, n long, v string")
+    got = {r["i"]: r["v"] for r in join_heavy(left, right, ["k"], "n").collect()}
+    assert got == {i: k.upper() if k in counts else None for i, k in enumerate(keys)}
+    assert join_heavy(left, right, ["k"], "n", "inner").count() == sum(counts.values())
+    assert join_heavy(left.limit(0), right.limit(0), ["k"], "n").count() == 0
+    assert {r["i"] for r in semi_heavy(left, right, "k", "n", "i").collect()} == {i for i, k in enumerate(keys) if k in counts}
+    assert semi_heavy(left, right, "k", "n", "i").columns == ["k", "i"] and semi_heavy(left, right.limit(0), "k", "n", "i").count() == 0
+
+
 def fitted_posteriors(patterns):
     """Expectation maximisation over rows, one by one."""
     votes = [[p // 3**j % 3 - 1 for j in range(len(quality.RULES))] for p in patterns]
