@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomtrace.plans.catalog import ORACLE_SQL, QUERIES
@@ -12,7 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df.reindex(sorted(df.columns), axis=1)
-    plain = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    missing = lambda v: v is None or pd.api.types.is_scalar(v) and pd.isna(v)
+    plain = lambda v: None if missing(v) else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return sorted((tuple(plain(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
