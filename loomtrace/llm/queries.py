@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomtrace.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, secret_scan, sharding, suffix_dedup, toxicity
+from loomtrace.llm import (
+    align_tokens, bpe, exact_dedup, fingerprint, license_scan, manifest, mixing, near_dedup, quality, secret_scan, sharding, suffix_dedup, toxicity,
+)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_token_alignment": align_tokens.op11_token_alignment,
+    "op12_fingerprint": fingerprint.op12_fingerprint,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -23,4 +28,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
