@@ -21,7 +21,7 @@ from loomtrace.llm.common import documents, numbered
 from loomtrace.llm.quality import let
 
 SHINGLE = 5
-BINS, BITS = 128, 8
+BINS, BITS = 256, 8
 #: Bins that an empty one tries before it looks at all that are filled.
 PROBES = 12
 #: Consecutive documents that meet in one window; a document more comes along from the next block.

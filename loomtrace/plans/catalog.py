@@ -15,7 +15,8 @@ from loomtrace.operators import sessions as ops
 from loomtrace.plans import raw
 from loomtrace.plans.oracle_more import ORACLE_SQL
 from loomtrace.sources import adapters, drift, formats, notes
-from loomtrace.streaming import live
+from loomtrace.operators.storage import fresh_path
+from loomtrace.streaming import live, watch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -95,13 +96,6 @@ def _nearest_of_each(spark: SparkSession, d: str) -> DataFrame:
     return corpus.nearest_of_each(e, e.filter("id % 50 = 0")).withColumn("score", F.round("score", 6))
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The neighbours of row 0, as the query's SQL has them; nearest_vectors_all has all query rows."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    found = corpus.nearest_of_each(e, e.filter("id = 0")).orderBy(F.desc("score"), "id")
-    return found.select("id", F.round("score", 6).alias("score"))
-
-
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     edits = e.select(
@@ -226,6 +220,31 @@ def _stream_idle(spark: SparkSession, d: str) -> DataFrame:
     return idle.select("session_id", F.unix_millis("started").alias("started_ms"), F.unix_millis("idle_at").alias("idle_ms"), "steps")
 
 
+def _idle_alerts(spark: SparkSession, d: str) -> DataFrame:
+    child = watch.with_state_store(spark)
+    return live.drained(child, watch.idle_alerts(_stream_rows(child, d), 21_600_000), "append")
+
+
+#: What each look at a growing file finds of its n messages: half, all, a third (the file was cut), all again.
+LOOKS = ("n div 2", "n", "n div 3", "n")
+
+
+def _grown_errors(spark: SparkSession, d: str) -> DataFrame:
+    """New errors of files that grow, are cut and grow again between looks."""
+    child = watch.with_state_store(spark)
+    spool = fresh_path(child, "spool")
+    for version, part in enumerate(LOOKS):
+        watch.snapshot(raw.tool_chats(child, d, part), version, spool)
+    found = live.drained(child, watch.grown_errors(watch.spool_stream(child, spool)), "append")
+    return found.select("session_id", "version", "step_index", "label")
+
+
+def _tool_chats(spark: SparkSession, d: str) -> DataFrame:
+    """Chats with tools, usage and models, written as files and read back."""
+    columns = ("session_id", "step_index", "kind", "tool_name", "tool_call_id", "model", "tokens_in", "tokens_out", "cache_read")
+    return formats.parse(raw.tool_chats(spark, d)).select(*columns, "label")
+
+
 def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
     return live.drained(spark, live.live_totals(_stream_rows(spark, d)), "complete")
 
@@ -235,6 +254,7 @@ QUERIES: dict[str, Query] = {
     "conversation_steps": lambda spark, d: adapters.conversation_steps(spark, d).select("session_id", "step_index", "kind", "detail"),
     "raw_generic_steps": _raw(raw.generic),
     **{f"raw_{name}_steps": _raw(files) for name, files in raw.FILES.items()},
+    "raw_tool_chats": _tool_chats,
     "parse_errors": _parse_errors,
     "drift_report": _drift,
     "sidecar_notes": lambda spark, d: notes.sidecar_notes(raw.sidecars(spark, d)),
@@ -271,7 +291,6 @@ QUERIES: dict[str, Query] = {
     "steps_with_notes": _noted_steps,
     "compare_tools": _pairs,
     "align_sessions": _aligned,
-    "nearest_vectors": _nearest,
     "nearest_vectors_all": _nearest_of_each,
     "upsert_notes": _notes,
     "pii_scan": _pii,
@@ -287,4 +306,6 @@ QUERIES: dict[str, Query] = {
     "stream_errors": _stream_errors,
     "stream_idle": _stream_idle,
     "stream_totals": _stream_totals,
+    "stream_idle_alerts": _idle_alerts,
+    "stream_grown_errors": _grown_errors,
 }

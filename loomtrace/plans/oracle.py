@@ -93,7 +93,6 @@ ORACLE_SQL = {
     "fork_flags": "SELECT event_id AS entry, user_id::VARCHAR AS session_id, count(*) OVER (PARTITION BY user_id, event_id // 300) > 1 AS is_fork_root FROM events",
     "compare_tools": STEPS
     + "SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.tool_name, b.tool_name) AS tool_name, CASE WHEN a.use_count IS NULL THEN 'b' WHEN b.use_count IS NULL THEN 'a' ELSE 'both' END AS side, coalesce(a.use_count, 0) AS uses_a, coalesce(b.use_count, 0) AS uses_b, coalesce(a.error_count, 0) AS errors_a, coalesce(b.error_count, 0) AS errors_b, coalesce(b.use_count, 0) - coalesce(a.use_count, 0) AS delta FROM (SELECT session_id::BIGINT // 2 AS pair_id, * FROM tools WHERE session_id::BIGINT % 2 = 0) a FULL JOIN (SELECT session_id::BIGINT // 2 AS pair_id, * FROM tools WHERE session_id::BIGINT % 2 = 1) b ON a.pair_id = b.pair_id AND a.tool_name = b.tool_name",
-    "nearest_vectors": "SELECT vec_id AS id, round(score, 6) AS score FROM (SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE score >= 0.25 ORDER BY score DESC, vec_id LIMIT 30",
     "nearest_vectors_all": "SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE score >= 0.25) WHERE place <= 30",
     "upsert_notes": "WITH e AS (SELECT user_id::VARCHAR AS session_id, ((props->>'$.k')::BIGINT % 5)::INT AS step_index, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS text, event_id AS pos FROM events), c AS (SELECT * FROM (SELECT *, lag(text) OVER w AS p FROM e WINDOW w AS (PARTITION BY session_id, step_index ORDER BY pos)) WHERE text IS DISTINCT FROM p), l AS (SELECT *, sum((text = '')::INT) OVER (PARTITION BY session_id, step_index ORDER BY pos) AS life, sum((text = '')::INT) OVER (PARTITION BY session_id, step_index) AS last_life FROM c) SELECT session_id, step_index, arg_max(text, pos) AS text, min(pos) AS created_at_ms, max(pos) AS updated_at_ms FROM l WHERE life = last_life AND text <> '' GROUP BY ALL",
     "pii_scan": r"""WITH t AS (SELECT doc_id, text || ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 20)) || ' sk-ant-' || md5(doc_id::VARCHAR) || 'abc' AS text FROM documents),

@@ -122,6 +122,18 @@ SELECT category, count(*) AS hits, string_agg('1', ',') FILTER (nth <= 3) AS fir
 FROM n GROUP BY category""",
     "stream_totals": STEPS
     + "SELECT t.session_id, t.own_tool AS tool_name, count(*) AS steps, count(*) FILTER (s.is_error) AS errors FROM typed t JOIN steps s ON t.event_id = s.event_id GROUP BY ALL",
+    "stream_idle_alerts": """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 1000 AS t, event_id FROM events),
+g AS (SELECT *, t - lag(t) OVER (PARTITION BY session_id ORDER BY t, event_id) AS gap FROM e),
+i AS (SELECT *, sum((gap IS NULL OR gap > 21600000)::INT) OVER (PARTITION BY session_id ORDER BY t, event_id) AS spell FROM g),
+a AS (SELECT session_id, spell AS alert, min(t) AS started_ms, max(t) + 21600000 AS idle_ms, count(*) AS steps FROM i GROUP BY session_id, spell)
+SELECT session_id, started_ms, idle_ms, steps, alert::BIGINT AS alert, (sum(steps) OVER (PARTITION BY session_id ORDER BY alert))::BIGINT AS steps_so_far FROM a
+WHERE idle_ms <= (SELECT max(t) - 3600000 FROM e)""",
+    "stream_grown_errors": STEPS
+    + """, n AS (SELECT session_id, count(*) AS n FROM steps GROUP BY session_id),
+l AS (SELECT *, n // 2 AS seen, 1 AS version FROM n UNION ALL SELECT *, n // 3, 3 FROM n)
+SELECT session_id, version::BIGINT AS version, step_index, label FROM steps JOIN l USING (session_id) WHERE is_error AND step_index >= seen""",
+    "raw_tool_chats": STEPS
+    + "SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label FROM steps",
     "stream_idle": """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 1000 AS t, event_id FROM events),
 g AS (SELECT *, t - lag(t) OVER (PARTITION BY session_id ORDER BY t, event_id) AS gap FROM e),
 i AS (SELECT *, sum((gap IS NULL OR gap > 21600000)::INT) OVER (PARTITION BY session_id ORDER BY t, event_id) AS spell FROM g)

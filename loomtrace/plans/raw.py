@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.sources.adapters import event_parts
+
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/conversations.parquet").filter("role in ('user', 'assistant')").withColumn("text", F.coalesce("text", F.lit("")))
@@ -122,6 +124,23 @@ def event_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", F.concat(F.lit('{"type":"assistant","uuid":"a","message":{"role":"assistant","content":[]}}\n'), F.array_join("lines", "\n")).alias("content"))
 
 
+def tool_chats(spark: SparkSession, d: str, part: str = "n") -> DataFrame:
+    """A chat per user, from events: text, tool calls with arguments, results by call id, models and usage; the first `part` (SQL over n) of its messages."""
+    p = event_parts(spark.read.parquet(f"{d}/events.parquet"))
+    call = F.struct(F.col("tool_call_id").alias("id"), F.struct(F.col("tool_name").alias("name"), F.col("input_text").alias("arguments")).alias("function"))
+    usage = F.struct(F.col("tokens_in").alias("prompt_tokens"), F.col("tokens_out").alias("completion_tokens"), F.col("cache_read").alias("cached_tokens"))
+    role = F.when(F.col("kind") == "user_text", "user").when(F.col("kind") == "tool_result", "tool").otherwise("assistant")
+    said = F.col("kind") == "assistant_text"
+    message = F.struct(
+        role.alias("role"), F.coalesce("text", "result_text").alias("content"), F.when(F.col("kind") == "tool_use", F.array(call)).alias("tool_calls"),
+        F.when(F.col("kind") == "tool_result", F.col("tool_call_id")).alias("tool_call_id"), F.when(said, F.col("model")).alias("model"), F.when(said, usage).alias("usage"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", F.to_json(message).alias("line")))), lambda x: x["line"])
+    rows = p.groupBy(F.col("session_id").alias("path")).agg(listed.alias("lines")).withColumn("n", F.size("lines"))
+    kept = F.slice("lines", F.lit(1), F.expr(part).cast("int"))
+    return rows.select("path", F.concat(F.lit('{"messages":['), F.array_join(kept, ","), F.lit("]}")).alias("content"))
+
+
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     """A sidecar of notes per conversation, on each third turn; those of conversations with numbers divisible by 7 are damaged."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").filter("turn % 3 = 0")

@@ -568,14 +568,19 @@ PAIRED = {"generic": generic, "codex": codex, "claude_code": claude_code}
 NAMED = {"gemini": gemini, "vercel_ai": vercel_ai, "otel_json": otel_json, "langchain": lambda files: _parts(langchain(files))}
 
 
+def detected(files: DataFrame) -> DataFrame:
+    """path, content, format of the session files (path, content) that can be parsed, laid down by format."""
+    return stored(detect(files).filter("status = 'ok'").select("path", "content", "format"), "sessions", by="format")
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """Steps of session files (path, content); files of no known format are skipped, broken ones are in parse_errors().
+    """Steps of session files (path, content); files of no known format are skipped, broken ones are in parse_errors()."""
+    return parse_detected(detected(files))
 
-    Formats are found once and the files laid down by format; only the parsers of formats that occur
-    run, each on its own files.
-    """
-    spark = files.sparkSession
-    known = stored(detect(files).filter("status = 'ok'").select("path", "content", "format"), "sessions", by="format")
+
+def parse_detected(known: DataFrame) -> DataFrame:
+    """Steps of detected() files: only the parsers of formats that occur run, each on its own files."""
+    spark = known.sparkSession
     found = {r[0] for r in known.select("format").distinct().collect()}  # at most one a format
     out = spark.createDataFrame([], STEP_COLUMNS)
     for name, parser in {**PAIRED, **NAMED}.items():

@@ -30,12 +30,12 @@ def test_each_query_has_its_neighbours(spark, monkeypatch):
 
 def test_no_rows_and_no_query(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for name in ("nearest_vectors", "nearest_vectors_all"):
+    for name in ("nearest_vectors_all",):
         assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["nearest_vectors", "nearest_vectors_all"])
+@pytest.mark.parametrize("name", ["nearest_vectors_all"])
 def test_searches_equal_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{FOLDER}/embeddings.parquet'")
