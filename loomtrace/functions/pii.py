@@ -38,10 +38,14 @@ KEY_HEADERS = (
 
 
 def _emails(text: Column) -> Column:
-    """Each @ with a local part before and a domain with a dot after; neighbours may share text."""
+    """Each @ with a local part before and a domain with a dot after; neighbours may share text.
+
+    The local part is found from the right: the text before the @ is read backwards, so that its end is
+    a pattern's start, which costs its length once.
+    """
     parts = F.split(text, "@", -1)
     n = F.size(parts)
-    local = F.transform(F.slice(parts, 1, n - 1), lambda p: F.regexp_extract(p, r"[A-Za-z0-9._+-]+$", 0))
+    local = F.transform(F.slice(parts, 1, n - 1), lambda p: F.reverse(F.regexp_extract(F.reverse(p), r"^[A-Za-z0-9._+-]+", 0)))
     domain = F.transform(F.slice(parts, 2, n - 1), lambda p: F.regexp_extract(p, r"^[A-Za-z0-9.-]+", 0))
     found = F.zip_with(local, domain, lambda a, b: F.when((a != "") & F.contains(b, F.lit(".")), F.concat(a, F.lit("@"), b)))
     return F.when(F.contains(text, F.lit("@")), F.filter(found, lambda x: x.isNotNull()))

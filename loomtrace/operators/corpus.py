@@ -114,38 +114,37 @@ PERCENTILES = (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))
 def distributions(sessions: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """One row with min, p50, p90, p99, max, mean, total of each measure (nearest rank), zeros without sessions.
 
-    Values are numbered by range partitions, measure after measure, and the few ranks asked for are picked.
+    Sessions are counted by distinct value, with map-side combining, so that equal values never come
+    together; values lie in ranges, and a running count over a row per range finds the range of each rank.
     """
     flags = ("fork_root_count", "annotation_count", "error_count")
-    rows = stored(sessions.select(*[c.cast("long").alias(f"_{n}") for n, c in measures.items()], *flags), "measures")
-    rate = lambda c: F.coalesce(F.try_divide(F.count_if(F.col(c) > 0), F.count(F.lit(1))), F.lit(0.0))
-    aggs = []
+    spark = sessions.sparkSession
+    valued = F.array(*[F.struct(F.lit(n).alias("m"), c.cast("long").alias("value")) for n, c in measures.items()])
+    flagged = F.array(*[F.struct(F.lit(f"_{c}").alias("m"), F.when(F.col(c) > 0, 1).otherwise(0).cast("long").alias("value")) for c in flags])
+    counted = sessions.select(F.explode(F.concat(valued, flagged)).alias("v")).filter("v.value is not null").groupBy("v.m", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "m", "value")
+    rows = stored(ranged.withColumn("part", F.spark_partition_id()), "counts")
+    parts = rows.groupBy("m", "part").agg(F.sum("n").alias("of_part"))
+    known = parts.select(
+        "m", "part",
+        (F.sum("of_part").over(W.partitionBy("m").orderBy("part")) - F.col("of_part")).alias("before"),
+        F.sum("of_part").over(W.partitionBy("m")).alias("whole"),
+    )
+    at = rows.join(F.broadcast(known), ["m", "part"])  # measures times partitions
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("m", "part").orderBy("value"))
+    at = at.withColumn("upto", upto)
+    ranks = {q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("whole") * p)), F.col("value"))) for q, p in PERCENTILES}
+    sums = at.groupBy("m").agg(
+        F.min("value").alias("min"), *[c.alias(q) for q, c in ranks.items()], F.max("value").alias("max"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean"), F.sum(F.col("value") * F.col("n")).alias("total"), F.sum("n").alias("count"),
+    )
+    picked = []
     for n in measures:
-        c = F.col(f"_{n}")
-        aggs += [F.coalesce(F.min(c), F.lit(0)).alias(f"{n}_min"), F.coalesce(F.max(c), F.lit(0)).alias(f"{n}_max"), F.count(c).alias(f"_n_{n}")]
-        aggs += [F.coalesce(F.try_divide(F.sum(c), F.count(c)), F.lit(0.0)).alias(f"{n}_mean"), F.coalesce(F.sum(c), F.lit(0)).alias(f"{n}_total")]
-    rates = [rate(c).alias(r) for c, r in zip(flags, ("branched_rate", "annotated_rate", "errored_rate"), strict=True)]
-    whole = stored(rows.agg(F.count(F.lit(1)).alias("sessions"), *aggs, *rates), "whole")
-    counts = whole.select(*[f"_n_{n}" for n in measures]).first()
-    wanted, before = {}, 0
-    for n, count in zip(measures, counts, strict=True):
-        for q, p in PERCENTILES:
-            if count:
-                wanted.setdefault(before + max(1, math.ceil(count * p)) - 1, []).append(f"{n}_{q}")
-        before += count
-    values = (
-        rows
-        .select(F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_{n}").alias("value")) for i, n in enumerate(measures)])).alias("v"))
-        .select("v.*")
-        .filter("value is not null")
-    )
-    picked = {}
-    if wanted:
-        for r in numbered(values, F.col("m"), F.col("value")).filter(F.col("place").isin(*wanted)).collect():  # three a measure
-            picked |= dict.fromkeys(wanted[r["place"]], r["value"])
-    out = whole.withColumns({f"{n}_{q}": F.lit(picked.get(f"{n}_{q}", 0)).cast("long") for n in measures for q, _ in PERCENTILES})
-    listed = [f"{n}_{x}" for n in measures for x in ("min", "p50", "p90", "p99", "max", "mean", "total")]
-    return out.select("sessions", *listed, "branched_rate", "annotated_rate", "errored_rate")
+        for x in ("min", "p50", "p90", "p99", "max", "mean", "total"):
+            kind = "double" if x == "mean" else "long"
+            picked.append(F.coalesce(F.max(F.when(F.col("m") == n, F.col(x))), F.lit(0)).cast(kind).alias(f"{n}_{x}"))
+    rates = [F.coalesce(F.max(F.when(F.col("m") == f"_{c}", F.col("mean"))), F.lit(0.0)).alias(r) for c, r in zip(flags, ("branched_rate", "annotated_rate", "errored_rate"), strict=True)]
+    return sums.agg(F.coalesce(F.max(F.when(F.col("m") == f"_{flags[0]}", F.col("count"))), F.lit(0)).alias("sessions"), *picked, *rates)
 
 
 def trajectory_stats(sessions: DataFrame) -> DataFrame:
@@ -182,43 +181,70 @@ def compare_tools(stats_a: DataFrame, stats_b: DataFrame) -> DataFrame:
     )
 
 
-def _next_row(row: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """The row of the table of common lengths after row, for a left step that equals the right steps marked in same."""
-    out = np.zeros_like(row)
-    out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + same))
-    return out
+def _next_row(row: int, same: int, full: int) -> int:
+    """The row after row of the table of common lengths, for a left step that equals the right steps marked in same.
+
+    A row is a number whose bit j is 0 where the length grows at right step j, so that one addition
+    carries through all right steps at once.
+    """
+    met = row & same
+    return ((row + met) | (row & ~same)) & full
 
 
 def align(left: list[str], right: list[str]) -> list[tuple[int | None, int | None]]:
     """Pairs of a longest common subsequence with gaps; left gaps come first, ties go up in the table.
 
-    Of the table of n by m lengths, each sqrt(n)-th row is kept and the rows between are made anew, a
-    block at a time, as the way back passes them.
+    Rows of the table of n by m lengths are numbers of m bits. Of them each sqrt(n)-th is kept and the
+    rows between are made anew, a block at a time, as the way back passes them. It goes up where the
+    length above is the same, that is where the row above has as many steps of growth up to there.
     """
     n, m = len(left), len(right)
-    code = {s: i for i, s in enumerate({*left, *right})}
-    a, b = np.array([code[s] for s in left], int), np.array([code[s] for s in right], int)
+    full = (1 << m) - 1
+    at: dict[str, list[int]] = {}
+    for j, s in enumerate(right):
+        at.setdefault(s, []).append(j)
+    masks = {}
+    for s, js in at.items():
+        marks = bytearray((m + 7) // 8)
+        for j in js:
+            marks[j >> 3] |= 1 << (j & 7)
+        masks[s] = int.from_bytes(marks, "little")
     block = max(1, math.isqrt(n))
-    row, kept = np.zeros(m + 1, np.int32), []
-    for i in range(n):
+    row, kept = full, []
+    for i, s in enumerate(left):
         if i % block == 0:
             kept.append(row)
-        row = _next_row(row, b == a[i])
+        row = _next_row(row, masks.get(s, 0), full)
     matched, i, j = [(n, m)], n, m  # an end mark, then the pairs from the back
     base, table = n, []  # table: the rows from base on
-    while i and j:
-        if i - 1 < base:
-            base = (i - 1) // block * block
+
+    def row_of(i: int) -> int:
+        nonlocal base, table
+        if i < base:
+            base = i // block * block
             table = [kept[base // block]]
-            for k in range(base, i):
-                table.append(_next_row(table[-1], b == a[k]))
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            matched.append((i, j))
-        elif table[i - 1 - base][j] >= table[i - base][j - 1]:
+            for k in range(base, min(base + block, n)):
+                table.append(_next_row(table[-1], masks.get(left[k], 0), full))
+        return table[i - base]
+
+    def grown(row: int, j: int) -> int:
+        return j - (row & ((1 << j) - 1)).bit_count()
+
+    here, above = row, row_of(n - 1) if n else full
+    length, length_above = grown(here, j), grown(above, j)
+    while i and j:
+        same = left[i - 1] == right[j - 1]
+        if same or length_above == length:  # to the match, or up
             i -= 1
+            if same:
+                j -= 1
+                matched.append((i, j))
+            here, above = above, row_of(i - 1) if i else full
+            length, length_above = grown(here, j), grown(above, j)
         else:
             j -= 1
+            length -= 1 - (here >> j & 1)
+            length_above -= 1 - (above >> j & 1)
     out, i, j = [], 0, 0
     for p, q in reversed(matched):
         out += [(k, None) for k in range(i, p)] + [(None, k) for k in range(j, q)] + [(p, q)]
@@ -232,8 +258,8 @@ ALIGNED = "pair_id string, row_no int, left_idx int, right_idx int, align_kind s
 def align_sessions(steps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Alignment rows of session pairs (pair_id, left_id, right_id); steps match by kind and tool, and are equal by detail.
 
-    Two sessions travel as arrays in one row; a pair costs time with the product of their lengths, and memory with the
-    length of one and the square root of the other's.
+    Two sessions travel as arrays in one row; a pair costs time with a 64th of the product of their lengths, and memory with
+    an eighth of the length of one times the square root of the other's.
     """
     signed = steps.select(
         "session_id",

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.functions.steps import in_session, is_error, with_cost
 
+#: Steps of a session that one task takes at a time in the windows below.
+SEGMENT = 100_000
+
 KINDS = ("user_text", "assistant_text", "tool_use", "tool_result")
 
 
@@ -28,10 +31,29 @@ def paired(steps: DataFrame) -> DataFrame:
     return rows.withColumns({"tool_name": own("tool_name"), "input_text": own("input_text")}).drop("call")
 
 
+def with_halo(steps: DataFrame, before: int, after: int) -> DataFrame:
+    """steps cut into segments of SEGMENT indices; each also gets the given numbers of rows before and after it.
+
+    Adds segment, and own: false for the rows lent from neighbours. Step indices are those of the whole
+    session, without holes. A window by session_id and segment then sees what its rows need, and no task
+    a whole session.
+    """
+    of = lambda i: F.floor(i / SEGMENT)
+    index = F.col("step_index")
+    reached = F.sequence(F.greatest(of(index - after), F.lit(0).cast("long")), of(index + before))
+    rows = steps.withColumn("segment", F.explode(reached))
+    return rows.withColumn("own", F.col("segment") == of(index))
+
+
+def in_segment() -> WindowSpec:
+    return W.partitionBy("session_id", "segment").orderBy("step_index")
+
+
 def durations(steps: DataFrame) -> DataFrame:
     """duration_ms: the gap to the step before; null for the first, a missing side or a negative gap."""
-    gap = F.col("timestamp_ms") - F.lag("timestamp_ms").over(in_session())
-    return steps.withColumn("duration_ms", F.when(gap >= 0, gap))
+    rows = with_halo(steps, 1, 0).withColumn("_before", F.lag("timestamp_ms").over(in_segment()))
+    gap = F.col("timestamp_ms") - F.col("_before")
+    return rows.filter("own").withColumn("duration_ms", F.when(gap >= 0, gap)).drop("segment", "own", "_before")
 
 
 def step_counts(steps: DataFrame) -> DataFrame:
@@ -181,7 +203,7 @@ def recent_errors(steps: DataFrame, n: int = 5) -> DataFrame:
 
 def tool_density(steps: DataFrame, reach: int = 5) -> DataFrame:
     """Tool steps within reach rows either way, and the heat bucket (0 to 5) of that number."""
-    near = F.count(F.when(F.col("kind").isin("tool_use", "tool_result"), 1)).over(in_session().rowsBetween(-reach, reach))
+    near = F.count(F.when(F.col("kind").isin("tool_use", "tool_result"), 1)).over(in_segment().rowsBetween(-reach, reach))
     bucket = (
         F.when(F.col("density") == 0, 0)
         .when(F.col("density") <= 2, 1)
@@ -190,24 +212,31 @@ def tool_density(steps: DataFrame, reach: int = 5) -> DataFrame:
         .when(F.col("density") <= 10, 4)
         .otherwise(5)
     )
-    return steps.select("session_id", "step_index", "kind").withColumn("density", near).withColumn("bucket", bucket)
+    rows = with_halo(steps.select("session_id", "step_index", "kind"), reach, reach).withColumn("density", near)
+    return rows.filter("own").drop("segment", "own").withColumn("bucket", bucket)
 
 
 def parallel_batches(steps: DataFrame) -> DataFrame:
-    """in_batch: the step belongs to two or more consecutive tool steps of its kind."""
-    rows = (
-        steps
-        .select("session_id", "step_index", "kind")
-        .withColumn("island", F.sum(F.when(F.col("kind").eqNullSafe(F.lag("kind").over(in_session())), 0).otherwise(1)).over(in_session()))
-    )
-    size = F.count(F.lit(1)).over(W.partitionBy("session_id", "island"))
-    return rows.withColumn("in_batch", F.col("kind").isin("tool_use", "tool_result") & (size >= 2)).drop("island")
+    """in_batch: the step belongs to two or more consecutive tool steps of its kind, that is, has one like it beside it."""
+    rows = with_halo(steps.select("session_id", "step_index", "kind"), 1, 1)
+    like = lambda kind: kind.over(in_segment()).eqNullSafe(F.col("kind"))
+    rows = rows.withColumn("in_batch", F.coalesce(F.col("kind").isin("tool_use", "tool_result"), F.lit(False)) & (like(F.lag("kind")) | like(F.lead("kind"))))
+    return rows.filter("own").drop("segment", "own")
 
 
 def text_context(steps: DataFrame) -> DataFrame:
-    """context_index: the latest text step at or before each step."""
-    latest = F.last(F.when(F.col("kind").isin("user_text", "assistant_text"), F.col("step_index")), ignorenulls=True)
-    return steps.select("session_id", "step_index", "kind", latest.over(in_session().rowsBetween(W.unboundedPreceding, 0)).alias("context_index"))
+    """context_index: the latest text step at or before each step.
+
+    Each segment's last text is carried to the segments behind it, a row a segment.
+    """
+    rows = with_halo(steps.select("session_id", "step_index", "kind"), 0, 0).drop("own")
+    text = F.when(F.col("kind").isin("user_text", "assistant_text"), F.col("step_index"))
+    last = rows.groupBy("session_id", "segment").agg(F.max(text).alias("_last"))
+    earlier = W.partitionBy("session_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select("session_id", "segment", F.max("_last").over(earlier).alias("_carried")).filter("_carried is not null")
+    rows = rows.withColumn("context_index", F.max(text).over(in_segment().rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.join(carried, ["session_id", "segment"], "left")
+    return rows.select("session_id", "step_index", "kind", F.coalesce("context_index", "_carried").alias("context_index"))
 
 
 def fork_flags(entries: DataFrame) -> DataFrame:
