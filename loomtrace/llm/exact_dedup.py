@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import documents, join_heavy, semi_heavy, slices, stored
+from loomtrace.llm.common import ascii_lower, documents, join_heavy, semi_heavy, slices, stored
 
 #: Most leading bits of a fingerprint that choose the range (block) it is merged in.
 MAX_BLOCK_BITS = 16
@@ -157,10 +157,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without texts that equal one of a larger doc_id; cases as in exact_groups().
 
-    Of null and empty texts the one with the largest id stays; rows that repeat a kept id all stay.
+    Rows are told apart by id and normalised text, so that an id may come with several texts. Of null
+    and empty texts the one with the largest id stays; rows that repeat a kept id and text all stay. A
+    null id is smaller than all others.
     """
-    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    dropped = exact_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
+    same = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256) == dropped["_sha"]
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]) & same, "left_anti")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import discard, documents, join_heavy, slices, spread, stored
+from loomtrace.llm.common import discard, documents, join_heavy, numbered, slices, spread, stored
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -228,8 +228,10 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     kept marks the least id of a component. Null and empty texts, and texts of white space alone,
-    have empty sets and stand alone. Rows that repeat an id and text count as one document. An empty
-    table gives an empty result; further columns are not read.
+    have empty sets and stand alone. Rows that repeat an id and text count as one document. Ids should
+    be distinct and not null (drop_near() numbers its rows where they are not): a row with a null id
+    joins rows of equal sets and else has a null component and is kept. An empty table gives an empty
+    result; further columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(spread(rows).mapInArrow(_signatures, "doc_id long, n long, set_key binary, bands array<long>"), "signatures")
@@ -296,17 +298,25 @@ def link(docs: DataFrame) -> DataFrame:
     own = F.coalesce("component", "doc_id")
     return (
         join_heavy(signed.select("doc_id", "n", "set_key"), stored(placed_nodes, "placed"), ["set_key"], "copies")
-        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
     )
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one document of each component (its least id); cases as in link().
 
-    Texts that are null, empty or of white space alone all stay; rows that repeat a kept id all stay.
+    Texts that are null, empty or of white space alone all stay. Rows that repeat a kept id and text
+    all stay, but where some id is null or comes with several texts: then rows are linked by their
+    number in order of id (null last) and text, and one row of a component stays.
     """
-    dropped = link(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    by_id = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.xxhash64("text")).alias("_a"), F.max(F.xxhash64("text")).alias("_b"))
+    if by_id.filter("_id is null or _a <> _b").isEmpty():
+        dropped = link(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+        return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    whole = docs.select(F.struct("*").alias("row"))
+    rows = numbered(whole, F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    dropped = link(rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))).filter(~F.col("kept"))
+    return rows.join(dropped.select(F.col("doc_id").alias("place")), "place", "left_anti").select("row.*")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
