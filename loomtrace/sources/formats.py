@@ -10,6 +10,7 @@ from loomtrace.functions.steps import STEP_COLUMNS, iso_millis, pretty_json
 from loomtrace.operators.sessions import paired
 from loomtrace.operators.storage import stored
 from loomtrace.sources.adapters import finish
+from loomtrace.sources.fields import RULES, fits_all, text_at
 from loomtrace.sources.run_trees import langchain, run_list
 
 #: Columns of raw steps, before results are paired and steps numbered.
@@ -70,11 +71,14 @@ def detect(files: DataFrame) -> DataFrame:
     )
     parsed = F.transform(lines, lambda x: F.struct(F.try_parse_json(x["line"]).alias("m"), x["n"].alias("n")))  # each line once
     bad_line = F.get(F.filter(parsed, lambda x: ~_is_entry(x["m"], F.col("format"))), F.lit(0))["n"]
-    messages = F.expr("try_variant_get(v, '$.messages', 'array<variant>')")
-    listed = F.coalesce(messages.isNotNull() & F.forall(messages, lambda m: _is_message(m, F.col("format"))), F.lit(False))
+    items = lambda name: F.expr(f"try_variant_get(v, '$.{name}', 'array<variant>')")
+    fmt = F.col("format")
+    listed = F.when(fmt == "generic", fits_all(items("messages"), RULES["generic"])).when(fmt == "gemini", fits_all(items("messages"), RULES["gemini"]))
+    spans = F.when(fmt == "otel_json", fits_all(items("resourceSpans"), RULES["otel_json"]))
     error = (
         F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file")))
-        .when(F.col("format").isin("gemini", "generic") & ~listed, "messages is no list of messages")
+        .when(~listed, "messages is no list of messages")
+        .when(~spans, "resourceSpans is no list of spans")
     )
     error = error.when(
         (F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(),
@@ -91,6 +95,8 @@ def detect(files: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: a call without a name.
+UNNAMED = "(unknown)"
 #: White space that may fill a blank line.
 BLANK = " \t\r\x0b\x0c"
 
@@ -137,14 +143,6 @@ def _is_entry(m: Column, fmt: Column) -> Column:
     return F.coalesce(m.isNotNull() & _is(m, "$.type", "STRING") & known & timed, F.lit(False))
 
 
-def _is_message(m: Column, fmt: Column) -> Column:
-    """Whether a chat's message has the fields of its format, with values of the right kinds."""
-    calls = lambda path: F.coalesce(_items(m, path).isNotNull(), F.lit(False)) | _kind(m, path).isNull()
-    chat = _is(m, "$.type", "STRING") & _may_be(m, "$.timestamp", "STRING") & calls("$.toolCalls")
-    role = F.coalesce(_kind(m, "$.role") == "STRING", F.lit(True))
-    return _may_be(m, "$.model", "STRING") & F.when(fmt == "gemini", chat).otherwise(role & calls("$.tool_calls") & _may_be(m, "$.tool_call_id", "STRING"))
-
-
 def parse_errors(files: DataFrame) -> DataFrame:
     """path, error of the session files (path, content) whose format is known but which can't be parsed."""
     return detect(files).filter("status = 'error'").select("path", "error")
@@ -432,8 +430,8 @@ def vercel_ai(files: DataFrame) -> DataFrame:
             "s",
             "j",
             F.lit("tool_use").alias("kind"),
-            _get("c", "toolName").alias("tool_name"),
-            F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"),
+            F.coalesce(text_at(F.col("c"), "$.toolName"), F.lit(UNNAMED)).alias("tool_name"),
+            F.coalesce(text_at(F.col("c"), "$.toolCallId"), F.lit("")).alias("tool_call_id"),
             json("args", "input").alias("input_text"),
         )
     )
@@ -446,8 +444,8 @@ def vercel_ai(files: DataFrame) -> DataFrame:
             "s",
             "j",
             F.lit("tool_result").alias("kind"),
-            _get("c", "toolName").alias("tool_name"),
-            F.coalesce(_get("c", "toolCallId"), F.lit("")).alias("tool_call_id"),
+            F.coalesce(text_at(F.col("c"), "$.toolName"), F.lit(UNNAMED)).alias("tool_name"),
+            F.coalesce(text_at(F.col("c"), "$.toolCallId"), F.lit("")).alias("tool_call_id"),
             json("args", "input").alias("input_text"),
             shown.alias("result_text"),
         )

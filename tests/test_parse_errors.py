@@ -64,3 +64,29 @@ def test_entries_need_fields_of_the_right_kinds(spark):
     rows = formats.detect(spark.createDataFrame(list((sound | bad).items()), "path string, content string")).collect()
     assert {r["path"] for r in rows if r["status"] == "error"} == set(bad)
     assert {r["path"] for r in rows if r["status"] == "ok"} == set(sound)
+
+
+def test_damaged_calls_are_errors(spark):
+    """A call, a count or a span with a field of a wrong kind makes its file an error; missing ones don't."""
+    chat, gem, spans = '{"messages":[%s]}', '{"sessionId":"s","messages":[%s]}', '{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]}]}'
+    call, used = '{"role":"assistant","tool_calls":[%s]}', '{"role":"assistant","usage":%s}'
+    sound = {
+        "call": chat % call % '{"id":"i","function":{"name":"n","arguments":"{}"}},{}', "no calls": chat % '{"role":"user","tool_calls":[]}', "function": chat % call % '{"function":{}}',
+        "usage": chat % used % '{"prompt_tokens":5,"completion_tokens":null}', "no usage": chat % used % "null", "large": chat % used % '{"prompt_tokens":18446744073709551615}',
+        "gemini": gem % '{"type":"gemini","toolCalls":[{"id":"i","args":5,"result":null},{"timestamp":null}],"usageMetadata":{"promptTokenCount":0}}',
+        "span": spans % '{"name":"n","startTimeUnixNano":"1","attributes":[{"key":"k","value":null}]},{}', "no spans": '{"resourceSpans":[{},{"scopeSpans":[]}]}',
+        "lenient": '{"finishReason":"stop","toolCalls":[{"toolName":5}],"toolResults":"x"}',
+    }
+    bad = {
+        "id": chat % call % '{"id":5}', "null id": chat % call % '{"id":null}', "arguments": chat % call % '{"function":{"arguments":{}}}', "null function": chat % call % '{"function":null}',
+        "no object": chat % call % '"x"', "null call": chat % call % "null", "null calls": chat % '{"role":"user","tool_calls":null}', "null role": chat % '{"role":null}', "a text": chat % '"x"',
+        "count": chat % used % '{"prompt_tokens":"5"}', "fraction": chat % used % '{"prompt_tokens":1.5}', "negative": chat % used % '{"cached_tokens":-1}', "usage list": chat % used % "[]",
+        "gem name": gem % '{"type":"gemini","toolCalls":[{"name":7}]}', "gem time": gem % '{"type":"gemini","toolCalls":[{"timestamp":7}]}', "gem count": gem % '{"type":"gemini","usageMetadata":{"promptTokenCount":true}}',
+        "span time": spans % '{"startTimeUnixNano":5}', "no key": spans % '{"attributes":[{"value":1}]}', "no value": spans % '{"attributes":[{"key":"k"}]}', "scope": '{"resourceSpans":[{"scopeSpans":{}}]}',
+    }
+    files = spark.createDataFrame(list((sound | bad).items()), "path string, content string")
+    rows = formats.detect(files).collect()
+    assert {r["path"] for r in rows if r["status"] == "error"} == set(bad)
+    assert {r["path"] for r in rows if r["status"] == "ok"} == set(sound)
+    steps = formats.parse(files.filter("path in ('lenient', 'id', 'call')")).collect()
+    assert {(r.session_id, r.kind, r.tool_name) for r in steps} == {("lenient", "tool_use", "(unknown)"), ("call", "tool_use", "n"), ("call", "tool_use", "")}
