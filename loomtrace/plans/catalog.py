@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import pii
 from loomtrace.functions import steps as fs
-from loomtrace.operators import corpus, export
+from loomtrace.operators import corpus, export, vector_index
 from loomtrace.operators import sessions as ops
 from loomtrace.plans import raw
 from loomtrace.plans.oracle_more import ORACLE_SQL
@@ -96,6 +96,14 @@ def _nearest_of_each(spark: SparkSession, d: str) -> DataFrame:
     return corpus.nearest_of_each(e, e.filter("id % 50 = 0")).withColumn("score", F.round("score", 6))
 
 
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """As nearest_vectors_all, by an inverted-file index over all rows."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    lists = vector_index.fit(e)
+    found = vector_index.search(vector_index.index(e, lists), e.filter("id % 50 = 0"), lists)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     edits = e.select(
@@ -292,6 +300,7 @@ QUERIES: dict[str, Query] = {
     "compare_tools": _pairs,
     "align_sessions": _aligned,
     "nearest_vectors_all": _nearest_of_each,
+    "nearest_vectors_indexed": _indexed,
     "upsert_notes": _notes,
     "pii_scan": _pii,
     "pii_ipv4": _ipv4,
