@@ -11,6 +11,7 @@ from loomtrace.operators.sessions import paired
 from loomtrace.operators.storage import stored
 from loomtrace.sources.adapters import finish
 from loomtrace.sources.fields import RULES, fits_all, text_at
+from loomtrace.sources.listing import list_files
 from loomtrace.sources.run_trees import langchain, run_list
 
 #: Columns of raw steps, before results are paired and steps numbered.
@@ -18,15 +19,16 @@ PARTS = {n: t for n, t in (x.split() for x in STEP_COLUMNS.split(", ")) if n in
 
 
 def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFrame:
-    """path, content (binary), mtime_secs of all files down to max_depth levels (the folder itself is level 1)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    plain = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?|/+$", "")  # noqa: E731  without scheme and host
-    depth = lambda c: F.size(F.filter(F.split(plain(c), "/"), lambda x: x != ""))
-    return (
-        files
-        .filter(depth(F.col("path")) - depth(F.lit(folder)) <= max_depth)
-        .select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
-    )
+    """path, content (binary), mtime_secs of all files down to max_depth levels (the folder itself is level 1).
+
+    Files are listed first, without folders that can't be, and only those are read.
+    """
+    paths = list_files(spark, folder, max_depth)
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary, mtime_secs long")
+    # the paths are whole names, not patterns
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("__globPaths__", False).load(paths)
+    return files.select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
 
 
 def detect(files: DataFrame) -> DataFrame:
