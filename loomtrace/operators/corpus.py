@@ -155,9 +155,19 @@ def trajectory_stats(sessions: DataFrame) -> DataFrame:
     )
 
 
+def failures(sessions: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row: tool_errors of all sessions, parse_errors (rows of errors), failed if there is any."""
+    zero = F.lit(0).cast("long")
+    rows = sessions.select(F.col("error_count").alias("tool_errors"), zero.alias("parse_errors"))
+    if errors is not None:
+        rows = rows.unionByName(errors.select(zero.alias("tool_errors"), F.lit(1).cast("long").alias("parse_errors")))
+    counted = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tool_errors", "parse_errors")])
+    return counted.withColumn("failed", (F.col("tool_errors") > 0) | (F.col("parse_errors") > 0))
+
+
 def fail_on_errored(sessions: DataFrame, parse_errors: int = 0) -> None:
     """Raises if a session failed to parse or a counted tool failed."""
-    n = sessions.agg(F.coalesce(F.sum("error_count"), F.lit(0))).first()[0]
+    n = failures(sessions).first()["tool_errors"]
     if parse_errors or n:
         raise RuntimeError(f"{parse_errors} sessions could not be parsed, {n} tool errors")
 

@@ -198,6 +198,30 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _failures(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.failures(ops.sessions(adapters.event_steps(spark, d)), _parse_errors(spark, d))
+
+
+def _json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of sessions with their notes, read back: sums, models, a line per step and per note."""
+    steps, noted = adapters.event_steps(spark, d), _notes(spark, d)
+    found = export.json_documents(steps, ops.sessions(steps), noted)
+    kind = (
+        "totals struct<tokens_in: long, tokens_out: long, cache_read: long, cache_create: long, models: array<string>>, "
+        "steps array<struct<step_index: int, kind: string, label: string, tool_name: string, tool_call_id: string, duration_ms: long>>, "
+        "annotations array<struct<step_index: int, text: string>>"
+    )
+    row = found.select("session_id", F.from_json("document", kind).alias("d"))
+    listed = lambda items, *names: F.array_join(F.transform(items, lambda x: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("-")) for n in names])), "\n")
+    return row.select(
+        "session_id",
+        *[F.col(f"d.totals.{c}").alias(c) for c in ("tokens_in", "tokens_out", "cache_read", "cache_create")],
+        F.array_join("d.totals.models", ",").alias("models"),
+        listed("d.steps", "step_index", "kind", "label", "tool_name", "tool_call_id", "duration_ms").alias("steps"),
+        listed("d.annotations", "step_index", "text").alias("notes"),
+    )
+
+
 def _session_lines(sessions: DataFrame) -> DataFrame:
     tools = F.transform("tool_counts", lambda t: F.concat(t["name"], F.lit(":"), t["count"]))
     return _rounded(export.session_lines(sessions)).withColumns({"models": F.array_join("models", ","), "tool_counts": F.array_join(tools, ",")})
@@ -309,6 +333,9 @@ QUERIES: dict[str, Query] = {
     "previews": _docs(lambda x: x.select("doc_id", fs.truncate(F.col("text"), 60).alias("preview"))),
     "trajectory_lines": _steps(export.trajectories),
     "markdown": _steps(export.markdown),
+    "json_documents": _json_documents,
+    "failures": _failures,
+    "first_labels": _steps(lambda s: ops.first_labels(s).withColumn("labels", F.array_join("labels", "\n"))),
     "html": _steps(export.html),
     "session_lines": _sessions(_session_lines),
     "shell_commands": _steps(lambda s: s.filter("kind = 'tool_use'").select("session_id", "step_index", fs.shell_command(F.col("tool_name"), F.col("input_text")).alias("command")).filter("command is not null")),

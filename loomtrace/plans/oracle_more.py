@@ -151,6 +151,15 @@ SELECT session_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (root)
     + """, listed AS (SELECT session_id, string_agg(tool_name || ':' || use_count, ',' ORDER BY use_count DESC, tool_name) AS tool_counts FROM tools GROUP BY session_id)
 SELECT session_id AS path, 'Generic conversation' AS format, step_count, tokens_in, tokens_out, cache_read, cache_create, round(cost_usd, 6) AS cost_usd, array_to_string(models, ',') AS models,
   coalesce(tool_counts, '') AS tool_counts, error_count, 0::BIGINT AS annotation_count, 0::BIGINT AS fork_root_count, mtime_secs FROM sess LEFT JOIN listed USING (session_id)""",
+    "first_labels": STEPS + "SELECT session_id, string_agg(label, chr(10) ORDER BY step_index) AS labels FROM steps WHERE step_index < 20 GROUP BY session_id",
+    "failures": STEPS
+    + "SELECT *, tool_errors > 0 OR parse_errors > 0 AS failed FROM (SELECT (SELECT sum(error_count)::BIGINT FROM sess) AS tool_errors, (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 50 = 0) AS parse_errors)",
+    "json_documents": STEPS
+    + ", "
+    + NOTES
+    + """, l AS (SELECT session_id, string_agg(concat_ws(':', step_index, kind, label, coalesce(tool_name, '-'), coalesce(tool_call_id, '-'), coalesce(duration_ms::VARCHAR, '-')), chr(10) ORDER BY step_index) AS steps FROM steps GROUP BY session_id),
+k AS (SELECT session_id, string_agg(step_index || ':' || text, chr(10) ORDER BY step_index) AS notes FROM notes GROUP BY session_id)
+SELECT session_id, tokens_in, tokens_out, cache_read, cache_create, array_to_string(models, ',') AS models, steps, notes FROM sess JOIN l USING (session_id) LEFT JOIN k USING (session_id)""",
     "markdown": MARKDOWN,
     "html": HTML,
     **{f"raw_{n}_steps": _ONE_QUESTION for n in ("vercel_ai", "langchain")},
