@@ -2,7 +2,8 @@
 
 A notice of n characters with at most k errors contains one of k + 1 pieces unchanged (pigeonhole).
 Pieces are searched exactly; around each hit the regex library's fuzzy matching verifies the whole
-notice within k errors and gives the span. Only texts with a seed are looked at more closely.
+notice within k errors and gives the span. Each hit has a window of the notice's length and k
+characters either way, so that a text costs its length. Only texts with a seed are looked at more closely.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ NOTICES = {
 #: One error is allowed for so many characters of a notice.
 CHARS_PER_ERROR = 12
 
+#: Windows whose best match a worker remembers; beyond that it starts anew.
+REMEMBERED = 20_000
+
 #: Lower-cases A-Z and turns every byte outside of words into a blank.
 _PLAIN = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else b + 0x20 if 0x41 <= b < 0x5B else 0x20 for b in range(256))
 
@@ -72,31 +76,40 @@ class Scanner:
             self.find.add_word(piece, (len(piece), where))
         self.find.make_automaton()
         self.seeds = sorted(places)
+        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         self.fuzzy = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={_errors(notice)}}}") for notice, _ in self.labels]
 
     def notices(self, text: str) -> list[tuple[str, int, int, int]]:
         """label, start, end, errors of the notices in a normalised text."""
-        windows: dict[int, list[list[int]]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for last, (length, where) in self.find.iter(text):
+            first = last - length + 1
             for n, at in where:
-                notice = self.labels[n][0]
-                k = _errors(notice)
-                start = max(0, last - length + 1 - at - k)
-                end = min(len(text), last - length + 1 - at + len(notice) + k)
-                own = windows.setdefault(n, [])
-                if own and start <= own[-1][1]:  # seeds of one place share a window
-                    own[-1] = [min(own[-1][0], start), max(own[-1][1], end)]
-                else:
-                    own.append([start, end])
-        found = []
-        for n, todo in windows.items():
-            while todo:  # a window's best match, then what lies before and behind it
-                a, b = todo.pop()
-                m = self.fuzzy[n].search(text, a, b)
-                if m and m.end() > m.start():
-                    found.append((self.labels[n][1], m.start(), m.end(), sum(m.fuzzy_counts)))
-                    todo += [[a, m.start()], [m.end(), b]]
-        return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+                own = found.setdefault(n, [])
+                if own and own[-1][0] <= first and last < own[-1][1]:
+                    continue  # a piece of the match before
+                k, size = _errors(self.labels[n][0]), len(self.labels[n][0])
+                start = max(0, first - at - k)
+                m = self.best(n, text[start : first - at + size + k])
+                if m is None:
+                    continue
+                a, b, e = start + m[0], start + m[1], m[2]
+                if own and a < own[-1][1]:  # of two that overlap the better one stays
+                    if e >= own[-1][2]:
+                        continue
+                    own.pop()
+                own.append((a, b, e))
+        return sorted(((self.labels[n][1], *x) for n, own in found.items() for x in own), key=lambda x: (x[1], x[2], x[0]))
+
+    def best(self, n: int, window: str) -> tuple[int, int, int] | None:
+        """start, end, errors of a notice's best match in a window around a piece; windows seen before are looked up."""
+        key = n, window
+        if key not in self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            m = self.fuzzy[n].search(window)
+            self.seen[key] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m and m.end() > m.start() else None
+        return self.seen[key]
 
 
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
