@@ -33,8 +33,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Members of a main component that a member outside is compared with, per bucket, before the rest.
 TRIES = 3
-#: Members and askers of a family that one task compares.
-BLOCK = 8_000
+#: Shingles of members, and of askers, of a family that one task compares (one text at least).
+BLOCK = 4_000_000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -186,13 +186,15 @@ def family_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between components that meet in a bucket, on whole shingle sets.
 
     mixed has (bucket, id, component). Buckets that share a member make a family. Every member outside
-    of its family's largest component is compared with all of the family, in blocks of BLOCK members
-    by BLOCK askers, so that no task holds a whole family; sets travel once per block, not per pair.
+    of its family's largest component is compared with all of the family, in blocks of members by
+    blocks of askers, of BLOCK shingles each, so that no task holds a whole family of whatever texts;
+    sets travel once per block, not per pair.
     """
     centre = mixed.groupBy("bucket").agg(F.min("id").alias("a"))
     family = components(mixed.join(centre, "bucket").select("a", F.col("id").alias("b")).filter("a <> b")).withColumnRenamed("component", "family")
-    members = stored(mixed.select("id", "component").distinct().join(family, "id"), "family")
-    counts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sized = sets.select("id", F.size("set").alias("shingles"))
+    members = stored(mixed.select("id", "component").distinct().join(family, "id").join(sized, "id"), "family")
+    counts = members.groupBy("family", "component").agg(F.sum("shingles").alias("n"))
     shape = (
         counts
         .groupBy("family")
@@ -204,7 +206,7 @@ def family_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int").alias("asking_blocks"),
     )
-    with_sets = members.join(shape, "family").join(sets, "id")
+    with_sets = members.drop("shingles").join(shape, "family").join(sets, "id")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = with_sets.select(
