@@ -32,9 +32,9 @@ from loomtrace.llm.bpe import byte_table
 from loomtrace.llm.common import documents, slices, spread, stored
 
 #: Bytes of text that a worker aligns at a time (a text at least).
-SLICE = 2_000_000
+SLICE = 500_000
 #: Distinct chunks, and their characters and pairs, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000, 12_000_000
+REMEMBERED = 100_000, 2_500_000
 #: Chunks that are encoded as one text.
 JOINED = 64
 #: Tries of all intervals together, after which the few left are searched one by one.
