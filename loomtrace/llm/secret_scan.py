@@ -19,6 +19,7 @@ import math
 import random
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,6 +48,8 @@ TRIGGERS = frozenset(
     "password passwd passphrase pwd pass secret secrets token tokens credential credentials apikey api_key key keys auth authorization bearer login".split()
 )
 REACH = 4
+#: Tokens of at most so many characters are described once, while a worker remembers them.
+SHORT = 40
 #: Words whose successors are seldom secrets; features name them.
 CUES = frozenset("commit sha256 md5 id version order card call phone on at file host see mail issue page line build isbn the a of is".split())
 #: What makes a token other than quiet: a digit, a sign of codes, a capital after a small letter, more than LONG letters, a trigger word.
@@ -102,18 +105,18 @@ def _shape(token: str) -> str:
     )
 
 
-def own_features(token: str, near: int) -> list[str]:
-    """Features of a token alone; near: how far the trigger word before it is, 0 without. Sizes of plain words count near triggers only."""
+def own_features(token: str, near: bool) -> list[str]:
+    """Features of a token alone; near: whether a trigger word before it is in reach. Sizes of plain words count near triggers only."""
     digits = any(c.isdigit() for c in token)
     sized = "digits" if digits else "near" if near else ""
     features = ["bias", f"shape:{_shape(token)}", f"at:{'@' in token[1:]}", f"plain:{token.isalpha()} {len(token) > LONG}"]
     if not sized:
         return [*features, "length:none", "entropy:none", "dots:none", "dashes:none", "slashes:none", "hex:none", "start:none"]
-    p = np.unique(list(token), return_counts=True)[1] / len(token)
+    entropy = -math.fsum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
     return [
         *features,
         f"length:{min(10, len(token) // 4)} {sized}",
-        f"entropy:{int(float(-(p * np.log2(p)).sum()) * 2)} {sized}",
+        f"entropy:{int(entropy * 2)} {sized}",
         f"dots:{min(3, token.count('.'))} {sized}",
         f"dashes:{min(4, token.count('-'))} {sized}",
         f"slashes:{min(3, token.count('/'))} {sized}",
@@ -122,6 +125,11 @@ def own_features(token: str, near: int) -> list[str]:
     ]
 
 
+@lru_cache(maxsize=1 << 15)
+def _remembered(token: str, near: bool) -> list[str]:
+    return own_features(token, near)
+
+
 def _kind(token: str) -> str:
     low = token.lower()
     return low if low in ("is", "was", "my", "the", "of") or len(token) == 1 else "word" if token.isalpha() else "other"
@@ -139,7 +147,7 @@ def line_features(words: list[str], whole: list[str]) -> list[list[str]]:
             word = low[i - near].split("_")[-1]
             said = [f"trigger:{word}", f"between:{' '.join(_kind(x) for x in words[i - near + 1 : i])}"]
         out.append(
-            [*own_features(w, near), *said, f"cue:{before}" if before in CUES and not near else "cue:none", f"itself:{low[i] in TRIGGERS}", *whole]
+            [*(_remembered if len(w) <= SHORT else own_features)(w, near > 0), *said, f"cue:{before}" if before in CUES and not near else "cue:none", f"itself:{low[i] in TRIGGERS}", *whole]
         )
     return out
 
@@ -227,26 +235,26 @@ _MOVES = np.array([[0.0, 0.0, -1e9], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
 _FIRST = np.array([0.0, 0.0, -1e9])
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def marginals(emit: np.ndarray, there: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tags of all chains, and expected moves, by forward-backward; emit is (chain, place, tag), there says which places a chain has."""
+    """Expected tags of all chains, and expected moves, by forward-backward; emit is (chain, place, tag), there says which places a chain has.
+
+    Sums are scaled at each place. None gets to 0, as RATE and EPOCHS bound each weight by 8 and a place's scores by 250 of each other.
+    """
     n = emit.shape[1]
-    ahead, back = np.zeros_like(emit), np.zeros_like(emit)
-    ahead[:, 0] = emit[:, 0] + _FIRST
+    scaled = lambda x: x / x.sum(1, keepdims=True)
+    like, step = np.exp(emit - emit.max(2, keepdims=True)), np.exp(moves)
+    ahead, back = np.empty_like(emit), np.ones_like(emit)
+    ahead[:, 0] = scaled(like[:, 0] * np.exp(_FIRST))
     for i in range(1, n):
-        step = emit[:, i] + _lse(ahead[:, i - 1, :, None] + moves, 1)
-        ahead[:, i] = np.where(there[:, i, None], step, ahead[:, i - 1])
-    total = _lse(ahead[:, -1], 1)
+        ahead[:, i] = np.where(there[:, i, None], scaled((ahead[:, i - 1] @ step) * like[:, i]), ahead[:, i - 1])
     pairs = np.zeros((3, 3))
     for i in range(n - 2, -1, -1):
-        onward = moves + (emit[:, i + 1] + back[:, i + 1])[:, None, :]
-        back[:, i] = np.where(there[:, i + 1, None], _lse(onward, 2), 0.0)
-        pairs += (np.exp(ahead[:, i, :, None] + onward - total[:, None, None]) * there[:, i + 1, None, None]).sum(0)
-    return np.exp(ahead + back - total[:, None, None]) * there[:, :, None], pairs
+        onward = like[:, i + 1] * back[:, i + 1]
+        share = there[:, i + 1] / ((ahead[:, i] @ step) * onward).sum(1)
+        pairs += step * ((ahead[:, i] * share[:, None]).T @ onward)
+        back[:, i] = np.where(there[:, i + 1, None], scaled(onward @ step.T), 1.0)
+    both = ahead * back
+    return both / both.sum(2, keepdims=True) * there[:, :, None], pairs
 
 
 @dataclass(frozen=True)
@@ -258,7 +266,7 @@ class Model:
     moves: np.ndarray
 
     def scores(self, described: list[list[str]]) -> np.ndarray:
-        return np.array([self.emit[[self.names.get(f, 0) for f in xs]].sum(0) for xs in described])
+        return self.emit[[[self.names.get(f, 0) for f in xs] for xs in described]].sum(1)
 
     def most(self, of: np.ndarray, allowed: Callable[[str], bool]) -> float:
         """The most that the features of a token add up to, whose names are allowed: one value of each kind, or an unknown one."""
@@ -318,23 +326,25 @@ def trained() -> Model:
     data = training_chains()
     names = {f: i + 1 for i, f in enumerate(dict.fromkeys(f for xs, _ in data for x in xs for f in x))}
     longest = max(len(xs) for xs, _ in data)
-    width = len(data[0][0][0])
-    flat = np.zeros((len(data), longest, width), np.int64)
+    kinds: dict[tuple[str, ...], int] = {}  # tokens described alike are scored once
+    numbers = np.zeros((len(data), longest), np.int64)
     gold, there = np.zeros((len(data), longest, 3)), np.zeros((len(data), longest), bool)
     pairs_gold = np.zeros((3, 3))
     for k, (xs, tags) in enumerate(data):
-        flat[k, : len(xs)] = [[names[f] for f in x] for x in xs]
+        numbers[k, : len(xs)] = [kinds.setdefault(tuple(x), len(kinds)) for x in xs]
         gold[k, range(len(tags)), tags] = 1
         there[k, : len(xs)] = True
         np.add.at(pairs_gold, (tags[:-1], tags[1:]), 1)
-    used = flat[there]
+    used = np.array([[names[f] for f in x] for x in kinds])
+    width, each = used.shape[1], numbers[there]
     emit, moves = np.zeros((len(names) + 1, 3)), _MOVES.copy()
     squares, squares_m = np.full_like(emit, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(EPOCHS):
-        expected, pairs = marginals(emit[flat].sum(2) * there[:, :, None], there, moves)
+        expected, pairs = marginals(emit[used].sum(1)[numbers] * there[:, :, None], there, moves)
         off = (gold - expected)[there]
-        grad = np.column_stack([np.bincount(used.ravel(), np.repeat(off[:, t], width), len(emit)) for t in range(3)])
-        grad -= PENALTY * len(used) * emit / 100
+        by_kind = [np.bincount(each, off[:, t], len(used)) for t in range(3)]
+        grad = np.column_stack([np.bincount(used.ravel(), np.repeat(x, width), len(emit)) for x in by_kind])
+        grad -= PENALTY * len(each) * emit / 100
         grad_m = pairs_gold - pairs
         squares += grad**2
         squares_m += grad_m**2
@@ -345,15 +355,17 @@ def trained() -> Model:
 
 
 def viterbi(emit: np.ndarray, moves: np.ndarray) -> list[int]:
-    """The likeliest tags of a chain."""
-    best, back = emit[0] + _FIRST, []
-    for e in emit[1:]:
-        through = best[:, None] + moves
-        back.append(through.argmax(0))
-        best = through.max(0) + e
-    tags = [int(best.argmax())]
+    """The likeliest tags of a chain; of equal ones the lower tag."""
+    best, back = (emit[0] + _FIRST).tolist(), []
+    into = moves.T.tolist()  # by the tag that a move leads to
+    for e in emit[1:].tolist():
+        through = [[b + m for b, m in zip(best, row, strict=True)] for row in into]
+        best = [max(x) for x in through]
+        back.append([x.index(top) for x, top in zip(through, best, strict=True)])
+        best = [b + x for b, x in zip(best, e, strict=True)]
+    tags = [best.index(max(best))]
     for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
+        tags.append(b[tags[-1]])
     return tags[::-1]
 
 

@@ -4,7 +4,7 @@ import random
 import re
 import time
 
-from loomtrace.llm import license_scan, near_dedup
+from loomtrace.llm import license_scan, near_dedup, secret_scan
 
 
 def spoiled(text, draw):
@@ -68,3 +68,26 @@ def test_family_comparisons_in_blocks_of_few_shingles(spark, monkeypatch):
     family = {i for _, i, _ in rows}
     linked = {(a, b) for a in family for b in family if a < b and 4 * len({*sets[a]} & {*sets[b]}) >= 3 * len({*sets[a]} | {*sets[b]})}
     assert found[0] == found[1] == linked and linked
+
+
+def test_loud_lines_cost_their_length():
+    draw = random.Random(5)
+    model = secret_scan.trained()
+    pairs = [f"{draw.choice(['width', 'row_id', 'size'])}{draw.randint(0, 99)}={draw.randint(0, 10**6)}" for _ in range(8000)]
+    took = []
+    for n in (2000, 8000):
+        secret_scan._remembered.cache_clear()
+        began = time.process_time()
+        found = secret_scan.field_spans(" ".join(pairs[:n]), model, model.reach())
+        took.append(time.process_time() - began)
+        assert found == secret_scan.field_spans(" ".join(pairs[:n]), model, None)
+    assert took[1] < 8 * took[0] + 1  # four times the line
+    assert took[1] < 10
+
+
+def test_remembered_descriptions_equal_fresh_ones():
+    draw = random.Random(6)
+    for _ in range(300):
+        token = "".join(draw.choice("abXY09_-./+=@é") for _ in range(draw.randint(1, secret_scan.SHORT + 5)))
+        for near in (False, True):
+            assert secret_scan._remembered(token, near) == secret_scan.own_features(token, near) == secret_scan._remembered(token, near)
