@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -32,15 +33,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/loomtrace-{name}-{uuid.uuid4().hex}"
 
 
+#: Per session: how many threads are inside own_shuffles(), and the setting before the first came.
+_INSIDE: weakref.WeakKeyDictionary[SparkSession, tuple[int, str]] = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
 @contextmanager
 def own_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go when it ends: its result is written, nobody reads them again."""
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Shuffle files of what runs inside go when it ends: its result is written, nobody reads them again.
+
+    Threads of one session may be inside together: the last to leave restores the setting.
+    """
+    with _LOCK:
+        n, was = _INSIDE.get(spark) or (0, spark.conf.get(CLEANUP, "false"))
+        _INSIDE[spark] = n + 1, was
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, was)
+        with _LOCK:
+            n, was = _INSIDE.pop(spark)
+            if n > 1:
+                _INSIDE[spark] = n - 1, was
+            else:
+                spark.conf.set(CLEANUP, was)
 
 
 #: Where each stored table lies.
