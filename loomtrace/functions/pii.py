@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ PREFIXED = (
     ("openai_key", f"sk-(?!ant-){_T}{{32,}}", "sk-"),
     ("jwt_token", rf"eyJ{_B}{{13,}}\.{_B}{{16,}}\.{_B}{{16,}}", "eyJ"),
 )
+#: How many signs must follow each prefix (the first part, where there are several).
+LEAST = tuple(int(re.search(r"\{(\d+),\}", pattern)[1]) for _, pattern, _ in PREFIXED)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])"
 KEY_HEADERS = (

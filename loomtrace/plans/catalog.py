@@ -127,6 +127,18 @@ def _ipv4(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan_pii(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").filter("category = 'ipv4'").drop("field")
 
 
+def _pii_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Matches in documents, each with a value of every kind added; in a third of them the values are one sign too short."""
+    key, longer = F.repeat(F.md5(F.col("doc_id").cast("string")), F.lit(2)), F.col("doc_id") % 3 - 1
+    tail = lambda n: F.substring(key, F.lit(1), (longer + n).cast("int"))
+    added = [F.concat(F.lit(f" {gate}"), tail(least)) for (_, _, gate), least in zip(pii.PREFIXED, pii.LEAST, strict=True) if gate != "eyJ"]
+    added.append(F.concat(F.lit(" eyJ"), tail(13), F.lit("."), tail(16), F.lit("."), tail(16)))
+    added.append(F.concat(F.lit(" 10."), F.col("doc_id") % 300, F.lit(".7."), F.col("doc_id") % 9))
+    added.append(F.concat(F.lit("\n"), F.element_at(F.array(*map(F.lit, pii.KEY_HEADERS)), (F.col("doc_id") % len(pii.KEY_HEADERS) + 1).cast("int"))))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("text", *added).alias("text"))
+    return pii.scan_pii(docs, "text").drop("field")
+
+
 def _pii_report(spark: SparkSession, d: str) -> DataFrame:
     docs = (
         spark.read
@@ -271,10 +283,10 @@ def _grown_errors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("session_id", "version", "step_index", "label")
 
 
-def _tool_chats(spark: SparkSession, d: str) -> DataFrame:
-    """Chats with tools, usage and models, written as files and read back."""
-    columns = ("session_id", "step_index", "kind", "tool_name", "tool_call_id", "model", "tokens_in", "tokens_out", "cache_read")
-    return formats.parse(raw.tool_chats(spark, d)).select(*columns, "label")
+def _with_tools(files: Query, *more: str) -> Query:
+    """Sessions with tools, usage and models, written as files and read back."""
+    columns = ("session_id", "step_index", "kind", "tool_name", "tool_call_id", "model", "tokens_in", "tokens_out", "cache_read", "label")
+    return lambda spark, d: formats.parse(files(spark, d)).select(*columns, *more)
 
 
 def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +298,9 @@ QUERIES: dict[str, Query] = {
     "conversation_steps": lambda spark, d: adapters.conversation_steps(spark, d).select("session_id", "step_index", "kind", "detail"),
     "raw_generic_steps": _raw(raw.generic),
     **{f"raw_{name}_steps": _raw(files) for name, files in raw.FILES.items()},
-    "raw_tool_chats": _tool_chats,
+    "raw_tool_chats": _with_tools(raw.tool_chats),
+    "raw_tool_traces": _with_tools(raw.tool_traces, "timestamp_ms", "duration_ms", "cache_create", "is_fork_root", "result_text"),
+    "raw_tool_rollouts": _with_tools(raw.tool_rollouts, "timestamp_ms", "duration_ms", "result_text"),
     "parse_errors": _parse_errors,
     "drift_report": _drift,
     "sidecar_notes": lambda spark, d: notes.sidecar_notes(raw.sidecars(spark, d)),
@@ -328,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "upsert_notes": _notes,
     "pii_scan": _pii,
     "pii_ipv4": _ipv4,
+    "pii_kinds": _pii_kinds,
     "pii_report": _pii_report,
     "redact": _docs(lambda x: x.select("doc_id", fs.redact(F.col("text"), ["the", "", "que"]).alias("text"))),
     "previews": _docs(lambda x: x.select("doc_id", fs.truncate(F.col("text"), 60).alias("preview"))),

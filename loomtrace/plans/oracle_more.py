@@ -103,6 +103,18 @@ UNION ALL SELECT * FROM (SELECT doc_id, 'openai_key', unnest(regexp_extract_all(
     + ")\n"
 )
 
+_KEY_HEADERS = tuple(f"-----BEGIN {x}PRIVATE KEY-----" for x in ("OPENSSH ", "RSA ", "DSA ", "EC ", ""))
+_TAIL = "substr(md5(doc_id::VARCHAR) || md5(doc_id::VARCHAR), 1, (doc_id % 3)::INT + {})"
+_STARTS = (*(("AKIA", 16), ("ASIA", 16)), *((f"{x}_", 24) for x in ("sk_live", "sk_test", "pk_live", "pk_test")), *((f"gh{x}_", 36) for x in "pousr"), ("sk-ant-", 32), ("sk-", 32))
+#: Documents with a value of each kind added, one sign too short in a third of them.
+PLANTED = (
+    "WITH t AS (SELECT doc_id, text || "
+    + " || ".join(f"' {start}' || {_TAIL.format(n - 1)}" for start, n in _STARTS)
+    + f" || ' eyJ' || {_TAIL.format(12)} || '.' || {_TAIL.format(15)} || '.' || {_TAIL.format(15)}"
+    + " || ' 10.' || (doc_id % 300) || '.7.' || (doc_id % 9) || chr(10) || "
+    + f"(ARRAY{list(_KEY_HEADERS)})[(doc_id % 5)::INT + 1] AS text FROM documents), "
+)
+
 #: Turns as files hold them that take one question, and the assistant's answers; and all turns.
 _ONE_QUESTION = """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant')),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM t)
@@ -115,6 +127,9 @@ _SHORTENED = "CASE WHEN length(snippet) > 40 THEN substr(snippet, 1, 40) || '…
 ORACLE_SQL = oracle.ORACLE_SQL | {
     "pii_scan": "WITH t AS (SELECT doc_id, text || ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 20)) || ' sk-ant-' || md5(doc_id::VARCHAR) || 'abc' AS text FROM documents), " + PII + "SELECT * FROM found",
     "pii_ipv4": "WITH t AS (SELECT doc_id, text FROM documents), " + PII + "SELECT * FROM found WHERE category = 'ipv4'",
+    "pii_kinds": PLANTED
+    + PII
+    + f"SELECT * FROM found UNION ALL SELECT doc_id, 'ssh_private_key_header', h FROM t, (SELECT unnest({list(_KEY_HEADERS)}) AS h) WHERE contains(text, h)",
     "pii_report": "WITH t AS (SELECT doc_id, text FROM documents), "
     + PII
     + f""", n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id::VARCHAR, snippet) AS nth FROM found)
@@ -132,6 +147,11 @@ WHERE idle_ms <= (SELECT max(t) - 3600000 FROM e)""",
     + """, n AS (SELECT session_id, count(*) AS n FROM steps GROUP BY session_id),
 l AS (SELECT *, n // 2 AS seen, 1 AS version FROM n UNION ALL SELECT *, n // 3, 3 FROM n)
 SELECT session_id, version::BIGINT AS version, step_index, label FROM steps JOIN l USING (session_id) WHERE is_error AND step_index >= seen""",
+    "raw_tool_traces": STEPS
+    + """SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label, timestamp_ms, duration_ms, cache_create,
+  count(*) OVER (PARTITION BY session_id, event_id // 300) > 1 AS is_fork_root, result_text FROM steps""",
+    "raw_tool_rollouts": STEPS
+    + "SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label, timestamp_ms, duration_ms, result_text FROM steps",
     "raw_tool_chats": STEPS
     + "SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label FROM steps",
     "stream_idle": """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 1000 AS t, event_id FROM events),

@@ -141,6 +141,52 @@ def tool_chats(spark: SparkSession, d: str, part: str = "n") -> DataFrame:
     return rows.select("path", F.concat(F.lit('{"messages":['), F.array_join(kept, ","), F.lit("]}")).alias("content"))
 
 
+def _event_lines(spark: SparkSession, d: str, line: Column, head: str = "") -> DataFrame:
+    """A file per user with a line per event in order; `line` reads event_parts' columns, role and at (ISO time)."""
+    p = event_parts(spark.read.parquet(f"{d}/events.parquet")).withColumns({
+        "role": F.when(F.col("kind").isin("user_text", "tool_result"), "user").otherwise("assistant"),
+        "at": F.translate(F.expr("cast(timestampadd(MILLISECOND, timestamp_ms, timestamp_ntz'1970-01-01 00:00:00') as string)"), " ", "T"),
+    })
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
+    return p.groupBy(F.col("session_id").alias("path")).agg(F.concat(F.lit(head), F.array_join(listed, "\n")).alias("content"))
+
+
+def tool_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Parent-linked lines from events: text, tool uses, their results, models, usage; events of the same 300 ids share a parent."""
+    item = (
+        F.when(F.col("kind") == "tool_use", F.concat(F.lit('{"type":"tool_use","id":"'), "tool_call_id", F.lit('","name":"'), "tool_name", F.lit('","input":'), "input_text", F.lit("}")))
+        .when(F.col("kind") == "tool_result", F.to_json(F.struct(F.lit("tool_result").alias("type"), F.col("tool_call_id").alias("tool_use_id"), F.col("result_text").alias("content"))))
+        .otherwise(F.to_json(F.struct(F.lit("text").alias("type"), "text")))
+    )
+    usage = F.struct(
+        F.col("tokens_in").alias("input_tokens"),
+        F.col("tokens_out").alias("output_tokens"),
+        F.col("cache_read").alias("cache_read_input_tokens"),
+        F.col("cache_create").alias("cache_creation_input_tokens"),
+    )
+    answered = F.when(F.col("kind") == "assistant_text", F.concat(F.lit(',"model":"'), "model", F.lit('","usage":'), F.to_json(usage))).otherwise("")
+    line = F.concat(
+        F.lit('{"type":"'), "role", F.lit('","uuid":"e'), "event_id", F.lit('","parentUuid":"p'), F.floor(F.col("event_id") / 300), F.lit('","timestamp":"'), "at",
+        F.lit('","message":{"role":"'), "role", F.lit('","content":['), item, F.lit("]"), answered, F.lit("}}"),
+    )
+    return _event_lines(spark, d, line)
+
+
+def tool_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """Rollout lines from events: messages with models and usage, function calls and their outputs."""
+    typed = lambda name, *fields: F.to_json(F.struct(F.lit(name).alias("type"), *fields))
+    call_id = F.col("tool_call_id").alias("call_id")
+    usage = F.struct(F.col("tokens_in").alias("input_tokens"), F.col("tokens_out").alias("output_tokens"), F.col("cache_read").alias("cached_tokens"))
+    said = F.col("kind") == "assistant_text"
+    payload = (
+        F.when(F.col("kind") == "tool_use", typed("function_call", F.col("tool_name").alias("name"), call_id, F.col("input_text").alias("arguments")))
+        .when(F.col("kind") == "tool_result", typed("function_call_output", call_id, F.col("result_text").alias("output")))
+        .otherwise(typed("message", "role", F.array(F.struct("text")).alias("content"), F.col("model"), F.when(said, usage).alias("usage")))
+    )
+    line = F.concat(F.lit('{"type":"response_item","timestamp":"'), "at", F.lit('","payload":'), payload, F.lit("}"))
+    return _event_lines(spark, d, line, '{"type":"session_meta"}\n')
+
+
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     """A sidecar of notes per conversation, on each third turn; those of conversations with numbers divisible by 7 are damaged."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").filter("turn % 3 = 0")
