@@ -301,6 +301,7 @@ QUERIES: dict[str, Query] = {
     "raw_tool_chats": _with_tools(raw.tool_chats),
     "raw_tool_traces": _with_tools(raw.tool_traces, "timestamp_ms", "duration_ms", "cache_create", "is_fork_root", "result_text"),
     "raw_tool_rollouts": _with_tools(raw.tool_rollouts, "timestamp_ms", "duration_ms", "result_text"),
+    "raw_tool_messages": _with_tools(raw.tool_messages, "timestamp_ms", "result_text"),
     "parse_errors": _parse_errors,
     "drift_report": _drift,
     "sidecar_notes": lambda spark, d: notes.sidecar_notes(raw.sidecars(spark, d)),

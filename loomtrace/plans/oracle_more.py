@@ -152,6 +152,12 @@ SELECT session_id, version::BIGINT AS version, step_index, label FROM steps JOIN
   count(*) OVER (PARTITION BY session_id, event_id // 300) > 1 AS is_fork_root, result_text FROM steps""",
     "raw_tool_rollouts": STEPS
     + "SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label, timestamp_ms, duration_ms, result_text FROM steps",
+    "raw_tool_messages": STEPS
+    + """, split AS (
+  SELECT *, 0 AS part FROM steps WHERE kind <> 'tool_result'
+  UNION ALL SELECT * REPLACE ('tool_result' AS kind, 'done by ' || tool_call_id AS result_text, '[result] ' || tool_name || ' → done by ' || tool_call_id AS label), 1 FROM steps WHERE kind = 'tool_use')
+SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY step_index, part) - 1)::INT AS step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label, timestamp_ms, result_text
+FROM split""",
     "raw_tool_chats": STEPS
     + "SELECT session_id, step_index, kind, tool_name, tool_call_id, model, tokens_in, tokens_out, cache_read, label FROM steps",
     "stream_idle": """WITH e AS (SELECT user_id::VARCHAR AS session_id, epoch_us(ts) // 1000 AS t, event_id FROM events),

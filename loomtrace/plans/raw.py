@@ -141,14 +141,14 @@ def tool_chats(spark: SparkSession, d: str, part: str = "n") -> DataFrame:
     return rows.select("path", F.concat(F.lit('{"messages":['), F.array_join(kept, ","), F.lit("]}")).alias("content"))
 
 
-def _event_lines(spark: SparkSession, d: str, line: Column, head: str = "") -> DataFrame:
-    """A file per user with a line per event in order; `line` reads event_parts' columns, role and at (ISO time)."""
+def _event_lines(spark: SparkSession, d: str, line: Column, head: str = "", between: str = "\n", foot: str = "") -> DataFrame:
+    """A file per user with a line per event in order, none where it is null; `line` reads event_parts' columns, role and at (ISO time)."""
     p = event_parts(spark.read.parquet(f"{d}/events.parquet")).withColumns({
         "role": F.when(F.col("kind").isin("user_text", "tool_result"), "user").otherwise("assistant"),
         "at": F.translate(F.expr("cast(timestampadd(MILLISECOND, timestamp_ms, timestamp_ntz'1970-01-01 00:00:00') as string)"), " ", "T"),
     })
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
-    return p.groupBy(F.col("session_id").alias("path")).agg(F.concat(F.lit(head), F.array_join(listed, "\n")).alias("content"))
+    return p.groupBy(F.col("session_id").alias("path")).agg(F.concat(F.lit(head), F.array_join(F.array_compact(listed), between), F.lit(foot)).alias("content"))
 
 
 def tool_traces(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +187,25 @@ def tool_rollouts(spark: SparkSession, d: str) -> DataFrame:
     return _event_lines(spark, d, line, '{"type":"session_meta"}\n')
 
 
+def tool_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Chats from events whose tool calls hold their results, as a response's output or as plain text; events that are results have no place in them."""
+    said = F.col("kind") == "assistant_text"
+    done = F.concat(F.lit("done by "), "tool_call_id")
+    response = F.array(F.struct(F.struct(F.struct(done.alias("output")).alias("response")).alias("functionResponse")))
+    result = F.when(F.col("event_id") % 2 == 0, F.to_json(response)).otherwise(F.concat(F.lit('"'), done, F.lit('"')))
+    call = F.concat(F.lit('{"id":"'), "tool_call_id", F.lit('","name":"'), "tool_name", F.lit('","args":'), "input_text", F.lit(',"result":'), result, F.lit("}"))
+    usage = F.struct(
+        F.col("tokens_in").alias("promptTokenCount"),
+        F.col("tokens_out").alias("candidatesTokenCount"),
+        F.col("cache_read").alias("cachedContentTokenCount"),
+    )
+    kind = F.when(F.col("role") == "user", "user").otherwise("gemini").alias("type")
+    message = F.to_json(F.struct(kind, F.col("at").alias("timestamp"), F.col("text").alias("content"), "model", F.when(said, usage).alias("usageMetadata")))
+    calling = F.concat(F.lit('{"type":"gemini","timestamp":"'), "at", F.lit('","content":"","toolCalls":['), call, F.lit("]}"))
+    line = F.when(F.col("kind") == "tool_use", calling).when(F.col("kind") != "tool_result", message)
+    return _event_lines(spark, d, line, '{"sessionId":"s","messages":[', ",", "]}")
+
+
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     """A sidecar of notes per conversation, on each third turn; those of conversations with numbers divisible by 7 are damaged."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").filter("turn % 3 = 0")
