@@ -72,13 +72,16 @@ def detect(files: DataFrame) -> DataFrame:
         lambda x: F.trim(x["line"], F.lit(BLANK)) != "",
     )
     parsed = F.transform(lines, lambda x: F.struct(F.try_parse_json(x["line"]).alias("m"), x["n"].alias("n")))  # each line once
-    bad_line = F.get(F.filter(parsed, lambda x: ~_is_entry(x["m"], F.col("format"))), F.lit(0))["n"]
+    # the format is asked outside of the loop over lines: inside, a filter on status would work it out from the whole file for each line
+    bad_line = lambda name: F.get(F.filter(parsed, lambda x: ~_is_entry(x["m"], name)), F.lit(0))["n"]
+    numbered_line = lambda name: F.concat(F.lit("parsing line "), bad_line(name), F.lit(" of session file"))
     items = lambda name: F.expr(f"try_variant_get(v, '$.{name}', 'array<variant>')")
     fmt = F.col("format")
     listed = F.when(fmt == "generic", fits_all(items("messages"), RULES["generic"])).when(fmt == "gemini", fits_all(items("messages"), RULES["gemini"]))
     spans = F.when(fmt == "otel_json", fits_all(items("resourceSpans"), RULES["otel_json"]))
     error = (
-        F.when(F.col("format").isin("codex", "claude_code"), F.concat(F.lit("parsing line "), bad_line, F.lit(" of session file")))
+        F.when(fmt == "codex", numbered_line("codex"))
+        .when(fmt == "claude_code", numbered_line("claude_code"))
         .when(~listed, "messages is no list of messages")
         .when(~spans, "resourceSpans is no list of spans")
     )
@@ -129,7 +132,7 @@ def _is_item(x: Column, said_by: str) -> Column:
     return _is(x, "$.type", "STRING") & F.when(kind == "text", _is(x, "$.text", "STRING")).when(*named).otherwise(True)
 
 
-def _is_entry(m: Column, fmt: Column) -> Column:
+def _is_entry(m: Column, fmt: str) -> Column:
     """Whether a parsed line has what each entry of its format needs, with values of the right kinds."""
     kind = F.try_variant_get(m, "$.type", "string")
     message = _is(m, "$.uuid", "STRING") & _may_be(m, "$.parentUuid", "STRING") & _is(m, "$.message.role", "STRING")
@@ -140,9 +143,9 @@ def _is_entry(m: Column, fmt: Column) -> Column:
     for c in counters:
         used = used & _may_be(m, f"$.message.usage.{c}", "BIGINT")
     entry = F.when(kind == "user", message & asked).when(kind == "assistant", message & listed("assistant") & used).otherwise(True)
-    known = (fmt == "codex") | entry
-    timed = F.when((fmt == "codex") | kind.isin("user", "assistant"), _may_be(m, "$.timestamp", "STRING")).otherwise(True)
-    return F.coalesce(m.isNotNull() & _is(m, "$.type", "STRING") & known & timed, F.lit(False))
+    at = _may_be(m, "$.timestamp", "STRING")
+    fits = at if fmt == "codex" else entry & F.when(kind.isin("user", "assistant"), at).otherwise(True)
+    return F.coalesce(m.isNotNull() & _is(m, "$.type", "STRING") & fits, F.lit(False))
 
 
 def parse_errors(files: DataFrame) -> DataFrame:

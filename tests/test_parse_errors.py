@@ -1,5 +1,7 @@
 """Session files that are damaged, and the tables beside the steps."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,13 @@ def test_damaged_calls_are_errors(spark):
     assert {r["path"] for r in rows if r["status"] == "ok"} == set(sound)
     steps = formats.parse(files.filter("path in ('lenient', 'id', 'call')")).collect()
     assert {(r.session_id, r.kind, r.tool_name) for r in steps} == {("lenient", "tool_use", "(unknown)"), ("call", "tool_use", "n"), ("call", "tool_use", "")}
+
+
+def test_checking_a_file_costs_its_length(spark):
+    line = '{"type":"user","uuid":"u","message":{"role":"user","content":"%s"}}'
+    whole = "\n".join(line % f"turn {i} of a long session" for i in range(8000))
+    files = spark.createDataFrame([("long", bytearray(whole, "utf-8")), ("cut", bytearray(whole + "\n{", "utf-8"))], "path string, content binary")
+    began = time.time()
+    found = {r.path: (r.status, r.error) for r in formats.detect(files).select("path", "status", "error").filter("status <> 'skip'").collect()}
+    assert found == {"long": ("ok", None), "cut": ("error", "parsing line 8001 of session file")}
+    assert time.time() - began < 30
