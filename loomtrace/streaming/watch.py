@@ -43,8 +43,10 @@ def merged(spells: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
 class IdleWatch(StatefulProcessor):
     """One alert when a session has had no step for the gap; a later step arms it again.
 
-    State is the session's open spells of activity (several only while the watermark lags behind), the
-    alerts given and the steps they saw. A timer waits at each spell's end.
+    State is one row a session: its open spells of activity in order (several only while the watermark
+    lags behind), the time it has a timer for, the alerts given and the steps they saw. The one timer
+    waits at the end of the earliest spell or before; when it goes off, all spells that ended by the
+    watermark are alerted, so that state is read and written once a session and batch, not once a spell.
     """
 
     def __init__(self, gap_ms: int):
@@ -52,32 +54,43 @@ class IdleWatch(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, steps long")
-        self.given = handle.getValueState("given", "alerts long, steps long")
+        self.state = handle.getValueState("watch", "firsts array<long>, lasts array<long>, counts array<long>, timer long, alerts long, steps long")
+
+    def _load(self) -> tuple[list[tuple[int, int, int]], int | None, int, int]:
+        row = self.state.get()
+        if row is None:
+            return [], None, 0, 0
+        firsts, lasts, counts, timer, alerts, steps = row
+        return list(zip(firsts, lasts, counts, strict=True)), timer, alerts, steps
+
+    def _save(self, spells: list[tuple[int, int, int]], timer: int | None, alerts: int, steps: int) -> None:
+        due = spells[0][1] + self.gap_ms if spells else None
+        if due is not None and (timer is None or due < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        firsts, lasts, counts = map(list, zip(*spells, strict=True)) if spells else ([], [], [])
+        self.state.update((firsts, lasts, counts, timer, alerts, steps))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spells = [tuple(map(int, x)) for x in self.open.get()]
+        spells, *rest = self._load()
         for part in rows:
             spells = merged([*spells, *((t, t, 1) for t in part["at_ms"].tolist())], self.gap_ms)
-        self.open.put(spells)
-        for _, last, _ in spells:
-            self.handle.registerTimer(last + self.gap_ms)
+        self._save(spells, *rest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.gap_ms
-        spells = [tuple(map(int, x)) for x in self.open.get()]
+        due = timerValues.getCurrentWatermarkInMs() - self.gap_ms
+        spells, _, alerts, steps = self._load()
         over = [x for x in spells if x[1] <= due]  # none: the spell went on after this timer was set
-        if not over:
-            return
-        alerts, steps = map(int, self.given.get() or (0, 0)) if self.given.exists() else (0, 0)
         out = []
         for first, last, n in over:
             alerts, steps = alerts + 1, steps + n
             out.append((key[0], first, last + self.gap_ms, n, alerts, steps))
-        self.given.update((alerts, steps))
-        self.open.put([x for x in spells if x[1] > due]) if len(over) < len(spells) else self.open.clear()
-        yield pd.DataFrame(out, columns=["session_id", "started_ms", "idle_ms", "steps", "alert", "steps_so_far"])
+        self._save(spells[len(over) :], None, alerts, steps)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "started_ms", "idle_ms", "steps", "alert", "steps_so_far"])
 
     def close(self) -> None:
         pass

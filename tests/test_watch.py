@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,74 @@ def test_steps_out_of_order_join_the_spells_they_lie_between(child, tmp_path):
     assert got == [("s", 1, 1.0, 4.6, 3, 3), ("u", 1, 3.2, 4.8, 1, 1)]
 
 
+class _Store:
+    """A session's state and timers beside Spark; counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    put = update
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.timer
+
+
+def _step(watch_, store, at, watermark):
+    """One batch as Spark runs it: rows, then timers up to the watermark."""
+    store.watermark, out = watermark, []
+    if at:
+        list(watch_.handleInputRows(("s",), iter([pd.DataFrame({"at_ms": at})]), store))
+    for store.timer in sorted(t for t in store.timers if t <= watermark):
+        store.timers.discard(store.timer)
+        out += [tuple(map(int, x[1:])) for part in watch_.handleExpiredTimer(("s",), store, store) for x in part.itertuples(index=False)]
+    return out
+
+
+def test_spells_of_a_session_share_a_timer_and_a_row_of_state():
+    store, one = _Store(), watch.IdleWatch(10)
+    one.init(store)
+    assert _step(one, store, [100 * k for k in range(3_000)], 0) == [] and len(store.timers) == 1
+    found = _step(one, store, [], 100 * 2_000 + 10)  # the last one ends at the watermark itself
+    assert found == [(100 * k, 100 * k + 10, 1, k + 1, k + 1) for k in range(2_001)]
+    assert len(store.timers) == 1 and store.calls < 12
+
+
+def test_the_timer_follows_the_earliest_spell():
+    store, one = _Store(), watch.IdleWatch(10)
+    one.init(store)
+    assert _step(one, store, [50], 0) == [] and store.timers == {60}
+    assert _step(one, store, [20], 0) == [] and store.timers == {30}  # an earlier spell comes late
+    assert _step(one, store, [28], 25) == [] and store.timers == {30}  # it goes on: the timer finds nothing over
+    assert _step(one, store, [], 31) == [] and store.timers == {38}
+    assert _step(one, store, [], 40) == [(20, 38, 2, 1, 2)] and store.timers == {60}
+    assert _step(one, store, [], 90) == [(50, 60, 1, 2, 3)] and store.timers == set()
+    assert _step(one, store, [95], 90) == [] and store.timers == {105}
+    assert _step(one, store, [], 105) == [(95, 105, 1, 3, 4)] and store.timers == set()
+
+
 def test_merged_spells():
     assert watch.merged([(9, 9, 1), (1, 3, 2), (4, 4, 1), (6, 7, 1)], 2) == [(1, 9, 5)]
     assert watch.merged([(9, 9, 1), (1, 3, 2)], 2) == [(1, 3, 2), (9, 9, 1)]
