@@ -31,6 +31,15 @@ def read_files(spark: SparkSession, folder: str, max_depth: int = 8) -> DataFram
     return files.select("path", "content", F.floor(F.unix_millis("modificationTime") / 1000).alias("mtime_secs"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is worked out once a row.
+
+    Spark writes plain columns out wherever later columns and filters name them, and so would parse a
+    file again for each mention; it doesn't look through a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def detect(files: DataFrame) -> DataFrame:
     """Adds format (null where nothing fits), status (ok, skip, error) and error to files (path, content); content becomes text.
 
@@ -39,7 +48,7 @@ def detect(files: DataFrame) -> DataFrame:
     messages; a run tree, if it is no tree of runs.
     """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    rows = files.withColumn("bad_text", text.isNull()).withColumn("content", text).withColumn("v", F.expr("try_parse_json(content)"))
+    rows = _once(files.withColumn("bad_text", text.isNull()).withColumn("content", text), "v", F.expr("try_parse_json(content)"))
     has = lambda path, kind="variant": F.expr(f"try_variant_get(v, '$.{path}', '{kind}')").isNotNull()
     steps = F.expr("try_variant_get(v, '$.steps', 'array<variant>')")
     calls = F.expr("try_variant_get(v, '$.toolCalls', 'array<variant>')")
@@ -66,7 +75,7 @@ def detect(files: DataFrame) -> DataFrame:
         .when(kind.isin("session_meta", "event_msg", "response_item", "turn_context"), "codex")
         .when(kind.isNotNull(), "claude_code")
     )
-    rows = rows.withColumn("format", fmt)
+    rows = _once(rows, "format", fmt)
     lines = F.filter(
         F.transform(F.split("content", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n"))),
         lambda x: F.trim(x["line"], F.lit(BLANK)) != "",
@@ -85,18 +94,16 @@ def detect(files: DataFrame) -> DataFrame:
         .when(~listed, "messages is no list of messages")
         .when(~spans, "resourceSpans is no list of spans")
     )
-    error = error.when(
-        (F.col("format") == "langchain") & run_list(F.when(F.col("format") == "langchain", F.col("content"))).isNull(),
-        "parsing run tree",
-    )
-    rows = rows.withColumn("error", error)
+    error = error.when((fmt == "langchain") & F.col("no_tree"), "parsing run tree")
+    rows = rows.withColumn("no_tree", run_list(F.when(fmt == "langchain", F.col("content"))).isNull())
+    rows = _once(rows, "error", error)
     return (
         rows
         .withColumn(
             "status",
             F.when(F.col("format").isNull() | (F.col("format") == "otel_proto"), "skip").when(F.col("error").isNotNull(), "error").otherwise("ok"),
         )
-        .drop("bad_text")
+        .drop("bad_text", "no_tree")
     )
 
 

@@ -102,3 +102,11 @@ def test_checking_a_file_costs_its_length(spark):
     found = {r.path: (r.status, r.error) for r in formats.detect(files).select("path", "status", "error").filter("status <> 'skip'").collect()}
     assert found == {"long": ("ok", None), "cut": ("error", "parsing line 8001 of session file")}
     assert time.time() - began < 30
+
+
+def test_a_file_is_parsed_once_however_often_its_format_is_asked(spark):
+    files = spark.createDataFrame([("a", '{"messages":[]}')], "path string, content string")
+    good = formats.detect(files).filter("status = 'ok'").select("path", "content", "format")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") <= 3  # the file, and its lines as either format of lines
+    assert [tuple(r) for r in good.collect()] == [("a", '{"messages":[]}', "generic")]
