@@ -6,6 +6,8 @@ one rule for a list. A field may be missing, but not with `!` behind its name; i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,18 @@ def text_at(value: Column, path: str) -> Column:
     return F.when(kind_of(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
+def _field(name: str, own: Rule) -> Callable[[Column], Column]:
+    """Whether a field, null if missing, fits the rule of that name."""
+
+    def here(field: Column) -> Column:
+        found = F.when(field.isNull(), not name.endswith("!"))
+        if own != "any":
+            found = found.when(F.is_variant_null(field), name.endswith("?"))
+        return found.otherwise(fits(field, own))
+
+    return here
+
+
 def fits(value: Column, rule: Rule) -> Column:
     """Whether a variant that is there and not null fits a rule."""
     if isinstance(rule, list):
@@ -47,11 +61,8 @@ def fits(value: Column, rule: Rule) -> Column:
     if isinstance(rule, dict):
         ok = F.startswith(kind_of(value), F.lit("OBJECT"))
         for name, own in rule.items():
-            field = F.try_variant_get(value, f"$.{name.rstrip('!?')}", "variant")
-            here = F.when(field.isNull(), not name.endswith("!"))
-            if own != "any":
-                here = here.when(F.is_variant_null(field), name.endswith("?"))
-            ok = ok & here.otherwise(fits(field, own))
+            # a list of one gives the field a name: written out, it would be looked up again for each mention below it
+            ok = ok & F.forall(F.array(F.try_variant_get(value, f"$.{name.rstrip('!?')}", "variant")), _field(name, own))
         return F.coalesce(ok, F.lit(False))
     if rule == "text":
         return kind_of(value) == "STRING"
