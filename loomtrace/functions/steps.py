@@ -84,18 +84,22 @@ def detail(kind: Column, text: Column, tool: Column, call_id: Column, input_text
 def is_error(kind: Column, detail_text: Column) -> Column:
     """Whether a tool result reports an error, by marks and exit codes other than 0 (that fit 32 bits)."""
     parts = F.split(detail_text, "\nResult:\n", -1)
-    text = F.lower(F.coalesce(F.get(parts, F.lit(1)), detail_text))
-    marks = F.lit(False)
-    for mark in ERROR_MARKS:
-        marks = marks | F.contains(text, F.lit(mark))
-    codes = F.regexp_extract_all(text, F.lit(r"(?:exit code |process exited with code )([0-9]+)"), F.lit(1))
-    coded = F.exists(
-        codes,
-        lambda c: (
-            c.rlike("[1-9]") & (F.length(F.regexp_replace(c, "^0+", "")) <= 10) & (F.regexp_replace(c, "^0+", "").cast("decimal(20,0)") <= 4294967295)
-        ),
-    )
-    return (kind == "tool_result") & (marks | coded)
+
+    def failed(text: Column) -> Column:
+        marks = F.lit(False)
+        for mark in ERROR_MARKS:
+            marks = marks | F.contains(text, F.lit(mark))
+        codes = F.regexp_extract_all(text, F.lit(r"(?:exit code |process exited with code )([0-9]+)"), F.lit(1))
+        coded = F.exists(
+            codes,
+            lambda c: (
+                c.rlike("[1-9]") & (F.length(F.regexp_replace(c, "^0+", "")) <= 10) & (F.regexp_replace(c, "^0+", "").cast("decimal(20,0)") <= 4294967295)
+            ),
+        )
+        return marks | coded
+
+    # a list of one gives the text a name: written out, an aggregate would cut and lower it again for each mark
+    return (kind == "tool_result") & F.exists(F.array(F.lower(F.coalesce(F.get(parts, F.lit(1)), detail_text))), failed)
 
 
 def prices(spark: SparkSession) -> DataFrame:

@@ -15,7 +15,7 @@ from loomtrace.operators import sessions as ops
 from loomtrace.plans import raw
 from loomtrace.plans.oracle_more import ORACLE_SQL
 from loomtrace.sources import adapters, drift, formats, notes
-from loomtrace.operators.storage import fresh_path
+from loomtrace.operators.storage import discard, fresh_path, stored
 from loomtrace.streaming import live, watch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -276,9 +276,10 @@ LOOKS = ("n div 2", "n", "n div 3", "n")
 def _grown_errors(spark: SparkSession, d: str) -> DataFrame:
     """New errors of files that grow, are cut and grow again between looks."""
     child = watch.with_state_store(spark)
-    spool = fresh_path(child, "spool")
+    spool, messages = fresh_path(child, "spool"), stored(raw.chat_messages(child, d), "chats")
     for version, part in enumerate(LOOKS):
-        watch.snapshot(raw.tool_chats(child, d, part), version, spool)
+        watch.snapshot(raw.chats(messages, part), version, spool)
+    discard(messages)
     found = live.drained(child, watch.grown_errors(watch.spool_stream(child, spool)), "append")
     return found.select("session_id", "version", "step_index", "label")
 

@@ -124,9 +124,13 @@ def event_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", F.concat(F.lit('{"type":"assistant","uuid":"a","message":{"role":"assistant","content":[]}}\n'), F.array_join("lines", "\n")).alias("content"))
 
 
-def tool_chats(spark: SparkSession, d: str, part: str = "n") -> DataFrame:
-    """A chat per user, from events: text, tool calls with arguments, results by call id, models and usage; the first `part` (SQL over n) of its messages."""
-    p = event_parts(spark.read.parquet(f"{d}/events.parquet"))
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    """path, lines: a chat per user, from events: text, tool calls with arguments, results by call id, models and usage, a line a message.
+
+    Events move first and are written out as messages where their chat comes together: a file of few
+    row groups would leave that to few tasks.
+    """
+    p = event_parts(spark.read.parquet(f"{d}/events.parquet").repartition(F.col("user_id").cast("string")))
     call = F.struct(F.col("tool_call_id").alias("id"), F.struct(F.col("tool_name").alias("name"), F.col("input_text").alias("arguments")).alias("function"))
     usage = F.struct(F.col("tokens_in").alias("prompt_tokens"), F.col("tokens_out").alias("completion_tokens"), F.col("cache_read").alias("cached_tokens"))
     role = F.when(F.col("kind") == "user_text", "user").when(F.col("kind") == "tool_result", "tool").otherwise("assistant")
@@ -136,11 +140,21 @@ def tool_chats(spark: SparkSession, d: str, part: str = "n") -> DataFrame:
         F.when(F.col("kind") == "tool_result", F.col("tool_call_id")).alias("tool_call_id"), F.when(said, F.col("model")).alias("model"), F.when(said, usage).alias("usage"),
     )
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", F.to_json(message).alias("line")))), lambda x: x["line"])
-    rows = p.groupBy(F.col("session_id").alias("path")).agg(listed.alias("lines")).withColumn("n", F.size("lines"))
+    return p.groupBy(F.col("session_id").alias("path")).agg(listed.alias("lines"))
+
+
+def chats(messages: DataFrame, part: str = "n") -> DataFrame:
+    """Files of chat_messages(); the first `part` (SQL over n, the number of all) of each chat's messages."""
     kept = F.slice("lines", F.lit(1), F.expr(part).cast("int"))
+    rows = messages.withColumn("n", F.size("lines"))
     return rows.select("path", F.concat(F.lit('{"messages":['), F.array_join(kept, ","), F.lit("]}")).alias("content"))
 
 
+def tool_chats(spark: SparkSession, d: str) -> DataFrame:
+    """A whole chat per user, from events."""
+    return chats(chat_messages(spark, d))
+
+
 def _event_lines(spark: SparkSession, d: str, line: Column, head: str = "", between: str = "\n", foot: str = "") -> DataFrame:
     """A file per user with a line per event in order, none where it is null; `line` reads event_parts' columns, role and at (ISO time)."""
     p = event_parts(spark.read.parquet(f"{d}/events.parquet")).withColumns({

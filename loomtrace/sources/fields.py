@@ -59,17 +59,26 @@ def fits(value: Column, rule: Rule) -> Column:
         # a list of anything is an array; of objects, each must fit
         return F.coalesce(items.isNotNull() & F.forall(items, lambda x: ~F.is_variant_null(x) & fits(x, rule[0])), F.lit(False))
     if isinstance(rule, dict):
-        ok = F.startswith(kind_of(value), F.lit("OBJECT"))
-        for name, own in rule.items():
-            # a list of one gives the field a name: written out, it would be looked up again for each mention below it
-            ok = ok & F.forall(F.array(F.try_variant_get(value, f"$.{name.rstrip('!?')}", "variant")), _field(name, own))
-        return F.coalesce(ok, F.lit(False))
+        # fields that may hold anything and be missing need no look
+        asked = {name: own for name, own in rule.items() if own != "any" or name.endswith("!")}
+        kind = ", ".join(f"{name.rstrip('!?')}: variant" for name in asked)
+
+        def here(fields: Column) -> Column:
+            ok = fields.isNotNull()
+            for name, own in asked.items():
+                # a list of one gives the field a name: written out, it would be looked up again for each mention below it
+                ok = ok & F.forall(F.array(fields[name.rstrip("!?")]), _field(name, own))
+            return ok
+
+        # all fields are taken from the object at once; null if it is none
+        return F.coalesce(F.forall(F.array(F.try_variant_get(value, "$", f"struct<{kind}>")), here), F.lit(False))
     if rule == "text":
         return kind_of(value) == "STRING"
     if rule == "count":
-        whole = kind_of(value).rlike(r"^(BIGINT|DECIMAL\(\d+,\s*0\))$")
+        kind = kind_of(value)
         n = F.try_variant_get(value, "$", "decimal(38,0)")
-        return whole & F.coalesce(n.between(F.lit(0).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")), F.lit(False))
+        large = kind.rlike(r"^DECIMAL\(\d+,\s*0\)$") & F.coalesce(n.between(F.lit(0).cast("decimal(38,0)"), F.lit(str(2**64 - 1)).cast("decimal(38,0)")), F.lit(False))
+        return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint") >= 0).otherwise(large)
     return F.lit(True)
 
 

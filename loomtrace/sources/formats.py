@@ -185,42 +185,34 @@ def _array(column: str, path: str):
 
 
 def generic(files: DataFrame) -> DataFrame:
-    """OpenAI-style conversations: user, assistant and tool messages; results pair by id."""
+    """OpenAI-style conversations: user, assistant and tool messages; results pair by id.
+
+    Each message is read once and gives the list of its steps; model and counters are those of an
+    assistant's first step.
+    """
     m = files.select(F.col("path").alias("session_id"), F.posexplode(_array("v", "messages")).alias("i", "m"))
     m = m.select("session_id", "i", "m", _get("m", "role").alias("role"), _content("m").alias("text"))
-    text = (
-        m
-        .filter("role in ('user', 'assistant') and trim(text) <> ''")
-        .select("session_id", F.array("i", F.lit(0)).alias("position"), F.concat("role", F.lit("_text")).alias("kind"), "text", "i", "m", "role")
-    )
-    calls = m.filter("role = 'assistant'").select("session_id", "i", "m", F.posexplode(_array("m", "tool_calls")).alias("j", "c"))
-    use = calls.select(
-        "session_id",
-        F.array(F.col("i"), F.col("j") + 1).alias("position"),
-        F.lit("tool_use").alias("kind"),
-        F.coalesce(_get("c", "function.name"), F.lit("")).alias("tool_name"),
-        F.coalesce(_get("c", "id"), F.lit("")).alias("tool_call_id"),
-        pretty_json(F.coalesce(_get("c", "function.arguments"), F.lit(""))).alias("input_text"),
-        "i",
-        "m",
-        F.lit("assistant").alias("role"),
-    )
-    result = (
-        m
-        .filter("role = 'tool'")
-        .select(
-            "session_id",
-            F.array("i", F.lit(0)).alias("position"),
-            F.lit("tool_result").alias("kind"),
-            F.coalesce(_get("m", "tool_call_id"), F.lit("")).alias("tool_call_id"),
-            F.col("text").alias("result_text"),
-        )
-    )
-    said = text.unionByName(use, allowMissingColumns=True)
+    asst, said = F.col("role") == "assistant", F.col("role").isin("user", "assistant") & (F.trim("text") != "")
+    none = F.expr("cast(array() as array<struct<j: int, c: variant>>)")
+    whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(None).cast("variant").alias("c")))
+    calls = F.transform(_array("m", "tool_calls"), lambda c, j: F.struct((j + 1).alias("j"), c.alias("c")))
+    steps = F.concat(F.when(said | (F.col("role") == "tool"), whole).otherwise(none), F.when(asst, calls).otherwise(none))
+    rows = m.select("session_id", "i", "m", "role", "text", F.posexplode(steps).alias("k", "x")).select("*", F.col("x.j").alias("j"), F.col("x.c").alias("c"))
+    use, result = F.col("j") > 0, F.col("role") == "tool"
+    first = (F.col("k") == 0) & (F.col("role") == "assistant")
+    usage = {"tokens_in": "usage.prompt_tokens", "tokens_out": "usage.completion_tokens", "cache_read": "usage.cached_tokens"}
     return _parts(
-        _anchored(said, {"tokens_in": "usage.prompt_tokens", "tokens_out": "usage.completion_tokens", "cache_read": "usage.cached_tokens"}).unionByName(
-            result,
-            allowMissingColumns=True,
+        rows.select(
+            "session_id",
+            F.array("i", "j").alias("position"),
+            F.when(use, "tool_use").when(result, "tool_result").otherwise(F.concat("role", F.lit("_text"))).alias("kind"),
+            F.when(~use & ~result, F.col("text")).alias("text"),
+            F.when(result, F.col("text")).alias("result_text"),
+            F.when(use, F.coalesce(_get("c", "function.name"), F.lit(""))).alias("tool_name"),
+            F.when(use, F.coalesce(_get("c", "id"), F.lit(""))).when(result, F.coalesce(_get("m", "tool_call_id"), F.lit(""))).alias("tool_call_id"),
+            pretty_json(F.when(use, F.coalesce(_get("c", "function.arguments"), F.lit("")))).alias("input_text"),
+            F.when(first, _get("m", "model")).alias("model"),
+            *[F.when(first, _get("m", path, "bigint")).alias(name) for name, path in usage.items()],
         )
     )
 
@@ -592,13 +584,14 @@ def parse_detected(known: DataFrame) -> DataFrame:
     """Steps of detected() files: only the parsers of formats that occur run, each on its own files."""
     spark = known.sparkSession
     found = {r[0] for r in known.select("format").distinct().collect()}  # at most one a format
-    out = spark.createDataFrame([], STEP_COLUMNS)
+    out = None
     for name, parser in {**PAIRED, **NAMED}.items():
         if name in found:
             own = known.filter(F.col("format") == name).withColumn("v", F.expr("try_parse_json(content)"))
             parts = parser(own)
-            out = out.unionByName(finish(paired(parts) if name in PAIRED else parts, name))
-    return out
+            steps = finish(paired(parts) if name in PAIRED else parts, name)
+            out = steps if out is None else out.unionByName(steps)  # one format alone stays dealt out by session
+    return spark.createDataFrame([], STEP_COLUMNS) if out is None else out
 
 
 #: Where the tools keep their sessions, below a home folder.

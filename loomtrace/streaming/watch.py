@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -117,7 +118,10 @@ def snapshot(files: DataFrame, version: int, spool: str) -> None:
     known = detected(files.select("path", "content"))
     read = known.select(F.col("path").alias("session_id"))
     error = F.when(is_error(F.col("kind"), F.col("detail")), F.struct("step_index", "label"))
-    steps = parse_detected(known).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(error)).alias("errors"))
+    counted = parse_detected(known).select("session_id", "step_index", F.count(F.lit(1)).over(W.partitionBy("session_id")).alias("n"), error.alias("error"))
+    # a file's first step and its errors say all: the others needn't be gathered
+    told = counted.filter((F.col("step_index") == 0) | F.col("error").isNotNull())
+    steps = told.groupBy("session_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("error")).alias("errors"))
     rows = read.join(steps, "session_id", "left")
     rows.select("session_id", F.lit(version).cast("long").alias("version"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "errors").write.mode("append").parquet(spool)
 
@@ -127,32 +131,33 @@ def changed(files: DataFrame, since_secs: int) -> DataFrame:
     return files.filter(F.col("mtime_secs") >= since_secs)
 
 
-SPOOL = "session_id string, version long, n long, errors array<struct<step_index: int, label: string>>"
+ERRORS = "array<struct<step_index: int, label: string>>"
+SPOOL = f"session_id string, version long, n long, errors {ERRORS}"
 
 
 class GrowthWatch(StatefulProcessor):
     """State is the number of steps last seen of a file; errors behind it are new if there are more steps now.
 
     A first sight gives no alert. A file with fewer steps was cut or rewritten: nothing is checked, and
-    it is followed from its new length.
+    it is followed from its new length. A look at a file that grew gives one row: the steps seen before,
+    and the errors as they came, as one text, which isn't taken apart here.
     """
 
     def init(self, handle) -> None:
         self.seen = handle.getValueState("seen", "n long, version long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = sorted((int(v), int(n), e) for part in rows for v, n, e in zip(part["version"], part["n"], part["errors"], strict=True))
-        state = self.seen.get() if self.seen.exists() else None
-        n_seen, last = (None, -1) if state is None else map(int, state)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.seen.get()
+        n_seen, last = (None, -1) if state is None else state
         out = []
-        for version, n, errors in found:
+        for version, n, errors in sorted(((r.version, r.n, r.errors) for r in rows), key=lambda x: x[:2]):
             if version <= last:
                 continue  # a snapshot that was overtaken
             if n_seen is not None and n > n_seen and errors is not None:
-                out += [(key[0], version, int(e["step_index"]), e["label"]) for e in errors if e["step_index"] >= n_seen]
+                out.append(Row(session_id=key[0], version=version, n_seen=n_seen, errors=errors))
             n_seen, last = n, version
         self.seen.update((n_seen, last))
-        yield pd.DataFrame(out, columns=["session_id", "version", "step_index", "label"])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -160,8 +165,15 @@ class GrowthWatch(StatefulProcessor):
 
 def grown_errors(spool: DataFrame) -> DataFrame:
     """session_id, version, step_index, label of errors among steps that were appended to files (a stream of SPOOL rows)."""
-    schema = "session_id string, version long, step_index int, label string"
-    return spool.groupBy("session_id").transformWithStateInPandas(GrowthWatch(), schema, "append", "none")
+    found = F.when(F.size("errors") > 0, F.to_json("errors"))
+    rows = spool.select("session_id", "version", "n", found.alias("errors"))
+    grown = rows.groupBy("session_id").transformWithState(GrowthWatch(), "session_id string, version long, n_seen long, errors string", "append", "none")
+    return (
+        grown
+        .select("session_id", "version", "n_seen", F.inline(F.from_json("errors", ERRORS)))
+        .filter("step_index >= n_seen")
+        .select("session_id", "version", "step_index", "label")
+    )
 
 
 def spool_stream(spark: SparkSession, spool: str) -> DataFrame:

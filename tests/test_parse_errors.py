@@ -110,3 +110,24 @@ def test_a_file_is_parsed_once_however_often_its_format_is_asked(spark):
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") <= 3  # the file, and its lines as either format of lines
     assert [tuple(r) for r in good.collect()] == [("a", '{"messages":[]}', "generic")]
+
+
+def test_messages_of_chats_are_read_once_and_give_their_steps_in_order(spark):
+    call = '{"id":"%s","function":{"name":"Read","arguments":"{}"}}'
+    text = '{"messages":[%s]}' % ",".join((
+        '{"role":"assistant","content":" ","model":"m","usage":{"prompt_tokens":7},"tool_calls":[%s,%s]}' % (call % "a", call % "b"),  # no text: the first call has the counters
+        '{"role":"user","content":"ask","model":"m","tool_calls":[%s]}' % (call % "c"),  # only an assistant's count
+        '{"role":"tool","tool_call_id":"b","content":[{"type":"text","text":"x"},{"type":"text","text":"y"}]}', '{"role":"tool","content":null}', '{"content":"nobody"}',
+        '{"role":"assistant","content":"said","model":"m","usage":{"prompt_tokens":8},"tool_calls":[{}]}',
+    ))
+    files = spark.createDataFrame([("p", text)], "path string, content string").withColumn("v", F.expr("try_parse_json(content)"))
+    parts = formats.generic(files)
+    columns = ("position", "kind", "text", "tool_name", "tool_call_id", "input_text", "result_text", "model", "tokens_in")
+    assert sorted(tuple(r[c] for c in columns) for r in parts.collect()) == [
+        ([0, 1], "tool_use", None, "Read", "a", "{}", None, "m", 7), ([0, 2], "tool_use", None, "Read", "b", "{}", None, None, None),
+        ([1, 0], "user_text", "ask", None, None, None, None, None, None), ([2, 0], "tool_result", None, None, "b", None, "x\ny", None, None),
+        ([3, 0], "tool_result", None, None, "", None, "", None, None), ([5, 0], "assistant_text", "said", None, None, None, None, "m", 8),
+        ([5, 1], "tool_use", None, "", "", "", None, None, None),
+    ]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan

@@ -5,9 +5,11 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomtrace.operators.storage import fresh_path
+from loomtrace.plans import raw
 from loomtrace.sources.formats import read_files
 from loomtrace.streaming import live, watch
 
@@ -163,3 +165,24 @@ def test_files_that_grow_are_cut_and_rewritten(child, tmp_path):
             found = child.read.parquet(f"{state}/out").collect()
             assert sorted((r.version, r.step_index) for r in found) == wanted
     assert all(r.session_id.endswith("one.json") and "Error: gone" in r.label for r in found)
+
+
+def test_growth_reads_and_writes_state_once_and_leaves_errors_whole():
+    store, one = _Store(), watch.GrowthWatch()
+    one.init(store)
+    look = lambda *rows: [tuple(x) for x in one.handleInputRows(("s",), iter([Row(version=v, n=n, errors=e) for v, n, e in rows]), None)]
+    # first seen, grown, cut, grown without errors, grown again; a row a look that grew and has errors
+    assert look((2, 5, "c"), (0, 10, "a"), (1, 20, "b"), (3, 6, None), (4, 9, "e")) == [("s", 1, 10, "b"), ("s", 4, 6, "e")]
+    assert store.calls == 2 and store.value == (9, 4)
+    assert look((4, 50, "late"), (5, 12, "f")) == [("s", 5, 9, "f")]
+
+
+def test_events_move_before_they_are_written_as_messages(spark, tmp_path):
+    at = F.timestamp_millis(F.col("id") * 1000).alias("ts")
+    rows = spark.range(40).select(F.col("id").alias("event_id"), at, (F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    messages = raw.chat_messages(spark, str(tmp_path))
+    plan = messages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "to_json" not in plan[plan.index("Exchange") :] and "structstojson" not in plan[plan.index("Exchange") :].lower()
+    assert {r.path: len(r.lines) for r in messages.collect()} == {"0": 14, "1": 13, "2": 13}
+    assert {len(json.loads(r.content)["messages"]) for r in raw.chats(messages, "n div 2").collect()} == {7, 6}
